@@ -58,8 +58,11 @@ def first_per_cell(history: DataFrame, keys: list[str], max_k: int = MAX_K) -> D
 
 
 def distinct_history(history: DataFrame) -> DataFrame:
-    """Equal flights of a route and airline count once."""
-    return history.select(*HISTORY).dropna(subset=ROUTE_AIRLINE).distinct()
+    """Equal flights of a route and airline count once.
+
+    Dropping rows without a key here, for both matching rules, lets them share one shuffle.
+    """
+    return history.select(*HISTORY).dropna(subset=[*ROUTE_AIRLINE, *LATTICE]).distinct()
 
 
 def _bounded_k(requests: DataFrame, max_k: int) -> DataFrame:
@@ -191,26 +194,48 @@ def _near_steps(radius: int) -> list[tuple[int, ...]]:
     return [s for s in product(span, repeat=len(POINT)) if sum(x * x for x in s) <= radius * radius]
 
 
+def _squared_gap() -> Column:
+    """Squared Euclidean distance on the lattice, a whole number."""
+    gaps = [F.col(p) - F.col(at) for p, at in AT.items()]
+    return sum((g * g for g in gaps), F.lit(0))
+
+
 def _nearest(pairs: DataFrame, request: list[str], max_k: int) -> DataFrame:
     window = Window.partitionBy(*request).orderBy(
-        "distance", F.desc("Year"), "at_month", "at_day", "DepTime", "TotalDelay")
-    gaps = [F.col(p) - F.col(at) for p, at in AT.items()]
-    squares = sum((g * g for g in gaps), F.lit(0))
+        "d2", F.desc("Year"), "at_month", "at_day", "DepTime", "TotalDelay")
     return (
-        pairs.withColumn("distance", F.sqrt(squares.cast("double")))
-        .withColumn("rank", F.row_number().over(window))
+        pairs.withColumn("rank", F.row_number().over(window))
         .where((F.col("rank") <= max_k) & (F.col("rank") <= F.col("k")))
     )
 
 
+def _reach(requests: DataFrame, flights: DataFrame, keys: list[str]) -> DataFrame:
+    """Requests with the squared distance of their k-th flight, or of their last if fewer.
+
+    Each request needs only the number of flights per distance, so the pairs with the cells
+    of its route are reduced to a short histogram where they arise.
+    """
+    request = [*keys, *POINT, "k"]
+    cells = flights.groupBy(*keys, *AT.values()).agg(F.count(F.lit(1)).alias("n"))
+    rings = requests.join(cells, keys).groupBy(*request, _squared_gap().alias("d2")).agg(
+        F.sum("n").alias("n"))
+    outward = Window.partitionBy(*request).orderBy("d2")
+    return (
+        rings.withColumn("met", F.sum("n").over(outward))
+        .groupBy(*request)
+        .agg(F.coalesce(F.min(F.when(F.col("met") >= F.col("k"), F.col("d2"))), F.max("d2"))
+             .alias("reach"))
+    )
+
+
 def knn_neighbors(requests: DataFrame, history: DataFrame, keys: list[str] = MEAN_KEYS,
                   max_k: int = MAX_K) -> DataFrame:
     """The k nearest flights of the request's route (and airline, if among ``keys``).
 
     Requests first look at the lattice cells around them, an equi-join on the cell. Those
     that found k flights there are done, as nothing outside is nearer. Only the others,
-    in thin history, are matched with all cells of their route, whose number is bounded by
-    the calendar and not by the flights.
+    in thin history, are compared with the cells of their whole route, whose number is
+    bounded by the calendar and not by the flights, and then fetch the flights in reach.
     """
     request = [*keys, *POINT, "k"]
     wanted = _bounded_k(requests, max_k).select(*request).distinct()
@@ -223,12 +248,21 @@ def knn_neighbors(requests: DataFrame, history: DataFrame, keys: list[str] = MEA
                       for s in _near_steps(NEAR_RADIUS)])
     around = wanted.withColumn("_step", F.explode(steps)).select(
         *request, *[(F.col(p) + F.col(f"_step.{p}")).alias(at) for p, at in AT.items()])
-    near = _nearest(around.join(flights, [*keys, *AT.values()]), request, max_k)
+    met = around.join(flights, [*keys, *AT.values()]).withColumn("d2", _squared_gap())
+    near = (
+        _nearest(met, request, max_k)
+        .withColumn("_found", F.count(F.lit(1)).over(Window.partitionBy(*request)))
+        .where(F.col("_found") == F.col("k")).drop("_found")
+    )
 
-    found = near.where(F.col("rank") == F.col("k")).select(*request)
-    thin = wanted.join(found, request, "left_anti")
-    wide = _nearest(thin.join(flights, keys), request, max_k)
-    return near.join(found, request, "left_semi").unionByName(wide)
+    done = near.where(F.col("rank") == 1).select(*request)
+    thin = wanted.join(done, request, "left_anti")
+    in_reach = (
+        _reach(thin, flights, keys).join(flights, keys).withColumn("d2", _squared_gap())
+        .where(F.col("d2") <= F.col("reach")).drop("reach")
+    )
+    found = near.unionByName(_nearest(in_reach, request, max_k))
+    return found.withColumn("distance", F.sqrt(F.col("d2").cast("double"))).drop("d2")
 
 
 def knn_mean_forecast(requests: DataFrame, history: DataFrame, keys: list[str] = MEAN_KEYS,

@@ -106,6 +106,13 @@ def feature_importance(counts: DataFrame, top: int = TOP) -> DataFrame:
     )
 
 
+def _spread(features: DataFrame) -> DataFrame:
+    """Distinct flights, partitioned by key. The number is fixed: their few bytes say nothing
+    about the work each multiplies into, so partitions must not be merged by size."""
+    partitions = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return features.repartition(partitions, *MODEL_REQUEST).dropDuplicates(MODEL_REQUEST)
+
+
 def attribution(features: DataFrame, models: Models, base: list[float],
                 permutations: int = 16) -> DataFrame:
     """Contribution of every feature to every log prediction, by sampled permutations.
@@ -114,45 +121,43 @@ def attribution(features: DataFrame, models: Models, base: list[float],
     value, in a hash-determined order and in its reverse. A feature's contribution is the mean
     change of the prediction at its move, so contributions and base value add up to the
     prediction. Each scored step adds to the feature just moved and subtracts from the next
-    one; the only shuffle is the partially aggregated sum per flight and feature.
+    one, so no ordering of steps is needed. Flights are spread by their key before they are
+    multiplied, and the sums and rankings per flight reuse that partitioning: the only
+    shuffle moves one row per flight.
     """
     n = len(FEATURES)
     hashes = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(
         F.xxhash64(*MODEL_REQUEST, F.shiftright("perm", 1), i).alias("h"), i.alias("i")))
     drawn = F.transform(F.array_sort(hashes), lambda s: s["i"])
-    orders = features.distinct().withColumn(
+    orders = _spread(features).withColumn(
         "perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))
-    ).withColumn(
-        "order", F.when(F.col("perm") % 2 == 0, drawn).otherwise(F.reverse(drawn)))
+    ).withColumn("order", F.when(F.col("perm") % 2 == 0, drawn).otherwise(F.reverse(drawn)))
     steps = orders.withColumn("moved", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    row = F.array(*[
-        F.when(F.array_position("order", i) <= F.col("moved"), F.col(f)).otherwise(F.lit(base[i]))
-        for i, f in enumerate(FEATURES)])
+    row = F.expr("array(" + ", ".join(
+        f"if(array_position(order, {i}) <= moved, {f}, double('{base[i]!r}'))"
+        for i, f in enumerate(FEATURES)) + ")")
     scored = _score(
         steps.select(*MODEL_REQUEST, "order", "moved", array_to_vector(row).alias("features")),
         models)
 
-    log = [f"log_{p}" for p in PERCENTILES]
     signed = F.array(
         F.struct(F.get("order", F.col("moved") - 1).alias("i"), F.lit(1.0).alias("sign")),
         F.struct(F.get("order", F.col("moved")).alias("i"), F.lit(-1.0).alias("sign")),
     )
+    log = [f"log_{p}" for p in PERCENTILES]
     sums = (
         scored.select(*MODEL_REQUEST, *log, F.explode(signed).alias("s"))
         .where(F.col("s.i").isNotNull())
         .groupBy(*MODEL_REQUEST, F.col("s.i").alias("feature_index"))
-        .agg(*[(F.sum(F.col(c) * F.col("s.sign")) / permutations).alias(p)
-               for c, p in zip(log, PERCENTILES)])
-    )
-    base_values = {p: float(m.predict(Vectors.dense(base))) for p, m in models.items()}
-    base_of = F.create_map(*[F.lit(x) for pair in base_values.items() for x in pair])
-    return sums.unpivot(
-        [*MODEL_REQUEST, "feature_index"], list(PERCENTILES), "percentile", "contribution"
-    ).select(
-        *MODEL_REQUEST, "percentile", "feature_index",
-        _feature_name(F.col("feature_index")).alias("feature"), "contribution",
-        base_of[F.col("percentile")].alias("base_value"),
+        .agg(*[(F.sum(F.col(c) * F.col("s.sign")) / permutations).alias(c) for c in log])
     )
+    per_model = F.array(*[
+        F.struct(F.lit(p).alias("percentile"), F.col(f"log_{p}").alias("contribution"),
+                 F.lit(float(m.predict(Vectors.dense(base)))).alias("base_value"))
+        for p, m in models.items()])
+    return sums.select(
+        *MODEL_REQUEST, "feature_index", _feature_name(F.col("feature_index")).alias("feature"),
+        F.inline(per_model))
 
 
 def attribution_top(contributions: DataFrame, top: int = TOP) -> DataFrame:

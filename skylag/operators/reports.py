@@ -28,18 +28,24 @@ def kpi_summary(flights: DataFrame, keys: list[str] = SELECTION) -> DataFrame:
 
 # Destination by departure time --------------------------------------------------------
 
-def dest_time_ratio(flights: DataFrame, airports: DataFrame,
-                    keys: list[str] = SELECTION) -> DataFrame:
-    """Delay ratio per destination name and shown departure time; unnamed destinations drop out.
+def _dest_time_counts(flights: DataFrame, airports: DataFrame, keys: list[str]) -> DataFrame:
+    """Flights and delayed flights per destination and raw time, then the destination's name.
 
-    Counting by airport id and raw time comes first, so names are joined to counts only.
+    Counting comes first, so names are joined to counts only.
     """
     counts = flights.groupBy(*keys, "DestAirportID", "CRSDepTime").agg(
         F.count(F.lit(1)).alias("n"), F.sum(fn.is_delay()).alias("late"))
     side = airport_side(airports, "_dst", "dest_name", "lat", "lon").select("_dst", "dest_name")
-    named = counts.join(side, F.col("DestAirportID") == F.col("_dst")).dropna(subset=["dest_name"])
+    return counts.join(side, F.col("DestAirportID") == F.col("_dst"), "left").select(
+        *keys, "dest_name", fn.format_time(F.col("CRSDepTime")).alias("crs_dep_time"), "n", "late")
+
+
+def dest_time_ratio(flights: DataFrame, airports: DataFrame,
+                    keys: list[str] = SELECTION) -> DataFrame:
+    """Delay ratio per destination name and shown departure time; unnamed destinations drop out."""
     return (
-        named.groupBy(*keys, "dest_name", fn.format_time(F.col("CRSDepTime")).alias("crs_dep_time"))
+        _dest_time_counts(flights, airports, keys).dropna(subset=["dest_name"])
+        .groupBy(*keys, "dest_name", "crs_dep_time")
         .agg(F.sum("late").alias("delayed"), F.sum("n").alias("total"))
         .withColumn("delay_ratio", F.col("delayed") / F.col("total"))
     )
@@ -61,13 +67,12 @@ def shown_times(ratios: DataFrame) -> list[str]:
 def heatmap_summary(flights: DataFrame, airports: DataFrame,
                     keys: list[str] = SELECTION) -> DataFrame:
     """Destinations and times shown in the matrix, and all flight records of the selection."""
-    ratios = dest_time_ratio(flights, airports, keys)
-    shown = ratios.groupBy(*keys).agg(
+    shown = F.when(F.col("dest_name").isNotNull(), F.col("crs_dep_time"))
+    return _dest_time_counts(flights, airports, keys).groupBy(*keys).agg(
         F.count_distinct("dest_name").alias("destinations"),
-        F.count_distinct("crs_dep_time").alias("departure_times"),
+        F.count_distinct(shown).alias("departure_times"),
+        F.sum("n").alias("flight_records"),
     )
-    records = flights.groupBy(*keys).agg(F.count(F.lit(1)).alias("flight_records"))
-    return records.join(shown, keys, "left").fillna(0, ["destinations", "departure_times"])
 
 
 # Delay causes -------------------------------------------------------------------------

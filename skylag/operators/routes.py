@@ -123,18 +123,18 @@ def map_center(flights: DataFrame, airports: DataFrame,
                keys: list[str] = DATE_KEYS) -> DataFrame:
     """Mean origin position per key over its flights, and the position of its first departure.
 
-    Flights are first counted per origin, so only counts travel to the join.
+    Flights are first counted per origin, so only counts travel to the join. Time and flight
+    number are packed into one number, which keeps both aggregations hash-based.
     """
-    order = F.struct(
-        F.coalesce("CRSDepTime", F.lit(0)).alias("at"),
-        F.col("Flight_Number_Reporting_Airline").alias("fl_num"),
-    )
+    departure = (
+        F.coalesce("CRSDepTime", F.lit(0)).cast("bigint") * 100_000
+        + F.col("Flight_Number_Reporting_Airline"))
     per_origin = flights.groupBy(*keys, "OriginAirportID").agg(
-        F.count(F.lit(1)).alias("n"), F.min(order).alias("first_departure"))
+        F.count(F.lit(1)).alias("n"), F.min(departure).alias("departure"))
     side = airport_side(airports, "_src", "name", "lat", "lon")
     placed = per_origin.join(side, F.col("OriginAirportID") == F.col("_src"), "left")
     known = F.when(F.col("lat").isNotNull(), F.col("n"))
-    first = F.struct("first_departure", "OriginAirportID")
+    first = F.col("departure") * 100_000 + F.col("OriginAirportID")
     return placed.groupBy(*keys).agg(
         F.try_divide(F.sum(F.col("lat") * F.col("n")), F.sum(known)).alias("center_lat"),
         F.try_divide(F.sum(F.col("lon") * F.col("n")), F.sum(known)).alias("center_lon"),

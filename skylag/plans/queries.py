@@ -66,7 +66,7 @@ def scan_airlines(t):
 
 @query
 def sql_view_query(t):
-    register_views(*t)
+    register_views(t.flights, t.airports, t.airlines)
     return t.flights.sparkSession.sql("""
         SELECT a.description, g.airport_name, count(*) AS flights,
                sum(coalesce(f.ArrDelayMinutes, 0)) AS arrival_minutes
@@ -454,6 +454,35 @@ def model_requests(flights: DataFrame) -> DataFrame:
 
 LOOKUP_VALUES = ["avg_crs_elapsed_time", "avg_distance", *HIST_COLUMNS]
 
+# Offline jobs run once per session and data folder; everything else reads their output.
+_CELLS: dict[tuple[str, str], str] = {}
+_TRAINED: dict[tuple[str, str], tuple[str, list[float]]] = {}
+
+
+def _job(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    return spark.sparkContext.applicationId, sf_dir
+
+
+def written_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lookup cells as a table in the shared folder, so that no reader aggregates again."""
+    job = _job(spark, sf_dir)
+    if job not in _CELLS:
+        folder = shared_folder(spark, "lookup-cells")
+        lookup.lookup_cells(flight_tables(spark, sf_dir).flights).write.parquet(folder)
+        _CELLS[job] = folder
+    return spark.read.parquet(_CELLS[job])
+
+
+def trained(spark: SparkSession, sf_dir: str) -> tuple[str, list[float]]:
+    """Folder of the fitted models, and the average training row."""
+    job = _job(spark, sf_dir)
+    if job not in _TRAINED:
+        folder = shared_folder(spark, "delay-models")
+        training = scenario.training_table(written_cells(spark, sf_dir))
+        model.save_models(model.fit_models(training), folder)
+        _TRAINED[job] = (folder, model.feature_means(training))
+    return _TRAINED[job]
+
 
 @query
 def inference_lookup(t):
@@ -463,13 +492,13 @@ def inference_lookup(t):
 @query
 def lookup_backoff(t):
     requests = scenario.keyed_requests(model_requests(t.flights))
-    table = lookup.inference_lookup(lookup.lookup_cells(t.flights))
+    table = lookup.inference_lookup(written_cells(t.spark, t.sf_dir))
     return rounded(lookup.lookup_backoff(requests, table), LOOKUP_VALUES)
 
 
 @query
 def scenario_features(t):
-    table = lookup.inference_lookup(lookup.lookup_cells(t.flights))
+    table = lookup.inference_lookup(written_cells(t.spark, t.sf_dir))
     return rounded(scenario.scenario_features(model_requests(t.flights), table), LOOKUP_VALUES)
 
 
@@ -480,30 +509,13 @@ def model_training_table(t):
         scenario.training_table(lookup.lookup_cells(t.flights)), [*LOOKUP_VALUES, *labels])
 
 
-# The offline job (lookup, fit) runs once per session and data folder; scoring reads its output.
-_TRAINED: dict[tuple[str, str], tuple[str, list[float]]] = {}
-
-
-def trained(spark: SparkSession, sf_dir: str) -> tuple[str, list[float]]:
-    """Folder of the written lookup and fitted models, and the average training row."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _TRAINED:
-        folder = shared_folder(spark, "flight-delay-models")
-        cells = lookup.lookup_cells(flight_tables(spark, sf_dir).flights)
-        cells.write.parquet(f"{folder}/cells")
-        training = scenario.training_table(spark.read.parquet(f"{folder}/cells"))
-        model.save_models(model.fit_models(training), folder)
-        _TRAINED[key] = (folder, model.feature_means(training))
-    return _TRAINED[key]
-
-
 def model_query(build) -> Query:
     """Register a query that scores with the trained models."""
     @wraps(build)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder, base = trained(spark, sf_dir)
         tables = flight_tables(spark, sf_dir)
-        table = lookup.inference_lookup(spark.read.parquet(f"{folder}/cells"))
+        table = lookup.inference_lookup(written_cells(spark, sf_dir))
         features = scenario.scenario_features(model_requests(tables.flights), table)
         return build(spark, features, folder, base)
     QUERIES[build.__name__] = run

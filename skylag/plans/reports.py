@@ -37,7 +37,7 @@ def history_report(tables: FlightTables, date=None, origin=None, dests=ALL, dep_
 
 def averages_report(tables: FlightTables, months=ALL, airlines=ALL,
                     threshold: float = 30) -> dict[str, DataFrame]:
-    flights, _, names = tables
+    flights, names = tables.flights, tables.airlines
     by_month = reports.month_airline_average(flights, names, months, airlines)
     return {
         "default_airlines": options.default_airlines(flights, names),
@@ -81,7 +81,7 @@ def model_report(requests: DataFrame, lookup: DataFrame, folder: str,
 
 def date_choices(tables: FlightTables) -> dict[str, DataFrame]:
     """What can be chosen before any report is opened."""
-    flights, airports, _ = tables
+    flights, airports = tables.flights, tables.airports
     return {
         "range": options.date_range(flights),
         "origins": options.airports_by_date(flights, airports).orderBy(*DATE_KEYS, "code"),

@@ -1,147 +1,124 @@
 """Flight, airport and airline tables derived from the star-schema test tables.
 
 The rules are those of FIXTURES.md; ``skylag.plans.oracle`` states the same in SQL.
-No join is hinted: Catalyst broadcasts a side only below its size threshold and shuffles
-otherwise, and adaptive execution splits a hot order or supplier key.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from skylag.schemas import CAUSES
 
-class FlightTables(NamedTuple):
-    flights: DataFrame
-    airports: DataFrame
-    airlines: DataFrame
+# The columns read, so that no file has to be opened to plan a query.
+COLUMNS = {
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+                "l_quantity double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "orders": "o_orderkey long, o_custkey long",
+    "customer": "c_custkey long, c_nationkey int",
+    "supplier": "s_suppkey long, s_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+    "region": "r_regionkey int, r_name string",
+}
 
 
-def _div(value: Column, by: int) -> Column:
-    return F.call_function("div", value, F.lit(by)).cast("int")
-
-
-def _when_late(arrival: Column, minutes: Column) -> Column:
-    return F.when(arrival >= 15, minutes)
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.schema(COLUMNS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
 def derive_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
-        "c_custkey", (F.col("c_nationkey") % 5).alias("d0"))
-    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
-        "s_suppkey", (F.col("s_nationkey") % 5).alias("o"))
-
-    # Orders and customers meet first, so that line items are shuffled for orders only once.
-    order_dest = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
-        "o_orderkey", "d0")
+    """One flight per line item.
+
+    Orders and customers meet first, so line items are shuffled for them only once. The merge
+    hint states what Catalyst cannot estimate: that joined side is as long as the orders, and
+    line items are longer still, so neither is to be broadcast; adaptive execution splits a hot
+    order key. The supplier side is left to Catalyst's size check.
+    """
+    order_dest = _read(spark, sf_dir, "orders").join(
+        _read(spark, sf_dir, "customer").selectExpr("c_custkey AS o_custkey", "c_nationkey % 5 AS d0"),
+        "o_custkey",
+    ).selectExpr("o_orderkey AS l_orderkey", "d0")
     lines = (
-        lineitem.join(order_dest, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    )
-
-    order_key, part_key, supp_key = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
-    line_number = F.col("l_linenumber")
-    q = F.col("l_quantity").cast("int")
-    cancelled = part_key % 53 == 0
-    day_number = F.datediff("l_shipdate", F.lit("1995-01-01").cast("date"))
-    slot = order_key % 8
-    hour = (
-        F.when(slot <= 2, 8).when(slot <= 4, 17).when(slot == 5, 6).when(slot == 6, 13).otherwise(22)
+        _read(spark, sf_dir, "lineitem")
+        .join(order_dest.hint("merge"), "l_orderkey")
+        .join(_read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS l_suppkey", "s_nationkey % 5 AS o"),
+              "l_suppkey")
     )
-    dep = (
-        F.when(cancelled, None)
-        .when(F.col("l_returnflag") == "N", 0)
-        .when(F.col("l_returnflag") == "A", q)
-        .when(F.col("l_returnflag") == "R", q % 20)
+    base = lines.selectExpr(
+        "date_add(DATE'2023-01-01', datediff(l_shipdate, DATE'1995-01-01') % 731) AS dt",
+        "cast(1 + l_orderkey % 9000 AS int) AS Flight_Number_Reporting_Airline",
+        """CASE WHEN l_linenumber = 7 AND l_partkey % 10 = 9 THEN NULL
+                WHEN l_partkey % 10 < 6 THEN 19790 WHEN l_partkey % 10 < 9 THEN 19805
+                ELSE 20304 END AS DOT_ID_Reporting_Airline""",
+        "o", "if(d0 = o, (d0 + 1) % 5, d0) AS d", "l_linenumber",
+        """CASE WHEN l_orderkey % 97 = 0 THEN NULL WHEN l_orderkey % 101 = 0 THEN 5
+                WHEN l_orderkey % 103 = 0 THEN 2400
+                ELSE cast(100 * CASE WHEN l_orderkey % 8 <= 2 THEN 8 WHEN l_orderkey % 8 <= 4 THEN 17
+                                     WHEN l_orderkey % 8 = 5 THEN 6 WHEN l_orderkey % 8 = 6 THEN 13
+                                     ELSE 22 END + (l_orderkey % 4) * 15 AS int) END AS CRSDepTime""",
+        """CASE WHEN l_partkey % 53 = 0 THEN NULL
+                WHEN l_returnflag = 'N' THEN 0
+                WHEN l_returnflag = 'A' THEN cast(l_quantity AS int)
+                WHEN l_returnflag = 'R' THEN cast(l_quantity AS int) % 20 END AS dep""",
+        """CASE WHEN l_partkey % 53 = 0 OR l_suppkey % 61 = 0 THEN NULL
+                WHEN l_linestatus = 'O' THEN (cast(l_quantity AS int) * 2) % 70
+                WHEN l_linestatus = 'F' THEN cast(l_quantity AS int) % 12 END AS arr""",
     )
-    arr = (
-        F.when(cancelled | (supp_key % 61 == 0), None)
-        .when(F.col("l_linestatus") == "O", (q * 2) % 70)
-        .when(F.col("l_linestatus") == "F", q % 12)
-    )
-    base = lines.select(
-        F.date_add(F.lit("2023-01-01").cast("date"), day_number % 731).alias("dt"),
-        (1 + order_key % 9000).cast("int").alias("Flight_Number_Reporting_Airline"),
-        F.when((line_number == 7) & (part_key % 10 == 9), None)
-        .when(part_key % 10 < 6, 19790).when(part_key % 10 < 9, 19805).otherwise(20304)
-        .alias("DOT_ID_Reporting_Airline"),
-        "o",
-        F.when(F.col("d0") == F.col("o"), (F.col("d0") + 1) % 5).otherwise(F.col("d0")).alias("d"),
-        F.when(order_key % 97 == 0, None)
-        .when(order_key % 101 == 0, 5)
-        .when(order_key % 103 == 0, 2400)
-        .otherwise((hour * 100 + (order_key % 4) * 15).cast("int"))
-        .alias("CRSDepTime"),
-        dep.cast("int").alias("dep"),
-        arr.cast("int").alias("arr"),
-        "l_linenumber",
-    )
-
-    arrival = F.col("arr")
-    carrier = _when_late(arrival, _div(arrival, 3))
-    weather = _when_late(
-        arrival, F.when(F.col("l_linenumber") == 1, _div(arrival, 4)).otherwise(0))
-    nas = _when_late(arrival, _div(arrival, 5))
-    security = _when_late(arrival, F.when(F.col("l_linenumber") == 6, 2).otherwise(0))
-    gap = F.abs(F.col("o") - F.col("d"))
-    miles = 200 + 450 * gap
-
-    def flag(minutes: Column) -> Column:
-        return F.when(minutes >= 15, 1.0).when(minutes.isNotNull(), 0.0)
-
-    return base.select(
-        F.year("dt").alias("Year"),
-        F.month("dt").alias("Month"),
-        F.dayofmonth("dt").alias("DayofMonth"),
-        "Flight_Number_Reporting_Airline",
-        "DOT_ID_Reporting_Airline",
-        (10001 + F.col("o")).cast("int").alias("OriginAirportID"),
-        (10001 + F.col("d")).cast("int").alias("DestAirportID"),
-        "CRSDepTime",
-        F.col("dep").cast("double").alias("DepDelayMinutes"),
-        arrival.cast("double").alias("ArrDelayMinutes"),
-        flag(F.col("dep")).alias("DepDel15"),
-        flag(arrival).alias("ArrDel15"),
-        carrier.cast("double").alias("CarrierDelay"),
-        weather.cast("double").alias("WeatherDelay"),
-        nas.cast("double").alias("NASDelay"),
-        security.cast("double").alias("SecurityDelay"),
-        (arrival - carrier - weather - nas - security).cast("double").alias("LateAircraftDelay"),
-        (60 + _div(miles, 8)).cast("double").alias("CRSElapsedTime"),
-        miles.cast("double").alias("Distance"),
+    carrier, nas = "arr div 3", "arr div 5"
+    weather = "if(l_linenumber = 1, arr div 4, 0)"
+    security = "if(l_linenumber = 6, 2, 0)"
+    causes = dict(zip(CAUSES, [
+        carrier, weather, nas, security, f"arr - {carrier} - {weather} - {nas} - {security}"]))
+    return base.selectExpr(
+        "year(dt) AS Year", "month(dt) AS Month", "day(dt) AS DayofMonth",
+        "Flight_Number_Reporting_Airline", "DOT_ID_Reporting_Airline",
+        "10001 + o AS OriginAirportID", "10001 + d AS DestAirportID", "CRSDepTime",
+        "cast(dep AS double) AS DepDelayMinutes", "cast(arr AS double) AS ArrDelayMinutes",
+        "cast(if(dep >= 15, 1, dep - dep) AS double) AS DepDel15",
+        "cast(if(arr >= 15, 1, arr - arr) AS double) AS ArrDel15",
+        *[f"CASE WHEN arr >= 15 THEN cast({minutes} AS double) END AS {cause}"
+          for cause, minutes in causes.items()],
+        "cast(60 + (200 + 450 * abs(o - d)) div 8 AS double) AS CRSElapsedTime",
+        "cast(200 + 450 * abs(o - d) AS double) AS Distance",
     )
 
 
 def derive_airports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as airports: key 4 is missing and key 3 has no name."""
-    key = F.col("n_nationkey")
-    return (
-        spark.read.parquet(f"{sf_dir}/nation.parquet").where(key != 4)
-        .select(
-            (10001 + key).cast("string").alias("code"),
-            F.when(key != 3, F.col("n_name")).alias("airport_name"),
-            (25 + 2.5 * key).cast("double").alias("latitude"),
-            (-120 + 7.25 * key).cast("double").alias("longitude"),
-        )
+    return _read(spark, sf_dir, "nation").where("n_nationkey <> 4").selectExpr(
+        "cast(10001 + n_nationkey AS string) AS code",
+        "if(n_nationkey <> 3, n_name, NULL) AS airport_name",
+        "cast(25 + 2.5D * n_nationkey AS double) AS latitude",
+        "cast(-120 + 7.25D * n_nationkey AS double) AS longitude",
     )
 
 
 def derive_airlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two regions as airlines; the third airline of the flights has no name."""
-    key = F.col("r_regionkey")
-    return (
-        spark.read.parquet(f"{sf_dir}/region.parquet").where(key.isin(0, 1))
-        .select(
-            F.when(key == 0, "19790").otherwise("19805").alias("code"),
-            F.col("r_name").alias("description"),
-        )
-    )
+    return _read(spark, sf_dir, "region").where("r_regionkey IN (0, 1)").selectExpr(
+        "if(r_regionkey = 0, '19790', '19805') AS code", "r_name AS description")
+
+
+class FlightTables:
+    """The three tables of one data folder, each built when first used."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def flights(self) -> DataFrame:
+        return derive_flights(self.spark, self.sf_dir)
+
+    @cached_property
+    def airports(self) -> DataFrame:
+        return derive_airports(self.spark, self.sf_dir)
+
+    @cached_property
+    def airlines(self) -> DataFrame:
+        return derive_airlines(self.spark, self.sf_dir)
 
 
 def flight_tables(spark: SparkSession, sf_dir: str) -> FlightTables:
-    return FlightTables(
-        derive_flights(spark, sf_dir), derive_airports(spark, sf_dir), derive_airlines(spark, sf_dir)
-    )
+    return FlightTables(spark, sf_dir)
