@@ -14,7 +14,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skylag import functions as fn
-from skylag.operators.filters import by_airlines, keep
+from skylag.operators.filters import by_airlines, keep, require
 from skylag.schemas import PERCENTILES
 
 # Bounds and defaults of k, distance used for an exact match.
@@ -30,7 +30,7 @@ REQUEST = [*ROUTE_AIRLINE, "month", "day", "dow", "hour", "k"]
 
 def training_rows(flights: DataFrame, airlines=None) -> DataFrame:
     """Flights of every route as forecast history; day, month and time must be known."""
-    known = flights.dropna(subset=["DayofMonth", "Month", "CRSDepTime"])
+    known = require(flights, ["DayofMonth", "Month", "CRSDepTime"])
     return keep(known, by_airlines(airlines)).select(
         F.col("OriginAirportID").cast("string").alias("origin"),
         F.col("DestAirportID").cast("string").alias("dest"),
@@ -62,7 +62,7 @@ def distinct_history(history: DataFrame) -> DataFrame:
 
     Dropping rows without a key here, for both matching rules, lets them share one shuffle.
     """
-    return history.select(*HISTORY).dropna(subset=[*ROUTE_AIRLINE, *LATTICE]).distinct()
+    return require(history.select(*HISTORY), [*ROUTE_AIRLINE, *LATTICE]).distinct()
 
 
 def _bounded_k(requests: DataFrame, max_k: int) -> DataFrame:

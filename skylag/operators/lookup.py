@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skylag import functions as fn
+from skylag.operators.filters import require
 from skylag.schemas import (
     CAUSE_STEMS, CAUSES, HIST_COLUMNS, LOOKUP_KEYS, PERCENTILES, STAT_DEFAULTS,
 )
@@ -21,7 +22,7 @@ def lookup_cells(flights: DataFrame) -> DataFrame:
     distinct minute before the shuffle.
     """
     hour = fn.dep_hour(F.col("CRSDepTime"))
-    keyed = flights.dropna(subset=["DOT_ID_Reporting_Airline", "CRSDepTime"]).select(
+    keyed = require(flights, ["DOT_ID_Reporting_Airline", "CRSDepTime"]).select(
         F.col("DOT_ID_Reporting_Airline").alias("carrier_code"),
         F.col("OriginAirportID").alias("origin_id"),
         F.col("DestAirportID").alias("dest_id"),

@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skylag import functions as fn
+from skylag.operators.filters import require
 from skylag.operators.reports import airline_label
 from skylag.operators.routes import airport_side
 from skylag.schemas import DATE_KEYS
@@ -68,7 +69,7 @@ def dests_by_origin_date(flights: DataFrame, airports: DataFrame) -> DataFrame:
 def dep_times(flights: DataFrame) -> DataFrame:
     """Scheduled departure times per date and origin; filter by destination beforehand."""
     return (
-        flights.dropna(subset=["CRSDepTime"])
+        require(flights, ["CRSDepTime"])
         .select(*DATE_KEYS, F.col("OriginAirportID").cast("string").alias("origin"), "CRSDepTime")
         .distinct()
         .withColumn("display", fn.format_time(F.col("CRSDepTime")))
@@ -77,7 +78,7 @@ def dep_times(flights: DataFrame) -> DataFrame:
 
 def airlines_by_route(flights: DataFrame) -> DataFrame:
     return (
-        flights.dropna(subset=["DOT_ID_Reporting_Airline"])
+        require(flights, ["DOT_ID_Reporting_Airline"])
         .select("OriginAirportID", "DestAirportID", "DOT_ID_Reporting_Airline").distinct()
         .select(
             F.col("OriginAirportID").cast("string").alias("origin"),
@@ -89,7 +90,7 @@ def airlines_by_route(flights: DataFrame) -> DataFrame:
 
 def airlines_all(flights: DataFrame) -> DataFrame:
     return (
-        flights.dropna(subset=["DOT_ID_Reporting_Airline"])
+        require(flights, ["DOT_ID_Reporting_Airline"])
         .select("DOT_ID_Reporting_Airline").distinct()
         .select(F.col("DOT_ID_Reporting_Airline").cast("string").alias("code"))
     )
@@ -123,7 +124,7 @@ def availability_cube(flights: DataFrame) -> DataFrame:
 
 def _airport_display(cube: DataFrame, airports: DataFrame, code: str, keys: list[str]) -> DataFrame:
     names = airports.select(F.col("code").alias("_code"), "airport_name")
-    distinct = cube.select(*keys, code).dropna(subset=[code]).distinct()
+    distinct = require(cube.select(*keys, code), [code]).distinct()
     return distinct.join(names, F.col(code) == F.col("_code"), "left").select(
         *keys, code,
         fn.code_only_label(F.col(code), F.col("airport_name")).alias("label_or_code"),
@@ -141,12 +142,12 @@ def availability_dests(cube: DataFrame, airports: DataFrame) -> DataFrame:
 
 def availability_airlines(cube: DataFrame, airlines: DataFrame) -> DataFrame:
     """Airlines per route; flights without an airline offer no choice."""
-    distinct = cube.select(*CUBE[:5]).dropna(subset=["airline"]).distinct()
+    distinct = require(cube.select(*CUBE[:5]), ["airline"]).distinct()
     return airline_label(distinct, airlines, "airline")
 
 
 def availability_hours(cube: DataFrame) -> DataFrame:
     return (
-        cube.dropna(subset=["airline", "DepHour"])
+        require(cube, ["airline", "DepHour"])
         .withColumn("display", fn.hour_text(F.col("DepHour")))
     )

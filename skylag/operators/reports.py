@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skylag import functions as fn
-from skylag.operators.filters import ALL, by_airlines, in_months, keep
+from skylag.operators.filters import ALL, by_airlines, in_months, keep, require
 from skylag.operators.routes import airport_side
 from skylag.schemas import CAUSE_LABELS_LONG, CAUSE_LABELS_SHORT, CAUSES, DATE_KEYS
 
@@ -44,7 +44,7 @@ def dest_time_ratio(flights: DataFrame, airports: DataFrame,
                     keys: list[str] = SELECTION) -> DataFrame:
     """Delay ratio per destination name and shown departure time; unnamed destinations drop out."""
     return (
-        _dest_time_counts(flights, airports, keys).dropna(subset=["dest_name"])
+        require(_dest_time_counts(flights, airports, keys), ["dest_name"])
         .groupBy(*keys, "dest_name", "crs_dep_time")
         .agg(F.sum("late").alias("delayed"), F.sum("n").alias("total"))
         .withColumn("delay_ratio", F.col("delayed") / F.col("total"))
@@ -92,7 +92,7 @@ def cause_mean_positive(flights: DataFrame, keys: list[str] = SELECTION) -> Data
     """
     wide = flights.groupBy(*keys).agg(
         *[F.avg(F.when(F.col(c) > 0, F.col(c))).alias(c) for c in CAUSES])
-    return _causes_long(wide, keys, CAUSE_LABELS_SHORT).dropna(subset=["avg_minutes"])
+    return require(_causes_long(wide, keys, CAUSE_LABELS_SHORT), ["avg_minutes"])
 
 
 def cause_mean_delayed(flights: DataFrame, keys: list[str] = SELECTION) -> DataFrame:
@@ -189,16 +189,14 @@ def sorted_report(report: DataFrame, *by: str) -> DataFrame:
 # Labels -------------------------------------------------------------------------------
 
 def airline_labels(flights: DataFrame, airlines: DataFrame) -> DataFrame:
-    codes = flights.dropna(subset=["DOT_ID_Reporting_Airline"]).select(_airline_code()).distinct()
+    codes = require(flights, ["DOT_ID_Reporting_Airline"]).select(_airline_code()).distinct()
     return airline_label(codes, airlines)
 
 
 def airport_labels(flights: DataFrame, airports: DataFrame) -> DataFrame:
     """Every airport flown from or to, labelled with either default for unknown names."""
-    ids = (
-        flights.select(F.explode(F.array("OriginAirportID", "DestAirportID")).alias("id"))
-        .dropna().distinct()
-    )
+    routes = flights.select("OriginAirportID", "DestAirportID").distinct()
+    ids = require(routes.select(F.explode(F.array(*routes.columns)).alias("id")), ["id"]).distinct()
     side = airport_side(airports, "_id", "airport_name", "lat", "lon").select("_id", "airport_name")
     named = ids.join(side, F.col("id") == F.col("_id"), "left")
     code = F.col("id").cast("string")

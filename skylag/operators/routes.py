@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skylag import functions as fn
+from skylag.operators.filters import require
 from skylag.schemas import DATE_KEYS
 
 ROUTE = ["origin", "dest"]
@@ -72,7 +73,7 @@ def route_summary_known(flights: DataFrame, airports: DataFrame,
                         keys: list[str] = DATE_KEYS) -> DataFrame:
     """Variant that counts flight numbers and keeps only routes with both airports fully known."""
     counted = _count_routes(flights, keys, F.count("Flight_Number_Reporting_Airline"))
-    named = attach_airports(counted, airports).dropna(subset=NAME_COLUMNS)
+    named = require(attach_airports(counted, airports), NAME_COLUMNS)
     return _finish_routes(named, keys)
 
 

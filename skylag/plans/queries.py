@@ -386,7 +386,7 @@ def ratio_color(t):
 
 def analog_requests(history: DataFrame) -> DataFrame:
     """Every (route, airline, month, hour) that occurs, for day 15 and weekday 2."""
-    slots = history.dropna(subset=["airline"]).select(
+    slots = filters.require(history, ["airline"]).select(
         *analog.ROUTE_AIRLINE, F.col("Month").alias("month"), F.col("DepHour").alias("hour"),
     ).distinct()
     return slots.select(
@@ -433,7 +433,7 @@ def knn_mean_forecast(t):
 def model_requests(flights: DataFrame) -> DataFrame:
     """Every flown (airline, route) on the last Wednesday of each month of 2024, at one hour
     of each time-of-day class, and one flight from an airport to itself, never flown before."""
-    flown = flights.dropna(subset=["DOT_ID_Reporting_Airline"]).select(
+    flown = filters.require(flights, ["DOT_ID_Reporting_Airline"]).select(
         F.col("DOT_ID_Reporting_Airline").cast("string").alias("carrier_code"),
         F.col("OriginAirportID").cast("string").alias("origin_id"),
         F.col("DestAirportID").cast("string").alias("dest_id"),
