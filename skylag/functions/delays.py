@@ -75,11 +75,15 @@ def color_array(ratio: Column, alpha: int = 200) -> Column:
 
 
 def forecast_band(median: Column) -> Column:
-    """Outlook from the median forecast: bounds 10 and 30 minutes."""
+    """Outlook from the median forecast: bounds 10 and 30 minutes.
+
+    Rounding first keeps the last bit of an interpolated 10 from deciding.
+    """
+    minutes = F.round(median, 6)
     return (
-        F.when(median < 10, "On-Time Expected")
-        .when(median < 30, "Minor Delay Expected")
-        .when(median.isNotNull(), "Significant Delay Expected")
+        F.when(minutes < 10, "On-Time Expected")
+        .when(minutes < 30, "Minor Delay Expected")
+        .when(minutes.isNotNull(), "Significant Delay Expected")
     )
 
 

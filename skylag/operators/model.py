@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from itertools import chain, combinations
+from typing import NamedTuple
+
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -51,12 +54,6 @@ def load_models(folder: str) -> Models:
     return {p: GBTRegressionModel.load(f"{folder}/{p}") for p in PERCENTILES}
 
 
-def feature_means(training: DataFrame) -> list[float]:
-    """The average training row, one row of 25 numbers: the base of the attributions."""
-    means = training.agg(*[F.avg(f).alias(f) for f in FEATURES]).first()
-    return [float(means[f]) for f in FEATURES]
-
-
 # Scoring ------------------------------------------------------------------------------
 
 def _score(vectors: DataFrame, models: Models) -> DataFrame:
@@ -83,18 +80,25 @@ def _feature_name(index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(f) for f in FEATURES]), index + 1)
 
 
+def _nodes(spark: SparkSession, folder: str, p: str) -> DataFrame:
+    """Tree nodes of one saved model; leaves have no children."""
+    return spark.read.parquet(f"{folder}/{p}/data").select(
+        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount",
+        "nodeData.leftChild", "nodeData.rightChild",
+        F.col("nodeData.split.featureIndex").alias("feature_index"),
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
+    )
+
+
 def split_counts(spark: SparkSession, folder: str) -> DataFrame:
     """How often each saved model splits on each feature."""
-    counts = None
-    for p in PERCENTILES:
-        nodes = spark.read.parquet(f"{folder}/{p}/data").where("nodeData.leftChild >= 0")
-        one = (
-            nodes.groupBy(F.col("nodeData.split.featureIndex").alias("feature_index"))
-            .agg(F.count(F.lit(1)).alias("splits"))
-            .withColumn("percentile", F.lit(p))
-        )
-        counts = one if counts is None else counts.unionByName(one)
-    return counts.withColumn("feature", _feature_name(F.col("feature_index")))
+    counts = [
+        _nodes(spark, folder, p).where("leftChild >= 0").groupBy("feature_index")
+        .agg(F.count(F.lit(1)).alias("splits")).withColumn("percentile", F.lit(p))
+        for p in PERCENTILES
+    ]
+    return reduce(DataFrame.unionByName, counts).withColumn(
+        "feature", _feature_name(F.col("feature_index")))
 
 
 def feature_importance(counts: DataFrame, top: int = TOP) -> DataFrame:
@@ -106,6 +110,78 @@ def feature_importance(counts: DataFrame, top: int = TOP) -> DataFrame:
     )
 
 
+class Leaf(NamedTuple):
+    """A leaf's weighted value and, per feature tested on its path, the interval (lo, hi] that
+    leads to it and the share of training rows that follow the path's tests of that feature."""
+
+    value: float
+    tests: dict[int, tuple[float, float, float]]
+
+
+def _leaves(nodes: list, weights: list[float]) -> list[Leaf]:
+    by_id = {(n.treeID, n.id): n for n in nodes}
+    found, open_paths = [], [(by_id[t, 0], {}) for t in range(len(weights))]
+    while open_paths:
+        node, tests = open_paths.pop()
+        if node.leftChild < 0:
+            found.append(Leaf(weights[node.treeID] * node.prediction, tests))
+            continue
+        lo, hi, share = tests.get(node.feature_index, (-math.inf, math.inf, 1.0))
+        for child_id, interval in [(node.leftChild, (lo, min(hi, node.threshold))),
+                                   (node.rightChild, (max(lo, node.threshold), hi))]:
+            child = by_id[node.treeID, child_id]
+            followed = share * child.rawCount / node.rawCount
+            open_paths.append((child, {**tests, node.feature_index: (*interval, followed)}))
+    return found
+
+
+def _shapley_parts(leaf: Leaf) -> list[list[float]]:
+    """Contribution of each tested feature for every set of passed tests, as a bit mask.
+
+    In a coalition a feature counts 1 or 0 as its test is passed or not, outside of it its
+    share of training rows; a path tests at most as many features as trees are deep.
+    """
+    shares = [share for _, _, share in leaf.tests.values()]
+    m = len(shares)
+    parts = []
+    for mask in range(2 ** m):
+        passed = [float(mask >> j & 1) for j in range(m)]
+        row = []
+        for i in range(m):
+            others = [j for j in range(m) if j != i]
+            total = 0.0
+            for inside in chain.from_iterable(combinations(others, n) for n in range(m)):
+                weight = 1 / (m * math.comb(m - 1, len(inside)))
+                total += weight * math.prod(passed[j] if j in inside else shares[j] for j in others)
+            row.append(leaf.value * (passed[i] - shares[i]) * total)
+        parts.append(row)
+    return parts
+
+
+LEAVES = ("percentile string, tested array<int>, lo array<double>, hi array<double>, "
+          "parts array<array<double>>")
+BROADCAST_LEAVES = 100_000
+
+
+def _leaf_table(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, float], int]:
+    """Leaves of the saved models with their contributions, base value per model, longest path.
+
+    Its size follows from the models' parameters alone: trees times two to their depth.
+    """
+    rows, base, longest = [], {}, 1
+    for p, fitted in load_models(folder).items():
+        leaves = _leaves(_nodes(spark, folder, p).collect(), fitted.treeWeights)
+        base[p] = sum(leaf.value * math.prod(t[2] for t in leaf.tests.values()) for leaf in leaves)
+        unused = set(range(len(FEATURES))).difference(*[leaf.tests for leaf in leaves])
+        leaves += [Leaf(0.0, {f: (-math.inf, math.inf, 1.0)}) for f in unused]
+        for leaf in leaves:
+            longest = max(longest, len(leaf.tests))
+            lo, hi = [t[0] for t in leaf.tests.values()], [t[1] for t in leaf.tests.values()]
+            rows.append((p, list(leaf.tests), lo, hi, _shapley_parts(leaf)))
+    table = spark.createDataFrame(rows, LEAVES)
+    return (F.broadcast(table) if len(rows) <= BROADCAST_LEAVES else table), base, longest
+
+
 def _spread(features: DataFrame) -> DataFrame:
     """Distinct flights, partitioned by key. The number is fixed: their few bytes say nothing
     about the work each multiplies into, so partitions must not be merged by size."""
@@ -113,51 +189,37 @@ def _spread(features: DataFrame) -> DataFrame:
     return features.repartition(partitions, *MODEL_REQUEST).dropDuplicates(MODEL_REQUEST)
 
 
-def attribution(features: DataFrame, models: Models, base: list[float],
-                permutations: int = 16) -> DataFrame:
-    """Contribution of every feature to every log prediction, by sampled permutations.
+def attribution(features: DataFrame, folder: str) -> DataFrame:
+    """Contribution of every feature to every log prediction of the models saved in ``folder``.
 
-    For each planned flight features move one by one from the base row to the flight's own
-    value, in a hash-determined order and in its reverse. A feature's contribution is the mean
-    change of the prediction at its move, so contributions and base value add up to the
-    prediction. Each scored step adds to the feature just moved and subtracts from the next
-    one, so no ordering of steps is needed. Flights are spread by their key before they are
-    multiplied, and the sums and rankings per flight reuse that partitioning: the only
-    shuffle moves one row per flight.
+    These are the Shapley values of the trees, with training shares for absent features:
+    contributions and base value add up to the prediction. A flight meets each leaf once; which
+    of the leaf's tests it passes selects the contributions prepared with the leaf. Flights are
+    spread by key before that, and the sums and rankings per flight reuse the partitioning: the
+    only shuffle moves one row per flight.
     """
-    n = len(FEATURES)
-    hashes = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(
-        F.xxhash64(*MODEL_REQUEST, F.shiftright("perm", 1), i).alias("h"), i.alias("i")))
-    drawn = F.transform(F.array_sort(hashes), lambda s: s["i"])
-    orders = _spread(features).withColumn(
-        "perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))
-    ).withColumn("order", F.when(F.col("perm") % 2 == 0, drawn).otherwise(F.reverse(drawn)))
-    steps = orders.withColumn("moved", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    row = F.expr("array(" + ", ".join(
-        f"if(array_position(order, {i}) <= moved, {f}, double('{base[i]!r}'))"
-        for i, f in enumerate(FEATURES)) + ")")
-    scored = _score(
-        steps.select(*MODEL_REQUEST, "order", "moved", array_to_vector(row).alias("features")),
-        models)
-
-    signed = F.array(
-        F.struct(F.get("order", F.col("moved") - 1).alias("i"), F.lit(1.0).alias("sign")),
-        F.struct(F.get("order", F.col("moved")).alias("i"), F.lit(-1.0).alias("sign")),
-    )
-    log = [f"log_{p}" for p in PERCENTILES]
-    sums = (
-        scored.select(*MODEL_REQUEST, *log, F.explode(signed).alias("s"))
-        .where(F.col("s.i").isNotNull())
-        .groupBy(*MODEL_REQUEST, F.col("s.i").alias("feature_index"))
-        .agg(*[(F.sum(F.col(c) * F.col("s.sign")) / permutations).alias(c) for c in log])
+    leaves, base, longest = _leaf_table(features.sparkSession, folder)
+    per_model = _spread(features).select(
+        *MODEL_REQUEST, F.array(*FEATURES).alias("x"),
+        F.explode(F.array(*[F.lit(p) for p in PERCENTILES])).alias("percentile"))
+    passed = " + ".join(
+        f"if(get(x, get(tested, {j})) > get(lo, {j}) AND get(x, get(tested, {j})) <= get(hi, {j}), "
+        f"{2 ** j}, 0)" for j in range(longest))
+    met = per_model.join(leaves, "percentile").withColumn("part", F.expr(f"parts[{passed}]"))
+    each = F.array(*[
+        F.struct(F.get("tested", F.lit(j)).alias("feature_index"), F.get("part", F.lit(j)).alias("c"))
+        for j in range(longest)])
+    base_of = F.create_map(*[F.lit(v) for pair in base.items() for v in pair])
+    return (
+        met.select(*MODEL_REQUEST, "percentile", F.inline(each))
+        .where(F.col("feature_index").isNotNull())
+        .groupBy(*MODEL_REQUEST, "percentile", "feature_index")
+        .agg(F.sum("c").alias("contribution"))
+        .withColumns({
+            "feature": _feature_name(F.col("feature_index")),
+            "base_value": base_of[F.col("percentile")],
+        })
     )
-    per_model = F.array(*[
-        F.struct(F.lit(p).alias("percentile"), F.col(f"log_{p}").alias("contribution"),
-                 F.lit(float(m.predict(Vectors.dense(base)))).alias("base_value"))
-        for p, m in models.items()])
-    return sums.select(
-        *MODEL_REQUEST, "feature_index", _feature_name(F.col("feature_index")).alias("feature"),
-        F.inline(per_model))
 
 
 def attribution_top(contributions: DataFrame, top: int = TOP) -> DataFrame:

@@ -461,7 +461,7 @@ def interpolated(p: float) -> str:
 
 on_tables("analog_forecast", f"""
 SELECT origin, dest, airline, month, day, dow, hour, k, k_eff,
-       round(p10, 6) AS p10, round(p50, 6) AS p50, round(p90, 6) AS p90, {band('p50')} AS band
+       round(p10, 6) AS p10, round(p50, 6) AS p50, round(p90, 6) AS p90, {band('round(p50, 6)')} AS band
 FROM (
   SELECT origin, dest, airline, month, day, dow, hour, k, CAST(COUNT(*) AS INTEGER) AS k_eff,
          CASE WHEN COUNT(*) < 3 THEN AVG(delay) ELSE {interpolated(0.1)} END AS p10,

@@ -456,7 +456,7 @@ LOOKUP_VALUES = ["avg_crs_elapsed_time", "avg_distance", *HIST_COLUMNS]
 
 # Offline jobs run once per session and data folder; everything else reads their output.
 _CELLS: dict[tuple[str, str], str] = {}
-_TRAINED: dict[tuple[str, str], tuple[str, list[float]]] = {}
+_TRAINED: dict[tuple[str, str], str] = {}
 
 
 def _job(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
@@ -473,14 +473,14 @@ def written_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_CELLS[job])
 
 
-def trained(spark: SparkSession, sf_dir: str) -> tuple[str, list[float]]:
-    """Folder of the fitted models, and the average training row."""
+def trained(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the fitted models."""
     job = _job(spark, sf_dir)
     if job not in _TRAINED:
         folder = shared_folder(spark, "delay-models")
         training = scenario.training_table(written_cells(spark, sf_dir))
         model.save_models(model.fit_models(training), folder)
-        _TRAINED[job] = (folder, model.feature_means(training))
+        _TRAINED[job] = folder
     return _TRAINED[job]
 
 
@@ -513,37 +513,37 @@ def model_query(build) -> Query:
     """Register a query that scores with the trained models."""
     @wraps(build)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        folder, base = trained(spark, sf_dir)
+        folder = trained(spark, sf_dir)
         tables = flight_tables(spark, sf_dir)
         table = lookup.inference_lookup(written_cells(spark, sf_dir))
         features = scenario.scenario_features(model_requests(tables.flights), table)
-        return build(spark, features, folder, base)
+        return build(spark, features, folder)
     QUERIES[build.__name__] = run
     return build
 
 
 @model_query
-def model_forecast(spark, features, folder, base):
+def model_forecast(spark, features, folder):
     return model.model_forecast(features, model.load_models(folder))
 
 
 @model_query
-def feature_importance(spark, features, folder, base):
+def feature_importance(spark, features, folder):
     return model.feature_importance(model.split_counts(spark, folder))
 
 
 @model_query
-def attribution(spark, features, folder, base):
-    return model.attribution(features, model.load_models(folder), base)
+def attribution(spark, features, folder):
+    return model.attribution(features, folder)
 
 
 @model_query
-def attribution_top(spark, features, folder, base):
-    return model.attribution_top(model.attribution(features, model.load_models(folder), base))
+def attribution_top(spark, features, folder):
+    return model.attribution_top(model.attribution(features, folder))
 
 
 @model_query
-def feature_descriptions(spark, features, folder, base):
+def feature_descriptions(spark, features, folder):
     important = model.feature_importance(model.split_counts(spark, folder))
-    top = model.attribution_top(model.attribution(features, model.load_models(folder), base))
+    top = model.attribution_top(model.attribution(features, folder))
     return model.feature_descriptions(important, top)

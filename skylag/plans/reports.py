@@ -62,13 +62,12 @@ def analog_report(tables: FlightTables, requests: DataFrame) -> dict[str, DataFr
     }
 
 
-def model_report(requests: DataFrame, lookup: DataFrame, folder: str,
-                 base: list[float]) -> dict[str, DataFrame]:
+def model_report(requests: DataFrame, lookup: DataFrame, folder: str) -> dict[str, DataFrame]:
     """Forecast with explanation from saved models and a written lookup."""
     models = model.load_models(folder)
     features = scenario.scenario_features(requests, lookup)
     important = model.feature_importance(model.split_counts(requests.sparkSession, folder))
-    top = model.attribution_top(model.attribution(features, models, base))
+    top = model.attribution_top(model.attribution(features, folder))
     return {
         "forecast": model.model_forecast(features, models),
         "importance": important,

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where that costs one more shuffle downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Recording the Python line of every Column costs more than planning the query.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Exact percentiles keep this many cells per task in memory before they sort.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }

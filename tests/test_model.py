@@ -1,6 +1,7 @@
 """Lookup, back-off, features, models and their explanations."""
 
 import datetime
+import itertools
 
 import numpy as np
 import pytest
@@ -88,18 +89,17 @@ def fitted(spark, tmp_path_factory):
     training = spark.createDataFrame(rows, schema)
     folder = str(tmp_path_factory.mktemp("models"))
     model.save_models(model.fit_models(training, trees=5, depth=3), folder)
-    return folder, model.feature_means(training), training
+    return folder
 
 
 def test_forecast_and_explanations(spark, table, planned, fitted):
-    folder, base, _ = fitted
-    models = model.load_models(folder)
+    folder, models = fitted, model.load_models(fitted)
     features = scenario.scenario_features(planned, table)
     forecast = model.model_forecast(features, models).collect()
     assert len(forecast) == 10
     assert all(f.p10 >= 0 and f.crossed == (f.p10 > f.p50 or f.p50 > f.p90) for f in forecast)
 
-    contributions = model.attribution(features.union(features), models, base, permutations=4)
+    contributions = model.attribution(features.union(features), folder)
     assert contributions.count() == 10 * 25 * 3
     sums = contributions.groupBy(*scenario.MODEL_REQUEST, "percentile").agg(
         (F.sum("contribution") + F.first("base_value")).alias("log"))
@@ -116,24 +116,58 @@ def test_forecast_and_explanations(spark, table, planned, fitted):
     assert order == sorted(order)
 
 
+def test_attribution_is_the_shapley_value(spark, fitted):
+    """Against the definition: mean marginal change over all orders, per tree."""
+    rng = np.random.default_rng(11)
+    names = {f: float(v) for f, v in zip(FEATURES, rng.integers(1, 5, 25))}
+    features = spark.createDataFrame(
+        [("1", "A", "B", datetime.date(2024, 7, 4), 8, *names.values())],
+        "carrier_code string, origin_id string, dest_id string, date date, hour int, "
+        + ", ".join(f"{f} double" for f in FEATURES))
+    x = list(names.values())
+    got = {(r.percentile, r.feature): r for r in model.attribution(features, fitted).collect()}
+    for p, fitted_model in model.load_models(fitted).items():
+        nodes = {(n.treeID, n.id): n for n in model._nodes(spark, fitted, p).collect()}
+        expected, base = np.zeros(25), 0.0
+        for tree, weight in enumerate(fitted_model.treeWeights):
+
+            def value(known, node_id=0):
+                node = nodes[tree, node_id]
+                if node.leftChild < 0:
+                    return node.prediction
+                if node.feature_index in known:
+                    left = x[node.feature_index] <= node.threshold
+                    return value(known, node.leftChild if left else node.rightChild)
+                counts = [nodes[tree, c].rawCount for c in (node.leftChild, node.rightChild)]
+                return (value(known, node.leftChild) * counts[0]
+                        + value(known, node.rightChild) * counts[1]) / sum(counts)
+
+            used = sorted({n.feature_index for (t, _), n in nodes.items() if t == tree and n.leftChild >= 0})
+            orders = list(itertools.permutations(used))
+            base += weight * value(set())
+            for order in orders:
+                for i, feature in enumerate(order):
+                    change = value(set(order[:i + 1])) - value(set(order[:i]))
+                    expected[feature] += weight * change / len(orders)
+        assert [got[p, f].contribution for f in FEATURES] == pytest.approx(list(expected), abs=1e-12)
+        assert got[p, FEATURES[0]].base_value == pytest.approx(base)
+
+
 def test_attribution_does_not_depend_on_unused_features(spark, table, planned, fitted):
     """A feature that no tree splits on contributes nothing."""
-    folder, base, _ = fitted
-    used = {r.feature for r in model.split_counts(spark, folder).collect()}
-    features = scenario.scenario_features(planned, table)
-    rows = model.attribution(features, model.load_models(folder), base, permutations=2)
+    used = {r.feature for r in model.split_counts(spark, fitted).collect()}
+    rows = model.attribution(scenario.scenario_features(planned, table), fitted)
     rest = rows.where(~F.col("feature").isin(sorted(used)))
     assert rest.count() and rest.agg(F.max(F.abs("contribution"))).first()[0] < 1e-12
 
 
 def test_split_counts_match_the_trees(spark, fitted):
-    folder, _, _ = fitted
-    models = model.load_models(folder)
-    counts = {r.percentile: r.n for r in model.split_counts(spark, folder)
+    models = model.load_models(fitted)
+    counts = {r.percentile: r.n for r in model.split_counts(spark, fitted)
               .groupBy("percentile").agg(F.sum("splits").alias("n")).collect()}
     for p, fitted_model in models.items():
         assert counts[p] == sum((t.numNodes - 1) // 2 for t in fitted_model.trees)
-    important = model.feature_importance(model.split_counts(spark, folder), top=3).collect()
+    important = model.feature_importance(model.split_counts(spark, fitted), top=3).collect()
     for p in models:
         ranked = sorted((r for r in important if r.percentile == p), key=lambda r: r["rank"])
         assert [r.splits for r in ranked] == sorted((r.splits for r in ranked), reverse=True)
@@ -150,7 +184,6 @@ def test_descriptions(spark):
 
 
 def test_model_report(table, planned, fitted):
-    folder, base, _ = fitted
-    frames = model_report(planned, table, folder, base)
+    frames = model_report(planned, table, fitted)
     assert frames["route_facts"].count() == 10
     assert frames["descriptions"].where("description LIKE 'No desc%'").count() == 0
