@@ -29,12 +29,15 @@ REQUEST = [*ROUTE_AIRLINE, "month", "day", "dow", "hour", "k"]
 
 
 def training_rows(flights: DataFrame, airlines=None) -> DataFrame:
-    """Flights of every route as forecast history; day, month and time must be known."""
+    """Flights of every route as forecast history; day, month and time must be known.
+
+    Codes stay numbers: requests are cast to them, never the history to text.
+    """
     known = require(flights, ["DayofMonth", "Month", "CRSDepTime"])
     return keep(known, by_airlines(airlines)).select(
-        F.col("OriginAirportID").cast("string").alias("origin"),
-        F.col("DestAirportID").cast("string").alias("dest"),
-        F.col("DOT_ID_Reporting_Airline").cast("string").alias("airline"),
+        F.col("OriginAirportID").alias("origin"),
+        F.col("DestAirportID").alias("dest"),
+        F.col("DOT_ID_Reporting_Airline").alias("airline"),
         "Year", "DayofMonth",
         fn.iso_dow(fn.flight_date()).alias("DayOfWeek"),
         "Month",

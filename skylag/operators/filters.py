@@ -105,7 +105,7 @@ def add_missing_causes(flights: DataFrame) -> DataFrame:
     return flights.withColumns({cause: F.lit(0.0) for cause in absent}) if absent else flights
 
 
-def flight_rows(flights: DataFrame) -> DataFrame:
+def flight_rows(flights: DataFrame, *more: str) -> DataFrame:
     """Standard flight rows: filled measures, delay flag, shown time and its sort key."""
     filled = fill_measures(add_missing_causes(flights))
     return filled.select(
@@ -118,6 +118,7 @@ def flight_rows(flights: DataFrame) -> DataFrame:
         fn.is_delay().alias("is_delay"),
         fn.format_time(F.col("CRSDepTime")).alias("crs_dep_time"),
         F.coalesce("CRSDepTime", F.lit(0)).alias("crs_dep_time_sort"),
+        *more,
     )
 
 

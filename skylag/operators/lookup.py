@@ -14,12 +14,13 @@ STATS = list(STAT_DEFAULTS)
 ROUTE_SLOT = ["carrier_code", "origin_id", "dest_id", "time_of_day_category"]
 
 
-def lookup_cells(flights: DataFrame) -> DataFrame:
+def lookup_cells(flights: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Statistics per (carrier, origin, dest, month, weekday, time of day).
 
     Flights without carrier or departure time belong to no cell. Percentiles are exact:
     delays are whole minutes, so each task reduces a cell, however large, to counts per
-    distinct minute before the shuffle.
+    distinct minute before the shuffle. With ``accuracy`` they are approximate instead, for
+    delays that are not whole minutes.
     """
     hour = fn.dep_hour(F.col("CRSDepTime"))
     keyed = require(flights, ["DOT_ID_Reporting_Airline", "CRSDepTime"]).select(
@@ -36,10 +37,16 @@ def lookup_cells(flights: DataFrame) -> DataFrame:
         fn.has_peak_hour(hour).alias("peak"),
     )
     ranks = F.array(*[F.lit(p) for p in PERCENTILES.values()])
+
+    def percentiles(value: str) -> Column:
+        if accuracy is None:
+            return F.percentile(value, ranks)
+        return F.percentile_approx(value, ranks, accuracy)
+
     cells = keyed.groupBy(*LOOKUP_KEYS).agg(
         F.avg("CRSElapsedTime").alias("avg_crs_elapsed_time"),
         F.avg("Distance").alias("avg_distance"),
-        *[F.percentile(v, ranks).alias(f"_{v}") for v in [*CAUSE_STEMS, "total"]],
+        *[percentiles(v).alias(f"_{v}") for v in [*CAUSE_STEMS, "total"]],
         F.max("holiday").alias("has_holiday_effect"),
         F.max("peak").alias("has_peak_hour"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import chain, combinations
 from typing import NamedTuple
@@ -31,18 +32,21 @@ def fit_models(training: DataFrame, trees: int = 12, depth: int = 4, seed: int =
     """One boosted-tree model per percentile, fitted on the cells' log labels.
 
     The assembled table is checkpointed: boosting reads it many times, and a lost executor
-    must not send it back to the flights.
+    must not send it back to the flights. The three fits are independent and their many small
+    jobs are submitted side by side.
     """
     checkpoint_root(training.sparkSession)
     labels = [f"label_{p}" for p in PERCENTILES]
     table = _vectors(training, *labels).checkpoint()
-    return {
-        p: GBTRegressor(
+
+    def fit(p: str) -> GBTRegressionModel:
+        return GBTRegressor(
             featuresCol="features", labelCol=f"label_{p}", predictionCol=f"log_{p}",
             maxIter=trees, maxDepth=depth, lossType="squared", seed=seed,
         ).fit(table)
-        for p in PERCENTILES
-    }
+
+    with ThreadPoolExecutor(len(PERCENTILES)) as pool:
+        return dict(zip(PERCENTILES, pool.map(fit, PERCENTILES)))
 
 
 def save_models(models: Models, folder: str) -> None:

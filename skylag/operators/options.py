@@ -68,11 +68,11 @@ def dests_by_origin_date(flights: DataFrame, airports: DataFrame) -> DataFrame:
 
 def dep_times(flights: DataFrame) -> DataFrame:
     """Scheduled departure times per date and origin; filter by destination beforehand."""
-    return (
-        require(flights, ["CRSDepTime"])
-        .select(*DATE_KEYS, F.col("OriginAirportID").cast("string").alias("origin"), "CRSDepTime")
-        .distinct()
-        .withColumn("display", fn.format_time(F.col("CRSDepTime")))
+    times = require(flights, ["CRSDepTime"]).select(
+        *DATE_KEYS, "OriginAirportID", "CRSDepTime").distinct()
+    return times.select(
+        *DATE_KEYS, F.col("OriginAirportID").cast("string").alias("origin"), "CRSDepTime",
+        fn.format_time(F.col("CRSDepTime")).alias("display"),
     )
 
 
@@ -112,14 +112,15 @@ def availability_cube(flights: DataFrame) -> DataFrame:
 
     The coarser choices below are distinct projections of this one small table.
     """
-    return flights.select(
+    cube = flights.select(
         "Month",
         fn.iso_dow(fn.flight_date()).alias("DayOfWeek"),
-        F.col("OriginAirportID").cast("string").alias("origin"),
-        F.col("DestAirportID").cast("string").alias("dest"),
-        F.col("DOT_ID_Reporting_Airline").cast("string").alias("airline"),
+        F.col("OriginAirportID").alias("origin"),
+        F.col("DestAirportID").alias("dest"),
+        F.col("DOT_ID_Reporting_Airline").alias("airline"),
         fn.dep_hour(F.col("CRSDepTime")).alias("DepHour"),
     ).distinct()
+    return cube.withColumns({c: F.col(c).cast("string") for c in ("origin", "dest", "airline")})
 
 
 def _airport_display(cube: DataFrame, airports: DataFrame, code: str, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skylag import functions as fn
-from skylag.operators.filters import require
+from skylag.operators.filters import flight_rows, require
 from skylag.schemas import DATE_KEYS
 
 ROUTE = ["origin", "dest"]
@@ -32,11 +32,10 @@ def attach_airports(routes: DataFrame, airports: DataFrame, origin: str = "origi
     )
 
 
-def enrich_flights(rows: DataFrame, airports: DataFrame) -> DataFrame:
+def enrich_flights(flights: DataFrame, airports: DataFrame) -> DataFrame:
     """Flight rows with the names and coordinates of both airports."""
-    typed = rows.withColumns({
-        "_o": F.col("origin").cast("int"), "_d": F.col("dest").cast("int")})
-    return attach_airports(typed, airports, "_o", "_d").drop("_o", "_d")
+    named = attach_airports(flights, airports, "OriginAirportID", "DestAirportID")
+    return flight_rows(named, *NAME_COLUMNS)
 
 
 def _count_routes(flights: DataFrame, keys: list[str], flights_counted: Column) -> DataFrame:

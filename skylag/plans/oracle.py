@@ -415,8 +415,8 @@ FROM flights""")
 
 HISTORY = f"""
 history AS (
-  SELECT {ORIGIN} AS origin, {DEST} AS dest, {AIRLINE} AS airline, Year, DayofMonth,
-         {DOW} AS DayOfWeek, Month, {HOUR} AS DepHour, CRSDepTime AS DepTime,
+  SELECT OriginAirportID AS origin, DestAirportID AS dest, DOT_ID_Reporting_Airline AS airline,
+         Year, DayofMonth, {DOW} AS DayOfWeek, Month, {HOUR} AS DepHour, CRSDepTime AS DepTime,
          {TOTAL_DELAY} AS TotalDelay
   FROM flights WHERE DayofMonth IS NOT NULL AND Month IS NOT NULL AND CRSDepTime IS NOT NULL
 )"""

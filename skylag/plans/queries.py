@@ -147,7 +147,7 @@ def _picks(t: FlightTables) -> DataFrame:
 
 @query
 def cross_filter(t):
-    rows = routes.enrich_flights(filters.flight_rows(t.flights), t.airports)
+    rows = routes.enrich_flights(t.flights, t.airports)
     return filters.cross_filter(rows, _picks(t)).select(
         *DATE_KEYS, "fl_num", "origin", "dest", "orig_name", "dest_name", "crs_dep_time", "is_delay")
 
@@ -156,7 +156,7 @@ def cross_filter(t):
 
 @query
 def enrich_flights(t):
-    return routes.enrich_flights(filters.flight_rows(t.flights), t.airports)
+    return routes.enrich_flights(t.flights, t.airports)
 
 
 @query
@@ -333,13 +333,12 @@ def month_airline_matrix(t):
 
 @query
 def flight_listing(t):
-    return reports.flight_listing(
-        routes.enrich_flights(filters.flight_rows(t.flights), t.airports))
+    return reports.flight_listing(routes.enrich_flights(t.flights, t.airports))
 
 
 @query
 def flight_listing_by_origin(t):
-    rows = routes.enrich_flights(filters.flight_rows(t.flights), t.airports)
+    rows = routes.enrich_flights(t.flights, t.airports)
     return reports.flight_listing(rows, keys=["origin"])
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from skylag.operators import analog, model, options, reports, routes, scenario
-from skylag.operators.filters import ALL, flight_rows, select_flights
+from skylag.operators.filters import ALL, select_flights
 from skylag.operators.lookup import lookup_backoff
 from skylag.schemas import DATE_KEYS
 from skylag.sources import FlightTables
@@ -19,7 +19,7 @@ def history_report(tables: FlightTables, date=None, origin=None, dests=ALL, dep_
     """Flight rows, map and matrix of a selection; open parts keep all keys."""
     flights = select_flights(tables.flights, date, origin, dests, dep_time, status)
     summary = routes.route_summary(flights, tables.airports)
-    rows = routes.enrich_flights(flight_rows(flights), tables.airports)
+    rows = routes.enrich_flights(flights, tables.airports)
     return {
         "rows": rows,
         "arcs": routes.route_arcs(summary),

@@ -45,7 +45,7 @@ def test_absent_causes_are_zero(make_flights):
 def test_cross_filter_is_wider_than_the_cells(spark, make_flights, airports):
     flights = make_flights(*[dict(DestAirportID=d, OriginAirportID=o, CRSDepTime=t)
                              for o, d in ((10001, 10002), (10002, 10001)) for t in (800, 900)])
-    rows = routes.enrich_flights(filters.flight_rows(flights), airports)
+    rows = routes.enrich_flights(flights, airports)
     picks = spark.createDataFrame([("Alpha", "08:00"), ("Beta", "09:00")],
                                   "dest_name string, crs_dep_time string")
     assert filters.cross_filter(rows, picks).count() == 4
@@ -117,7 +117,7 @@ def test_matrix_keeps_gaps(make_flights, airports):
 def test_listing_is_ordered_and_cut(make_flights, airports):
     flights = make_flights(*[dict(CRSDepTime=t, Flight_Number_Reporting_Airline=i)
                              for i, t in enumerate([900, None, 800])])
-    rows = routes.enrich_flights(filters.flight_rows(flights), airports)
+    rows = routes.enrich_flights(flights, airports)
     listed = reports.flight_listing(rows, rows_shown=2).collect()
     assert [r["Scheduled Dep Time"] for r in listed] == ["N/A", "08:00"]
     assert reports.flight_listing(rows, 1, keys=["origin"]).count() == 1

@@ -30,6 +30,8 @@ def test_cells_hold_exact_percentiles(make_flights):
     assert [row[f"hist_{p}_carrier_delay"] for p in ("p10", "p50", "p90")] == pytest.approx(list(expected))
     assert [row.total_p10, row.total_p50, row.total_p90] == pytest.approx(list(expected))
     assert row.avg_distance == pytest.approx(400 + np.mean(delays))
+    rough = lookup.lookup_cells(flights, accuracy=1000).where("time_of_day_category = 2").first()
+    assert [rough.total_p10, rough.total_p50, rough.total_p90] == [0.0, 20.0, 90.0]
     assert lookup.inference_lookup(cells).columns == [
         *LOOKUP_KEYS, "avg_crs_elapsed_time", "avg_distance", *HIST_COLUMNS]
 
