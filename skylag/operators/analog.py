@@ -186,6 +186,8 @@ def analog_forecast(requests: DataFrame, history: DataFrame, max_k: int = MAX_K)
 
 # Lattice steps searched first; every flight within this distance is met by an equi-join.
 NEAR_RADIUS = 2
+# Parts into which the cells of a route are split for requests in thin history.
+SALTS = 16
 MEAN_KEYS = ["origin", "dest"]
 # Request column and the history column it is compared with.
 POINT = {"day": "DayofMonth", "dow": "DayOfWeek", "month": "Month", "hour": "DepHour"}
@@ -212,6 +214,11 @@ def _nearest(pairs: DataFrame, request: list[str], max_k: int) -> DataFrame:
     )
 
 
+def _per_salt(requests: DataFrame) -> DataFrame:
+    """Each request once per salt, to meet every part of its route."""
+    return requests.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _reach(requests: DataFrame, flights: DataFrame, keys: list[str]) -> DataFrame:
     """Requests with the squared distance of their k-th flight, or of their last if fewer.
 
@@ -219,9 +226,9 @@ def _reach(requests: DataFrame, flights: DataFrame, keys: list[str]) -> DataFram
     of its route are reduced to a short histogram where they arise.
     """
     request = [*keys, *POINT, "k"]
-    cells = flights.groupBy(*keys, *AT.values()).agg(F.count(F.lit(1)).alias("n"))
-    rings = requests.join(cells, keys).groupBy(*request, _squared_gap().alias("d2")).agg(
-        F.sum("n").alias("n"))
+    cells = flights.groupBy(*keys, "salt", *AT.values()).agg(F.count(F.lit(1)).alias("n"))
+    pairs = _per_salt(requests).join(cells, [*keys, "salt"])
+    rings = pairs.groupBy(*request, _squared_gap().alias("d2")).agg(F.sum("n").alias("n"))
     outward = Window.partitionBy(*request).orderBy("d2")
     return (
         rings.withColumn("met", F.sum("n").over(outward))
@@ -239,19 +246,21 @@ def knn_neighbors(requests: DataFrame, history: DataFrame, keys: list[str] = MEA
     that found k flights there are done, as nothing outside is nearer. Only the others,
     in thin history, are compared with the cells of their whole route, whose number is
     bounded by the calendar and not by the flights, and then fetch the flights in reach.
+    Cells are salted for that, so a route asked for more than others is not left to one task.
     """
     request = [*keys, *POINT, "k"]
     wanted = _bounded_k(requests, max_k).select(*request).distinct()
     flights = first_per_cell(
         history.select(*keys, "Year", *LATTICE, "DepTime", "TotalDelay"), keys, max_k
     ).select(*keys, *[F.col(c).alias(AT[p]) for p, c in POINT.items()],
-             "Year", "DepTime", "TotalDelay")
+             "Year", "DepTime", "TotalDelay"
+    ).withColumn("salt", F.pmod(F.xxhash64(*AT.values()), F.lit(SALTS)).cast("int"))
 
     steps = F.array(*[F.struct(*[F.lit(x).alias(p) for p, x in zip(POINT, s)])
                       for s in _near_steps(NEAR_RADIUS)])
     around = wanted.withColumn("_step", F.explode(steps)).select(
         *request, *[(F.col(p) + F.col(f"_step.{p}")).alias(at) for p, at in AT.items()])
-    met = around.join(flights, [*keys, *AT.values()]).withColumn("d2", _squared_gap())
+    met = around.join(flights.drop("salt"), [*keys, *AT.values()]).withColumn("d2", _squared_gap())
     near = (
         _nearest(met, request, max_k)
         .withColumn("_found", F.count(F.lit(1)).over(Window.partitionBy(*request)))
@@ -261,8 +270,8 @@ def knn_neighbors(requests: DataFrame, history: DataFrame, keys: list[str] = MEA
     done = near.where(F.col("rank") == 1).select(*request)
     thin = wanted.join(done, request, "left_anti")
     in_reach = (
-        _reach(thin, flights, keys).join(flights, keys).withColumn("d2", _squared_gap())
-        .where(F.col("d2") <= F.col("reach")).drop("reach")
+        _per_salt(_reach(thin, flights, keys)).join(flights, [*keys, "salt"])
+        .withColumn("d2", _squared_gap()).where(F.col("d2") <= F.col("reach")).drop("reach", "salt")
     )
     found = near.unionByName(_nearest(in_reach, request, max_k))
     return found.withColumn("distance", F.sqrt(F.col("d2").cast("double"))).drop("d2")

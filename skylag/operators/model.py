@@ -187,10 +187,14 @@ def _leaf_table(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str,
 
 
 def _spread(features: DataFrame) -> DataFrame:
-    """Distinct flights, partitioned by key. The number is fixed: their few bytes say nothing
-    about the work each multiplies into, so partitions must not be merged by size."""
+    """Distinct flights, partitioned by key.
+
+    Copies collapse in the tasks that hold them. The number of partitions is then fixed, as the
+    few bytes of a flight say nothing about the work it multiplies into: partitions must not
+    be merged by size.
+    """
     partitions = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return features.repartition(partitions, *MODEL_REQUEST).dropDuplicates(MODEL_REQUEST)
+    return features.dropDuplicates(MODEL_REQUEST).repartition(partitions, *MODEL_REQUEST)
 
 
 def attribution(features: DataFrame, folder: str) -> DataFrame:
@@ -199,8 +203,8 @@ def attribution(features: DataFrame, folder: str) -> DataFrame:
     These are the Shapley values of the trees, with training shares for absent features:
     contributions and base value add up to the prediction. A flight meets each leaf once; which
     of the leaf's tests it passes selects the contributions prepared with the leaf. Flights are
-    spread by key before that, and the sums and rankings per flight reuse the partitioning: the
-    only shuffle moves one row per flight.
+    spread by key before that, and the sums and rankings per flight reuse the partitioning, so
+    shuffles move one row per flight and never the multiplied rows.
     """
     leaves, base, longest = _leaf_table(features.sparkSession, folder)
     per_model = _spread(features).select(
