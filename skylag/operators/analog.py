@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from skylag import functions as fn
 from skylag.operators.filters import by_airlines, keep, require
 from skylag.schemas import PERCENTILES
+from skylag.session import materialize
 
 # Bounds and defaults of k, distance used for an exact match.
 MIN_K, MAX_K, DEFAULT_K, MEAN_K = 3, 20, 10, 5
@@ -247,25 +248,26 @@ def knn_neighbors(requests: DataFrame, history: DataFrame, keys: list[str] = MEA
     in thin history, are compared with the cells of their whole route, whose number is
     bounded by the calendar and not by the flights, and then fetch the flights in reach.
     Cells are salted for that, so a route asked for more than others is not left to one task.
+    Requests, cells and the first answers are read by several branches and written once.
     """
     request = [*keys, *POINT, "k"]
-    wanted = _bounded_k(requests, max_k).select(*request).distinct()
-    flights = first_per_cell(
+    wanted = materialize(_bounded_k(requests, max_k).select(*request).distinct(), "knn-requests")
+    cells = first_per_cell(
         history.select(*keys, "Year", *LATTICE, "DepTime", "TotalDelay"), keys, max_k
-    ).select(*keys, *[F.col(c).alias(AT[p]) for p, c in POINT.items()],
-             "Year", "DepTime", "TotalDelay"
-    ).withColumn("salt", F.pmod(F.xxhash64(*AT.values()), F.lit(SALTS)).cast("int"))
+    ).select(*keys, *[F.col(c).alias(AT[p]) for p, c in POINT.items()], "Year", "DepTime", "TotalDelay")
+    salt = F.pmod(F.xxhash64(*AT.values()), F.lit(SALTS)).cast("int")
+    flights = materialize(cells.withColumn("salt", salt), "knn-cells")
 
     steps = F.array(*[F.struct(*[F.lit(x).alias(p) for p, x in zip(POINT, s)])
                       for s in _near_steps(NEAR_RADIUS)])
     around = wanted.withColumn("_step", F.explode(steps)).select(
         *request, *[(F.col(p) + F.col(f"_step.{p}")).alias(at) for p, at in AT.items()])
     met = around.join(flights.drop("salt"), [*keys, *AT.values()]).withColumn("d2", _squared_gap())
-    near = (
+    near = materialize(
         _nearest(met, request, max_k)
         .withColumn("_found", F.count(F.lit(1)).over(Window.partitionBy(*request)))
-        .where(F.col("_found") == F.col("k")).drop("_found")
-    )
+        .where(F.col("_found") == F.col("k")).drop("_found"),
+        "knn-near")
 
     done = near.where(F.col("rank") == 1).select(*request)
     thin = wanted.join(done, request, "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from skylag import functions as fn
 from skylag.operators import analog, filters, lookup, model, options, reports, routes, scenario
 from skylag.schemas import DATE_KEYS, HIST_COLUMNS, PERCENTILES
-from skylag.session import shared_folder
+from skylag.session import materialize, shared_folder
 from skylag.sources import FlightTables, flight_tables, register_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -454,7 +454,7 @@ def model_requests(flights: DataFrame) -> DataFrame:
 LOOKUP_VALUES = ["avg_crs_elapsed_time", "avg_distance", *HIST_COLUMNS]
 
 # Offline jobs run once per session and data folder; everything else reads their output.
-_CELLS: dict[tuple[str, str], str] = {}
+_CELLS: dict[tuple[str, str], DataFrame] = {}
 _TRAINED: dict[tuple[str, str], str] = {}
 
 
@@ -466,10 +466,9 @@ def written_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lookup cells as a table in the shared folder, so that no reader aggregates again."""
     job = _job(spark, sf_dir)
     if job not in _CELLS:
-        folder = shared_folder(spark, "lookup-cells")
-        lookup.lookup_cells(flight_tables(spark, sf_dir).flights).write.parquet(folder)
-        _CELLS[job] = folder
-    return spark.read.parquet(_CELLS[job])
+        cells = lookup.lookup_cells(flight_tables(spark, sf_dir).flights)
+        _CELLS[job] = materialize(cells, "lookup-cells")
+    return _CELLS[job]
 
 
 def trained(spark: SparkSession, sf_dir: str) -> str:

@@ -30,7 +30,7 @@ def history_report(tables: FlightTables, date=None, origin=None, dests=ALL, dep_
         "heatmap": reports.heatmap_summary(flights, tables.airports),
         "has_cause": reports.has_cause(flights),
         "causes_positive": reports.cause_mean_positive(flights),
-        "causes_delayed": reports.cause_mean_delayed(flights),
+        "causes_delayed": reports.ranked_causes(reports.cause_mean_delayed(flights)),
         "listing": reports.flight_listing(rows),
     }
 
