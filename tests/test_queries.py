@@ -5,7 +5,19 @@ import re
 import pytest
 from compare import differences, duckdb_tables
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from skylag.plans.oracle import ORACLE
+from skylag.plans.queries import QUERIES
+
+
+
+def queries():
+    return QUERIES
+
+
+def oracle_sql():
+    return ORACLE
+
 
 SF_DIR = "/root/testdata/sf0.001"
 NO_SQL = {"model_forecast", "feature_importance", "attribution", "attribution_top", "feature_descriptions"}
