@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skylag.llm import exact_dedup, licenses, warc
-from skylag.llm.tables import read_table
+from skylag.llm import chat_format, exact_dedup, language_id, licenses, warc
+from skylag.llm.tables import reach_workers, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(run):
-    QUERIES[run.__name__] = run
-    return run
+def query(build):
+    """Register a function of (spark, sf_dir) under its own name."""
+    @wraps(build)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        reach_workers(spark)
+        return build(spark, sf_dir)
+    QUERIES[build.__name__] = run
+    return build
 
 
 @query
@@ -33,12 +39,27 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.decisions(docs, index)
 
 
+@query
+def op8_chat_format(spark, sf_dir):
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quoting = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", quoting), (-7, 1, "assistant", quoting)], turns.schema)
+    return chat_format.read_back(chat_format.format_conversations(turns.unionByName(extra)))
+
+
 @query
 def op9_warc_archive(spark, sf_dir):
     archive = warc.write_archive(read_table(spark, sf_dir, "pages"))
     return warc.read_records(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op10_language_id(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    predicted = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs))
+    return predicted.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def _license_sql() -> str:
     known = ", ".join(f"('{text}', '{code}')" for text, code in licenses.known_sentences().items())
     rules = ", ".join(f"('{codes}', '{rule}', '{licence}')" for rule, licence, codes in licenses.RULES)
@@ -78,3 +99,19 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
 FROM kept"""
+
+ORACLE["op8_chat_format"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+sized AS (
+  SELECT *, length(text) + length(text) - length(regexp_replace(text, '[\\<\[]', '', 'g'))
+            + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 4 WHEN 'system' THEN 15
+              ELSE 13 + length(role) + length(role) - length(regexp_replace(role, '[\\<>\[]', '', 'g')) END AS formatted
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(3 + sum(formatted) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id"""
