@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skylag.llm import chat_format, exact_dedup, language_id, licenses, warc
+from skylag.llm import chat_format, exact_dedup, language_id, licenses, pii, warc
 from skylag.llm.tables import reach_workers, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,14 @@ def op2_license_scan(spark, sf_dir):
                         F.array_join("licences", ",").alias("licences"), "sequence")
 
 
+@query
+def op6_pii(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    counts = {f"n_{kind}": F.regexp_count("base", F.lit(f"{kind}:")).cast("bigint") for kind in pii.KINDS}
+    return found.select("doc_id", *[c.alias(n) for n, c in counts.items()], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 @query
 def op7_exact_dedup(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
