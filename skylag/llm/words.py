@@ -137,8 +137,8 @@ def sequence_hash(hashes: np.ndarray) -> int:
     """Hash of a whole sequence of words, of any length."""
     n = len(hashes)
     powers, _ = _power_tables(n)
-    total = np.sum(hashes * powers[:n], dtype=np.uint64) + np.uint64(n) * _STEP
-    return int(mix(np.array([total], np.uint64))[0])
+    total = np.array([np.sum(hashes * powers[:n], dtype=np.uint64)]) + np.array([n], np.uint64) * _STEP
+    return int(mix(total)[0])
 
 
 def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
