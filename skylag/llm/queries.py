@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skylag.llm import chat_format, exact_dedup, jaccard, language_id, licenses, pii, warc
+from skylag.llm import chat_format, exact_dedup, jaccard, language_id, licenses, pii, substring_dedup, warc
 from skylag.llm.tables import reach_workers, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def op4_ngram_jaccard_join(spark, sf_dir):
     return jaccard.classes(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_substring_dedup(spark, sf_dir):
+    return substring_dedup.summary(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_pii(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
