@@ -216,6 +216,23 @@ def facts(docs: DataFrame) -> DataFrame:
         _facts, "doc_id bigint, n bigint, key1 bigint, key2 bigint, heavy array<struct<token: bigint, count: bigint>>"), "facts")
 
 
+def _heavy_tokens(known: DataFrame) -> np.ndarray:
+    """The common tokens, sorted: all whose count reaches a limit that at most HEAVY_TOKENS of them reach."""
+    counts = (known.filter("heavy is not null").select(F.explode("heavy").alias("h")).groupBy("h.token")
+              .agg(F.sum("h.count").alias("c")).filter(F.col("c") >= HEAVY_COUNT)
+              .withColumn("level", F.floor(F.log2("c") * 4)))
+    total, least = 0, None
+    for r in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        total += r["count"]
+        if total > HEAVY_TOKENS:
+            break
+        least = r["level"]
+    if least is None:
+        return np.empty(0, np.uint64)
+    tokens = [r["token"] for r in counts.filter(F.col("level") >= least).select("token").collect()]
+    return np.sort(np.array(tokens, np.int64).view(np.uint64))
+
+
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of candidate pairs (doc, pivot) those that pass the other orders and are linked."""
     ids = written(pairs.select(F.explode(F.array("doc", "pivot")).alias("id")).distinct(), "ids")
@@ -249,10 +266,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id."""
     spark: SparkSession = docs.sparkSession
     known = facts(docs)
-    heavy = (known.filter("heavy is not null").select(F.explode("heavy").alias("h")).groupBy("h.token")
-             .agg(F.sum("h.count").alias("c")).filter(F.col("c") >= HEAVY_COUNT)
-             .orderBy(F.desc("c"), "token").limit(HEAVY_TOKENS).collect())
-    heavy = np.sort(np.array([r["token"] for r in heavy], np.int64).view(np.uint64))
+    heavy = _heavy_tokens(known)
     rows = known.filter("heavy is null")
     total = rows.agg(F.coalesce(F.sum(F.col("n") / 4 + 1), F.lit(0))).first()[0]
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // BUCKET_TOKENS)

@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skylag.llm import chat_format, exact_dedup, jaccard, language_id, licenses, pii, substring_dedup, warc
+from skylag.llm import chat_format, decontaminate, exact_dedup, jaccard, language_id, licenses, pii, substring_dedup, warc
 from skylag.llm.tables import reach_workers, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def op2_license_scan(spark, sf_dir):
                         F.array_join("licences", ",").alias("licences"), "sequence")
 
 
+@query
+def op3_decontaminate(spark, sf_dir):
+    shards = decontaminate.indexes(read_table(spark, sf_dir, "benchmark"))
+    return decontaminate.find(read_table(spark, sf_dir, "documents"), shards)
+
+
 @query
 def op4_ngram_jaccard_join(spark, sf_dir):
     return jaccard.classes(read_table(spark, sf_dir, "documents"))

@@ -16,6 +16,8 @@ SLICE = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+# Separators of loose words: every ASCII character but letters and digits.
+_LOOSE = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _random = np.random.Generator(np.random.PCG64(20240601))
 _BYTES = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLDED = _BYTES.copy()
@@ -39,9 +41,9 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def _slice_words(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of each word of one slice."""
-    solid = ~_SPACE[data]
+def _slice_words(data: np.ndarray, lower: bool, loose: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word of one slice; ``loose`` words end at punctuation too."""
+    solid = ~(_LOOSE if loose else _SPACE)[data]
     before = np.concatenate([[False], solid[:-1]])
     after = np.concatenate([solid[1:], [False]])
     starts, ends = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
@@ -69,15 +71,10 @@ def _cuts(data: np.ndarray) -> list[int]:
     return [*cuts, len(data)]
 
 
-def text_words(data: np.ndarray, lower: bool = False, places: bool = False):
-    """Hashes of the words of one text given as bytes; with ``places`` also their byte starts and ends."""
+def text_words(data: np.ndarray, lower: bool = False, loose: bool = False) -> np.ndarray:
+    """Hashes of the words of one text given as bytes."""
     cuts = _cuts(data)
-    parts = [_slice_words(data[a:b], lower) for a, b in zip(cuts, cuts[1:])]
-    hashes = np.concatenate([p[0] for p in parts])
-    if not places:
-        return hashes
-    return (hashes, np.concatenate([p[1] + a for p, a in zip(parts, cuts)]),
-            np.concatenate([p[2] + a for p, a in zip(parts, cuts)]))
+    return np.concatenate([_slice_words(data[a:b], lower, loose)[0] for a, b in zip(cuts, cuts[1:])])
 
 
 def text_bytes(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -93,21 +90,21 @@ def text_bytes(texts: pa.Array) -> Iterator[np.ndarray]:
         yield data[a:b] if ok else data[:0]
 
 
-def batch_words(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, list[int], np.ndarray]]:
+def batch_words(texts: pa.Array, lower: bool = False, loose: bool = False) -> Iterator[tuple[int, list[int], np.ndarray]]:
     """Words of many texts at once: yields (first row, word offsets per row, hashes) for groups of about SLICE bytes."""
     group: list[np.ndarray] = []
     first = size = 0
 
     def flush():
         if len(group) == 1:
-            hashes = text_words(group[0], lower)
+            hashes = text_words(group[0], lower, loose)
             return first, [0, len(hashes)], hashes
         sizes = np.array([len(g) + 1 for g in group])
         data = np.full(int(sizes.sum()), 32, np.uint8)
         places = np.concatenate([[0], np.cumsum(sizes)])
         for at, g in zip(places, group):
             data[at:at + len(g)] = g
-        hashes, starts, _ = _slice_words(data, lower)
+        hashes, starts, _ = _slice_words(data, lower, loose)
         return first, np.searchsorted(starts, places).tolist(), hashes
 
     row = 0
