@@ -7,8 +7,9 @@ the tokens. Three orders are used:
 1. common tokens last, then by hash. Tokens of each document's prefix are dealt into buckets; documents that meet on a
    token are candidates. The common tokens are a bounded list of the ``HEAVY_TOKENS`` most frequent; the order only
    decides how many candidates there are, never what is found.
-2. and 3. a second hash, rising and falling: a pair stays a candidate only if the heads and the tails of both sets, so
-   ordered, share a token too.
+2. a second hash: the first quarter of this order alone must not hold more tokens of one set only than linked sets may
+   differ in, a bound that sets which share just a passage do not keep;
+3. a third hash: the prefixes must share a token here too.
 
 What passes all filters is verified exactly on the full sets. Links are transitive in the result, so not all pairs of a large
 group are made: on each token every document meets the smallest one (the pivot); after the links are known, only tokens
@@ -42,7 +43,8 @@ BUCKET_TOKENS = 1 << 20
 SMALL_GROUP = 4
 #: Document ids below which a list of them is broadcast to a scan (8 bytes each); above, the scan is shuffled.
 BROADCAST_IDS = 1 << 19
-_SECOND = np.uint64(0x5851F42D4C957F2D)
+_SECOND, _THIRD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_QUARTER = np.uint64(1 << 62)
 
 
 def token_set(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -196,14 +198,24 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield bucket()
 
 
+def _listed(ids: list, arrays: list[np.ndarray], dtype) -> pa.RecordBatch:
+    flat = np.concatenate(arrays).view(dtype) if arrays else np.empty(0, dtype)
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat))],
+                                      names=["doc", "tokens"])
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens in the first quarter of the second order, four bytes each."""
+    for ids, sets in _sets(batches):
+        second = [mix(s ^ _SECOND) for s in sets]
+        yield _listed(ids, [np.unique(h[h < _QUARTER].astype(np.uint32)) for h in second], np.int32)
+
+
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole sets under the second order."""
+    """Whole sets under the third order."""
     for ids, sets in _sets(batches):
-        ordered = [s[np.argsort(mix(s ^ _SECOND))] for s in sets]
-        flat = np.concatenate(ordered).view(np.int64) if ordered else np.empty(0, np.int64)
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat))],
-                                         names=["doc", "tokens"])
+        yield _listed(ids, [s[np.argsort(mix(s ^ _THIRD))] for s in sets], np.int64)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -233,22 +245,33 @@ def _heavy_tokens(known: DataFrame) -> np.ndarray:
     return np.sort(np.array(tokens, np.int64).view(np.uint64))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of candidate pairs (doc, pivot) those that pass the other orders and are linked."""
+def _of(docs: DataFrame, pairs: DataFrame, make, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Token lists of the documents in pairs: of all (doc, tokens), and of the pivots (pivot, low)."""
     ids = written(pairs.select(F.explode(F.array("doc", "pivot")).alias("id")).distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = written(_texts(docs).join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-                   .mapInArrow(_full, "doc bigint, tokens array<bigint>"), "sets")
+    lists = written(_texts(docs).join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
+                    .mapInArrow(make, f"doc bigint, tokens array<{kind}>"), "lists")
     lows = pairs.select(F.col("pivot").alias("doc")).distinct()
-    low_sets = sets.join(lows, "doc", "left_semi").select(F.col("doc").alias("pivot"), F.col("tokens").alias("low"))
+    return lists, lists.join(lows, "doc", "left_semi").select(F.col("doc").alias("pivot"), F.col("tokens").alias("low"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of candidates (doc, pivot, n, m) those that pass the filters of the other orders and are linked: (a, b).
+
+    Linked sets differ in at most (n + m) / 7 tokens. The second order's first quarter alone must keep to that, and it is an
+    eighth of the bytes of the sets, which only the pairs that are left have to move.
+    """
+    heads, low_heads = _of(docs, pairs, _heads, "int")
+    differ = F.size("tokens") + F.size("low") - 2 * F.size(F.array_intersect("tokens", "low"))
+    near = written(pairs.join(heads.hint("merge"), "doc").join(low_heads.hint("merge"), "pivot")
+                   .filter((100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("n") + F.col("m")))
+                   .select("doc", "pivot").distinct(), "near")
+    sets, low_sets = _of(docs, near, _full, "bigint")
     n, m = F.size("tokens"), F.size("low")
     front = lambda c, size: F.slice(c, F.lit(1), _prefix(size))
-    back = lambda c, size: F.slice(c, -_prefix(size), _prefix(size))
     shared = F.size(F.array_intersect("tokens", "low"))
-    return (pairs.join(sets.hint("merge"), "doc").join(low_sets.hint("merge"), "pivot")
-            .filter((100 * n >= PERCENT * m) & (100 * m >= PERCENT * n))
+    return (near.join(sets.hint("merge"), "doc").join(low_sets.hint("merge"), "pivot")
             .filter(F.arrays_overlap(front("tokens", n), front("low", m)))
-            .filter(F.arrays_overlap(back("tokens", n), back("low", m)))
             .filter(100 * shared >= PERCENT * (n + m - shared))
             .select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct())
 
@@ -277,14 +300,19 @@ def classes(docs: DataFrame) -> DataFrame:
     # Equal sets are one node: the smallest doc_id stands for all.
     named = rows.filter("n > 0 and doc_id is not null")
     first = named.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"))
-    reps = written(named.join(first, ["key1", "key2"]).select("doc_id", "rep").distinct(), "reps")
+    reps = written(named.join(first, ["key1", "key2"]).select("doc_id", "rep", "n").distinct(), "reps")
     copies = reps.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     def settled(pairs: DataFrame) -> DataFrame:
-        """Pairs of representatives: distinct, and no pair of equal sets."""
-        a, b = (reps.select(F.col("doc_id").alias(c), F.col("rep").alias(r)) for c, r in (("doc", "x"), ("pivot", "y")))
-        return written(pairs.distinct().join(a, "doc").join(b, "pivot").filter("x <> y")
-                       .select(F.greatest("x", "y").alias("doc"), F.least("x", "y").alias("pivot")).distinct(), "pairs")
+        """Pairs of representatives with their sizes: distinct, not equal, of sizes that a link allows."""
+        a = reps.select(F.col("doc_id").alias("doc"), F.col("rep").alias("x"), "n")
+        b = reps.select(F.col("doc_id").alias("pivot"), F.col("rep").alias("y"), F.col("n").alias("m"))
+        return written(pairs.distinct().join(a, "doc").join(b, "pivot")
+                       .filter((F.col("x") != F.col("y")) & (100 * F.col("n") >= PERCENT * F.col("m"))
+                               & (100 * F.col("m") >= PERCENT * F.col("n")))
+                       .select(F.greatest("x", "y").alias("doc"), F.least("x", "y").alias("pivot"),
+                               F.when(F.col("x") > F.col("y"), F.col("n")).otherwise(F.col("m")).alias("n"),
+                               F.when(F.col("x") > F.col("y"), F.col("m")).otherwise(F.col("n")).alias("m")).distinct(), "pairs")
 
     links = written(_verified(docs, settled(met.filter("doc <> pivot").select("doc", "pivot"))), "links")
     labels = _labels(copies, links)

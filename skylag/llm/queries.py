@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skylag.llm import chat_format, decontaminate, exact_dedup, jaccard, language_id, licenses, pii, substring_dedup, warc
+from skylag.llm import chat_format, decontaminate, exact_dedup, jaccard, language_id, licenses, pii, sentencepiece_bpe, substring_dedup, warc
 from skylag.llm.tables import reach_workers, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def query(build):
     return build
 
 
+@query
+def op1_sentencepiece(spark, sf_dir):
+    return sentencepiece_bpe.summary(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_license_scan(spark, sf_dir):
     found = licenses.scan(read_table(spark, sf_dir, "documents"))
