@@ -353,5 +353,6 @@ def _still_open(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their component (smallest doc_id), all columns; rows without doc_id stay."""
-    found = classes(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("_dropped")).distinct()
+    found = written(classes(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    found = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
     return docs.join(found, F.col("doc_id") == F.col("_dropped"), "left_anti")

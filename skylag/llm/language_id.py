@@ -202,7 +202,7 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def accept(docs: DataFrame, net: ByteNet | None, least: float = 0.5) -> DataFrame:
+def accept(docs: DataFrame, net: ByteNet | None, least: float) -> DataFrame:
     """The documents whose language is known with at least ``least`` probability; columns as they were."""
     marked = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") if c != "text" else F.col("text") for k, c in enumerate(docs.columns)])
     good = predict(marked, net).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
