@@ -64,6 +64,7 @@ class Index:
     question: list[np.ndarray]
     answer: list[np.ndarray]
     size: list[int]  # words per triple, 3 or the whole of a short unit
+    least: list[float]  # share of triples that must occur
     span: int
     sieve: np.ndarray
 
@@ -105,7 +106,7 @@ class Index:
             at = b * BLOCK + int(u)
             there = grams(passage, self.size[at])
             q, a = (float(np.isin(g, there).mean()) for g in (self.question[at], self.answer[at]))
-            if min(q, a) >= (OVERLAP if self.size[at] == 3 else 1):
+            if min(q, a) >= self.least[at]:
                 yield k, at, float(min(1.0, score[u])), q, a
 
 
@@ -120,7 +121,7 @@ def build_index(units: list[tuple[int | None, np.ndarray]], df: dict[int, int],
     terms = np.unique(np.concatenate([w for _, w in units]))
     rare = np.array([df[int(t)] for t in terms.view(np.int64)])
     idf = np.log1p((n_units - rare + 0.5) / (rare + 0.5))
-    t_of, u_of, w_of, question, answer, size = [], [], [], [], [], []
+    t_of, u_of, w_of, question, answer, size, least = [], [], [], [], [], [], []
     # Units that share words lie together, so that a block's maxima stay close to its members.
     units = sorted(units, key=lambda u: (int(u[1].min()), -1 if u[0] is None else u[0]))
     for u, (_, words) in enumerate(units):
@@ -128,11 +129,11 @@ def build_index(units: list[tuple[int | None, np.ndarray]], df: dict[int, int],
         place = np.searchsorted(terms, own)
         impact = idf[place] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean_words))
         t_of.append(place), u_of.append(np.full(len(own), u)), w_of.append(impact / impact.sum())
-        n = 3 if len(words) >= 6 else len(words)
-        half = len(words) // 2
-        question.append(np.unique(grams(words[:half] if n == 3 else words, n)))
-        answer.append(np.unique(grams(words[half:] if n == 3 else words, n)))
-        size.append(n)
+        long = len(words) >= 6
+        n, half = (3, len(words) // 2) if long else (len(words), 0)
+        question.append(np.unique(grams(words[:half] if long else words, n)))
+        answer.append(np.unique(grams(words[half:], n)))
+        size.append(n), least.append(OVERLAP if long else 1.0)
     t, u, w = map(np.concatenate, (t_of, u_of, w_of))
     order = np.lexsort((u, t))
     t, u, w = t[order], u[order], w[order]
@@ -142,7 +143,7 @@ def build_index(units: list[tuple[int | None, np.ndarray]], df: dict[int, int],
     sieve = np.zeros(1 << 20, bool)
     sieve[(terms & np.uint64(0xFFFFF)).astype(np.int64)] = True
     return Index([i for i, _ in units], terms, np.searchsorted(t, edges), u, w, np.searchsorted(t[first], edges), u[first] // BLOCK,
-                 np.maximum.reduceat(w, first), question, answer, size, max(len(w) for _, w in units), sieve)
+                 np.maximum.reduceat(w, first), question, answer, size, least, max(len(w) for _, w in units), sieve)
 
 
 def indexes(items: DataFrame, shard_words: int = SHARD_WORDS) -> list[Index]:

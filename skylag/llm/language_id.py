@@ -65,7 +65,7 @@ def _mask() -> np.ndarray:
     return mask
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 8, batch: int = 64, rate: float = 0.01,
+def train(texts: list[str], labels: list[str], steps: int = 750, batch: int = 64, rate: float = 0.01,
           seed: int = 7) -> ByteNet:
     """Fit the network by Adam; short pieces are mixed in so that short texts are known too."""
     random = np.random.default_rng(seed)
@@ -83,37 +83,36 @@ def train(texts: list[str], labels: list[str], epochs: int = 8, batch: int = 64,
                   np.zeros(len(languages), np.float32))
     names = ("embed", "filters", "bias", "out", "out_bias")
     first, second = ({n: np.zeros_like(getattr(net, n)) for n in names} for _ in range(2))
-    widest, step = max(WIDTHS), 0
-    for _ in range(epochs):
-        order = random.permutation(len(x))
-        for at in range(0, len(order), batch):
-            rows = order[at:at + batch]
-            windows = x[rows].copy()
-            short = random.random(len(rows)) < 0.3
-            lengths = np.where(short, random.integers(6, 64, len(rows)), WINDOW)
-            windows[np.arange(WINDOW) >= lengths[:, None]] = 0
-            patches, responses = net.pooled(windows)
-            place = responses.argmax(axis=1)
-            top = np.take_along_axis(responses, place[:, None], axis=1)[:, 0] + net.bias
-            hidden = np.maximum(top, 0)
-            error = softmax(hidden @ net.out + net.out_bias)
-            error[np.arange(len(rows)), y[rows]] -= 1
-            error /= len(rows)
-            back = (error @ net.out.T) * (top > 0)
-            chosen = patches.reshape(len(rows), WINDOW, -1)[np.arange(len(rows))[:, None], place]
-            wide = back[:, :, None] * net.filters.T  # by row, filter, patch
-            at_bytes = np.pad(windows, ((0, 0), (0, widest - 1)))
-            touched = at_bytes[np.arange(len(rows))[:, None, None], place[:, :, None] + np.arange(widest)]
-            to_embed = np.zeros_like(net.embed)
-            np.add.at(to_embed, touched.reshape(-1), wide.reshape(-1, EMBED))
-            gradients = {"embed": to_embed, "filters": np.einsum("rf,rfp->pf", back, chosen) * mask,
-                         "bias": back.sum(axis=0), "out": hidden.T @ error, "out_bias": error.sum(axis=0)}
-            step += 1
-            for n in names:
-                first[n] = 0.9 * first[n] + 0.1 * gradients[n]
-                second[n] = 0.999 * second[n] + 0.001 * gradients[n] ** 2
-                change = rate * (first[n] / (1 - 0.9 ** step)) / (np.sqrt(second[n] / (1 - 0.999 ** step)) + 1e-8)
-                setattr(net, n, (getattr(net, n) - change).astype(np.float32))
+    widest, order = max(WIDTHS), np.empty(0, int)
+    for step in range(1, steps + 1):
+        if len(order) < min(batch, len(x)):
+            order = random.permutation(len(x))
+        rows, order = order[:batch], order[batch:]
+        windows = x[rows].copy()
+        short = random.random(len(rows)) < 0.3
+        lengths = np.where(short, random.integers(6, 64, len(rows)), WINDOW)
+        windows[np.arange(WINDOW) >= lengths[:, None]] = 0
+        patches, responses = net.pooled(windows)
+        place = responses.argmax(axis=1)
+        top = np.take_along_axis(responses, place[:, None], axis=1)[:, 0] + net.bias
+        hidden = np.maximum(top, 0)
+        error = softmax(hidden @ net.out + net.out_bias)
+        error[np.arange(len(rows)), y[rows]] -= 1
+        error /= len(rows)
+        back = (error @ net.out.T) * (top > 0)
+        chosen = patches.reshape(len(rows), WINDOW, -1)[np.arange(len(rows))[:, None], place]
+        wide = back[:, :, None] * net.filters.T  # by row, filter, patch
+        at_bytes = np.pad(windows, ((0, 0), (0, widest - 1)))
+        touched = at_bytes[np.arange(len(rows))[:, None, None], place[:, :, None] + np.arange(widest)]
+        to_embed = np.zeros_like(net.embed)
+        np.add.at(to_embed, touched.reshape(-1), wide.reshape(-1, EMBED))
+        gradients = {"embed": to_embed, "filters": np.einsum("rf,rfp->pf", back, chosen) * mask,
+                     "bias": back.sum(axis=0), "out": hidden.T @ error, "out_bias": error.sum(axis=0)}
+        for n in names:
+            first[n] = 0.9 * first[n] + 0.1 * gradients[n]
+            second[n] = 0.999 * second[n] + 0.001 * gradients[n] ** 2
+            change = rate * (first[n] / (1 - 0.9 ** step)) / (np.sqrt(second[n] / (1 - 0.999 ** step)) + 1e-8)
+            setattr(net, n, (getattr(net, n) - change).astype(np.float32))
     return net
 
 
