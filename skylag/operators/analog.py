@@ -19,7 +19,7 @@ from skylag.schemas import PERCENTILES
 from skylag.session import materialize
 
 # Bounds and defaults of k, distance used for an exact match.
-MIN_K, MAX_K, DEFAULT_K, MEAN_K = 3, 20, 10, 5
+MAX_K, DEFAULT_K, MEAN_K = 20, 10, 5
 EXACT_DISTANCE = 1e-6
 MIN_FOR_PERCENTILES = 3
 
@@ -239,8 +239,14 @@ def _reach(requests: DataFrame, flights: DataFrame, keys: list[str]) -> DataFram
     )
 
 
+def _largest_k(requests: DataFrame) -> int:
+    """The bound of k is what the requests ask for; a k below 1 or none fails."""
+    failure = F.raise_error(F.lit("k must be at least 1")).cast("int")
+    return requests.agg(F.max(F.when(F.col("k") >= 1, F.col("k")).otherwise(failure))).first()[0] or 1
+
+
 def knn_neighbors(requests: DataFrame, history: DataFrame, keys: list[str] = MEAN_KEYS,
-                  max_k: int = MAX_K) -> DataFrame:
+                  max_k: int | None = None) -> DataFrame:
     """The k nearest flights of the request's route (and airline, if among ``keys``).
 
     Requests first look at the lattice cells around them, an equi-join on the cell. Those
@@ -251,6 +257,7 @@ def knn_neighbors(requests: DataFrame, history: DataFrame, keys: list[str] = MEA
     Requests, cells and the first answers are read by several branches and written once.
     """
     request = [*keys, *POINT, "k"]
+    max_k = max_k or _largest_k(requests)
     wanted = materialize(_bounded_k(requests, max_k).select(*request).distinct(), "knn-requests")
     cells = first_per_cell(
         history.select(*keys, "Year", *LATTICE, "DepTime", "TotalDelay"), keys, max_k
@@ -280,10 +287,12 @@ def knn_neighbors(requests: DataFrame, history: DataFrame, keys: list[str] = MEA
 
 
 def knn_mean_forecast(requests: DataFrame, history: DataFrame, keys: list[str] = MEAN_KEYS,
-                      max_k: int = MAX_K) -> DataFrame:
-    """Mean delay of the k nearest flights, not below 0."""
+                      max_k: int | None = None) -> DataFrame:
+    """Mean delay of the k nearest flights, not below 0; 0 from no neighbours on a route without history."""
     request = [*keys, *POINT, "k"]
-    return knn_neighbors(requests, history, keys, max_k).groupBy(*request).agg(
+    means = knn_neighbors(requests, history, keys, max_k).groupBy(*request).agg(
         F.count(F.lit(1)).cast("int").alias("neighbors"),
         fn.clamp_delay(F.avg("TotalDelay")).alias("forecast"),
     )
+    none = {"neighbors": F.coalesce("neighbors", F.lit(0)), "forecast": F.coalesce("forecast", F.lit(0.0))}
+    return requests.select(*request).distinct().join(means, request, "left").withColumns(none)

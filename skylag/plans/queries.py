@@ -22,14 +22,10 @@ ROUTE = (10001, 10002)
 DESTS = [10002, 10004]
 DEP_TIME = 815
 MONTH_DOW = (7, 3)
-REPORT_AIRLINES = [19790, 19805, 20304]
-REPORT_MONTHS = list(range(1, 13))
+REPORT_AIRLINES = [19790, 20304]
+REPORT_MONTHS = [1, 2, 3, 5, 7, 8, 11, 12]
 THRESHOLD = 30
 PICKED_TIMES = ["08:00", "17:30"]
-# The fixture's departure times as shown.
-MATRIX_TIMES = sorted(
-    [f"{h:02d}:{m:02d}" for h in (6, 8, 13, 17, 22) for m in (0, 15, 30, 45)]
-    + ["00:05", "24:00", "N/A"])
 CALENDAR_COLUMNS = [*DATE_KEYS, "OriginAirportID", "DestAirportID", "CRSDepTime"]
 
 
@@ -281,7 +277,7 @@ def dest_time_ratio(t):
 @query
 def dest_time_matrix(t):
     ratios = reports.dest_time_ratio(t.flights, t.airports, ["OriginAirportID"])
-    return reports.dest_time_matrix(ratios, MATRIX_TIMES, ["OriginAirportID"])
+    return reports.dest_time_matrix(ratios, reports.shown_times(ratios), ["OriginAirportID"])
 
 
 @query
@@ -384,13 +380,16 @@ def ratio_color(t):
 # Analog forecasts ---------------------------------------------------------------------
 
 def analog_requests(history: DataFrame) -> DataFrame:
-    """Every (route, airline, month, hour) that occurs, for day 15 and weekday 2."""
+    """Every (route, airline, month, hour) that occurs, on a date of 2024, with k from 3 to 20; and a route never flown."""
     slots = filters.require(history, ["airline"]).select(
         *analog.ROUTE_AIRLINE, F.col("Month").alias("month"), F.col("DepHour").alias("hour"),
     ).distinct()
-    return slots.select(
-        *analog.ROUTE_AIRLINE, "month", F.lit(15).alias("day"), F.lit(2).alias("dow"), "hour",
-        F.lit(analog.DEFAULT_K).alias("k"))
+    never = slots.limit(1).withColumn("origin", F.lit(99999))
+    day = (F.col("hour") * 3 + F.col("month")) % 28 + 1
+    return slots.unionByName(never).select(
+        *analog.ROUTE_AIRLINE, "month", day.alias("day"),
+        fn.iso_dow(F.make_date(F.lit(2024), "month", day)).alias("dow"), "hour",
+        ((F.col("month") * 5 + F.col("hour")) % 18 + 3).alias("k"))
 
 
 @query
@@ -414,17 +413,30 @@ def analog_neighbors(t):
 def analog_forecast(t):
     history = analog.training_rows(t.flights)
     forecast = analog.analog_forecast(analog_requests(history), history)
-    return rounded(forecast, list(PERCENTILES))
+    return rounded(forecast, list(PERCENTILES), 4)
+
+
+def mean_requests(history: DataFrame) -> DataFrame:
+    """Every (route, month, hour) that occurs, with k from 3 to 25, and a route never flown."""
+    slots = history.select(
+        *analog.MEAN_KEYS, F.col("Month").alias("month"), F.lit(15).alias("day"), F.lit(2).alias("dow"),
+        F.col("DepHour").alias("hour"), ((F.col("Month") * 7 + F.col("DepHour")) % 23 + 3).alias("k"),
+    ).distinct()
+    never = history.sparkSession.createDataFrame([(99999, 10001, 7, 15, 2, 8, 5)], slots.schema)
+    return slots.unionByName(never)
 
 
 @query
 def knn_mean_forecast(t):
     history = analog.training_rows(t.flights)
-    requests = history.select(
-        *analog.MEAN_KEYS, F.col("Month").alias("month"), F.lit(15).alias("day"),
-        F.lit(2).alias("dow"), F.col("DepHour").alias("hour"), F.lit(analog.MEAN_K).alias("k"),
-    ).distinct()
-    return rounded(analog.knn_mean_forecast(requests, history), ["forecast"])
+    return rounded(analog.knn_mean_forecast(mean_requests(history), history), ["forecast"])
+
+
+@query
+def knn_neighbors(t):
+    history = analog.training_rows(t.flights)
+    return rounded(analog.knn_neighbors(mean_requests(history), history), ["distance"]).select(
+        *analog.MEAN_KEYS, *analog.POINT, "k", "rank", "distance", "TotalDelay")
 
 
 # Lookup, scenarios and models ---------------------------------------------------------

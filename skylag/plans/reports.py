@@ -1,11 +1,12 @@
 """The four reports a user opens, as sets of DataFrames over all keys.
 
-Nothing runs until a caller writes or shows one of the frames.
+Most frames run when a caller writes or shows them. Building the matrix collects its column names, at most one per
+minute of the day, and the model report loads the saved models.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from skylag.operators import analog, model, options, reports, routes, scenario
 from skylag.operators.filters import ALL, select_flights
@@ -20,13 +21,15 @@ def history_report(tables: FlightTables, date=None, origin=None, dests=ALL, dep_
     flights = select_flights(tables.flights, date, origin, dests, dep_time, status)
     summary = routes.route_summary(flights, tables.airports)
     rows = routes.enrich_flights(flights, tables.airports)
+    by_time = reports.dest_time_ratio(flights, tables.airports)
     return {
         "rows": rows,
         "arcs": routes.route_arcs(summary),
         "points": routes.airport_points(summary),
         "center": routes.map_center(flights, tables.airports),
         "kpis": reports.kpi_summary(flights),
-        "dest_by_time": reports.dest_time_ratio(flights, tables.airports),
+        "dest_by_time": by_time,
+        "matrix": reports.dest_time_matrix(by_time, reports.shown_times(by_time)),
         "heatmap": reports.heatmap_summary(flights, tables.airports),
         "has_cause": reports.has_cause(flights),
         "causes_positive": reports.cause_mean_positive(flights),
@@ -58,7 +61,8 @@ def analog_report(tables: FlightTables, requests: DataFrame) -> dict[str, DataFr
     return {
         "forecast": analog.analog_forecast(requests, history),
         "neighbors": analog.shown_neighbors(neighbors),
-        "route_map": routes.route_geometry(tables.flights, tables.airports),
+        "route_map": routes.route_geometry(requests.select(
+            F.col("origin").alias("OriginAirportID"), F.col("dest").alias("DestAirportID")), tables.airports),
     }
 
 

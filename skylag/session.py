@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -34,13 +36,19 @@ def build_session(app_name: str = "skylag", master: str | None = None, **overrid
 def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder, set on the context if it is not yet.
 
-    Only where the session names none (local tests) a temporary folder takes its place.
+    Only where the session names none and the master is local a temporary folder takes its place, which goes when
+    Python ends. On a cluster a folder of one machine would be out of the executors' sight, so that fails.
     """
     active = spark.sparkContext._jsc.sc().getCheckpointDir()
     root = spark.conf.get("spark.checkpoint.dir", None)
     if active.isDefined():
         return root or active.get()
-    root = root or tempfile.mkdtemp(prefix="skylag-")
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        root = tempfile.mkdtemp(prefix="skylag-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(root)
     return root
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import FractionalType, IntegerType, StringType
 from pyspark.sql.utils import AnalysisException
 
 from skylag import functions as fn
@@ -19,7 +20,18 @@ def _typed_flights(raw: DataFrame) -> DataFrame:
     if missing:
         raise ValueError(f"flights lack the columns {missing}")
     complete = add_missing_causes(raw)
-    return complete.select([F.col(f.name).cast(f.dataType) for f in FLIGHTS.fields])
+    return complete.select([_typed(f, complete.schema[f.name].dataType).alias(f.name) for f in FLIGHTS.fields])
+
+
+def _typed(field, found) -> Column:
+    """A column in its fixed type; whole numbers may be written as ``815.0``, other fractions fail."""
+    value = F.col(field.name)
+    if not isinstance(field.dataType, IntegerType) or not isinstance(found, (StringType, FractionalType)):
+        return value.cast(field.dataType)
+    number = value.cast("double")
+    message = F.concat(F.lit(f"{field.name} is not a whole number: "), value.cast("string"))
+    return F.when(number == F.floor(number), number.cast("int")).when(
+        number.isNotNull(), F.raise_error(message).cast("int"))
 
 
 def read_flights(spark: SparkSession, path: str) -> DataFrame:
@@ -30,11 +42,11 @@ def read_flights(spark: SparkSession, path: str) -> DataFrame:
 def read_flights_csv(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """Flights from (gzip) CSV with a header.
 
-    A gzip file is one split whatever its size, so ``partitions`` spreads its rows over
-    the cluster before any further work.
+    A gzip file is one split whatever its size, so its rows are spread over ``partitions`` (as many as the cluster
+    has cores unless named) before any further work.
     """
     rows = _typed_flights(spark.read.option("header", True).csv(path))
-    return rows.repartition(partitions) if partitions else rows
+    return rows.repartition(partitions or spark.sparkContext.defaultParallelism)
 
 
 def with_schedule_columns(flights: DataFrame) -> DataFrame:

@@ -145,3 +145,16 @@ def test_cells_keep_their_first_flights(spark, rows):
     history = spark.createDataFrame(rows, HISTORY)
     cut = analog.first_per_cell(history, SLOT, 2)
     assert cut.groupBy(*SLOT, *analog.LATTICE).count().agg(F.max("count")).first()[0] == 2
+
+
+def test_a_route_without_history_gets_zero_from_no_neighbours(spark, rows):
+    asked = spark.createDataFrame([("A", "nowhere", "1", 7, 15, 2, 8, 5), ("A", "B", "1", 7, 15, 2, 8, 25)], REQUEST)
+    found = {r.dest: (r.neighbors, r.forecast) for r in analog.knn_mean_forecast(asked, spark.createDataFrame(rows, HISTORY)).collect()}
+    assert found["nowhere"] == (0, 0.0) and found["B"][0] == 25
+
+
+@pytest.mark.parametrize("k", [0, None])
+def test_a_request_for_no_neighbours_fails(spark, rows, k):
+    asked = spark.createDataFrame([("A", "B", "1", 7, 15, 2, 8, k)], REQUEST)
+    with pytest.raises(Exception, match="k must be at least 1"):
+        analog.knn_mean_forecast(asked, spark.createDataFrame(rows[:50], HISTORY))

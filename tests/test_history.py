@@ -132,3 +132,10 @@ def test_reports_run(make_flights, airports, airlines):
     averages = averages_report(Tables, months=[7], airlines=[19790])
     assert averages["by_airline"].first().airline_name == "19790 - First Air"
     assert averages["matrix"].first().July == 0.0
+
+
+def test_matrix_has_every_time_that_occurs(make_flights, airports):
+    flights = make_flights({}, dict(CRSDepTime=1111), dict(CRSDepTime=None))
+    ratios = reports.dest_time_ratio(flights, airports)
+    assert reports.shown_times(ratios) == ["08:00", "11:11", "N/A"]
+    assert reports.dest_time_matrix(ratios, reports.shown_times(ratios)).columns[-3:] == ["08:00", "11:11", "N/A"]

@@ -2,6 +2,7 @@ import csv
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from skylag.operators import filters
 from skylag.schemas import CAUSES, FLIGHTS
@@ -87,3 +88,15 @@ def test_lookup_keys_become_text(spark, tmp_path):
 def test_views(spark, make_flights, airports, airlines):
     register_views(make_flights({}), airports, airlines)
     assert spark.sql("SELECT count(*) FROM flights JOIN geo ON OriginAirportID = code").first()[0] == 1
+
+
+def test_whole_numbers_written_with_a_fraction(spark, make_flights, tmp_path):
+    """Integers as ``815.0``; a true fraction fails and names its column."""
+    text = make_flights({}, dict(CRSDepTime=None)).withColumn("CRSDepTime", F.col("CRSDepTime").cast("double"))
+    text.write.option("header", True).csv(str(tmp_path / "whole"))
+    read = read_flights_csv(spark, str(tmp_path / "whole"))
+    assert sorted((r.CRSDepTime or 0) for r in read.collect()) == [0, 800]
+    assert read.schema["CRSDepTime"].dataType.simpleString() == "int"
+    text.withColumn("CRSDepTime", F.lit(815.5)).write.option("header", True).csv(str(tmp_path / "broken"))
+    with pytest.raises(Exception, match="CRSDepTime is not a whole number: 815.5"):
+        read_flights_csv(spark, str(tmp_path / "broken")).collect()
