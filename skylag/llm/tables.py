@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skylag.session import materialize, shared_folder
+
 
 def reach_workers(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it.
@@ -24,18 +25,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, purpose: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local master may do without that setting, a cluster may not."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        # One folder for the session, found again through the session itself.
-        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/llm-scratch"
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    """A new folder below ``spark.checkpoint.dir``; only a local session may do without that setting."""
+    return shared_folder(spark, purpose)
 
 
 def written(frame: DataFrame, purpose: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: cuts the lineage and survives a lost executor."""
-    path = shared_path(frame.sparkSession, purpose)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    return materialize(frame, purpose)
