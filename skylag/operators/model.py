@@ -66,6 +66,12 @@ def _score(vectors: DataFrame, models: Models) -> DataFrame:
     return vectors
 
 
+def log_forecast(features: DataFrame, models: Models) -> DataFrame:
+    """The three predictions on the log scale that the models are fitted on."""
+    scored = _score(_vectors(features, *MODEL_REQUEST), models)
+    return scored.select(*MODEL_REQUEST, *[F.col(f"log_{p}").alias(p) for p in PERCENTILES])
+
+
 def model_forecast(features: DataFrame, models: Models) -> DataFrame:
     """P10, P50 and P90 in minutes, the outlook, and whether the three models disagree in order."""
     scored = _score(_vectors(features, *MODEL_REQUEST), models)

@@ -5,7 +5,9 @@ Each starts from the driver's tables: the flight, airport and airline tables are
 
 from __future__ import annotations
 
-from skylag.schemas import CAUSE_LABELS_LONG, CAUSE_LABELS_SHORT, CAUSE_STEMS, CAUSES
+from skylag.schemas import (
+    CAUSE_LABELS_LONG, CAUSE_LABELS_SHORT, CAUSE_STEMS, CAUSES, FEATURE_DESCRIPTIONS, FEATURES,
+)
 
 ORACLE: dict[str, str] = {}
 
@@ -593,3 +595,44 @@ SELECT carrier_code, origin_id, dest_id, date, hour, {CALENDAR}, {', '.join(STAT
          AS has_peak_hour,
        {distance_category('avg_distance')}, {season('month')}
 FROM backoff""", CELLS, REQUESTS, BACKOFF)
+
+# Models whose answers have a closed form ----------------------------------------------
+
+STEPS = [("p10", 0.5, 0.25), ("p50", 1.0, 0.5), ("p90", 2.0, 1.0)]
+PLANNED = "carrier_code, origin_id, dest_id, date, hour"
+FLAGS = """
+flags AS (
+  SELECT DISTINCT carrier_code, origin_id, dest_id, date, hour, CAST(month > 6 AS INTEGER) AS late, CAST(dow > 3 AS INTEGER) AS late_week
+  FROM requests
+)"""
+SHARES = """
+shares AS (
+  SELECT avg(CAST(month > 6 AS INTEGER)) AS half, avg(CAST(dow > 3 AS INTEGER)) AS week,
+         avg(CAST(dow > 3 AS INTEGER)) FILTER (month > 6) AS week_late, avg(CAST(dow > 3 AS INTEGER)) FILTER (month <= 6) AS week_early
+  FROM cells
+)"""
+STEP_VALUES = ", ".join(f"round(exp({a} * late + {b} * late_week) - 1, 6) AS {p}" for p, a, b in STEPS)
+on_tables("attribution_residual", f"""
+SELECT DISTINCT {PLANNED}, percentile, CAST(0 AS DOUBLE) AS residual
+FROM requests, (SELECT unnest(['p10', 'p50', 'p90']) AS percentile)""", CELLS, REQUESTS)
+on_tables("step_forecast", f"""
+SELECT *, {band('p50')} AS band, p10 > p50 OR p50 > p90 AS crossed
+FROM (SELECT {PLANNED}, {STEP_VALUES} FROM flags)""", CELLS, REQUESTS, FLAGS)
+on_tables("step_importance", """
+SELECT percentile, CAST(rank AS INTEGER) AS rank, feature, CAST(splits AS BIGINT) AS splits
+FROM (SELECT unnest(['p10', 'p50', 'p90']) AS percentile),
+     (VALUES (1, 'DayOfWeek', 2), (2, 'Month', 1)) t(rank, feature, splits)""")
+on_tables("step_attribution", f"""
+SELECT {PLANNED}, percentile, feature,
+       round(CASE feature
+         WHEN 'Month' THEN a * (late - half) + b * (CASE late WHEN 1 THEN week_late ELSE week_early END - week) / 2
+         WHEN 'DayOfWeek' THEN b * (late_week - week) / 2 + b * (late_week - CASE late WHEN 1 THEN week_late ELSE week_early END) / 2
+         ELSE 0 END, 6) + 0.0 AS contribution,
+       round(a * half + b * week, 6) AS base_value
+FROM flags, shares, (SELECT unnest({FEATURES}) AS feature),
+     (VALUES {', '.join(f"('{p}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for p, a, b in STEPS)}) s(percentile, a, b)""",
+          CELLS, REQUESTS, FLAGS, SHARES)
+on_tables("step_descriptions", f"""
+SELECT percentile, feature, description
+FROM (SELECT unnest(['p10', 'p50', 'p90']) AS percentile),
+     (VALUES {', '.join(f"('{f}', '{FEATURE_DESCRIPTIONS[f]}')" for f in ('Month', 'DayOfWeek'))}) t(feature, description)""")

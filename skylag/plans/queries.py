@@ -494,6 +494,24 @@ def trained(spark: SparkSession, sf_dir: str) -> str:
     return _TRAINED[job]
 
 
+# Labels that are an exact function of month and weekday: what two-level trees learn from them has a closed form,
+# so that scoring, split counts and attributions can be held against SQL. Weights of (Month > 6), (DayOfWeek > 3).
+STEPS = {"p10": (0.5, 0.25), "p50": (1.0, 0.5), "p90": (2.0, 1.0)}
+
+
+def trained_steps(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of models fitted on the lookup cells with the labels of ``STEPS``."""
+    job = (*_job(spark, sf_dir), "steps")
+    if job not in _TRAINED:
+        folder = shared_folder(spark, "step-models")
+        late, end = (F.col("Month") > 6).cast("double"), (F.col("DayOfWeek") > 3).cast("double")
+        training = scenario.training_table(written_cells(spark, sf_dir)).withColumns(
+            {f"label_{p}": a * late + b * end for p, (a, b) in STEPS.items()})
+        model.save_models(model.fit_models(training, trees=2, depth=2), folder)
+        _TRAINED[job] = folder
+    return _TRAINED[job]
+
+
 @query
 def inference_lookup(t):
     return rounded(lookup.inference_lookup(lookup.lookup_cells(t.flights)), LOOKUP_VALUES)
@@ -519,11 +537,11 @@ def model_training_table(t):
         scenario.training_table(lookup.lookup_cells(t.flights)), [*LOOKUP_VALUES, *labels])
 
 
-def model_query(build) -> Query:
-    """Register a query that scores with the trained models."""
+def model_query(build, fitted=trained) -> Query:
+    """Register a query that scores with the models of ``fitted``."""
     @wraps(build)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        folder = trained(spark, sf_dir)
+        folder = fitted(spark, sf_dir)
         tables = flight_tables(spark, sf_dir)
         table = lookup.inference_lookup(written_cells(spark, sf_dir))
         features = scenario.scenario_features(model_requests(tables.flights), table)
@@ -532,6 +550,11 @@ def model_query(build) -> Query:
     return build
 
 
+def step_query(build) -> Query:
+    """Register a query that scores with the models whose answers have a closed form."""
+    return model_query(build, trained_steps)
+
+
 @model_query
 def model_forecast(spark, features, folder):
     return model.model_forecast(features, model.load_models(folder))
@@ -557,3 +580,37 @@ def feature_descriptions(spark, features, folder):
     important = model.feature_importance(model.split_counts(spark, folder))
     top = model.attribution_top(model.attribution(features, folder))
     return model.feature_descriptions(important, top)
+
+
+@model_query
+def attribution_residual(spark, features, folder):
+    """What contributions and base value lack to the log prediction: nothing."""
+    logs = model.log_forecast(features, model.load_models(folder))
+    logs = logs.unpivot(scenario.MODEL_REQUEST, list(PERCENTILES), "percentile", "log")
+    keys = [*scenario.MODEL_REQUEST, "percentile"]
+    sums = model.attribution(features, folder).groupBy(*keys).agg(
+        (F.sum("contribution") + F.first("base_value")).alias("explained"))
+    return sums.join(logs, keys).select(*keys, (F.round(F.col("explained") - F.col("log"), 6) + 0.0).alias("residual"))
+
+
+@step_query
+def step_forecast(spark, features, folder):
+    return rounded(model.model_forecast(features, model.load_models(folder)), list(PERCENTILES))
+
+
+@step_query
+def step_importance(spark, features, folder):
+    return model.feature_importance(model.split_counts(spark, folder))
+
+
+@step_query
+def step_attribution(spark, features, folder):
+    found = rounded(model.attribution(features, folder), ["contribution", "base_value"])
+    return found.select(*scenario.MODEL_REQUEST, "percentile", "feature", (F.col("contribution") + 0.0).alias("contribution"), "base_value")
+
+
+@step_query
+def step_descriptions(spark, features, folder):
+    """The two features that the models test, with their texts."""
+    important = model.feature_importance(model.split_counts(spark, folder))
+    return model.feature_descriptions(important, important)
