@@ -5,9 +5,9 @@ from __future__ import annotations
 import math
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
-from itertools import chain, combinations
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -149,38 +149,48 @@ def _shapley_parts(leaf: Leaf) -> list[list[float]]:
     """Contribution of each tested feature for every set of passed tests, as a bit mask.
 
     In a coalition a feature counts 1 or 0 as its test is passed or not, outside of it its
-    share of training rows; a path tests at most as many features as trees are deep.
+    share of training rows. The coalitions of one size are the coefficients of a product with one
+    factor per other feature, so none is listed; a path tests at most as many features as trees are deep.
     """
     shares = [share for _, _, share in leaf.tests.values()]
     m = len(shares)
-    parts = []
-    for mask in range(2 ** m):
-        passed = [float(mask >> j & 1) for j in range(m)]
-        row = []
-        for i in range(m):
-            others = [j for j in range(m) if j != i]
-            total = 0.0
-            for inside in chain.from_iterable(combinations(others, n) for n in range(m)):
-                weight = 1 / (m * math.comb(m - 1, len(inside)))
-                total += weight * math.prod(passed[j] if j in inside else shares[j] for j in others)
-            row.append(leaf.value * (passed[i] - shares[i]) * total)
-        parts.append(row)
-    return parts
+    passed = (np.arange(2 ** m)[:, None] >> np.arange(m)) & 1
+    weights = np.array([1 / (m * math.comb(m - 1, size)) for size in range(m)])
+    parts = np.empty((2 ** m, m))
+    for i in range(m):
+        by_size = np.zeros((2 ** m, m))
+        by_size[:, 0] = 1
+        for j in range(m):
+            if j != i:
+                joined = np.roll(by_size, 1, axis=1) * passed[:, [j]]
+                by_size = by_size * shares[j] + joined
+        parts[:, i] = leaf.value * (passed[:, i] - shares[i]) * (by_size @ weights)
+    return parts.tolist()
 
 
 LEAVES = ("percentile string, tested array<int>, lo array<double>, hi array<double>, "
           "parts array<array<double>>")
-BROADCAST_LEAVES = 100_000
+# What the leaves of all models may take when they are sent to every task.
+LEAF_BYTES = 64 << 20
+
+
+def _bounded(leaves: list[Leaf], used: int) -> int:
+    """Bytes of the leaves' contributions after ``used`` others; too many fail before they are computed."""
+    used += sum(2 ** len(leaf.tests) * len(leaf.tests) * 8 for leaf in leaves)
+    if used > LEAF_BYTES:
+        raise ValueError(f"attributions of trees this deep and many take {used} bytes, over {LEAF_BYTES}")
+    return used
 
 
 def _leaf_table(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, float], int]:
     """Leaves of the saved models with their contributions, base value per model, longest path.
 
-    Its size follows from the models' parameters alone: trees times two to their depth.
+    Its size follows from the models' parameters alone, trees times four to their depth, and is checked.
     """
-    rows, base, longest = [], {}, 1
+    rows, base, longest, size = [], {}, 1, 0
     for p, fitted in load_models(folder).items():
         leaves = _leaves(_nodes(spark, folder, p).collect(), fitted.treeWeights)
+        size = _bounded(leaves, size)
         base[p] = sum(leaf.value * math.prod(t[2] for t in leaf.tests.values()) for leaf in leaves)
         unused = set(range(len(FEATURES))).difference(*[leaf.tests for leaf in leaves])
         leaves += [Leaf(0.0, {f: (-math.inf, math.inf, 1.0)}) for f in unused]
@@ -189,7 +199,7 @@ def _leaf_table(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str,
             lo, hi = [t[0] for t in leaf.tests.values()], [t[1] for t in leaf.tests.values()]
             rows.append((p, list(leaf.tests), lo, hi, _shapley_parts(leaf)))
     table = spark.createDataFrame(rows, LEAVES)
-    return (F.broadcast(table) if len(rows) <= BROADCAST_LEAVES else table), base, longest
+    return F.broadcast(table), base, longest
 
 
 def _spread(features: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -189,3 +190,17 @@ def test_model_report(table, planned, fitted):
     frames = model_report(planned, table, fitted)
     assert frames["route_facts"].count() == 10
     assert frames["descriptions"].where("description LIKE 'No desc%'").count() == 0
+
+
+def test_contributions_of_deep_paths_add_up():
+    """Eight tested features: for every set of passed tests the contributions sum to what the leaf gains over its base."""
+    shares = [0.1, 0.9, 0.5, 0.3, 0.7, 0.2, 0.6, 0.8]
+    parts = model._shapley_parts(model.Leaf(2.0, {f: (0.0, 1.0, s) for f, s in enumerate(shares)}))
+    base = 2.0 * math.prod(shares)
+    assert len(parts) == 256
+    assert all(sum(row) == pytest.approx((2.0 if mask == 255 else 0.0) - base) for mask, row in enumerate(parts))
+
+
+def test_too_deep_trees_fail_before_their_contributions_are_computed():
+    with pytest.raises(ValueError, match="take .* bytes"):
+        model._bounded([model.Leaf(1.0, {f: (0.0, 1.0, 0.5) for f in range(20)})], 0)
