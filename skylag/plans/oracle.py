@@ -636,3 +636,9 @@ on_tables("step_descriptions", f"""
 SELECT percentile, feature, description
 FROM (SELECT unnest(['p10', 'p50', 'p90']) AS percentile),
      (VALUES {', '.join(f"('{f}', '{FEATURE_DESCRIPTIONS[f]}')" for f in ('Month', 'DayOfWeek'))}) t(feature, description)""")
+
+# The same tables through files and readers --------------------------------------------
+
+for name, source in [("landed_flights", "scan_flights"), ("csv_flights", "scan_flights"), ("csv_airports", "scan_airports"),
+                     ("csv_airlines", "scan_airlines"), ("read_lookup_table", "inference_lookup")]:
+    ORACLE[name] = ORACLE[source]

@@ -11,7 +11,10 @@ from skylag import functions as fn
 from skylag.operators import analog, filters, lookup, model, options, reports, routes, scenario
 from skylag.schemas import DATE_KEYS, HIST_COLUMNS, PERCENTILES
 from skylag.session import materialize, shared_folder
-from skylag.sources import FlightTables, flight_tables, register_views
+from skylag.sources import (
+    FlightTables, flight_tables, land_flights, read_airlines, read_airports, read_flights, read_flights_csv, read_lookup,
+    register_views,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,6 +63,38 @@ def scan_airlines(t):
     return t.airlines
 
 
+def as_csv(frame: DataFrame, purpose: str) -> str:
+    """Write a frame as gzip CSV with a header to the shared folder."""
+    path = shared_folder(frame.sparkSession, purpose)
+    frame.write.option("header", True).option("compression", "gzip").csv(path)
+    return path
+
+
+@query
+def landed_flights(t):
+    path = shared_folder(t.spark, "landed-flights")
+    land_flights(t.flights, path)
+    return read_flights(t.spark, path)
+
+
+@query
+def csv_flights(t):
+    return read_flights_csv(t.spark, as_csv(t.flights, "csv-flights"))
+
+
+@query
+def csv_airports(t):
+    named = t.airports.select(F.col("code").alias("Code"), F.col("airport_name").alias("Airport Name"),
+                              F.col("latitude").alias("Latitude"), F.col("longitude").alias("Longitude"))
+    return read_airports(t.spark, as_csv(named, "csv-airports"))
+
+
+@query
+def csv_airlines(t):
+    named = t.airlines.select(F.col("code").alias("Code"), F.col("description").alias("Description"))
+    return read_airlines(t.spark, as_csv(named, "csv-airlines"))
+
+
 @query
 def sql_view_query(t):
     register_views(t.flights, t.airports, t.airlines)
@@ -517,6 +552,13 @@ def inference_lookup(t):
     return rounded(lookup.inference_lookup(lookup.lookup_cells(t.flights)), LOOKUP_VALUES)
 
 
+@query
+def read_lookup_table(t):
+    path = shared_folder(t.spark, "lookup")
+    lookup.inference_lookup(written_cells(t.spark, t.sf_dir)).write.parquet(path)
+    return rounded(read_lookup(t.spark, path), LOOKUP_VALUES)
+
+
 @query
 def lookup_backoff(t):
     requests = scenario.keyed_requests(model_requests(t.flights))
