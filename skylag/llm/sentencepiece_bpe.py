@@ -36,7 +36,7 @@ from skylag.llm.words import sliced
 
 PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CHUNK, BLOCK = 16_384, 64
+CHUNK, BLOCK = 65_536, 64
 #: Distinct words whose ids a worker remembers; it starts afresh beyond.
 REMEMBERED = 400_000
 _WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*|[^{SPACE}\n]+")
@@ -368,7 +368,7 @@ def encode(docs: DataFrame, path: str = PATH, chunk: int = CHUNK, block: int = B
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 2 << 20):  # the lists of words take several times the text
             texts = batch.column("text").to_pylist()
             found = iter(shared.value.encode_texts([t for t in texts if t is not None]))
             yield pa.RecordBatch.from_arrays([*batch.columns, _lists([None if t is None else next(found) for t in texts])],
