@@ -12,9 +12,10 @@ the tokens. Three orders are used:
 3. a third hash: the prefixes must share a token here too.
 
 What passes all filters is verified exactly on the full sets. Links are transitive in the result, so not all pairs of a large
-group are made: on each token every document meets the smallest one (the pivot); after the links are known, only tokens
-whose documents are still in different components go on with a new pivot, until the remaining pairs are few and are
-all tried. A token that very many documents share is spread over all buckets with a pivot in each.
+group are made: on each token every document meets the smallest one (the pivot), then the one whose tokens are shared
+most. Once these links are known, the remaining pairs are those that share a token, lie in different components, and whose known distances to a common pivot do not
+rule a link out; all of them are tried. A token that very many documents share is spread over all buckets with a pivot
+in each.
 
 Null and empty texts have no set, link with nothing and are their own component. Rows that repeat a doc_id share its
 component; rows without doc_id have none. An empty table gives an empty result; other columns are ignored by ``classes`` and
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from skylag.llm.components import components
 from skylag.llm.tables import written
@@ -92,7 +93,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Common tokens may stand behind the prefix once others are moved back, so twice the prefix is counted.
         pool.extend(s[:2 * prefix_size(len(s))] for s in sets)
         heavy = None
-        if sum(map(len, pool)) > 2 * BUCKET_TOKENS:
+        if sum(map(len, pool)) > BUCKET_TOKENS:
             heavy = [{"token": t, "count": c} for t, c in frequent()]
         yield rows(ids, [len(s) for s in sets], keys, [None] * len(ids))
         if heavy:
@@ -255,8 +256,8 @@ def _of(docs: DataFrame, pairs: DataFrame, make, kind: str) -> tuple[DataFrame,
     return lists, lists.join(lows, "doc", "left_semi").select(F.col("doc").alias("pivot"), F.col("tokens").alias("low"))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of candidates (doc, pivot, n, m) those that pass the filters of the other orders and are linked: (a, b).
+def _distances(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of candidates (doc, pivot, n, m) those that pass the filters of the other orders, with their distance: written.
 
     Linked sets differ in at most (n + m) / 7 tokens. The second order's first quarter alone must keep to that, and it is an
     eighth of the bytes of the sets, which only the pairs that are left have to move.
@@ -270,10 +271,16 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     n, m = F.size("tokens"), F.size("low")
     front = lambda c, size: F.slice(c, F.lit(1), _prefix(size))
     shared = F.size(F.array_intersect("tokens", "low"))
-    return (near.join(sets.hint("merge"), "doc").join(low_sets.hint("merge"), "pivot")
-            .filter(F.arrays_overlap(front("tokens", n), front("low", m)))
-            .filter(100 * shared >= PERCENT * (n + m - shared))
-            .select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct())
+    return written(near.join(sets.hint("merge"), "doc").join(low_sets.hint("merge"), "pivot")
+                   .filter(F.arrays_overlap(front("tokens", n), front("low", m)))
+                   .select("doc", "pivot", shared.alias("shared"), (n + m - shared).alias("all"))
+                   .groupBy("doc", "pivot").agg(F.max(F.struct((F.col("shared") / F.col("all")).alias("share"), "shared", "all")).alias("s"))
+                   .select("doc", "pivot", (1 - F.col("s.share")).alias("distance"),
+                           (100 * F.col("s.shared") >= PERCENT * F.col("s.all")).alias("linked")), "distances")
+
+
+def _links(distances: DataFrame) -> DataFrame:
+    return distances.filter("linked").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
 
 
 def _prefix(n):
@@ -287,7 +294,7 @@ def _labels(copies: DataFrame, links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id."""
-    spark: SparkSession = docs.sparkSession
+    spark = docs.sparkSession
     known = facts(docs)
     heavy = _heavy_tokens(known)
     rows = known.filter("heavy is null")
@@ -314,41 +321,71 @@ def classes(docs: DataFrame) -> DataFrame:
                                F.when(F.col("x") > F.col("y"), F.col("n")).otherwise(F.col("m")).alias("n"),
                                F.when(F.col("x") > F.col("y"), F.col("m")).otherwise(F.col("n")).alias("m")).distinct(), "pairs")
 
-    links = written(_verified(docs, settled(met.filter("doc <> pivot").select("doc", "pivot"))), "links")
-    labels = _labels(copies, links)
-    open_rows = met.filter("token is not null").select("token", "doc")
-    while True:
-        open_rows, many, pairs = _still_open(open_rows, labels)
-        if not many:
-            break
-        if pairs <= 4 * many + 100_000:
-            other = open_rows.select("token", F.col("doc").alias("pivot"), F.col("component").alias("theirs"))
-            todo = open_rows.join(other, "token").filter("doc > pivot and component <> theirs").select("doc", "pivot")
-            open_rows = None
-        else:
-            pivots = open_rows.groupBy("token").agg(F.min(F.struct("component", "doc")).alias("p"))
-            marked = open_rows.join(pivots, "token")
-            todo = marked.filter("component <> p.component").select("doc", F.col("p.doc").alias("pivot"))
-            open_rows = marked.filter("doc <> p.doc").select("token", "doc")
-        more = written(_verified(docs, settled(todo)), "links")
-        links = links.union(more)
-        labels = _labels(copies, links)
-        if open_rows is None:
-            break
+    tried = _distances(docs, settled(met.filter("doc <> pivot").select("doc", "pivot")))
+    labels = _labels(copies, _links(tried))
+    still = _open_rows(met.filter("token is not null"), reps)
+    central = _distances(docs, _central_pairs(still, labels))
+    labels = _labels(copies, _links(tried).union(_links(central)))
+    rest = _distances(docs, _remaining(still, labels, tried))
+    labels = _labels(copies, _links(tried).union(_links(central)).union(_links(rest)))
     return rows.join(labels, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _still_open(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
-    """Rows (token, doc) of tokens whose documents lie in several components: written; their number; pairs among them."""
-    named = (rows.join(labels, F.col("doc") == F.col("node"), "left")
-             .select("token", F.coalesce("component", "doc").alias("component"), "doc"))
-    mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    kept = written(named.join(mixed.select("token"), "token", "left_semi"), "open")
-    sizes = kept.groupBy("token").count()
-    many, pairs = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)),
-                            F.coalesce(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.lit(0))).first()
-    return kept, int(many), int(pairs)
+def _open_rows(met: DataFrame, reps: DataFrame) -> DataFrame:
+    """Tokens whose documents have not all been compared, by representative: (token, x, y, n), y for the pivot; written."""
+    a = reps.select(F.col("doc_id").alias("doc"), F.col("rep").alias("x"), "n")
+    b = reps.select(F.col("doc_id").alias("pivot"), F.col("rep").alias("y"))
+    return written(met.join(a, "doc").join(b, "pivot").groupBy("token", "x").agg(F.min("y").alias("y"), F.min("n").alias("n")), "open")
+
+
+def _named(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    """``rows`` with the component of a column's documents."""
+    known = labels.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    return (rows.join(known, F.col(node) == F.col("_node"), "left")
+            .withColumn(name, F.coalesce("_component", node)).drop("_node", "_component"))
+
+
+def _sizes_fit():
+    return (100 * F.col("n") >= PERCENT * F.col("m")) & (100 * F.col("m") >= PERCENT * F.col("n"))
+
+
+def _central_pairs(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Second pivots: on each token the document whose tokens are shared most, with the documents it has no link to yet.
+
+    Copies with different edits may be far from each other and yet all linked to the text they were made from, which
+    shares every token with most of them.
+    """
+    sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
+    scores = rows.join(sizes, "token").groupBy("x").agg(F.sum("size").alias("score"))
+    best = (rows.join(scores, "x").groupBy("token")
+            .agg(F.max(F.struct("score", (-F.col("x")).alias("minus"), "n")).alias("best"))
+            .select("token", (-F.col("best.minus")).alias("c"), F.col("best.n").alias("m")))
+    pairs = rows.join(best, "token").filter((F.col("x") != F.col("c")) & _sizes_fit()).select("x", "c", "n", "m").distinct()
+    return written(_named(_named(pairs, labels, "x", "ours"), labels, "c", "theirs").filter("ours <> theirs")
+                   .select(F.col("x").alias("doc"), F.col("c").alias("pivot"), "n", "m"), "pairs")
+
+
+def _remaining(rows: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs (doc, pivot, n, m) that still share a token but no component: written.
+
+    Left out are pairs whose sizes allow no link, and pairs whose distances to the pivot they met on already differ by more
+    than a link allows (the Jaccard distance obeys the triangle inequality).
+    """
+    rows = written(_named(rows, labels, "x", "component"), "open")
+    # Tokens within one component are done; of tokens that the same documents share one is enough.
+    tokens = (rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"),
+                                        F.bit_xor(F.xxhash64("x")).alias("s1"), F.bit_xor(F.xxhash64("x", F.lit(1))).alias("s2"))
+              .filter("low <> high").groupBy("size", "s1", "s2").agg(F.min("token").alias("token")))
+    known = tried.select(F.col("doc").alias("x"), F.col("pivot").alias("y"), "distance")
+    rows = written(rows.join(tokens.select("token"), "token", "left_semi").join(known, ["x", "y"], "left")
+                   .withColumn("distance", F.when(F.col("x") == F.col("y"), 0.0).otherwise(F.col("distance"))), "open")
+    other = rows.select("token", F.col("x").alias("pivot"), F.col("y").alias("z"), F.col("n").alias("m"),
+                        F.col("component").alias("theirs"), F.col("distance").alias("far"))
+    apart = ((F.col("y") == F.col("z")) & (F.abs(F.col("distance") - F.col("far")) > 1 - PERCENT / 100 + 1e-9))
+    return written(rows.join(other, "token").filter(
+        (F.col("x") > F.col("pivot")) & (F.col("component") != F.col("theirs")) & _sizes_fit()
+        & ~F.coalesce(apart, F.lit(False))).select(F.col("x").alias("doc"), "pivot", "n", "m").distinct(), "pairs")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
