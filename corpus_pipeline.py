@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from skylag.llm import decontaminate, exact_dedup, jaccard, language_id, sentencepiece_bpe
@@ -37,8 +39,17 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode(docs)
 
 
-STAGES = [("language_id", identify_language), ("exact_dedup", drop_copies), ("ngram_jaccard", drop_near_copies),
-          ("decontamination", drop_benchmark), ("sentencepiece", tokenise)]
+def _prepared(stage):
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        reach_workers(spark)
+        return stage(spark, docs, sf_dir)
+    return run_stage
+
+
+STAGES = [(name, _prepared(stage)) for name, stage in [
+    ("language_id", identify_language), ("exact_dedup", drop_copies), ("ngram_jaccard", drop_near_copies),
+    ("decontamination", drop_benchmark), ("sentencepiece", tokenise)]]
 
 #: Two stages (a trained network, a vocabulary) are not to be had in SQL; tests hold run() against a plain version.
 ORACLE_SQL = None
@@ -46,7 +57,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each written to the shared folder and read again."""
-    reach_workers(spark)
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_path(spark, f"stage-{name}")

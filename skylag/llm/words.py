@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
@@ -138,7 +138,7 @@ def sequence_hash(hashes: np.ndarray) -> int:
     return int(mix(total)[0])
 
 
-def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that the texts of one batch hold about ``limit`` bytes or one row."""
     for batch in batches:
         sizes = np.fromiter((len(x) for x in text_bytes(batch.column(column))), np.int64, batch.num_rows)
