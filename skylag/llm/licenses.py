@@ -7,7 +7,7 @@ of a rule at most ``MAX_GAP`` unknown sentences may lie. All of it happens insid
 
 Null and empty texts hold no sentence and give no row. Repeated rows give repeated results, an empty table an empty
 one, other columns are ignored. A line end inside a sentence (the next line goes on in lower case, or in capitals after
-capitals or a comma) does not end it.
+capitals or a comma, or with a word listed in ``CONTINUED``) does not end it.
 """
 
 from __future__ import annotations
@@ -18,64 +18,173 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 MAX_GAP = 1
 
-# Wording of public licence notices, each with the identifier of the sentence.
-SENTENCES = {
-    "a": "Licensed under the Apache License, Version 2.0.",
-    "b": "Licensed under the Apache License, Version 2.0 (the \"License\");",
-    "c": "you may not use this file except in compliance with the License.",
-    "d": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "e": "Unless required by applicable law or agreed to in writing, software distributed under the License is "
-         "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "f": "See the License for the specific language governing permissions and limitations under the License.",
-    "g": "Released under the MIT License.",
-    "h": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-         "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
-         "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of "
-         "the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
-         "conditions:",
-    "i": "The above copyright notice and this permission notice shall be included in all copies or substantial "
-         "portions of the Software.",
-    "j": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
-         "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
-    "k": "This work is licensed under the GNU General Public License, version 3.",
-    "l": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-         "option) any later version.",
-    "m": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
-         "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
-    "n": "See the GNU General Public License for more details.",
-    "o": "Licensed under CC BY-NC 4.0.",
-    "p": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "q": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    "r": "All rights reserved.",
-    "s": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-         "the following conditions are met:",
-    "t": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
-         "products derived from this software without specific prior written permission.",
-}
+# Wording of public licence notices, each with one identifier per piece, as ``_pieces`` cuts it. Wordings that
+# say the same share an identifier.
+SENTENCES = [
+    ("a", "Licensed under the Apache License, Version 2.0."),
+    ("a", "This project is licensed under the Apache License, Version 2.0."),
+    ("a", "Licensed under the Apache License 2.0."),
+    ("a", "This project is licensed under the Apache License 2.0."),
+    ("a", "Released under the Apache License, Version 2.0."),
+    ("b", "Licensed under the Apache License, Version 2.0 (the \"License\");"),
+    ("c", "you may not use this file except in compliance with the License."),
+    ("d", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("d", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"),
+    ("u", "You may obtain a copy of the License at"),
+    ("v", "http://www.apache.org/licenses/LICENSE-2.0"),
+    ("v", "https://www.apache.org/licenses/LICENSE-2.0"),
+    ("e", "Unless required by applicable law or agreed to in writing, software distributed under the License is "
+          "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("f", "See the License for the specific language governing permissions and limitations under the License."),
+    ("g", "Released under the MIT License."),
+    ("g", "Licensed under the MIT License."),
+    ("g", "This project is licensed under the MIT License."),
+    ("g", "This software is released under the MIT License."),
+    ("g", "Distributed under the MIT License."),
+    ("h", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+          "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
+          "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of "
+          "the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+          "conditions:"),
+    ("i", "The above copyright notice and this permission notice shall be included in all copies or substantial "
+          "portions of the Software."),
+    ("j", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+          "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
+    ("k", "This work is licensed under the GNU General Public License, version 3."),
+    ("k", "Licensed under the GNU General Public License, version 3."),
+    ("0", "This work is licensed under the GNU General Public License, version 2."),
+    ("0", "Licensed under the GNU General Public License, version 2."),
+    ("A", "This program is free software;"),
+    ("A", "This library is free software;"),
+    ("A", "This software is free software;"),
+    ("A", "This file is free software;"),
+    ("o", "Licensed under CC BY-NC 4.0."),
+    ("1", "Licensed under CC BY 4.0."),
+    ("p", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("q", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("r", "All rights reserved."),
+    ("s", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+          "the following conditions are met:"),
+    ("D", "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+          "following disclaimer."),
+    ("E", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+          "following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("t", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+          "products derived from this software without specific prior written permission."),
+    ("F", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+          "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+          "PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("G", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+          "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("G", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby "
+          "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("2", "Licensed under the ISC License."),
+    ("2", "Released under the ISC License."),
+    ("HIJ", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+            "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("HIJ", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+            "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("3", "Licensed under the Mozilla Public License, version 2.0."),
+    ("3", "Licensed under the Mozilla Public License 2.0."),
+    ("S", "SPDX-License-Identifier:"),
+]
+
+# The notices of the GNU licences: (prefix of the rules, name, SPDX name, identifiers: of the grant that ends before the
+# version, of "See the ... for more details.").
+_GNU = [("gpl", "GNU General Public License", "GPL", "B", "n"), ("lgpl", "GNU Lesser General Public License", "LGPL", "C", "w"),
+        ("lgpl_library", "GNU Library General Public License", "LGPL", "K", "x"),
+        ("agpl", "GNU Affero General Public License", "AGPL", "L", "y")]
+_VERSIONS = {"gpl": "23", "lgpl": ("2.1", "3"), "lgpl_library": "2", "agpl": "3"}
+_GRANT = "you can redistribute it and/or modify it under the terms of the {}"
+_LATER = ("or (at your option) any later version.", "or any later version.")
+_ANY = "This {} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied " \
+       "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+#: Identifiers of pieces that are numbered: letters that stand nowhere else in a sequence.
+_NUMBERED = iter(map(chr, [*range(0xC0, 0xD7), *range(0x100, 0x180)]))
+SENTENCES += [("mM", _ANY.format(what)) for what in ("program", "library", "software", "file")]
 
 # Fixed values: (rule, licence, sequence of sentences), in order of preference.
 RULES = [
     ("apache_header", "Apache-2.0", "bcdef"),
+    ("apache_header", "Apache-2.0", "bcuvef"),
     ("mit_text", "MIT", "hij"),
-    ("gpl_notice", "GPL-3.0-or-later", "lmn"),
+    ("bsd_3", "BSD-3-Clause", "sDEt"),
     ("bsd_3", "BSD-3-Clause", "st"),
-    ("bsd_2", "BSD-2-Clause", "s"),
+    ("bsd_2", "BSD-2-Clause", "sDEF"),
+    ("bsd_start", "BSD (clauses unknown)", "s"),
+    ("isc_text", "ISC", "G"),
+    ("mpl_notice", "MPL-2.0", "HIJ"),
     ("apache_short", "Apache-2.0", "a"),
     ("apache_start", "Apache-2.0", "b"),
     ("mit_short", "MIT", "g"),
     ("mit_grant", "MIT", "h"),
+    ("isc_short", "ISC", "2"),
+    ("mpl_short", "MPL-2.0", "3"),
     ("gpl_short", "GPL-3.0-only", "k"),
-    ("gpl_grant", "GPL-3.0-or-later", "l"),
+    ("gpl_2_short", "GPL-2.0-only", "0"),
     ("cc_by_nc_short", "CC-BY-NC-4.0", "o"),
+    ("cc_by_short", "CC-BY-4.0", "1"),
     ("cc_by_nc", "CC-BY-NC-4.0", "q"),
     ("cc_by", "CC-BY-4.0", "p"),
     ("all_rights", "all rights reserved", "r"),
 ]
 
-#: Line ends that do not end a sentence, sentence ends, and what is dropped when a sentence is normalised.
-CONTINUED, CONTINUED_CAPITALS = "([A-Za-z,;]) *\n *([a-z])", "([A-Z,;]) *\n *([A-Z][A-Z])"
-ENDS, DROPPED = "([.!?:;])[ \t\r\n]+", "[^a-z0-9]+"
+
+def _gnu_notices() -> None:
+    """Grants of the GNU licences: name and version in one piece, or in two where a semicolon parts them."""
+    either, exactly, grants = {}, {}, []
+    for version in ("2", "2.1", "3"):
+        either[version], exactly[version] = next(_NUMBERED), next(_NUMBERED)
+        SENTENCES.extend((either[version], f"either version {version} of the License, {later}") for later in _LATER)
+        SENTENCES.extend((exactly[version], wording.format(version)) for wording in
+                         ("version {} of the License.", "either version {} of the License."))
+    for prefix, name, spdx, alone, details in _GNU:
+        grant = _GRANT.format(name)
+        SENTENCES.append((alone, f"{grant} as published by the Free Software Foundation;"))
+        SENTENCES.append((details, f"See the {name} for more details."))
+        for version in _VERSIONS[prefix]:
+            later, only = next(_NUMBERED), next(_NUMBERED)
+            number = version if "." in version else f"{version}.0"
+            rule = prefix if version == "3" or prefix == "lgpl_library" else f"{prefix}_{version.replace('.', '_')}"
+            SENTENCES.extend((later, f"{grant} as published by the Free Software Foundation, either version {version} of the "
+                                     f"License, {words}") for words in _LATER)
+            SENTENCES.extend([(only, f"{grant} as published by the Free Software Foundation, version {version} of the License."),
+                              (only, f"{grant} version {version} as published by the Free Software Foundation."),
+                              (only, f"{grant}, version {version}, as published by the Free Software Foundation.")])
+            if prefix == "gpl" and version == "3":
+                SENTENCES[:] = [("l" if codes == later else codes, text) for codes, text in SENTENCES]
+                later = "l"
+            for licence, kind, codes in ((f"{spdx}-{number}-or-later", "", (later, alone + either[version])),
+                                         (f"{spdx}-{number}-only", "_only", (only, alone + exactly[version]))):
+                grants += [(f"{rule}{kind}", licence, c, details) for c in codes]
+    RULES[:0] = [(f"{rule}_notice", licence, f"{codes}mM{details}") for rule, licence, codes, details in grants]
+    RULES.extend((f"{rule}_grant", licence, codes) for rule, licence, codes, _ in grants)
+
+
+def _spdx_lines() -> None:
+    """``SPDX-License-Identifier:`` and one name."""
+    names = {n: n for n in ("MIT", "ISC", "Apache-2.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0")}
+    for gnu, versions in (("GPL", ("2.0", "3.0")), ("LGPL", ("2.0", "2.1", "3.0")), ("AGPL", ("3.0",))):
+        for v in versions:
+            names |= {f"{gnu}-{v}-only": f"{gnu}-{v}-only", f"{gnu}-{v}-or-later": f"{gnu}-{v}-or-later", f"{gnu}-{v}": f"{gnu}-{v}-only"}
+    codes: dict[str, str] = {}
+    for name, licence in names.items():
+        if licence not in codes:
+            codes[licence] = next(_NUMBERED)
+            RULES.append(("spdx", licence, "S" + codes[licence]))
+        SENTENCES.append((codes[licence], name))
+
+
+_gnu_notices()
+_spdx_lines()
+
+#: Line ends that do not end a sentence, sentence ends (both with the signs of comments at the start of lines), and what is
+#: dropped when a sentence is normalised.
+CONTINUED = ("([A-Za-z,;)\"])[ \t\r]*\n[ \t#*/%]*([a-z(]|(?:GNU|General Public|Lesser General|Library General|Affero General|Public License|"
+             "License[ ,]|Free Software|Software Foundation|Foundation[ ,;.]|Apache License|Mozilla Public|MERCHANTABILITY|FITNESS|"
+             "WITHOUT (?:ANY|WARRANT)|WARRANT|You can obtain))")
+CONTINUED_CAPITALS = "([A-Z,;)\"])[ \t\r]*\n[ \t#*/%]*(\"?[A-Z][A-Z])"
+ENDS, DROPPED = "([.!?:;])[ \t\r\n][ \t\r\n#*/%]*", "[^a-z0-9]+"
 GAP = "/"
 
 
@@ -86,8 +195,13 @@ def _pieces(text: str) -> list[str]:
 
 
 def known_sentences() -> dict[str, str]:
-    """Normalised sentence to identifier. A notice that holds a sentence end inside counts by its first part."""
-    return {_pieces(text)[0]: code for code, text in SENTENCES.items()}
+    """Normalised piece to identifier, for every piece of every known sentence."""
+    known: dict[str, str] = {}
+    for codes, text in SENTENCES:
+        pieces = _pieces(text)
+        if len(pieces) != len(codes) or any(known.setdefault(p, c) != c for p, c in zip(pieces, codes)):
+            raise ValueError(f"identifiers {codes} do not fit the pieces of: {text}")
+    return known
 
 
 def sentences(text: Column) -> Column:

@@ -98,6 +98,52 @@ def test_licences(spark, odd, nothing):
     assert licenses.scan(odd).count() == 0 and licenses.scan(nothing).count() == 0
 
 
+def _gnu_notice(name, grant, what="program"):
+    return f"""This {what} is free software{grant}
+
+This {what} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+{name} for more details."""
+
+
+def test_licences_are_told_apart_by_the_piece_with_name_and_version(spark):
+    gpl, lgpl, agpl = "GNU General Public License", "GNU Lesser General Public License", "GNU Affero General Public License"
+    may = "you can redistribute it and/or modify\nit under the terms of the"
+    gpl_2 = _gnu_notice(gpl, f"; {may} {gpl} as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.")
+    gpl_3 = _gnu_notice(gpl, f": {may} {gpl} as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.")
+    agpl_3 = _gnu_notice(agpl, f": {may} {agpl} as published\nby the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.")
+    lgpl_21 = _gnu_notice(lgpl, f"; {may} GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\n"
+                                "version 2.1 of the License, or (at your option) any later version.", "library")
+    mpl = ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\n"
+           "file, You can obtain one at http://mozilla.org/MPL/2.0/.")
+    apache = ("Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\n"
+              "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n"
+              "Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\n"
+              "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\n"
+              "limitations under the License.")
+    bsd = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+           "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n"
+           "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n"
+           "   and/or other materials provided with the distribution.\n\n{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"\n"
+           "AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED.")
+    third = ("3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n"
+             "   this software without specific prior written permission.\n\n")
+    expected = [(gpl_2, "gpl_2_notice", "GPL-2.0-or-later"), (gpl_3, "gpl_notice", "GPL-3.0-or-later"), (agpl_3, "agpl_notice", "AGPL-3.0-or-later"),
+                (lgpl_21, "lgpl_2_1_notice", "LGPL-2.1-or-later"), (mpl, "mpl_notice", "MPL-2.0"), (apache, "apache_header", "Apache-2.0"),
+                (bsd.format(""), "bsd_2", "BSD-2-Clause"), (bsd.format(third), "bsd_3", "BSD-3-Clause"), (MIT, "mit_text", "MIT"),
+                ("Licensed under the MIT License.", "mit_short", "MIT"), ("SPDX-License-Identifier: AGPL-3.0-or-later", "spdx", "AGPL-3.0-or-later"),
+                ("SPDX-License-Identifier: GPL-2.0-only", "spdx", "GPL-2.0-only"), ("Licensed under the ISC License.", "isc_short", "ISC")]
+    texts = [form for text, _, _ in expected for form in (
+        text, text.replace("\n", "\r\n"), "\n".join(f" * {line}".rstrip() for line in text.split("\n")), "\n".join(f"# {line}" for line in text.split("\n")),
+        "/*\n" + "\n".join(f"// {line}" for line in text.split("\n")) + "\n*/")]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["rules"], r["licences"]) for r in licenses.scan(frame).collect()}
+    assert got == {k: ([expected[k // 5][1]], [expected[k // 5][2]]) for k in range(len(texts))}
+    vague = "This program is free software: you can do what you like."
+    assert licenses.scan(spark.createDataFrame([(1, vague)], "doc_id bigint, text string")).count() == 0
+
+
 def test_licence_scan_has_no_python_and_no_shuffle(documents):
     plan = licenses.scan(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
