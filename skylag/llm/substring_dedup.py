@@ -6,8 +6,9 @@ earlier (smaller doc_id, or earlier in the same document) is removed; windows ar
 1. Anchors. The anchor of a window is the smallest hash among its runs of ``ANCHOR`` words, so equal windows have
    equal anchors. Neighbouring windows mostly share one; such a run of windows is dealt by its anchor, and only runs whose
    anchor occurs again can hold repeated windows.
-2. Confirmation. The words of these runs are dealt into shards by anchor. A shard counts the windows of its runs; those
-   that occur again are the recurring passages.
+2. Confirmation. The words of these runs are dealt into shards by anchor. Anchors of more than ``HOT_RUNS`` runs are
+   salted: their windows are dealt one by one by a hash of all their words, as a window needs to meet equal ones only. A
+   shard counts the windows of its runs; those that occur again are the recurring passages.
 3. Location. Each shard compiles an Aho-Corasick automaton of its recurring passages over words and streams all its
    runs through it. Every occurrence but the first is marked.
 4. Marked windows are gathered by document and their words cut out of the whole text.
@@ -39,6 +40,10 @@ WINDOW, ANCHOR = 20, 8
 #: More than the windows of one run (WINDOW - ANCHOR + 1 at most); runs that a shard and a bucket hold, which bound a
 #: task's memory.
 RUN, SHARD_RUNS, BUCKET_RUNS = 32, 8_000, 1 << 19
+#: Runs of one anchor above which its windows are dealt one by one; such anchors are broadcast up to this number.
+HOT_RUNS, HOT_ANCHORS = 4_000, 1 << 17
+#: Distinct words of a shard that have a character of their own, those above the surrogates.
+LETTERS = 0x110000 - 0xE000
 #: What a task pools before it settles and sends: runs, bytes of words.
 POOL_RUNS, POOL_BYTES = 1 << 20, 24 << 20
 #: Bytes of marks up to which they are broadcast to the scan of the texts; above, the texts are shuffled to them.
@@ -139,6 +144,11 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield bucket()
 
 
+def _deal(window: bytes, level: int = 0) -> int:
+    """A number from all words of a window; another one at each level."""
+    return int.from_bytes(hashlib.blake2b(window, digest_size=8, salt=level.to_bytes(2, "little")).digest(), "little")
+
+
 def _segments(shards: int):
     """Documents with their recurring runs to shards: (shard, words, docs, starts, sizes).
 
@@ -151,8 +161,22 @@ def _segments(shards: int):
 
         def flush():
             by_shard: dict[int, list] = {}
+            windows: dict[bytes, tuple] = {}
             for text, (doc, start, size, shard) in first.items():
-                by_shard.setdefault(shard, []).append((text, doc, start, size))
+                if shard is not None:
+                    by_shard.setdefault(shard, []).append((text, doc, start, size))
+                    continue
+                words = text.split(b" ")
+                for j in range(size):
+                    window = b" ".join(words[j:j + WINDOW])
+                    seen = windows.get(window)
+                    if seen is None or (doc, start + j) < seen:
+                        windows[window] = (doc, start + j)
+                    if seen is not None and (doc, start + j) != seen:
+                        marks.append((*max(seen, (doc, start + j)), 1))
+            for window, (doc, start) in windows.items():
+                by_shard.setdefault(_deal(window) % shards, []).append((window, doc, start, 1))
+            windows.clear()
             rows = [(shard, b"\n".join(x[0] for x in runs), *(np.array([x[k] for x in runs], np.int64).tobytes() for k in (1, 2, 3)))
                     for shard, runs in by_shard.items()]
             for at in range(0, len(marks), 4096):
@@ -174,8 +198,8 @@ def _segments(shards: int):
                     text = b" ".join(words[start:start + size + WINDOW - 1])
                     seen = first.get(text)
                     if seen is None:
-                        first[text] = (doc, start, size, r["anchor"] % shards)
-                        held += len(text) + 200
+                        first[text] = (doc, start, size, None if r["hot"] else r["anchor"] % shards)
+                        held += (len(text) + 200) * (1 + size if r["hot"] else 1)
                     elif (doc, start) < seen[:2]:
                         marks.append(seen[:3])
                         first[text] = (doc, start, size, seen[3])
@@ -198,15 +222,28 @@ def automaton(passages) -> ahocorasick.Automaton:
     return trie
 
 
-def repeated_windows(runs: list[tuple[bytes, int, int]]) -> Iterator[tuple[int, int, int]]:
-    """Of runs (words, doc, start) in one shard: marks (doc, start, windows) of windows that also start earlier."""
+def repeated_windows(runs: list[tuple[bytes, int, int]], level: int = 1) -> Iterator[tuple[int, int, int]]:
+    """Of runs (words, doc, start) in one shard: marks (doc, start, windows) of windows that also start earlier.
+
+    If the runs have more distinct words than there are characters, their windows are dealt to two halves.
+    """
     letters: dict[bytes, str] = {}
     coded = []
     for text, doc, start in runs:
         word_codes = []
         for w in text.split(b" "):
             if (c := letters.get(w)) is None:
-                # Characters above the surrogates.
+                if len(letters) == LETTERS:
+                    del coded, letters
+                    halves: tuple[list, list] = [], []
+                    for other, d, at in runs:
+                        words = other.split(b" ")
+                        for j in range(len(words) - WINDOW + 1):
+                            window = b" ".join(words[j:j + WINDOW])
+                            halves[_deal(window, level) & 1].append((window, d, at + j))
+                    for half in halves:
+                        yield from repeated_windows(half, level + 1)
+                    return
                 c = letters[w] = chr(0xE000 + len(letters))
             word_codes.append(c)
         coded.append(("".join(word_codes), doc, start))
@@ -276,11 +313,15 @@ def marked(docs: DataFrame) -> DataFrame:
     buckets = max(4 * partitions, size // 42 // BUCKET_RUNS)
     runs = written(texts.mapInArrow(_anchors(buckets), "bucket int, anchors binary, docs binary, at binary, known binary")
                    .repartition("bucket").sortWithinPartitions("bucket")
-                   .mapInArrow(_recurring, "doc bigint, at bigint, anchor bigint")
-                   .groupBy("doc").agg(F.collect_set(F.struct("at", "anchor")).alias("runs")), "runs")
-    n_runs = runs.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
-    shards = max(4 * partitions, n_runs // SHARD_RUNS)
-    with_runs = texts.join(runs.hint("shuffle_hash"), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "runs")
+                   .mapInArrow(_recurring, "doc bigint, at bigint, anchor bigint"), "runs")
+    hot = written(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("at") % RUN + 1).alias("n_windows"))
+                  .filter(F.col("n") > HOT_RUNS), "hot")
+    n_hot, hot_runs, hot_windows = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_windows"), F.lit(0))).first()
+    shards = max(4 * partitions, (runs.count() - hot_runs + hot_windows) // SHARD_RUNS)
+    named = hot.select("anchor", F.lit(True).alias("hot"))
+    told = (runs.join(F.broadcast(named) if n_hot <= HOT_ANCHORS else named, "anchor", "left")
+            .groupBy("doc").agg(F.collect_set(F.struct("at", "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs")))
+    with_runs = texts.join(told.hint("shuffle_hash"), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "runs")
     return written(with_runs.mapInArrow(_segments(shards), "shard int, words binary, docs binary, starts binary, sizes binary")
                    .repartition("shard").sortWithinPartitions("shard")
                    .mapInArrow(_marks, "doc bigint, start bigint, windows bigint")

@@ -241,6 +241,36 @@ def test_substrings_on_repetitive_texts(spark):
     assert sorted(map(tuple, got.collect())) == repeated_words(rows)
 
 
+def test_windows_of_a_hot_anchor_are_dealt_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT_RUNS", 20)
+    draw = random.Random(4)
+    # Of many phrases the one with the smallest hash, so that it is the anchor of all windows that hold it.
+    phrase = min((" ".join(f"p{n}q{k}" for k in range(8)) for n in range(5000)),
+                 key=lambda p: words.grams(words.text_words(np.frombuffer(p.encode(), np.uint8)), 8)[0])
+    around = [" ".join(f"c{draw.randint(0, 10 ** 6)}" for _ in range(30)) for _ in range(60)]
+    rows = [(k, f"{around[draw.randrange(60)]} {phrase} {around[draw.randrange(60)]}") for k in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, substring_dedup.summary(frame).collect())) == repeated_words(rows)
+    # Dealt by their anchor the runs are in one shard, by their windows in many.
+    runs = [{"at": 3 * substring_dedup.RUN + 12, "anchor": 5, "hot": hot} for hot in (True, False)]
+    texts = [" ".join(f"d{k}w{j}" for j in range(40)) for k in range(300)]
+    for run, least in zip(runs, (40, 1)):
+        kind = pa.list_(pa.struct([("at", pa.int64()), ("anchor", pa.int64()), ("hot", pa.bool_())]))
+        batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts), pa.array([[run]] * 300, kind)], names=["doc_id", "text", "runs"])
+        sent = [r for out in substring_dedup._segments(64)(iter([batch])) for r in out.to_pylist()]
+        sizes = [len(r["docs"]) // 8 for r in sent]
+        assert len({r["shard"] for r in sent}) >= least and sum(sizes) == (300 * 13 if run["hot"] else 300)
+        assert max(sizes) <= (150 if run["hot"] else 300)
+
+
+def test_a_shard_may_have_more_words_than_characters(monkeypatch):
+    draw = random.Random(6)
+    runs = [(" ".join(draw.choice("abcdefgh") if k % 2 else f"x{k % 5}w{j}" for j in range(30)).encode(), k, 3) for k in range(200)]
+    expected = {(d, s + j) for d, s, n in substring_dedup.repeated_windows(runs) for j in range(n)}
+    monkeypatch.setattr(substring_dedup, "LETTERS", 60)
+    assert expected and {(d, s + j) for d, s, n in substring_dedup.repeated_windows(runs) for j in range(n)} == expected
+
+
 def test_substrings_odd_rows(odd, nothing):
     got = {(r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.summary(odd).collect()}
     # A repeated row is the same document, so it does not repeat itself; a row without doc_id keeps its words.
