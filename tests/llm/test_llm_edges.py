@@ -292,6 +292,21 @@ def test_pii_odd_rows(spark, documents, odd, nothing):
     assert row["text"] == "mail [EMAIL] now"
 
 
+@pytest.mark.parametrize("text", ["write to jane [at] example [dot] org", "jane(at)example(dot)org", "Jane AT example DOT com", "jane\nat example dot org"])
+def test_spelt_out_addresses_reach_the_trees_without_a_digit(text, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "features", lambda text, span: seen.append(span) or [0.0])
+
+    class Sure:
+        def probabilities(self, x):
+            return np.ones(len(x))
+
+    expected = sorted(c for c in pii.candidates(text) if c[0] == "email")
+    base, spans = pii.Detector(Sure(), {"email": 0.5}).spans(text)
+    assert base == [] and seen == expected and len(spans) == min(1, len(expected))
+    assert bool(expected) == ("\n" not in text)
+
+
 @pytest.mark.parametrize("text", ["1" * 50_000, "a" * 50_000 + "@", "+1" + "(" * 50_000, "1.1." * 20_000, "@" * 20_000, "1 " * 30_000,
                                   "1.2.3.4.5.6.7.8 999.1.1.1", "a@b.c@d.e", "+1 (234) 555-0000 1.2.3.4", "4111-1111-1111-1111 4"])
 def test_base_spans_equal_the_patterns(text):
