@@ -1,8 +1,10 @@
 """Benchmark decontamination by BM25 with block maxima (operator 3).
 
 Test items are the indexed side: each is one unit, or several of at most ``UNIT_WORDS`` words, with postings of BM25
-impacts divided by the unit's score against itself. Every training passage, two neighbouring spans of a document of
-the longest unit's length, overlapping by one span, is a query; so a unit copied in one piece lies whole in some passage.
+impacts divided by the unit's score against itself. Units of one length class (lengths up to the same power of two) have
+an index of their own. Every training passage, two neighbouring spans of a document of the class's length, overlapping by
+one span, is a query; so a unit copied in one piece lies whole in some passage, and which passages a unit meets depends
+on its own length only.
 Units lie in blocks of ``BLOCK``; an index of (term, block) maxima gives an upper bound of every score in a block, and only
 blocks whose bound reaches the threshold are scored exactly, with the distinct terms of the passage. All units at or above
 ``SCORE`` are retrieved and then verified: of the word triples of the unit's question (its first half) and of
@@ -116,8 +118,13 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
+def length_class(n: int) -> int:
+    """The least power of two that is not below a number of words."""
+    return 1 << (n - 1).bit_length()
+
+
 def build_index(units: list[tuple[int | None, np.ndarray]], df: dict[int, int], n_units: int, mean_words: float) -> Index:
-    """Index of one shard from its units and the statistics of all."""
+    """Index of some units of one shard from the statistics of all. Passages are as long as the largest length class needs."""
     terms = np.unique(np.concatenate([w for _, w in units]))
     rare = np.array([df[int(t)] for t in terms.view(np.int64)])
     idf = np.log1p((n_units - rare + 0.5) / (rare + 0.5))
@@ -143,11 +150,11 @@ def build_index(units: list[tuple[int | None, np.ndarray]], df: dict[int, int],
     sieve = np.zeros(1 << 20, bool)
     sieve[(terms & np.uint64(0xFFFFF)).astype(np.int64)] = True
     return Index([i for i, _ in units], terms, np.searchsorted(t, edges), u, w, np.searchsorted(t[first], edges), u[first] // BLOCK,
-                 np.maximum.reduceat(w, first), question, answer, size, least, max(len(w) for _, w in units), sieve)
+                 np.maximum.reduceat(w, first), question, answer, size, least, max(length_class(len(w)) for _, w in units), sieve)
 
 
-def indexes(items: DataFrame, shard_words: int = SHARD_WORDS) -> list[Index]:
-    """Shards of the index over ``items`` (item_id, text). Statistics come from all items; a shard's rows are bounded."""
+def indexes(items: DataFrame, shard_words: int = SHARD_WORDS) -> list[list[Index]]:
+    """Shards over ``items`` (item_id, text), each an index per length class. Statistics come from all items; a shard's rows are bounded."""
     units = written(items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").mapInArrow(_units, _UNIT)
                     .withColumn("key", F.xxhash64("item_id", "words")), "units")
     n, words = units.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
@@ -161,71 +168,83 @@ def indexes(items: DataFrame, shard_words: int = SHARD_WORDS) -> list[Index]:
         rows = mine.select("item_id", "words").collect()
         if rows:
             theirs = df.join(mine.select(F.explode("words").alias("term")).distinct(), "term", "left_semi").collect()
-            out.append(build_index([(r["item_id"], np.array(r["words"], np.int64).view(np.uint64)) for r in rows],
-                                   {r["term"]: r["count"] for r in theirs}, n, words / n))
+            counts = {r["term"]: r["count"] for r in theirs}
+            classes: dict[int, list] = {}
+            for r in rows:
+                classes.setdefault(length_class(len(r["words"])), []).append((r["item_id"], np.array(r["words"], np.int64).view(np.uint64)))
+            out.append([build_index(units_of, counts, n, words / n) for _, units_of in sorted(classes.items())])
     return out
 
 
-def _found(index: Index, batch: pa.RecordBatch) -> Iterator[tuple[int, dict]]:
+def _found(shard: list[Index], batch: pa.RecordBatch) -> Iterator[tuple[int, dict]]:
     """Row of the batch and its findings by item: (score, question, answer), the best passage each."""
     for first, places, words in batch_words(batch.column("text"), lower=True, loose=True):
-        starts, owners = [], []
-        for row, (a, b) in enumerate(zip(places, places[1:])):
-            n = -(-(b - a) // index.span)
-            starts.append(a + np.arange(n) * index.span), owners.append(np.full(n, row))
-        owner = np.concatenate(owners) if owners else np.empty(0, int)
-        if not len(owner):
-            continue
-        spans = np.append(np.concatenate(starts), len(words))
-        best: dict[int, dict] = {}
-        for k, unit, *values in index.find(words, spans):
-            # A passage may reach into the next document of the group; each document is looked at again by itself.
-            for row in {int(owner[k]), int(owner[min(k + 1, len(owner) - 1)])}:
-                best.setdefault(row, {})
-        for row in best:
-            mine = words[places[row]:places[row + 1]]
-            own = np.append(np.arange(-(-len(mine) // index.span)) * index.span, len(mine))
-            found: dict = {}
-            for _, unit, *values in index.find(mine, own):
-                item = index.items[unit]
-                found[item] = max(found.get(item, (0.0,)), tuple(values))
-            if found:
-                yield first + row, found
-
-
-def find(docs: DataFrame, shards: list[Index]) -> DataFrame:
+        found: dict[int, dict] = {}
+        for index in shard:
+            _found_by(index, places, words, found)
+        for row in sorted(found):
+            yield first + row, found[row]
+
+
+def _found_by(index: Index, places, words: np.ndarray, found: dict[int, dict]) -> None:
+    starts, owners = [], []
+    for row, (a, b) in enumerate(zip(places, places[1:])):
+        n = -(-(b - a) // index.span)
+        starts.append(a + np.arange(n) * index.span), owners.append(np.full(n, row))
+    owner = np.concatenate(owners) if owners else np.empty(0, int)
+    if not len(owner):
+        return
+    spans = np.append(np.concatenate(starts), len(words))
+    # A passage may reach into the next document of the group; each document is looked at again by itself.
+    rows = {int(owner[j]) for k, *_ in index.find(words, spans) for j in (k, min(k + 1, len(owner) - 1))}
+    for row in rows:
+        mine = words[places[row]:places[row + 1]]
+        own = np.append(np.arange(-(-len(mine) // index.span)) * index.span, len(mine))
+        for _, unit, *values in index.find(mine, own):
+            best, item = found.setdefault(row, {}), index.items[unit]
+            best[item] = max(best.get(item, (0.0,)), tuple(values))
+
+
+def find(docs: DataFrame, shards: list[list[Index]]) -> DataFrame:
     """Documents that hold test items: doc_id, item_id, score, question_overlap, answer_overlap."""
     schema = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    # Equal rows have equal findings; what tells other rows with the same doc_id apart is needed between shards only.
+    key = F.sha2("text", 256) if len(shards) > 1 else F.lit("")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", key.alias("key"))
 
-    def search(index: Index):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    def search(shard: list[Index]):
+        shared = docs.sparkSession.sparkContext.broadcast(shard)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, "text"):
-                ids = batch.column("doc_id")
-                rows = [(ids[row].as_py(), item, *values) for row, found in _found(shared.value, batch)
+                ids, keys = batch.column("doc_id"), batch.column("key")
+                rows = [(ids[row].as_py(), item, *values, keys[row].as_py()) for row, found in _found(shared.value, batch)
                         for item, values in sorted(found.items(), key=lambda x: (x[0] is None, x[0]))]
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)],
-                                                 names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
-        return texts.mapInArrow(run, schema)
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)],
+                                                 names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "key"])
+        return texts.mapInArrow(run, schema + ", key string")
 
-    found = [search(index) for index in shards]
+    found = [search(shard) for shard in shards]
     if not found:
         return docs.sparkSession.createDataFrame([], schema)
-    both = found[0]
-    for more in found[1:]:
-        both = both.union(more)
-    # An item cut into units may lie in several shards.
-    return both if len(found) == 1 else both.groupBy("doc_id", "item_id").agg(
-        F.max("score").alias("score"), F.max("question_overlap").alias("question_overlap"), F.max("answer_overlap").alias("answer_overlap"))
+    if len(found) == 1:
+        return found[0].drop("key")
+    both = found[0].withColumn("shard", F.lit(0))
+    for k, more in enumerate(found[1:], 1):
+        both = both.union(more.withColumn("shard", F.lit(k)))
+    # An item cut into units may lie in several shards: its best passage, once for each of the equal rows.
+    best = both.groupBy("doc_id", "key", "item_id").agg(
+        F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("best"),
+        (F.count(F.lit(1)) / F.size(F.collect_set("shard"))).cast("int").alias("copies"))
+    return (best.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+            .select("doc_id", "item_id", "best.score", "best.question_overlap", "best.answer_overlap"))
 
 
-def remove(docs: DataFrame, shards: list[Index]) -> DataFrame:
+def remove(docs: DataFrame, shards: list[list[Index]]) -> DataFrame:
     """The rows of ``docs`` that hold no test item, all columns; one pass over the texts for each shard."""
-    for index in shards:
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for shard in shards:
+        shared = docs.sparkSession.sparkContext.broadcast(shard)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, "text"):

@@ -170,6 +170,26 @@ def test_decontamination(spark, odd, nothing):
     assert decontaminate.find(frame, decontaminate.indexes(items.filter("item_id > 99"))).count() == 0
 
 
+def test_findings_depend_neither_on_other_items_nor_on_shards(spark):
+    def found(items, docs, shard_words=10 ** 6):
+        frame = spark.createDataFrame(items, "item_id bigint, text string")
+        texts = spark.createDataFrame(docs, "doc_id bigint, text string")
+        return sorted((r["doc_id"], r["item_id"], round(r["score"], 9), r["question_overlap"], r["answer_overlap"])
+                      for r in decontaminate.find(texts, decontaminate.indexes(frame, shard_words)).collect())
+
+    short = [(1, "a b c d e f g h")]
+    long = [(2, " ".join(f"z{k}" for k in range(256)))]
+    gap = " ".join(f"f{k}" for k in range(100))
+    # Half of the triples of each half, far apart: no passage of the item's own length holds them.
+    scattered = [(1, f"a b c d {gap} e f g h {gap}")]
+    assert found(short, scattered) == [] and found(short + long, scattered) == []
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(n))) for k, n in enumerate((8, 20, 300, 700, 6, 3))]
+    docs = [(k, f"{gap} {items[k % 6][1]} {gap} {items[(k + 1) % 6][1]}") for k in range(6)]
+    docs += [docs[2], docs[2], (2, f"{items[2][1]} other")]
+    whole = found(items, docs)
+    assert len(whole) == 17 and found(items, docs, 100) == whole
+
+
 def test_bounds_never_lose_an_item():
     draw = random.Random(5)
     vocabulary = [f"v{k}" for k in range(80)]
