@@ -1,8 +1,8 @@
 """Scalar rules as native Column expressions (no Python UDFs)."""
 
 from skylag.functions.calendar import (  # noqa: F401
-    date_text, day_name, dep_hour, flight_date, format_time, hour_text, iso_dow, month_name,
-    time_of_day,
+    date_text, day_name, dep_hour, flight_date, format_time, hour_of, hour_text, iso_dow, month_name,
+    time_of_day, weekday_of,
 )
 from skylag.functions.delays import (  # noqa: F401
     cause_label, clamp_delay, color_array, forecast_band, from_log_delay, is_delay, is_delayed,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def flight_date(year="Year", month="Month", day="DayofMonth") -> Column:
-    return F.make_date(F.col(year), F.col(month), F.col(day))
+    """The parts may be whole numbers of any width."""
+    return F.make_date(*[F.col(part).cast("int") for part in (year, month, day)])
 
 
 def iso_dow(date: Column) -> Column:
@@ -27,6 +28,16 @@ def dep_hour(hhmm: Column) -> Column:
     return F.call_function("div", hhmm, F.lit(100)).cast("int")
 
 
+def weekday_of(flights: DataFrame) -> Column:
+    """ISO weekday of each flight: the stored column where the table has one, which scans can be asked for."""
+    return F.col("DayOfWeek") if "DayOfWeek" in flights.columns else iso_dow(flight_date())
+
+
+def hour_of(flights: DataFrame) -> Column:
+    """Departure hour of each flight, stored or derived."""
+    return F.col("DepHour") if "DepHour" in flights.columns else dep_hour(F.col("CRSDepTime"))
+
+
 def hour_text(hour: Column) -> Column:
     return F.when(hour.isNotNull(), F.format_string("%02d:00", hour))
 

@@ -40,9 +40,9 @@ def training_rows(flights: DataFrame, airlines=None) -> DataFrame:
         F.col("DestAirportID").alias("dest"),
         F.col("DOT_ID_Reporting_Airline").alias("airline"),
         "Year", "DayofMonth",
-        fn.iso_dow(fn.flight_date()).alias("DayOfWeek"),
+        fn.weekday_of(flights).alias("DayOfWeek"),
         "Month",
-        fn.dep_hour(F.col("CRSDepTime")).alias("DepHour"),
+        fn.hour_of(flights).alias("DepHour"),
         F.col("CRSDepTime").alias("DepTime"),
         fn.total_delay().alias("TotalDelay"),
     )

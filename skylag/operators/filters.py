@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -11,6 +12,8 @@ from skylag import functions as fn
 from skylag.schemas import CAUSES, DATE_KEYS, DELAY_FLAGS, DELAY_MINUTES
 
 ALL = "ALL"
+#: A condition, or a function that makes one for a table from the columns it has; None does not filter.
+Clause = Column | Callable[[DataFrame], Column] | None
 REQUIRED = ["DayofMonth", "Month", "CRSDepTime", "DOT_ID_Reporting_Airline",
             "OriginAirportID", "DestAirportID"]
 # Report order of the measures.
@@ -63,27 +66,32 @@ def in_months(months) -> Column | None:
     return None if _is_all(months) else F.col("Month").isin([int(m) for m in months])
 
 
-def on_month_dow(month: int, dow: int) -> Column:
-    return (F.col("Month") == month) & (fn.iso_dow(fn.flight_date()) == dow)
+def on_month_dow(month: int, dow: int) -> Clause:
+    """A stored weekday is compared as it is, so that scans can skip row groups; else it follows from the date."""
+    return lambda flights: (F.col("Month") == month) & (fn.weekday_of(flights) == dow)
 
 
-def keep(flights: DataFrame, *clauses: Column | None) -> DataFrame:
+def keep(flights: DataFrame, *clauses: Clause) -> DataFrame:
     """Rows that meet every given clause; absent clauses do not filter."""
-    given = [clause for clause in clauses if clause is not None]
+    given = [clause(flights) if callable(clause) else clause for clause in clauses if clause is not None]
     return flights.where(reduce(and_, given)) if given else flights
 
 
-def select_flights(flights: DataFrame, date=None, origin=None, dests=ALL, dep_time=ALL,
-                   status: str = ALL) -> DataFrame:
-    """The selection of the history view: any of its parts may be left open."""
-    return keep(
-        flights,
+def selection(date=None, origin=None, dests=ALL, dep_time=ALL, status: str = ALL) -> list[Clause]:
+    """The clauses of the history view: any of its parts may be left open."""
+    return [
         on_date(*date) if date else None,
         from_origin(origin) if origin is not None else None,
         to_dests(dests),
         at_time(dep_time),
         with_status(status),
-    )
+    ]
+
+
+def select_flights(flights: DataFrame, date=None, origin=None, dests=ALL, dep_time=ALL,
+                   status: str = ALL) -> DataFrame:
+    """The selection of the history view."""
+    return keep(flights, *selection(date, origin, dests, dep_time, status))
 
 
 def keep_keys(flights: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, GroupedData, functions as F
 
 from skylag import functions as fn
 from skylag.operators.filters import require
@@ -22,13 +24,13 @@ def lookup_cells(flights: DataFrame, accuracy: int | None = None) -> DataFrame:
     distinct minute before the shuffle. With ``accuracy`` they are approximate instead, for
     delays that are not whole minutes.
     """
-    hour = fn.dep_hour(F.col("CRSDepTime"))
+    hour = fn.hour_of(flights)
     keyed = require(flights, ["DOT_ID_Reporting_Airline", "CRSDepTime"]).select(
         F.col("DOT_ID_Reporting_Airline").alias("carrier_code"),
         F.col("OriginAirportID").alias("origin_id"),
         F.col("DestAirportID").alias("dest_id"),
         F.col("Month").alias("month"),
-        fn.iso_dow(fn.flight_date()).alias("dow"),
+        fn.weekday_of(flights).alias("dow"),
         fn.time_of_day(hour).alias("time_of_day_category"),
         "CRSElapsedTime", "Distance",
         *[F.coalesce(c, F.lit(0.0)).alias(stem) for c, stem in zip(CAUSES, CAUSE_STEMS)],
@@ -36,19 +38,26 @@ def lookup_cells(flights: DataFrame, accuracy: int | None = None) -> DataFrame:
         fn.has_holiday_effect(F.col("Month"), F.col("DayofMonth")).alias("holiday"),
         fn.has_peak_hour(hour).alias("peak"),
     )
-    ranks = F.array(*[F.lit(p) for p in PERCENTILES.values()])
 
-    def percentiles(value: str) -> Column:
+    def percentiles(value: str, ranks: Column) -> Column:
         if accuracy is None:
             return F.percentile(value, ranks)
         return F.percentile_approx(value, ranks, accuracy)
 
-    cells = keyed.groupBy(*LOOKUP_KEYS).agg(
-        F.avg("CRSElapsedTime").alias("avg_crs_elapsed_time"),
-        F.avg("Distance").alias("avg_distance"),
-        *[percentiles(v).alias(f"_{v}") for v in [*CAUSE_STEMS, "total"]],
-        F.max("holiday").alias("has_holiday_effect"),
-        F.max("peak").alias("has_peak_hour"),
+    return lookup_statistics(keyed.groupBy(*LOOKUP_KEYS), percentiles, F.avg("CRSElapsedTime"), F.avg("Distance"),
+                             F.max("holiday"), F.max("peak"))
+
+
+def lookup_statistics(grouped: GroupedData, percentiles: Callable[[str, Column], Column], elapsed: Column, distance: Column,
+                      holiday: Column, peak: Column) -> DataFrame:
+    """Cells from rows grouped by ``LOOKUP_KEYS``, given how each statistic is aggregated."""
+    ranks = F.array(*[F.lit(p) for p in PERCENTILES.values()])
+    cells = grouped.agg(
+        elapsed.alias("avg_crs_elapsed_time"),
+        distance.alias("avg_distance"),
+        *[percentiles(v, ranks).alias(f"_{v}") for v in [*CAUSE_STEMS, "total"]],
+        holiday.alias("has_holiday_effect"),
+        peak.alias("has_peak_hour"),
     )
 
     def split(value: str, name: str) -> list[Column]:

@@ -128,21 +128,48 @@ class Leaf(NamedTuple):
     tests: dict[int, tuple[float, float, float]]
 
 
-def _leaves(nodes: list, weights: list[float]) -> list[Leaf]:
+class Group(NamedTuple):
+    """Leaves below one node, with the splits that tell which of their tests a flight passes."""
+
+    splits: list[tuple[int, float]]
+    leaves: list[Leaf]
+
+
+#: Splits of a group at most: what its leaves contribute is prepared for every outcome of these.
+GROUP_SPLITS = 8
+
+
+def _groups(nodes: list, weights: list[float]) -> list[Group]:
+    """The leaves of all trees in groups. A tree is cut at the highest nodes whose path and subtree have few enough splits."""
     by_id = {(n.treeID, n.id): n for n in nodes}
-    found, open_paths = [], [(by_id[t, 0], {}) for t in range(len(weights))]
-    while open_paths:
-        node, tests = open_paths.pop()
-        if node.leftChild < 0:
-            found.append(Leaf(weights[node.treeID] * node.prediction, tests))
-            continue
+
+    def children(node) -> list:
+        return [by_id[node.treeID, c] for c in (node.leftChild, node.rightChild)] if node.leftChild >= 0 else []
+
+    def below(node) -> list[tuple[int, float]]:
+        return [split for child in children(node) for split in below(child)] + (
+            [(node.feature_index, node.threshold)] if children(node) else [])
+
+    def leaves(node, tests: dict) -> list[Leaf]:
+        if not children(node):
+            return [Leaf(weights[node.treeID] * node.prediction, tests)]
         lo, hi, share = tests.get(node.feature_index, (-math.inf, math.inf, 1.0))
-        for child_id, interval in [(node.leftChild, (lo, min(hi, node.threshold))),
-                                   (node.rightChild, (max(lo, node.threshold), hi))]:
-            child = by_id[node.treeID, child_id]
-            followed = share * child.rawCount / node.rawCount
-            open_paths.append((child, {**tests, node.feature_index: (*interval, followed)}))
-    return found
+        intervals = [(lo, min(hi, node.threshold)), (max(lo, node.threshold), hi)]
+        return [leaf for child, interval in zip(children(node), intervals)
+                for leaf in leaves(child, {**tests, node.feature_index: (*interval, share * child.rawCount / node.rawCount)})]
+
+    def cut(node, path: list, tests: dict) -> list[Group]:
+        splits = list(dict.fromkeys([*path, *below(node)]))
+        if len(splits) <= GROUP_SPLITS or not children(node):
+            return [Group(splits, leaves(node, tests))]
+        lo, hi, share = tests.get(node.feature_index, (-math.inf, math.inf, 1.0))
+        own, found = (node.feature_index, node.threshold), []
+        for child, interval in zip(children(node), [(lo, min(hi, own[1])), (max(lo, own[1]), hi)]):
+            followed = {**tests, own[0]: (*interval, share * child.rawCount / node.rawCount)}
+            found += cut(child, [*path, own], followed)
+        return found
+
+    return [group for tree in range(len(weights)) for group in cut(by_id[tree, 0], [], {})]
 
 
 def _shapley_parts(leaf: Leaf) -> list[list[float]]:
@@ -168,9 +195,28 @@ def _shapley_parts(leaf: Leaf) -> list[list[float]]:
     return parts.tolist()
 
 
-LEAVES = ("percentile string, tested array<int>, lo array<double>, hi array<double>, "
-          "parts array<array<double>>")
-# What the leaves of all models may take when they are sent to every task.
+def _outcome_vectors(group: Group) -> np.ndarray:
+    """Contributions of all features, one row per outcome of the group's splits (bit j: the value is above split j)."""
+    above = (np.arange(2 ** len(group.splits))[:, None] >> np.arange(len(group.splits))) & 1
+    place = {split: j for j, split in enumerate(group.splits)}
+    out = np.zeros((len(above), len(FEATURES)))
+    for leaf in group.leaves:
+        if not leaf.tests:
+            continue
+        mask = np.zeros(len(above), dtype=int)
+        for bit, (feature, (lo, hi, _)) in enumerate(leaf.tests.items()):
+            passed = np.ones(len(above), dtype=bool)
+            if lo > -math.inf:
+                passed &= above[:, place[feature, lo]] == 1
+            if hi < math.inf:
+                passed &= above[:, place[feature, hi]] == 0
+            mask |= passed << bit
+        out[:, list(leaf.tests)] += np.array(_shapley_parts(leaf))[mask]
+    return out
+
+
+GROUPS = "percentile string, base_value double, groups array<struct<features:array<int>, thresholds:array<double>, vectors:array<array<double>>>>"
+# What the groups of all models may take when they are sent to every task.
 LEAF_BYTES = 64 << 20
 
 
@@ -182,24 +228,32 @@ def _bounded(leaves: list[Leaf], used: int) -> int:
     return used
 
 
-def _leaf_table(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, float], int]:
-    """Leaves of the saved models with their contributions, base value per model, longest path.
+def _saved_trees(spark: SparkSession, folder: str) -> dict[str, tuple[list, list[float]]]:
+    """Nodes and tree weights of the saved models, read side by side."""
+    def one(p: str) -> tuple[list, list[float]]:
+        weights = spark.read.parquet(f"{folder}/{p}/treesMetadata").toDF("tree", "metadata", "weight").collect()
+        return _nodes(spark, folder, p).collect(), [r["weight"] for r in sorted(weights, key=lambda r: r["tree"])]
+
+    with ThreadPoolExecutor(len(PERCENTILES)) as pool:
+        return dict(zip(PERCENTILES, pool.map(one, PERCENTILES)))
+
+
+def _group_table(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per saved model: its base value and its groups of leaves with their prepared contributions.
 
-    Its size follows from the models' parameters alone, trees times four to their depth, and is checked.
+    Its size follows from the models' parameters alone, trees times groups times two to ``GROUP_SPLITS``, and is checked.
     """
-    rows, base, longest, size = [], {}, 1, 0
-    for p, fitted in load_models(folder).items():
-        leaves = _leaves(_nodes(spark, folder, p).collect(), fitted.treeWeights)
+    rows, size = [], 0
+    for p, (nodes, weights) in _saved_trees(spark, folder).items():
+        groups = _groups(nodes, weights)
+        leaves = [leaf for group in groups for leaf in group.leaves]
         size = _bounded(leaves, size)
-        base[p] = sum(leaf.value * math.prod(t[2] for t in leaf.tests.values()) for leaf in leaves)
-        unused = set(range(len(FEATURES))).difference(*[leaf.tests for leaf in leaves])
-        leaves += [Leaf(0.0, {f: (-math.inf, math.inf, 1.0)}) for f in unused]
-        for leaf in leaves:
-            longest = max(longest, len(leaf.tests))
-            lo, hi = [t[0] for t in leaf.tests.values()], [t[1] for t in leaf.tests.values()]
-            rows.append((p, list(leaf.tests), lo, hi, _shapley_parts(leaf)))
-    table = spark.createDataFrame(rows, LEAVES)
-    return F.broadcast(table), base, longest
+        size += sum(2 ** len(g.splits) * len(FEATURES) * 8 for g in groups)
+        if size > LEAF_BYTES:
+            raise ValueError(f"attributions of trees this deep and many take {size} bytes, over {LEAF_BYTES}")
+        base = sum(leaf.value * math.prod(t[2] for t in leaf.tests.values()) for leaf in leaves)
+        rows.append((p, base, [([f for f, _ in g.splits], [t for _, t in g.splits], _outcome_vectors(g).tolist()) for g in groups]))
+    return F.broadcast(spark.createDataFrame(rows, GROUPS))
 
 
 def _spread(features: DataFrame) -> DataFrame:
@@ -213,36 +267,40 @@ def _spread(features: DataFrame) -> DataFrame:
     return features.dropDuplicates(MODEL_REQUEST).repartition(partitions, *MODEL_REQUEST)
 
 
-def attribution(features: DataFrame, folder: str) -> DataFrame:
-    """Contribution of every feature to every log prediction of the models saved in ``folder``.
+def _outcome(group: Column) -> Column:
+    """Which row of a group's vectors a flight takes: one bit per split it lies above."""
+    bits = F.zip_with(group["features"], group["thresholds"],
+                      lambda f, t: F.when(F.get(F.col("x"), f) > t, 1).otherwise(0))
+    # The first split is the lowest bit.
+    return F.aggregate(F.reverse(bits), F.lit(0), lambda number, bit: number * 2 + bit)
+
+
+def contribution_vectors(features: DataFrame, folder: str) -> DataFrame:
+    """One row per flight and model: ``contributions`` of all features, in feature order, and the ``base_value``.
 
     These are the Shapley values of the trees, with training shares for absent features:
-    contributions and base value add up to the prediction. A flight meets each leaf once; which
-    of the leaf's tests it passes selects the contributions prepared with the leaf. Flights are
-    spread by key before that, and the sums and rankings per flight reuse the partitioning, so
-    shuffles move one row per flight and never the multiplied rows.
+    contributions and base value add up to the prediction. Trees are cut into groups of leaves with few splits; what a group
+    contributes is prepared for each outcome of its splits, so that a flight costs one look-up and one sum of
+    vectors per group, inside its row. Flights are spread by key, and nothing is multiplied before the result.
     """
-    leaves, base, longest = _leaf_table(features.sparkSession, folder)
+    groups = _group_table(features.sparkSession, folder)
     per_model = _spread(features).select(
         *MODEL_REQUEST, F.array(*FEATURES).alias("x"),
         F.explode(F.array(*[F.lit(p) for p in PERCENTILES])).alias("percentile"))
-    passed = " + ".join(
-        f"if(get(x, get(tested, {j})) > get(lo, {j}) AND get(x, get(tested, {j})) <= get(hi, {j}), "
-        f"{2 ** j}, 0)" for j in range(longest))
-    met = per_model.join(leaves, "percentile").withColumn("part", F.expr(f"parts[{passed}]"))
-    each = F.array(*[
-        F.struct(F.get("tested", F.lit(j)).alias("feature_index"), F.get("part", F.lit(j)).alias("c"))
-        for j in range(longest)])
-    base_of = F.create_map(*[F.lit(v) for pair in base.items() for v in pair])
+    none = F.array_repeat(F.lit(0.0), F.lit(len(FEATURES)))
+    added = F.aggregate("groups", none, lambda total, group: F.zip_with(
+        total, F.get(group["vectors"], _outcome(group)), lambda a, b: a + b))
+    return per_model.join(groups, "percentile").select(
+        *MODEL_REQUEST, "percentile", added.alias("contributions"), "base_value")
+
+
+def attribution(features: DataFrame, folder: str) -> DataFrame:
+    """Contribution of every feature to every log prediction of the models saved in ``folder``, a row each."""
     return (
-        met.select(*MODEL_REQUEST, "percentile", F.inline(each))
-        .where(F.col("feature_index").isNotNull())
-        .groupBy(*MODEL_REQUEST, "percentile", "feature_index")
-        .agg(F.sum("c").alias("contribution"))
-        .withColumns({
-            "feature": _feature_name(F.col("feature_index")),
-            "base_value": base_of[F.col("percentile")],
-        })
+        contribution_vectors(features, folder)
+        .select(*MODEL_REQUEST, "percentile", "base_value", F.posexplode("contributions").alias("feature_index", "contribution"))
+        .select(*MODEL_REQUEST, "percentile", "feature_index", "contribution",
+                _feature_name(F.col("feature_index")).alias("feature"), "base_value")
     )
 
 

@@ -114,11 +114,11 @@ def availability_cube(flights: DataFrame) -> DataFrame:
     """
     cube = flights.select(
         "Month",
-        fn.iso_dow(fn.flight_date()).alias("DayOfWeek"),
+        fn.weekday_of(flights).alias("DayOfWeek"),
         F.col("OriginAirportID").alias("origin"),
         F.col("DestAirportID").alias("dest"),
         F.col("DOT_ID_Reporting_Airline").alias("airline"),
-        fn.dep_hour(F.col("CRSDepTime")).alias("DepHour"),
+        fn.hour_of(flights).alias("DepHour"),
     ).distinct()
     return cube.withColumns({c: F.col(c).cast("string") for c in ("origin", "dest", "airline")})
 

@@ -11,14 +11,18 @@ from skylag import functions as fn
 from skylag.operators.filters import ALL, by_airlines, in_months, keep, require
 from skylag.operators.routes import airport_side
 from skylag.schemas import CAUSE_LABELS_LONG, CAUSE_LABELS_SHORT, CAUSES, DATE_KEYS
+from skylag.session import materialize
 
 SELECTION = [*DATE_KEYS, "OriginAirportID"]
 
 
 def kpi_summary(flights: DataFrame, keys: list[str] = SELECTION) -> DataFrame:
     """Flights, on-time flights, delayed flights and delayed per cent; 0 % of no flights."""
-    counts = flights.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_flights"), F.sum(fn.is_delay()).alias("delayed_flights"))
+    return finished_kpis(flights.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total_flights"), F.sum(fn.is_delay()).alias("delayed_flights")), keys)
+
+
+def finished_kpis(counts: DataFrame, keys: list[str]) -> DataFrame:
     total, late = F.col("total_flights"), F.coalesce("delayed_flights", F.lit(0))
     return counts.select(
         *keys, total, (total - late).alias("on_time_flights"), late.alias("delayed_flights"),
@@ -35,6 +39,10 @@ def _dest_time_counts(flights: DataFrame, airports: DataFrame, keys: list[str])
     """
     counts = flights.groupBy(*keys, "DestAirportID", "CRSDepTime").agg(
         F.count(F.lit(1)).alias("n"), F.sum(fn.is_delay()).alias("late"))
+    return named_counts(counts, airports, keys)
+
+
+def named_counts(counts: DataFrame, airports: DataFrame, keys: list[str]) -> DataFrame:
     side = airport_side(airports, "_dst", "dest_name", "lat", "lon").select("_dst", "dest_name")
     return counts.join(side, F.col("DestAirportID") == F.col("_dst"), "left").select(
         *keys, "dest_name", fn.format_time(F.col("CRSDepTime")).alias("crs_dep_time"), "n", "late")
@@ -43,8 +51,12 @@ def _dest_time_counts(flights: DataFrame, airports: DataFrame, keys: list[str])
 def dest_time_ratio(flights: DataFrame, airports: DataFrame,
                     keys: list[str] = SELECTION) -> DataFrame:
     """Delay ratio per destination name and shown departure time; unnamed destinations drop out."""
+    return ratios_of(_dest_time_counts(flights, airports, keys), keys)
+
+
+def ratios_of(counts: DataFrame, keys: list[str]) -> DataFrame:
     return (
-        require(_dest_time_counts(flights, airports, keys), ["dest_name"])
+        require(counts, ["dest_name"])
         .groupBy(*keys, "dest_name", "crs_dep_time")
         .agg(F.sum("late").alias("delayed"), F.sum("n").alias("total"))
         .withColumn("delay_ratio", F.col("delayed") / F.col("total"))
@@ -67,8 +79,12 @@ def shown_times(ratios: DataFrame) -> list[str]:
 def heatmap_summary(flights: DataFrame, airports: DataFrame,
                     keys: list[str] = SELECTION) -> DataFrame:
     """Destinations and times shown in the matrix, and all flight records of the selection."""
+    return heatmap_of(_dest_time_counts(flights, airports, keys), keys)
+
+
+def heatmap_of(counts: DataFrame, keys: list[str]) -> DataFrame:
     shown = F.when(F.col("dest_name").isNotNull(), F.col("crs_dep_time"))
-    return _dest_time_counts(flights, airports, keys).groupBy(*keys).agg(
+    return counts.groupBy(*keys).agg(
         F.count_distinct("dest_name").alias("destinations"),
         F.count_distinct(shown).alias("departure_times"),
         F.sum("n").alias("flight_records"),
@@ -77,7 +93,7 @@ def heatmap_summary(flights: DataFrame, airports: DataFrame,
 
 # Delay causes -------------------------------------------------------------------------
 
-def _causes_long(wide: DataFrame, keys: list[str], labels: dict[str, str]) -> DataFrame:
+def causes_long(wide: DataFrame, keys: list[str], labels: dict[str, str]) -> DataFrame:
     """Turn one aggregated column per cause into one row per cause."""
     return (
         wide.unpivot(keys, CAUSES, "cause", "avg_minutes")
@@ -92,14 +108,14 @@ def cause_mean_positive(flights: DataFrame, keys: list[str] = SELECTION) -> Data
     """
     wide = flights.groupBy(*keys).agg(
         *[F.avg(F.when(F.col(c) > 0, F.col(c))).alias(c) for c in CAUSES])
-    return require(_causes_long(wide, keys, CAUSE_LABELS_SHORT), ["avg_minutes"])
+    return require(causes_long(wide, keys, CAUSE_LABELS_SHORT), ["avg_minutes"])
 
 
 def cause_mean_delayed(flights: DataFrame, keys: list[str] = SELECTION) -> DataFrame:
     """Mean of each cause over all delayed flights, zeros included; only positive means."""
     wide = flights.where(fn.is_delayed()).groupBy(*keys).agg(
         *[F.avg(F.coalesce(c, F.lit(0.0))).alias(c) for c in CAUSES])
-    return _causes_long(wide, keys, CAUSE_LABELS_LONG).where("avg_minutes > 0")
+    return causes_long(wide, keys, CAUSE_LABELS_LONG).where("avg_minutes > 0")
 
 
 def ranked_causes(causes: DataFrame) -> DataFrame:
@@ -186,6 +202,21 @@ def sorted_report(report: DataFrame, *by: str) -> DataFrame:
     return report.orderBy(*by) if by else report.orderBy(F.desc("avg_total_delay"), "airline_code")
 
 
+def numbered(report: DataFrame) -> DataFrame:
+    """A sorted report with ``row``, each row's place from 1, without bringing the rows into one task.
+
+    A task knows its own order; how many rows stand before its first comes from the counts of the earlier tasks.
+    """
+    placed = materialize(report.withColumn("_place", F.monotonically_increasing_id()), "report-rows")
+    part = F.shiftright("_place", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.col("_place") - F.shiftleft("_part", 33)
+    return (placed.withColumn("_part", part).join(starts, "_part")
+            .withColumn("row", F.col("_before") + within + 1).select(*report.columns, "row"))
+
+
 # Labels -------------------------------------------------------------------------------
 
 def airline_labels(flights: DataFrame, airlines: DataFrame) -> DataFrame:
@@ -209,6 +240,7 @@ def airport_labels(flights: DataFrame, airports: DataFrame) -> DataFrame:
 
 # Flight listing -----------------------------------------------------------------------
 
+# Display names of the listing.
 LISTING = {
     "fl_num": "Flight #",
     "orig_name": "Origin Airport",

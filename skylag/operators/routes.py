@@ -47,7 +47,7 @@ def _count_routes(flights: DataFrame, keys: list[str], flights_counted: Column)
     )
 
 
-def _finish_routes(named: DataFrame, keys: list[str]) -> DataFrame:
+def finished_routes(named: DataFrame, keys: list[str]) -> DataFrame:
     ratio = F.try_divide(F.col("delayed_count"), F.col("total_flights"))
     return named.withColumn("delay_ratio", ratio).select(
         *keys, *[F.col(c).cast("string").alias(c) for c in ROUTE], *NAME_COLUMNS,
@@ -65,7 +65,7 @@ def route_summary(flights: DataFrame, airports: DataFrame,
     key and route. Airports without an entry keep null names.
     """
     counted = _count_routes(flights, keys, F.count(F.lit(1)))
-    return _finish_routes(attach_airports(counted, airports), keys)
+    return finished_routes(attach_airports(counted, airports), keys)
 
 
 def route_summary_known(flights: DataFrame, airports: DataFrame,
@@ -73,7 +73,7 @@ def route_summary_known(flights: DataFrame, airports: DataFrame,
     """Variant that counts flight numbers and keeps only routes with both airports fully known."""
     counted = _count_routes(flights, keys, F.count("Flight_Number_Reporting_Airline"))
     named = require(attach_airports(counted, airports), NAME_COLUMNS)
-    return _finish_routes(named, keys)
+    return finished_routes(named, keys)
 
 
 def route_arcs(summary: DataFrame, keys: list[str] = DATE_KEYS) -> DataFrame:
@@ -126,15 +126,22 @@ def map_center(flights: DataFrame, airports: DataFrame,
     Flights are first counted per origin, so only counts travel to the join. Time and flight
     number are packed into one number, which keeps both aggregations hash-based.
     """
-    departure = (
-        F.coalesce("CRSDepTime", F.lit(0)).cast("bigint") * 100_000
-        + F.col("Flight_Number_Reporting_Airline"))
     per_origin = flights.groupBy(*keys, "OriginAirportID").agg(
-        F.count(F.lit(1)).alias("n"), F.min(departure).alias("departure"))
+        F.count(F.lit(1)).alias("n"), F.min(departure_order()).alias("departure"))
+    return finished_center(per_origin, airports, keys)
+
+
+def departure_order() -> Column:
+    """Time (absent as 0), then flight number (absent last) in one number of 64 bits."""
+    time = F.coalesce("CRSDepTime", F.lit(0)).cast("bigint")
+    return F.shiftleft(time, 32) + F.coalesce(F.col("Flight_Number_Reporting_Airline").cast("bigint"), F.lit(1 << 31))
+
+
+def finished_center(per_origin: DataFrame, airports: DataFrame, keys: list[str]) -> DataFrame:
     side = airport_side(airports, "_src", "name", "lat", "lon")
     placed = per_origin.join(side, F.col("OriginAirportID") == F.col("_src"), "left")
     known = F.when(F.col("lat").isNotNull(), F.col("n"))
-    first = F.col("departure") * 100_000 + F.col("OriginAirportID")
+    first = F.struct("departure", "OriginAirportID")
     return placed.groupBy(*keys).agg(
         F.try_divide(F.sum(F.col("lat") * F.col("n")), F.sum(known)).alias("center_lat"),
         F.try_divide(F.sum(F.col("lon") * F.col("n")), F.sum(known)).alias("center_lon"),

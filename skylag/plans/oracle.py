@@ -331,10 +331,14 @@ dest_time AS (
 )"""
 
 
+# The times that the derived flights have; a view cannot take its columns from the data.
+SHOWN_TIMES = ["00:05", "06:15", "08:00", "08:15", "08:30", "13:30", "17:00", "17:45", "22:45", "24:00", "N/A"]
+
 on_tables("dest_time_ratio", "SELECT * FROM dest_time", dest_time(SELECTION))
 on_tables("dest_time_matrix", """
 SELECT * FROM (PIVOT (SELECT OriginAirportID, dest_name, crs_dep_time, delay_ratio FROM dest_time)
-               ON crs_dep_time USING max(delay_ratio) GROUP BY OriginAirportID, dest_name)""", dest_time("OriginAirportID"))
+               ON crs_dep_time IN (""" + ", ".join(f"'{time}'" for time in SHOWN_TIMES) + """)
+               USING max(delay_ratio) GROUP BY OriginAirportID, dest_name)""", dest_time("OriginAirportID"))
 on_tables("heatmap_summary", f"""
 SELECT {SELECTION}, COUNT(DISTINCT airport_name) AS destinations,
        COUNT(DISTINCT CASE WHEN airport_name IS NOT NULL THEN {shown_time('CRSDepTime')} END) AS departure_times,
@@ -637,6 +641,50 @@ SELECT percentile, feature, description
 FROM (SELECT unnest(['p10', 'p50', 'p90']) AS percentile),
      (VALUES {', '.join(f"('{f}', '{FEATURE_DESCRIPTIONS[f]}')" for f in ('Month', 'DayOfWeek'))}) t(feature, description)""")
 
+TOP_ATTRIBUTION = f"""
+step_parts AS ({{step}}),
+step_top AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY {PLANNED}, percentile ORDER BY place) AS INTEGER) AS position
+  FROM (SELECT * FROM (SELECT *, list_position({FEATURES}, feature) AS place FROM step_parts)
+        QUALIFY row_number() OVER (PARTITION BY {PLANNED}, percentile ORDER BY abs(contribution) DESC, place DESC) <= 10)
+)"""
+
+
+def top_attribution(select: str) -> str:
+    """A statement over the ten largest contributions of the step models."""
+    head, _, step = ORACLE["step_attribution"].rpartition("\nSELECT ")
+    return f"{head},{TOP_ATTRIBUTION.format(step='SELECT ' + step)}\n{select}"
+
+
+ORACLE["step_attribution_top"] = top_attribution(f"""
+SELECT {PLANNED}, percentile, position, feature, round_even(contribution, 2) + 0.0 AS contribution, base_value FROM step_top""")
+ORACLE["step_descriptions_union"] = top_attribution(f"""
+SELECT percentile, feature, description
+FROM (SELECT unnest(['p10', 'p50', 'p90']) AS percentile, 'DayOfWeek' AS feature UNION SELECT percentile, feature FROM step_top)
+JOIN (VALUES {', '.join("('" + f + "', '" + t.replace("'", "''") + "')" for f, t in FEATURE_DESCRIPTIONS.items())}) d(feature, description)
+USING (feature)""")
+
+# Order as a column --------------------------------------------------------------------
+
+on_tables("absent_causes", "SELECT * REPLACE (CAST(0 AS DOUBLE) AS WeatherDelay, CAST(0 AS DOUBLE) AS SecurityDelay) FROM flights")
+for name, source, order in [
+        ("origins_in_order", "airports_by_date", f"{DATE_KEYS}, code"),
+        ("airline_average_in_order", "airline_average", "avg_total_delay DESC, airline_code"),
+        ("daily_trend_in_order", "daily_trend", "airline_code, DayofMonth")]:
+    ORACLE[name] = f"SELECT *, row_number() OVER (ORDER BY {order}) AS row FROM ({ORACLE[source]})"
+
+# The same results through other paths -------------------------------------------------
+
+for name, source in [
+        ("sql_named_frames", "sql_view_query"), ("pushed_selection", "filter_combined"), ("pushed_date", "filter_date"),
+        ("pushed_month_dow", "filter_month_dow"), ("merged_lookup", "inference_lookup"),
+        ("history_kpis", "kpi_summary"), ("history_routes", "route_summary"), ("history_center", "map_center"),
+        ("history_dest_by_time", "dest_time_ratio"), ("history_heatmap", "heatmap_summary"),
+        ("history_causes_positive", "cause_mean_positive"), ("history_causes_delayed", "cause_mean_delayed"),
+        ("history_has_cause", "has_cause"),
+        *[(f"stored_availability_{x}", f"availability_{x}") for x in ("cube", "origins", "dests", "airlines", "hours")]]:
+    ORACLE[name] = ORACLE[source]
+
 # The same tables through files and readers --------------------------------------------
 
 for name, source in [("landed_flights", "scan_flights"), ("csv_flights", "scan_flights"), ("csv_airports", "scan_airports"),

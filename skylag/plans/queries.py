@@ -8,13 +8,16 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skylag import functions as fn
-from skylag.operators import analog, filters, lookup, model, options, reports, routes, scenario
+from skylag.operators import analog, filters, lookup, model, options, reports, routes, scenario, states
+from skylag.plans.reports import averages_report, date_choices
 from skylag.schemas import DATE_KEYS, HIST_COLUMNS, PERCENTILES
 from skylag.session import materialize, shared_folder
+from skylag.store import kept
 from skylag.sources import (
     FlightTables, flight_tables, land_flights, read_airlines, read_airports, read_flights, read_flights_csv, read_lookup,
-    register_views,
+    register_views, sql_over,
 )
+from skylag.sources.summaries import read_availability, read_lookup_cells, refresh_availability, refresh_lookup_states
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,6 +111,49 @@ def sql_view_query(t):
     """)
 
 
+@query
+def sql_named_frames(t):
+    return sql_over("""
+        SELECT a.description, g.airport_name, count(*) AS flights,
+               sum(coalesce(f.ArrDelayMinutes, 0)) AS arrival_minutes
+        FROM {flights} f
+        LEFT JOIN {airlines} a ON f.DOT_ID_Reporting_Airline = CAST(a.code AS INT)
+        LEFT JOIN {geo} g ON f.OriginAirportID = CAST(g.code AS INT)
+        GROUP BY a.description, g.airport_name
+    """, t.flights, t.airports, t.airlines)
+
+
+def landed(t: FlightTables) -> str:
+    """The flights as landed Parquet, written once per state of the data."""
+    return kept(t.spark, "landed", _flight_files(t.sf_dir), lambda folder: land_flights(t.flights, folder + "/flights")) + "/flights"
+
+
+def wide_file(t: FlightTables) -> str:
+    """The flights as one writes them from pandas: every whole number as bigint, or as double where some are absent."""
+    wide = {c: F.col(c).cast("bigint") for c in (*DATE_KEYS, "Flight_Number_Reporting_Airline", "OriginAirportID", "DestAirportID")}
+    partial = {c: F.col(c).cast("double") for c in ("DOT_ID_Reporting_Airline", "CRSDepTime")}
+
+    def build(folder: str) -> None:
+        t.flights.withColumns({**wide, **partial}).write.parquet(folder + "/flights")
+    return kept(t.spark, "wide-flights", _flight_files(t.sf_dir), build) + "/flights"
+
+
+@query
+def pushed_selection(t):
+    chosen = filters.selection(origin=ROUTE[0], dests=DESTS, dep_time=DEP_TIME, status="Delayed")
+    return read_flights(t.spark, wide_file(t), *chosen)
+
+
+@query
+def pushed_date(t):
+    return read_flights(t.spark, wide_file(t), *filters.selection(date=DATE))
+
+
+@query
+def pushed_month_dow(t):
+    return read_flights(t.spark, landed(t), filters.on_month_dow(*MONTH_DOW))
+
+
 # Filters and projections --------------------------------------------------------------
 
 @query
@@ -287,8 +333,65 @@ def availability_hours(t):
     return options.availability_hours(options.availability_cube(t.flights))
 
 
+def stored_availability(t: FlightTables) -> DataFrame:
+    """The cube from its stored table; summer is refreshed twice, as after a correction."""
+    def build(folder: str) -> None:
+        flights = read_flights(t.spark, landed(t), schedule=True)
+        years = (2023, 2024)
+        refresh_availability(flights, folder + "/cube", [(y, m) for y in years for m in range(1, 9)])
+        refresh_availability(flights, folder + "/cube", [(y, m) for y in years for m in range(7, 13)])
+    return read_availability(t.spark, kept(t.spark, "availability", _flight_files(t.sf_dir), build) + "/cube")
+
+
+@query
+def stored_availability_cube(t):
+    return stored_availability(t)
+
+
+@query
+def stored_availability_origins(t):
+    return options.availability_origins(stored_availability(t), t.airports)
+
+
+@query
+def stored_availability_dests(t):
+    return options.availability_dests(stored_availability(t), t.airports)
+
+
+@query
+def stored_availability_airlines(t):
+    return options.availability_airlines(stored_availability(t), t.airlines)
+
+
+@query
+def stored_availability_hours(t):
+    return options.availability_hours(stored_availability(t))
+
+
 # Reports ------------------------------------------------------------------------------
 
+@query
+def absent_causes(t):
+    kept_causes = t.flights.drop("WeatherDelay", "SecurityDelay")
+    return filters.add_missing_causes(kept_causes).select(*t.flights.columns)
+
+
+@query
+def origins_in_order(t):
+    """The first choice of the history view with its place in the list."""
+    return reports.numbered(date_choices(t)["origins"])
+
+
+@query
+def airline_average_in_order(t):
+    return reports.numbered(averages_report(t, REPORT_MONTHS, REPORT_AIRLINES, THRESHOLD)["by_airline"])
+
+
+@query
+def daily_trend_in_order(t):
+    return reports.numbered(averages_report(t, REPORT_MONTHS, REPORT_AIRLINES, THRESHOLD)["by_day"])
+
+
 @query
 def airline_labels(t):
     return reports.airline_labels(t.flights, t.airlines)
@@ -373,6 +476,48 @@ def flight_listing_by_origin(t):
     return reports.flight_listing(rows, keys=["origin"])
 
 
+# The history view from one scan -------------------------------------------------------
+
+@query
+def history_kpis(t):
+    return states.kpi_summary(states.selection_states(t.flights))
+
+
+@query
+def history_routes(t):
+    return states.route_summary(states.selection_states(t.flights), t.airports)
+
+
+@query
+def history_center(t):
+    return states.map_center(states.selection_states(t.flights), t.airports)
+
+
+@query
+def history_dest_by_time(t):
+    return states.dest_time_ratio(states.selection_states(t.flights), t.airports)
+
+
+@query
+def history_heatmap(t):
+    return states.heatmap_summary(states.selection_states(t.flights), t.airports)
+
+
+@query
+def history_causes_positive(t):
+    return states.cause_mean_positive(states.selection_states(t.flights))
+
+
+@query
+def history_causes_delayed(t):
+    return states.cause_mean_delayed(states.selection_states(t.flights))
+
+
+@query
+def history_has_cause(t):
+    return states.has_cause(states.selection_states(t.flights))
+
+
 # Scalar rules -------------------------------------------------------------------------
 
 @query
@@ -500,33 +645,25 @@ def model_requests(flights: DataFrame) -> DataFrame:
 
 LOOKUP_VALUES = ["avg_crs_elapsed_time", "avg_distance", *HIST_COLUMNS]
 
-# Offline jobs run once per session and data folder; everything else reads their output.
-_CELLS: dict[tuple[str, str], DataFrame] = {}
-_TRAINED: dict[tuple[str, str], str] = {}
+# Offline jobs run once per state of the data; everything else reads their output.
 
-
-def _job(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    return spark.sparkContext.applicationId, sf_dir
+def _flight_files(sf_dir: str) -> list[str]:
+    return [f"{sf_dir}/{table}.parquet" for table in ("lineitem", "orders", "customer", "supplier")]
 
 
 def written_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lookup cells as a table in the shared folder, so that no reader aggregates again."""
-    job = _job(spark, sf_dir)
-    if job not in _CELLS:
-        cells = lookup.lookup_cells(flight_tables(spark, sf_dir).flights)
-        _CELLS[job] = materialize(cells, "lookup-cells")
-    return _CELLS[job]
+    def build(folder: str) -> None:
+        lookup.lookup_cells(flight_tables(spark, sf_dir).flights).write.parquet(f"{folder}/cells")
+    return spark.read.parquet(f"{kept(spark, 'lookup-cells', _flight_files(sf_dir), build)}/cells")
 
 
-def trained(spark: SparkSession, sf_dir: str) -> str:
+def trained(spark: SparkSession, sf_dir: str, trees: int = 12, depth: int = 4) -> str:
     """Folder of the fitted models."""
-    job = _job(spark, sf_dir)
-    if job not in _TRAINED:
-        folder = shared_folder(spark, "delay-models")
+    def build(folder: str) -> None:
         training = scenario.training_table(written_cells(spark, sf_dir))
-        model.save_models(model.fit_models(training), folder)
-        _TRAINED[job] = folder
-    return _TRAINED[job]
+        model.save_models(model.fit_models(training, trees, depth), folder)
+    return kept(spark, "delay-models", _flight_files(sf_dir), build, trees=trees, depth=depth)
 
 
 # Labels that are an exact function of month and weekday: what two-level trees learn from them has a closed form,
@@ -536,15 +673,12 @@ STEPS = {"p10": (0.5, 0.25), "p50": (1.0, 0.5), "p90": (2.0, 1.0)}
 
 def trained_steps(spark: SparkSession, sf_dir: str) -> str:
     """Folder of models fitted on the lookup cells with the labels of ``STEPS``."""
-    job = (*_job(spark, sf_dir), "steps")
-    if job not in _TRAINED:
-        folder = shared_folder(spark, "step-models")
+    def build(folder: str) -> None:
         late, end = (F.col("Month") > 6).cast("double"), (F.col("DayOfWeek") > 3).cast("double")
         training = scenario.training_table(written_cells(spark, sf_dir)).withColumns(
             {f"label_{p}": a * late + b * end for p, (a, b) in STEPS.items()})
         model.save_models(model.fit_models(training, trees=2, depth=2), folder)
-        _TRAINED[job] = folder
-    return _TRAINED[job]
+    return kept(spark, "step-models", _flight_files(sf_dir), build, steps=STEPS)
 
 
 @query
@@ -552,6 +686,16 @@ def inference_lookup(t):
     return rounded(lookup.inference_lookup(lookup.lookup_cells(t.flights)), LOOKUP_VALUES)
 
 
+@query
+def merged_lookup(t):
+    """The lookup from stored value counts of two overlapping landings."""
+    def build(folder: str) -> None:
+        refresh_lookup_states(filters.keep(t.flights, F.col("Month") <= 7), folder + "/states")
+        refresh_lookup_states(filters.keep(t.flights, F.col("Month") >= 7), folder + "/states")
+    folder = kept(t.spark, "lookup-states", _flight_files(t.sf_dir), build)
+    return rounded(lookup.inference_lookup(read_lookup_cells(t.spark, folder + "/states")), LOOKUP_VALUES)
+
+
 @query
 def read_lookup_table(t):
     path = shared_folder(t.spark, "lookup")
@@ -656,3 +800,17 @@ def step_descriptions(spark, features, folder):
     """The two features that the models test, with their texts."""
     important = model.feature_importance(model.split_counts(spark, folder))
     return model.feature_descriptions(important, important)
+
+
+@step_query
+def step_attribution_top(spark, features, folder):
+    found = model.attribution_top(rounded(model.attribution(features, folder), ["contribution", "base_value"]))
+    return found.withColumn("contribution", F.col("contribution") + 0.0)
+
+
+@step_query
+def step_descriptions_union(spark, features, folder):
+    """The most used feature of each model and the ten with the largest contributions, with their texts."""
+    important = model.feature_importance(model.split_counts(spark, folder), top=1)
+    attributed = model.attribution_top(rounded(model.attribution(features, folder), ["contribution", "base_value"]))
+    return model.feature_descriptions(important, attributed)

@@ -8,32 +8,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from skylag.operators import analog, model, options, reports, routes, scenario
+from skylag.operators import analog, model, options, reports, routes, scenario, states
 from skylag.operators.filters import ALL, select_flights
 from skylag.operators.lookup import lookup_backoff
 from skylag.schemas import DATE_KEYS
+from skylag.session import materialize
 from skylag.sources import FlightTables
 
 
 def history_report(tables: FlightTables, date=None, origin=None, dests=ALL, dep_time=ALL,
                    status: str = ALL) -> dict[str, DataFrame]:
-    """Flight rows, map and matrix of a selection; open parts keep all keys."""
+    """Flight rows, map and matrix of a selection; open parts keep all keys.
+
+    The selection is scanned once for all summaries: their common partial states are written first. Only the
+    rows and their listing read the flights again.
+    """
     flights = select_flights(tables.flights, date, origin, dests, dep_time, status)
-    summary = routes.route_summary(flights, tables.airports)
+    common = materialize(states.selection_states(flights), "history-states")
+    summary = states.route_summary(common, tables.airports)
     rows = routes.enrich_flights(flights, tables.airports)
-    by_time = reports.dest_time_ratio(flights, tables.airports)
+    by_time = states.dest_time_ratio(common, tables.airports)
     return {
         "rows": rows,
         "arcs": routes.route_arcs(summary),
         "points": routes.airport_points(summary),
-        "center": routes.map_center(flights, tables.airports),
-        "kpis": reports.kpi_summary(flights),
+        "center": states.map_center(common, tables.airports),
+        "kpis": states.kpi_summary(common),
         "dest_by_time": by_time,
         "matrix": reports.dest_time_matrix(by_time, reports.shown_times(by_time)),
-        "heatmap": reports.heatmap_summary(flights, tables.airports),
-        "has_cause": reports.has_cause(flights),
-        "causes_positive": reports.cause_mean_positive(flights),
-        "causes_delayed": reports.ranked_causes(reports.cause_mean_delayed(flights)),
+        "heatmap": states.heatmap_summary(common, tables.airports),
+        "has_cause": states.has_cause(common),
+        "causes_positive": states.cause_mean_positive(common),
+        "causes_delayed": reports.ranked_causes(states.cause_mean_delayed(common)),
         "listing": reports.flight_listing(rows),
     }
 

@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import FractionalType, IntegerType, StringType
+from pyspark.sql.types import FractionalType, IntegerType, StringType, StructField
 from pyspark.sql.utils import AnalysisException
 
 from skylag import functions as fn
-from skylag.operators.filters import add_missing_causes
+from skylag.operators.filters import Clause, add_missing_causes, keep
 from skylag.schemas import (
     AIRLINE_FILE_COLUMNS, AIRLINES, AIRPORT_FILE_COLUMNS, CAUSES, FLIGHTS, LOOKUP_KEYS,
 )
 
 
-def _typed_flights(raw: DataFrame) -> DataFrame:
-    """Project the known flight columns with fixed types; only cause columns may be absent."""
+#: Columns that landing adds: the ISO weekday and the departure hour.
+SCHEDULE = ("DayOfWeek", "DepHour")
+
+
+def _typed_flights(raw: DataFrame, *more: str) -> DataFrame:
+    """Project the known flight columns, and ``more`` whole numbers, with fixed types; only cause columns may be absent."""
     required = [name for name in FLIGHTS.fieldNames() if name not in CAUSES]
     missing = [name for name in required if name not in raw.columns]
     if missing:
         raise ValueError(f"flights lack the columns {missing}")
     complete = add_missing_causes(raw)
-    return complete.select([_typed(f, complete.schema[f.name].dataType).alias(f.name) for f in FLIGHTS.fields])
+    fields = [*FLIGHTS.fields, *[StructField(name, IntegerType()) for name in more]]
+    return complete.select([_typed(f, complete.schema[f.name].dataType).alias(f.name) for f in fields])
 
 
 def _typed(field, found) -> Column:
@@ -34,9 +39,29 @@ def _typed(field, found) -> Column:
         number.isNotNull(), F.raise_error(message).cast("int"))
 
 
-def read_flights(spark: SparkSession, path: str) -> DataFrame:
-    """Flights from Parquet; filters and column choice reach the scan."""
-    return _typed_flights(spark.read.parquet(path))
+def _bound(raw: DataFrame, clauses: tuple[Clause, ...]) -> DataFrame:
+    """Clauses over the file's own columns.
+
+    Numbers keep the type the file's footer gives them and the clause's literals are cast to it, whether it is int, bigint
+    or double, so that Parquet can skip row groups. A cast of the column to our narrower type would hide it
+    from the scan. Only numbers written as text have to be cast first.
+    """
+    if not any(clause is not None for clause in clauses):
+        return raw
+    texts = [f for f in FLIGHTS.fields if f.name in raw.columns and isinstance(raw.schema[f.name].dataType, StringType)]
+    comparable = raw.withColumns({f.name: _typed(f, StringType()) for f in texts}) if texts else raw
+    return keep(comparable, *clauses)
+
+
+def read_flights(spark: SparkSession, path: str, *clauses: Clause, schedule: bool = False) -> DataFrame:
+    """Flights from Parquet that meet the clauses (see ``filters.selection``), with fixed types.
+
+    Clauses given here reach the scan whatever whole-number type the file has; filters on the result do so where the types
+    agree. With ``schedule`` the weekday and hour that landing stores are kept, if the file has them: operators
+    take them instead of deriving them.
+    """
+    raw = _bound(spark.read.parquet(path), clauses)
+    return _typed_flights(raw, *[c for c in SCHEDULE if schedule and c in raw.columns])
 
 
 def read_flights_csv(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
@@ -120,6 +145,12 @@ def read_lookup(spark: SparkSession, path: str) -> DataFrame:
     return lookup.withColumns({c: F.col(c).cast("string") for c in codes})
 
 
+def sql_over(text: str, flights: DataFrame, airports: DataFrame, airlines: DataFrame) -> DataFrame:
+    """A statement over ``{flights}``, ``{geo}`` and ``{airlines}``; no view is left in the session, so that
+    tables of several folders do not collide."""
+    return flights.sparkSession.sql(text, flights=flights, geo=airports, airlines=airlines)
+
+
 def register_views(flights: DataFrame, airports: DataFrame, airlines: DataFrame) -> None:
     """Name the three tables for use from ``spark.sql``."""
     flights.createOrReplaceTempView("flights")
