@@ -9,8 +9,6 @@ what a request can meet however many flights a route has.
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skylag import functions as fn
@@ -185,19 +183,26 @@ def analog_forecast(requests: DataFrame, history: DataFrame, max_k: int = MAX_K)
 
 # Mean of the k nearest over a whole route ---------------------------------------------
 
-# Lattice steps searched first; every flight within this distance is met by an equi-join.
-NEAR_RADIUS = 2
-# Parts into which the cells of a route are split for requests in thin history.
-SALTS = 16
+# Radii searched one after the other. The blocks of a radius are twice as wide, so a request's ball meets at most two
+# along each axis; the last radius is wider than the lattice.
+RADII = (2, 4, 8, 16, 32, 64)
 MEAN_KEYS = ["origin", "dest"]
 # Request column and the history column it is compared with.
 POINT = {"day": "DayofMonth", "dow": "DayOfWeek", "month": "Month", "hour": "DepHour"}
 AT = {p: f"at_{p}" for p in POINT}
 
 
-def _near_steps(radius: int) -> list[tuple[int, ...]]:
-    span = range(-radius, radius + 1)
-    return [s for s in product(span, repeat=len(POINT)) if sum(x * x for x in s) <= radius * radius]
+def _in_blocks(cells: DataFrame, radius: int) -> DataFrame:
+    """Cells with the block of a radius that each lies in."""
+    return cells.withColumns({f"{p}_block": F.floor(F.col(at) / (2 * radius)) for p, at in AT.items()})
+
+
+def _around(requests: DataFrame, radius: int) -> DataFrame:
+    """Each request once per block that may hold a point within the radius, 16 at most."""
+    for p in POINT:
+        ends = F.array(*[F.floor((F.col(p) + sign * radius) / (2 * radius)) for sign in (-1, 1)])
+        requests = requests.withColumn(f"{p}_block", F.explode(F.array_distinct(ends)))
+    return requests
 
 
 def _squared_gap() -> Column:
@@ -215,28 +220,27 @@ def _nearest(pairs: DataFrame, request: list[str], max_k: int) -> DataFrame:
     )
 
 
-def _per_salt(requests: DataFrame) -> DataFrame:
-    """Each request once per salt, to meet every part of its route."""
-    return requests.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def _met(requests: DataFrame, cells: DataFrame, keys: list[str], radius: int) -> DataFrame:
+    """Requests with the cells of their route within a radius, by an equi-join on blocks."""
+    blocks = [f"{p}_block" for p in POINT]
+    joined = _around(requests, radius).join(_in_blocks(cells, radius), [*keys, *blocks])
+    return joined.withColumn("d2", _squared_gap()).where(F.col("d2") <= radius * radius).drop(*blocks)
 
 
-def _reach(requests: DataFrame, flights: DataFrame, keys: list[str]) -> DataFrame:
-    """Requests with the squared distance of their k-th flight, or of their last if fewer.
+def _ring(requests: DataFrame, counts: DataFrame, keys: list[str], radius: int) -> DataFrame:
+    """Requests with ``reach``, the squared distance of their k-th flight; null if fewer lie within the radius.
 
-    Each request needs only the number of flights per distance, so the pairs with the cells
-    of its route are reduced to a short histogram where they arise.
+    Only the number of flights per distance is needed, so what a request meets is reduced to a short histogram where it
+    arises. At the last radius all flights of the route are met, and the last one takes the place of the k-th.
     """
     request = [*keys, *POINT, "k"]
-    cells = flights.groupBy(*keys, "salt", *AT.values()).agg(F.count(F.lit(1)).alias("n"))
-    pairs = _per_salt(requests).join(cells, [*keys, "salt"])
-    rings = pairs.groupBy(*request, _squared_gap().alias("d2")).agg(F.sum("n").alias("n"))
+    rings = _met(requests, counts, keys, radius).groupBy(*request, "d2").agg(F.sum("n").alias("n"))
     outward = Window.partitionBy(*request).orderBy("d2")
-    return (
-        rings.withColumn("met", F.sum("n").over(outward))
-        .groupBy(*request)
-        .agg(F.coalesce(F.min(F.when(F.col("met") >= F.col("k"), F.col("d2"))), F.max("d2"))
-             .alias("reach"))
-    )
+    reach = F.min(F.when(F.col("met") >= F.col("k"), F.col("d2")))
+    if radius == RADII[-1]:
+        reach = F.coalesce(reach, F.max("d2"))
+    reached = rings.withColumn("met", F.sum("n").over(outward)).groupBy(*request).agg(reach.alias("reach"))
+    return requests.join(reached, request, "left")
 
 
 def _largest_k(requests: DataFrame) -> int:
@@ -249,41 +253,33 @@ def knn_neighbors(requests: DataFrame, history: DataFrame, keys: list[str] = MEA
                   max_k: int | None = None) -> DataFrame:
     """The k nearest flights of the request's route (and airline, if among ``keys``).
 
-    Requests first look at the lattice cells around them, an equi-join on the cell. Those
-    that found k flights there are done, as nothing outside is nearer. Only the others,
-    in thin history, are compared with the cells of their whole route, whose number is
-    bounded by the calendar and not by the flights, and then fetch the flights in reach.
-    Cells are salted for that, so a route asked for more than others is not left to one task.
-    Requests, cells and the first answers are read by several branches and written once.
+    How far the k-th flight lies is found by expanding rings: the radius doubles, and the blocks that requests and cells are
+    joined on grow with it. Only requests that have not met k flights go on to the next ring, so a request in dense
+    history meets the few cells around it and none the flights of its whole route. Each request then fetches
+    the flights within its reach from the blocks of the ring where it ended, which makes the last ring exact.
+    Requests, cells and rings are read by several branches and written once.
     """
     request = [*keys, *POINT, "k"]
-    max_k = max_k or _largest_k(requests)
-    wanted = materialize(_bounded_k(requests, max_k).select(*request).distinct(), "knn-requests")
+    wanted = materialize(requests.select(*request).distinct(), "knn-requests")
+    max_k = max_k or _largest_k(wanted)
+    open_ = _bounded_k(wanted, max_k)
     cells = first_per_cell(
         history.select(*keys, "Year", *LATTICE, "DepTime", "TotalDelay"), keys, max_k
     ).select(*keys, *[F.col(c).alias(AT[p]) for p, c in POINT.items()], "Year", "DepTime", "TotalDelay")
-    salt = F.pmod(F.xxhash64(*AT.values()), F.lit(SALTS)).cast("int")
-    flights = materialize(cells.withColumn("salt", salt), "knn-cells")
-
-    steps = F.array(*[F.struct(*[F.lit(x).alias(p) for p, x in zip(POINT, s)])
-                      for s in _near_steps(NEAR_RADIUS)])
-    around = wanted.withColumn("_step", F.explode(steps)).select(
-        *request, *[(F.col(p) + F.col(f"_step.{p}")).alias(at) for p, at in AT.items()])
-    met = around.join(flights.drop("salt"), [*keys, *AT.values()]).withColumn("d2", _squared_gap())
-    near = materialize(
-        _nearest(met, request, max_k)
-        .withColumn("_found", F.count(F.lit(1)).over(Window.partitionBy(*request)))
-        .where(F.col("_found") == F.col("k")).drop("_found"),
-        "knn-near")
-
-    done = near.where(F.col("rank") == 1).select(*request)
-    thin = wanted.join(done, request, "left_anti")
-    in_reach = (
-        _per_salt(_reach(thin, flights, keys)).join(flights, [*keys, "salt"])
-        .withColumn("d2", _squared_gap()).where(F.col("d2") <= F.col("reach")).drop("reach", "salt")
-    )
-    found = near.unionByName(_nearest(in_reach, request, max_k))
-    return found.withColumn("distance", F.sqrt(F.col("d2").cast("double"))).drop("d2")
+    flights = materialize(cells, "knn-cells")
+    counts = materialize(flights.groupBy(*keys, *AT.values()).agg(F.count(F.lit(1)).alias("n")), "knn-counts")
+
+    # A route without history has no ring to end in.
+    open_ = open_.join(counts.select(*keys).distinct(), keys, "left_semi")
+    found = None
+    for radius in RADII:
+        ring = materialize(_ring(open_, counts, keys, radius), "knn-ring")
+        near = _met(ring.where("reach is not null"), flights, keys, radius).where(F.col("d2") <= F.col("reach")).drop("reach")
+        found = near if found is None else found.unionByName(near)
+        open_ = ring.where("reach is null").drop("reach")
+        if open_.isEmpty():
+            break
+    return _nearest(found, request, max_k).withColumn("distance", F.sqrt(F.col("d2").cast("double"))).drop("d2")
 
 
 def knn_mean_forecast(requests: DataFrame, history: DataFrame, keys: list[str] = MEAN_KEYS,

@@ -135,8 +135,9 @@ class Group(NamedTuple):
     leaves: list[Leaf]
 
 
-#: Splits of a group at most: what its leaves contribute is prepared for every outcome of these.
-GROUP_SPLITS = 8
+#: Splits of a group at most (a single leaf may have more): what its leaves contribute is prepared for every outcome of
+#: these. More splits make fewer groups, but every row carries the prepared vectors past the join.
+GROUP_SPLITS = 5
 
 
 def _groups(nodes: list, weights: list[float]) -> list[Group]:
@@ -217,7 +218,7 @@ def _outcome_vectors(group: Group) -> np.ndarray:
 
 GROUPS = "percentile string, base_value double, groups array<struct<features:array<int>, thresholds:array<double>, vectors:array<array<double>>>>"
 # What the groups of all models may take when they are sent to every task.
-LEAF_BYTES = 64 << 20
+LEAF_BYTES = 32 << 20
 
 
 def _bounded(leaves: list[Leaf], used: int) -> int:

@@ -482,9 +482,11 @@ FROM (
 
 KNN = """
 asked AS (
-  SELECT DISTINCT origin, dest, 15 AS day, 2 AS dow, Month AS month, DepHour AS hour, (Month * 7 + DepHour) % 23 + 3 AS k
+  SELECT DISTINCT origin, dest, (DepHour * 5 + Month * 2) % 28 + 1 AS day,
+         CAST(isodow(make_date(2024, Month, (DepHour * 5 + Month * 2) % 28 + 1)) AS INTEGER) AS dow,
+         Month AS month, DepHour AS hour, (Month * 7 + DepHour) % 23 + 3 AS k
   FROM history
-  UNION ALL SELECT 99999, 10001, 15, 2, 7, 8, 5
+  UNION ALL SELECT 99999, 10001, 15, 1, 7, 8, 5
 ),
 nearest AS (
   SELECT *, CAST(row_number() OVER (

@@ -31,6 +31,7 @@ MONTH_DOW = (7, 3)
 REPORT_AIRLINES = [19790, 20304]
 REPORT_MONTHS = [1, 2, 3, 5, 7, 8, 11, 12]
 THRESHOLD = 30
+MEAN_MAX_K = 25
 PICKED_TIMES = ["08:00", "17:30"]
 CALENDAR_COLUMNS = [*DATE_KEYS, "OriginAirportID", "DestAirportID", "CRSDepTime"]
 
@@ -559,12 +560,19 @@ def ratio_color(t):
 
 # Analog forecasts ---------------------------------------------------------------------
 
+def stored_history(t: FlightTables) -> DataFrame:
+    """The forecast history as a table, written once per state of the data: requests and search both read it."""
+    def build(folder: str) -> None:
+        analog.training_rows(t.flights).write.parquet(folder + "/rows")
+    return t.spark.read.parquet(kept(t.spark, "training-rows", _flight_files(t.sf_dir), build) + "/rows")
+
+
 def analog_requests(history: DataFrame) -> DataFrame:
     """Every (route, airline, month, hour) that occurs, on a date of 2024, with k from 3 to 20; and a route never flown."""
     slots = filters.require(history, ["airline"]).select(
         *analog.ROUTE_AIRLINE, F.col("Month").alias("month"), F.col("DepHour").alias("hour"),
     ).distinct()
-    never = slots.limit(1).withColumn("origin", F.lit(99999))
+    never = history.sparkSession.createDataFrame([(99999, 10001, 19790, 7, 8)], slots.schema)
     day = (F.col("hour") * 3 + F.col("month")) % 28 + 1
     return slots.unionByName(never).select(
         *analog.ROUTE_AIRLINE, "month", day.alias("day"),
@@ -579,43 +587,45 @@ def training_rows(t):
 
 @query
 def analog_candidates(t):
-    history = analog.training_rows(t.flights)
+    history = stored_history(t)
     return analog.analog_candidates(analog_requests(history), history)
 
 
 @query
 def analog_neighbors(t):
-    history = analog.training_rows(t.flights)
+    history = stored_history(t)
     return analog.shown_neighbors(analog.analog_neighbors(analog_requests(history), history))
 
 
 @query
 def analog_forecast(t):
-    history = analog.training_rows(t.flights)
+    history = stored_history(t)
     forecast = analog.analog_forecast(analog_requests(history), history)
     return rounded(forecast, list(PERCENTILES), 4)
 
 
 def mean_requests(history: DataFrame) -> DataFrame:
-    """Every (route, month, hour) that occurs, with k from 3 to 25, and a route never flown."""
+    """Every (route, month, hour) that occurs, on a date of 2024, with k from 3 to 25, and a route never flown."""
+    day = (F.col("DepHour") * 5 + F.col("Month") * 2) % 28 + 1
     slots = history.select(
-        *analog.MEAN_KEYS, F.col("Month").alias("month"), F.lit(15).alias("day"), F.lit(2).alias("dow"),
+        *analog.MEAN_KEYS, F.col("Month").alias("month"), day.alias("day"),
+        fn.iso_dow(F.make_date(F.lit(2024), "Month", day)).alias("dow"),
         F.col("DepHour").alias("hour"), ((F.col("Month") * 7 + F.col("DepHour")) % 23 + 3).alias("k"),
     ).distinct()
-    never = history.sparkSession.createDataFrame([(99999, 10001, 7, 15, 2, 8, 5)], slots.schema)
+    never = history.sparkSession.createDataFrame([(99999, 10001, 7, 15, 1, 8, 5)], slots.schema)
     return slots.unionByName(never)
 
 
 @query
 def knn_mean_forecast(t):
-    history = analog.training_rows(t.flights)
-    return rounded(analog.knn_mean_forecast(mean_requests(history), history), ["forecast"])
+    history = stored_history(t)
+    return rounded(analog.knn_mean_forecast(mean_requests(history), history, max_k=MEAN_MAX_K), ["forecast"])
 
 
 @query
 def knn_neighbors(t):
-    history = analog.training_rows(t.flights)
-    return rounded(analog.knn_neighbors(mean_requests(history), history), ["distance"]).select(
+    history = stored_history(t)
+    return rounded(analog.knn_neighbors(mean_requests(history), history, max_k=MEAN_MAX_K), ["distance"]).select(
         *analog.MEAN_KEYS, *analog.POINT, "k", "rank", "distance", "TotalDelay")
 
 

@@ -1,7 +1,7 @@
 """Results of offline jobs, kept under a key of what they were made from.
 
-The key is a fingerprint of the input files (path, size and time of change of each, aggregated by Spark) and of
-the job's parameters. A job whose input is unchanged is not run again, in this session or another that shares the folder; once
+The key is a fingerprint of the input files (path, size and time of change of each, aggregated by Spark), of
+the job's parameters and of this package's code. A job whose input is unchanged is not run again, in this session or another that shares the folder; once
 the input or a parameter changes, the job runs anew and the result of the old state is removed.
 """
 
@@ -10,6 +10,8 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import SparkSession, functions as F
 
@@ -18,12 +20,21 @@ from skylag.session import checkpoint_root
 DONE = "_DONE"
 
 
+@cache
+def _code() -> str:
+    """A digest of the modules beside this one and in the folders that the jobs' rules are in."""
+    here, digest = Path(__file__).parent, hashlib.sha256()
+    for module in sorted(m for folder in (".", "functions", "operators", "plans", "sources") for m in (here / folder).glob("*.py")):
+        digest.update(module.read_bytes())
+    return digest.hexdigest()
+
+
 def fingerprint(spark: SparkSession, sources: list[str], **parameters) -> str:
     """A digest that changes with the files below ``sources``, their sizes or times, and with the parameters."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sources)
     each = F.xxhash64("path", "length", F.unix_micros("modificationTime"))
     state = files.agg(F.count(F.lit(1)), F.sum("length"), F.sum(each.cast("decimal(20,0)"))).first()
-    return hashlib.sha256(json.dumps([*map(str, state), parameters], sort_keys=True).encode()).hexdigest()
+    return hashlib.sha256(json.dumps([*map(str, state), _code(), parameters], sort_keys=True).encode()).hexdigest()
 
 
 def _files(spark: SparkSession, path: str):

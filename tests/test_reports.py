@@ -3,7 +3,8 @@
 import datetime
 
 from skylag.operators import analog
-from skylag.plans.reports import analog_report, averages_report, date_choices
+from skylag.operators.reports import numbered
+from skylag.plans.reports import analog_report, averages_report, date_choices, history_report
 from skylag.sources.star import flight_tables
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -39,3 +40,35 @@ def test_averages_come_sorted(spark):
     assert months == sorted(months) and len(months) == 12
     days = [(r.airline_code or "", r.DayofMonth) for r in report["by_day"].collect()]
     assert days == sorted(days)
+
+
+def test_history_summaries_share_one_scan(spark):
+    """All summaries read the written states; only rows and listing read the flights."""
+    report = history_report(flight_tables(spark, SF_DIR), date=(2024, 7, 15))
+    for name, frame in report.items():
+        text = frame._jdf.queryExecution().executedPlan().toString()
+        assert ("lineitem" in text) == (name in ("rows", "listing")), name
+        assert name in ("rows", "listing") or "history-states" in text
+    assert report["kpis"].agg({"total_flights": "sum"}).first()[0] == report["rows"].count() > 0
+
+
+def test_rows_are_numbered_in_their_order(spark):
+    frame = spark.range(1000, numPartitions=7).selectExpr("(id * 37) % 1000 AS x").orderBy("x")
+    assert [(r.x, r.row) for r in numbered(frame).collect()] and all(r.row == r.x + 1 for r in numbered(frame).collect())
+    assert numbered(frame.limit(0)).count() == 0
+
+
+def test_every_statement_is_a_view():
+    import duckdb
+
+    from compare import duckdb_tables
+    from skylag.plans.oracle import ORACLE
+
+    connection = duckdb_tables(SF_DIR)
+    failed = []
+    for name, sql in ORACLE.items():
+        try:
+            connection.execute(f"CREATE VIEW v_{name} AS {sql}")
+        except duckdb.Error as error:
+            failed.append((name, str(error)[:80]))
+    assert failed == []

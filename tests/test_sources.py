@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from skylag.operators import filters
 from skylag.schemas import CAUSES, FLIGHTS
+from skylag.operators import analog, lookup, options
 from skylag.sources import (
     land_flights, read_airlines, read_airports, read_flights, read_flights_csv, read_lookup,
-    register_views,
+    register_views, sql_over,
 )
 from skylag.sources.readers import with_schedule_columns
+from skylag.sources.summaries import read_availability, read_lookup_cells, refresh_availability, refresh_lookup_states
 
 
 def plan(frame):
@@ -100,3 +102,75 @@ def test_whole_numbers_written_with_a_fraction(spark, make_flights, tmp_path):
     text.withColumn("CRSDepTime", F.lit(815.5)).write.option("header", True).csv(str(tmp_path / "broken"))
     with pytest.raises(Exception, match="CRSDepTime is not a whole number: 815.5"):
         read_flights_csv(spark, str(tmp_path / "broken")).collect()
+
+
+def scan_line(frame):
+    return next(line for line in plan(frame).splitlines() if "FileScan" in line)
+
+
+@pytest.mark.parametrize("stored", ["int", "bigint", "double", "string"])
+def test_clauses_meet_the_types_of_the_file(spark, make_flights, tmp_path, stored):
+    """Whatever type whole numbers have, the selection is the same; numbers are compared inside the scan."""
+    whole = [f.name for f in FLIGHTS.fields if f.dataType.simpleString() == "int"]
+    flights = make_flights(*[dict(OriginAirportID=10001 + d % 3, DayofMonth=d, CRSDepTime=None if d == 9 else 800 + d) for d in range(1, 20)])
+    flights.withColumns({c: F.col(c).cast(stored) for c in whole}).write.parquet(str(tmp_path / "f"))
+    clauses = filters.selection(date=(2024, 7, 4), origin=10002, dests=[10002], dep_time=804, status="On-Time")
+    found = read_flights(spark, str(tmp_path / "f"), *clauses)
+    assert found.schema == flights.schema and [tuple(r) for r in found.collect()] == [
+        tuple(r) for r in filters.keep(flights, *clauses).collect()]
+    assert found.count() == 1
+    if stored != "string":
+        suffix = ".0" if stored == "double" else ""
+        assert f"EqualTo(OriginAirportID,10002{suffix})" in scan_line(found)
+        assert f"EqualTo(CRSDepTime,804{suffix})" in scan_line(found)
+    weekday = read_flights(spark, str(tmp_path / "f"), filters.on_month_dow(7, 3))
+    assert sorted(r.DayofMonth for r in weekday.collect()) == [3, 10, 17]
+
+
+def test_stored_schedule_columns_are_taken(spark, make_flights, tmp_path):
+    flights = make_flights(*[dict(DayofMonth=d, CRSDepTime=100 * d) for d in range(1, 15)])
+    land_flights(flights, str(tmp_path / "landed"))
+    wednesdays = read_flights(spark, str(tmp_path / "landed"), filters.on_month_dow(7, 3))
+    assert "EqualTo(DayOfWeek,3)" in scan_line(wednesdays)
+    assert sorted(r.DayofMonth for r in wednesdays.collect()) == [3, 10]
+    landed = read_flights(spark, str(tmp_path / "landed"), schedule=True)
+    assert landed.columns == [*FLIGHTS.fieldNames(), "DayOfWeek", "DepHour"]
+    for build in (analog.training_rows, options.availability_cube, lookup.lookup_cells):
+        assert "weekday" not in plan(build(landed)) and "weekday" in plan(build(flights))
+        assert sorted(map(str, build(landed).collect())) == sorted(map(str, build(flights).collect()))
+
+
+def months(*pairs):
+    return [dict(Year=y, Month=m, DayofMonth=d, CRSDepTime=100 * d, ArrDelayMinutes=float(d * m), CarrierDelay=float(d)) for y, m in pairs
+            for d in range(1, 12)]
+
+
+def test_availability_is_refreshed_by_month(spark, make_flights, tmp_path):
+    path = str(tmp_path / "cube")
+    before, after = make_flights(*months((2024, 6), (2024, 7))), make_flights(*months((2024, 7), (2024, 8)), dict(Month=7, CRSDepTime=2300))
+    refresh_availability(before, path)
+    refresh_availability(after, path, [(2024, 7)])
+    refresh_availability(after.where("Month = 8"), path)
+    rows = read_availability(spark, path)
+    whole = make_flights(*months((2024, 6), (2024, 7), (2024, 8)), dict(Month=7, CRSDepTime=2300))
+    assert rows.schema == options.availability_cube(whole).schema
+    assert sorted(map(str, rows.collect())) == sorted(map(str, options.availability_cube(whole).collect()))
+
+
+def test_lookup_states_merge(spark, make_flights, tmp_path):
+    """Two landings, one month in both: the cells are those of all flights at once."""
+    path = str(tmp_path / "states")
+    flights = make_flights(*months((2023, 6), (2023, 7), (2024, 6), (2024, 7)), dict(DOT_ID_Reporting_Airline=None), dict(CRSDepTime=None))
+    refresh_lookup_states(flights.where("Month = 6"), path)
+    refresh_lookup_states(flights, path, [(2023, 6), (2023, 7), (2024, 7)])
+    merged, whole = read_lookup_cells(spark, path), lookup.lookup_cells(flights)
+    assert merged.columns == whole.columns
+    assert sorted(map(str, merged.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_statements_over_frames_leave_no_view(spark, make_flights, airports, airlines):
+    before = {t.name for t in spark.catalog.listTables()}
+    one = sql_over("SELECT count(*) AS n FROM {flights}", make_flights({}), airports, airlines)
+    two = sql_over("SELECT count(*) AS n FROM {flights}", make_flights({}, {}), airports, airlines)
+    assert (one.first().n, two.first().n) == (1, 2)
+    assert {t.name for t in spark.catalog.listTables()} == before
