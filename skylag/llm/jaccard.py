@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from skylag.llm.components import components
-from skylag.llm.tables import written
+from skylag.llm.tables import free_name, written
 from skylag.llm.words import batch_words, grams, mix, sequence_hash, sliced
 
 SHINGLE = 5
@@ -390,6 +390,7 @@ def _remaining(rows: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFram
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their component (smallest doc_id), all columns; rows without doc_id stay."""
-    found = written(classes(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    name = free_name(docs, "_dropped")
+    found = written(classes(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "dropped")
     found = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
-    return docs.join(found, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    return docs.join(found, F.col("doc_id") == F.col(name), "left_anti")

@@ -81,7 +81,7 @@ def op8_chat_format(spark, sf_dir):
 @query
 def op9_warc_archive(spark, sf_dir):
     archive = warc.write_archive(read_table(spark, sf_dir, "pages"))
-    return warc.read_records(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_back(archive)
 
 
 @query

@@ -17,9 +17,11 @@ Before every shuffle a task settles what it can by itself: of runs with equal wo
 others are marked at once. A passage that a third of all documents share is thus one row per task, not one task's burden.
 Hashes only route; equality is that of the words.
 
-Null and empty texts have no words. Rows without doc_id keep all words; rows that share a doc_id count as one document,
-so a row does not repeat its own copy. An empty table gives an empty result. Extra columns are ignored by ``marked`` and
-carried along by ``deduplicate``.
+Null and empty texts have no words. Rows without doc_id keep all words. Rows that share a doc_id stand at the same place in
+the order, so a row does not repeat its own copy, but a window at an earlier place of one counts for the other; each loses
+only words of its own: a mark carries a digest of the words it is for and passes over rows that have others there, and
+runs are taken from a row only if its words have their anchor. An empty table gives an empty result. Extra columns are
+ignored by ``marked`` and carried along by ``deduplicate``, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from skylag.llm.tables import written
-from skylag.llm.words import batch_words, grams, mix, sliced, text_bytes
+from skylag.llm.tables import free_name, written
+from skylag.llm.words import batch_words, grams, mix, sliced, text_bytes, text_words
 
 WINDOW, ANCHOR = 20, 8
 #: More than the windows of one run (WINDOW - ANCHOR + 1 at most); runs that a shard and a bucket hold, which bound a
@@ -144,15 +146,27 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield bucket()
 
 
+def _mark(words: bytes) -> int:
+    """What tells the words of a mark from those that another row with this doc_id has there."""
+    return int.from_bytes(hashlib.blake2b(words, digest_size=8, person=b"mark").digest(), "little", signed=True)
+
+
+def _has_anchor(words: bytes, anchor: int) -> bool:
+    """Whether the first window of a run's words has the anchor it was dealt by."""
+    parts = grams(text_words(np.frombuffer(words, np.uint8)), ANCHOR)[:WINDOW - ANCHOR + 1]
+    return len(parts) > 0 and int(parts.min().view(np.int64)) == anchor
+
+
 def _deal(window: bytes, level: int = 0) -> int:
     """A number from all words of a window; another one at each level."""
     return int.from_bytes(hashlib.blake2b(window, digest_size=8, salt=level.to_bytes(2, "little")).digest(), "little")
 
 
 def _segments(shards: int):
-    """Documents with their recurring runs to shards: (shard, words, docs, starts, sizes).
+    """Documents with their recurring runs to shards: (shard, words, docs, starts, sizes, digests).
 
-    ``words`` holds the runs' words, a line each; it is null in rows of marks (runs whose words this task saw earlier).
+    ``words`` holds the runs' words, a line each; it is null in rows of marks (runs whose words this task saw earlier), which
+    alone have digests.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: dict[bytes, tuple] = {}
@@ -173,18 +187,18 @@ def _segments(shards: int):
                     if seen is None or (doc, start + j) < seen:
                         windows[window] = (doc, start + j)
                     if seen is not None and (doc, start + j) != seen:
-                        marks.append((*max(seen, (doc, start + j)), 1))
+                        marks.append((*max(seen, (doc, start + j)), 1, _mark(window)))
             for window, (doc, start) in windows.items():
                 by_shard.setdefault(_deal(window) % shards, []).append((window, doc, start, 1))
             windows.clear()
-            rows = [(shard, b"\n".join(x[0] for x in runs), *(np.array([x[k] for x in runs], np.int64).tobytes() for k in (1, 2, 3)))
+            rows = [(shard, b"\n".join(x[0] for x in runs), *(np.array([x[k] for x in runs], np.int64).tobytes() for k in (1, 2, 3)), None)
                     for shard, runs in by_shard.items()]
             for at in range(0, len(marks), 4096):
                 part = np.array(marks[at:at + 4096], np.int64)
-                rows.append((int(part[0].sum() + at) % shards, None, *(np.ascontiguousarray(part[:, k]).tobytes() for k in range(3))))
+                rows.append((int(part[0, :3].sum() + at) % shards, None, *(np.ascontiguousarray(part[:, k]).tobytes() for k in range(4))))
             first.clear(), marks.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows))],
-                                              names=["shard", "words", "docs", "starts", "sizes"])
+                                              names=["shard", "words", "docs", "starts", "sizes", "digests"])
 
         for batch in sliced(batches, "text"):
             runs = batch.column("runs")
@@ -196,15 +210,17 @@ def _segments(shards: int):
                     if start + size + WINDOW - 1 > len(words):  # of another row with this doc_id
                         continue
                     text = b" ".join(words[start:start + size + WINDOW - 1])
+                    if r.get("again") and not _has_anchor(text, r["anchor"]):
+                        continue
                     seen = first.get(text)
                     if seen is None:
                         first[text] = (doc, start, size, None if r["hot"] else r["anchor"] % shards)
                         held += (len(text) + 200) * (1 + size if r["hot"] else 1)
                     elif (doc, start) < seen[:2]:
-                        marks.append(seen[:3])
+                        marks.append((*seen[:3], _mark(text)))
                         first[text] = (doc, start, size, seen[3])
                     elif (doc, start) != seen[:2]:
-                        marks.append((doc, start, size))
+                        marks.append((doc, start, size, _mark(text)))
             if held + 100 * len(marks) > POOL_BYTES:
                 yield flush()
                 held = 0
@@ -223,7 +239,13 @@ def automaton(passages) -> ahocorasick.Automaton:
 
 
 def repeated_windows(runs: list[tuple[bytes, int, int]], level: int = 1) -> Iterator[tuple[int, int, int]]:
-    """Of runs (words, doc, start) in one shard: marks (doc, start, windows) of windows that also start earlier.
+    """Of runs (words, doc, start) in one shard: marks (doc, start, windows) of windows that also start earlier."""
+    for doc, start, size, _ in _repeats(runs, level):
+        yield doc, start, size
+
+
+def _repeats(runs: list[tuple[bytes, int, int]], level: int = 1) -> Iterator[tuple[int, int, int, bytes]]:
+    """The marks of a shard's runs with the words that each covers.
 
     If the runs have more distinct words than there are characters, their windows are dealt to two halves.
     """
@@ -242,7 +264,7 @@ def repeated_windows(runs: list[tuple[bytes, int, int]], level: int = 1) -> Iter
                             window = b" ".join(words[j:j + WINDOW])
                             halves[_deal(window, level) & 1].append((window, d, at + j))
                     for half in halves:
-                        yield from repeated_windows(half, level + 1)
+                        yield from _repeats(half, level + 1)
                     return
                 c = letters[w] = chr(0xE000 + len(letters))
             word_codes.append(c)
@@ -261,7 +283,8 @@ def repeated_windows(runs: list[tuple[bytes, int, int]], level: int = 1) -> Iter
         for j, k in found:
             if (doc, start + j) < first[k]:
                 first[k] = (doc, start + j)
-    for (_, doc, start), found in zip(coded, places):
+    for (text, _, _), (_, doc, start), found in zip(runs, coded, places):
+        words = text.split(b" ") if found else []
         open_at = size = 0
         for j, k in found:
             if first[k] == (doc, start + j):
@@ -270,41 +293,41 @@ def repeated_windows(runs: list[tuple[bytes, int, int]], level: int = 1) -> Iter
                 size += 1
                 continue
             if size:
-                yield doc, start + open_at, size
+                yield doc, start + open_at, size, b" ".join(words[open_at:open_at + size + WINDOW - 1])
             open_at, size = j, 1
         if size:
-            yield doc, start + open_at, size
+            yield doc, start + open_at, size, b" ".join(words[open_at:open_at + size + WINDOW - 1])
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards to marks (doc, start, windows)."""
-    waiting: dict[tuple, bytes] = {}
+    """Shards to marks (doc, start, windows, digest)."""
+    waiting: dict[tuple, None] = {}  # in order of arrival
     current = None
 
-    def out(docs, starts, sizes):
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, starts, sizes)], names=["doc", "start", "windows"])
+    def out(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["doc", "start", "windows", "digest"])
 
     def shard():
-        rows = list(repeated_windows([(text, doc, start) for (doc, start), text in waiting.items()]))
+        rows = [(doc, start, size, _mark(words)) for doc, start, size, words in _repeats(list(waiting))]
         waiting.clear()
         return out(*zip(*rows)) if rows else None
 
     for batch in batches:
-        for b, words, *numbers in zip(*(batch.column(n).to_pylist() for n in ("shard", "words", "docs", "starts", "sizes"))):
-            docs, starts, sizes = (np.frombuffer(x, np.int64) for x in numbers)
+        for b, words, *numbers in zip(*(batch.column(n).to_pylist() for n in ("shard", "words", "docs", "starts", "sizes", "digests"))):
+            docs, starts, sizes, *digests = (np.frombuffer(x, np.int64) for x in numbers if x is not None)
             if words is None:
-                yield out(docs, starts, sizes)
+                yield out(docs, starts, sizes, *digests)
                 continue
             if b != current and waiting and (rows := shard()) is not None:
                 yield rows
             current = b
-            waiting.update(zip(zip(docs.tolist(), starts.tolist()), words.split(b"\n")))
+            waiting.update(dict.fromkeys(zip(words.split(b"\n"), docs.tolist(), starts.tolist())))
     if waiting and (rows := shard()) is not None:
         yield rows
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """Written table of marks (doc, marks array of (start, windows)): windows that also start earlier, by document."""
+    """Written table of marks (doc, marks array of (start, windows, digest)): windows that also start earlier, by document."""
     conf = docs.sparkSession.conf
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     partitions = int(conf.get("spark.sql.shuffle.partitions"))
@@ -319,13 +342,17 @@ def marked(docs: DataFrame) -> DataFrame:
     n_hot, hot_runs, hot_windows = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_windows"), F.lit(0))).first()
     shards = max(4 * partitions, (runs.count() - hot_runs + hot_windows) // SHARD_RUNS)
     named = hot.select("anchor", F.lit(True).alias("hot"))
-    told = (runs.join(F.broadcast(named) if n_hot <= HOT_ANCHORS else named, "anchor", "left")
-            .groupBy("doc").agg(F.collect_set(F.struct("at", "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs")))
+    # Ids of several rows; these have to be told apart by their words.
+    repeated = written(texts.groupBy(F.col("doc_id").alias("doc")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+                       .select("doc", F.lit(True).alias("again")), "repeated")
+    told = (runs.join(F.broadcast(named) if n_hot <= HOT_ANCHORS else named, "anchor", "left").join(repeated, "doc", "left")
+            .groupBy("doc").agg(F.collect_set(F.struct("at", "anchor", F.coalesce("hot", F.lit(False)).alias("hot"),
+                                                       F.coalesce("again", F.lit(False)).alias("again"))).alias("runs")))
     with_runs = texts.join(told.hint("shuffle_hash"), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "runs")
-    return written(with_runs.mapInArrow(_segments(shards), "shard int, words binary, docs binary, starts binary, sizes binary")
+    return written(with_runs.mapInArrow(_segments(shards), "shard int, words binary, docs binary, starts binary, sizes binary, digests binary")
                    .repartition("shard").sortWithinPartitions("shard")
-                   .mapInArrow(_marks, "doc bigint, start bigint, windows bigint")
-                   .groupBy("doc").agg(F.collect_set(F.struct("start", "windows")).alias("marks")), "marks")
+                   .mapInArrow(_marks, "doc bigint, start bigint, windows bigint, digest bigint")
+                   .groupBy("doc").agg(F.collect_set(F.struct("start", "windows", "digest")).alias("marks")), "marks")
 
 
 def covered(n_words: int, marks) -> np.ndarray:
@@ -339,22 +366,30 @@ def covered(n_words: int, marks) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def _own(words: list[bytes], marks) -> list:
+    """The marks whose words this row has at their place."""
+    return [m for m in marks or () if m["start"] + m["windows"] + WINDOW - 1 <= len(words)
+            and _mark(b" ".join(words[m["start"]:m["start"] + m["windows"] + WINDOW - 1])) == m["digest"]]
+
+
 def _with_marks(docs: DataFrame) -> DataFrame:
+    """``docs`` with their marks as one more column, the last."""
     marks = marked(docs)
-    size = marks.agg(F.coalesce(F.sum(F.size("marks") * 16 + 40), F.lit(0))).first()[0]
-    named = marks.select(F.col("doc").alias("_marked_doc"), F.col("marks").alias("_marks"))
+    size = marks.agg(F.coalesce(F.sum(F.size("marks") * 24 + 40), F.lit(0))).first()[0]
+    doc, more = free_name(docs, "_marked_doc"), free_name(docs, "_marks")
+    named = marks.select(F.col("doc").alias(doc), F.col("marks").alias(more))
     named = F.broadcast(named) if size <= BROADCAST_BYTES else named
-    return docs.join(named, F.col("doc_id").cast("bigint") == F.col("_marked_doc"), "left").drop("_marked_doc")
+    return docs.join(named, F.col("doc_id").cast("bigint") == F.col(doc), "left").drop(doc)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its words, those removed, and the text of the others."""
     for batch in sliced(batches, "text"):
-        marks = batch.column("_marks")
+        marks = batch.columns[-1]
         total, removed, digest = [], [], []
         for row, data in enumerate(text_bytes(batch.column("text"))):
             words = data.tobytes().split()
-            gone = covered(len(words), marks[row].as_py())
+            gone = covered(len(words), _own(words, marks[row].as_py()))
             kept = [w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words
             total.append(len(words)), removed.append(int(gone.sum()))
             digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
@@ -374,12 +409,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            marks, texts = batch.column("_marks"), batch.column("text").to_pylist()
+            marks, texts = batch.columns[-1], batch.column("text").to_pylist()
             for row, text in enumerate(texts):
                 if text and (found := marks[row].as_py()):
                     words = text.encode().split()
-                    gone = covered(len(words), found)
-                    texts[row] = b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode()
+                    gone = covered(len(words), _own(words, found))
+                    if gone.any():
+                        texts[row] = b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode()
             new = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([new if n == "text" else batch.column(k) for k, n in enumerate(names)], names=names)
 

@@ -46,6 +46,7 @@ _FOLD = bytes(ord(chr(c).lower()) if c >= 128 or chr(c).isalnum() else 32 for c
 INDEX = "shard bigint, term string, docs binary, counts binary, held bigint, words bigint"
 BUNDLE = ("shard bigint, bundle bigint, docs binary, words binary, items array<bigint>, rest array<array<bigint>>, "
           "places binary, scores binary")
+OWNED = "shard bigint, docs binary, counts binary, bundle bigint, wanted array<struct<place:int,weight:bigint>>, owner int"
 BEST = "item_id bigint, doc_id bigint, score bigint"
 
 
@@ -159,7 +160,7 @@ def _search(docs: DataFrame, terms: DataFrame, k: int, owners: int) -> DataFrame
     top = 1000 * F.log((2 * F.lit(n_docs) + 2) / F.lit(3))
     owner = F.greatest(F.lit(0), F.least(F.lit(owners - 1), F.floor(owners * (1 - F.col("weight") / top)))).cast("int")
     df = postings.groupBy("term").agg(F.sum("held").alias("df"))
-    bundles = -(-terms.select("item_id").distinct().count() // BUNDLE_ITEMS)
+    bundles = max(1, -(-terms.select("item_id").distinct().count() // BUNDLE_ITEMS))
     weighted = (terms.join(df, "term").withColumn("weight", weight).filter("weight > 0").withColumn("owner", owner)
                 .withColumn("bundle", F.pmod(F.xxhash64("item_id"), F.lit(bundles))))
     # What later owners can add: at place o, all from owner o on.
@@ -170,8 +171,8 @@ def _search(docs: DataFrame, terms: DataFrame, k: int, owners: int) -> DataFrame
     wanted = (weighted.join(items.select("bundle", "item_id", "place"), ["bundle", "item_id"]).groupBy("term", "owner", "bundle")
               .agg(F.collect_list(F.struct("place", "weight")).alias("wanted")))
     path = shared_path(spark, "owned")
-    postings.select("shard", "term", "docs", "counts").join(wanted, "term").write.partitionBy("owner").parquet(path)
-    owned = spark.read.parquet(path)
+    postings.select("shard", "term", "docs", "counts").join(wanted, "term").drop("term").write.partitionBy("owner").parquet(path)
+    owned = spark.read.schema(OWNED).parquet(path)
 
     members = F.sort_array(F.collect_list(F.struct("place", "item_id", "rest")))
     gathered = items.groupBy("bundle").agg(members.alias("m")).select("bundle", F.col("m.item_id").alias("items"), F.col("m.rest").alias("rest"))

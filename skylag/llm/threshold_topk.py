@@ -185,7 +185,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, nodes: int = NODES,
     given = grid.run(_sufficient(nodes), grid.all_cells(grid.queries.join(cutoffs, "query", "left")))
     seen = written(_summed(given), "seen")
     # A silent node is below cutoff / nodes, so adds at most the whole number before its ceiling.
-    most = -F.floor(-F.col("cutoff") / nodes) - 1
+    most = F.expr(f"(cutoff - 1 - pmod(cutoff - 1, {nodes})) div {nodes}")
     open_ = (seen.filter(F.size("given") < nodes).join(cutoffs, "query")
              .filter(F.col("score") + (nodes - F.size("given")) * most >= F.col("cutoff")).drop("cutoff"))
     asked = grid.ask(_silent(open_, nodes)).groupBy("query", "row").agg(F.sum("partial").alias("more"))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from skylag.llm.tables import shared_path
+from skylag.llm.tables import shared_path, written
 
 REVISIT_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -134,3 +134,50 @@ def reconstruct(archive: Archive) -> DataFrame:
     both = responses.select("page_id", "record_type", "header", "payload").unionByName(
         revisits.select("page_id", "record_type", "header", "payload"))
     return both.select("page_id", "record_type", F.concat("header", "payload", F.lit(b"\r\n\r\n")).alias("record"))
+
+
+def parsed_records(records: DataFrame) -> DataFrame:
+    """What the bytes of each whole record say: its lines, and the size and SHA-1 of the payload in it.
+
+    A record whose Content-Length is not that of its block, or whose payload does not have the digest that its header names,
+    is an error. A revisit holds no payload; its digest is the one named.
+    """
+    text, gap = F.decode("record", "UTF-8"), "\r\n\r\n"
+    cut = (records.withColumn("_text", text).withColumn("_head", F.substring_index("_text", gap, 1))
+           .withColumn("_rest", F.expr("substring(_text, length(_head) + 5)"))
+           .withColumn("_http", F.substring_index("_rest", gap, 1))
+           .withColumn("payload", F.expr("substring(_rest, length(_http) + 5, length(_rest) - length(_http) - 8)")))
+    head = F.concat(F.lit("\r\n"), "_head", F.lit("\r\n"))
+    block = F.octet_length("_http") + 4 + F.octet_length("payload")
+    read = cut.select(
+        _field(head, "WARC-Type", "([a-z]+)").alias("record_type"),
+        _field(head, "WARC-Record-ID", "(<[^>]*>)").alias("record_id"),
+        _field(head, "WARC-Refers-To", "(<[^>]*>)").alias("refers_to_id"),
+        _field(head, "WARC-Payload-Digest", "sha1:([0-9a-f]+)").alias("named_sha1"),
+        (_field(head, "Content-Length", "([0-9]+)").cast("bigint") == block).alias("whole"),
+        F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha1(F.encode("payload", "UTF-8")).alias("sha1"))
+    sound = F.col("whole") & ((F.col("record_type") == "revisit") | (F.col("sha1") == F.col("named_sha1")))
+    digest = F.when(F.coalesce(sound, F.lit(False)), F.col("named_sha1")).otherwise(
+        F.raise_error(F.concat(F.lit("damaged record "), F.coalesce("record_id", F.lit("?")))))
+    return read.select("record_type", "record_id", "refers_to_id", "payload_bytes", digest.alias("payload_digest"))
+
+
+def read_back(archive: Archive) -> DataFrame:
+    """Per record page_id, payload_bytes, payload_digest, record_type and refers_to, all from its reconstructed bytes.
+
+    A revisit takes the size of its payload from the response it refers to; both must name the same digest. Only sizes and
+    digests of responses that others may refer to meet the revisits.
+    """
+    records = written(parsed_records(reconstruct(archive)), "records")
+    page = F.regexp_extract(F.col("record_id"), "<urn:page:([0-9-]+|none):", 1).try_cast("bigint")
+    of = F.regexp_extract(F.col("refers_to_id"), "<urn:page:([0-9-]+|none):", 1).try_cast("bigint")
+    responses = records.filter("record_type = 'response'")
+    found = responses.filter(F.col("payload_bytes") >= REVISIT_BYTES).select(
+        F.col("record_id").alias("refers_to_id"), F.col("payload_bytes").alias("their_bytes"), F.col("payload_digest").alias("theirs"))
+    revisits = records.filter("record_type = 'revisit'").join(found.hint("merge"), "refers_to_id", "left")
+    agreed = F.when(F.col("theirs") == F.col("payload_digest"), F.col("their_bytes")).otherwise(
+        F.raise_error(F.concat(F.lit("no such payload for "), "record_id")).cast("bigint"))
+    none = F.lit(None).cast("bigint")
+    return (responses.select(page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", none.alias("refers_to"))
+            .union(revisits.select(page.alias("page_id"), agreed.alias("payload_bytes"), "payload_digest", "record_type",
+                                   of.alias("refers_to"))))
