@@ -10,7 +10,8 @@ Documents of more than ``CHUNK`` characters are split into chunks that are sprea
 border are the pieces that may cover the last character before it; a chunk gives the matrix of weights from its
 entry states to its exit states. Matrices are combined associatively, first in blocks of ``BLOCK`` chunks, then over the
 blocks of a document; the vectors that come back name the one state at every border, and each chunk finds its own
-pieces by tracing back between its two states.
+pieces by tracing back between its two states. Chunks are spread for their matrices, which is the long part; their borders, two
+numbers each, then go back to the document, whose row takes all ids anyway. A giant's text is written once and moved twice.
 
 The vocabulary is read on the driver from ``path`` and broadcast (32,000 pieces). Null texts have null ids, empty texts
 none; repeated rows repeat their ids; an empty table gives an empty result; the new column ``ids`` replaces one of that name,
@@ -31,12 +32,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from skylag.llm.tables import written
+from skylag.llm.tables import free_name, written
 from skylag.llm.words import sliced
 
 PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CHUNK, BLOCK = 65_536, 64
+CHUNK, BLOCK = 16_384, 64
 #: Distinct words whose ids a worker remembers; it starts afresh beyond.
 REMEMBERED = 400_000
 _WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*|[^{SPACE}\n]+")
@@ -377,7 +378,7 @@ def encode(docs: DataFrame, path: str = PATH, chunk: int = CHUNK, block: int = B
     small = docs.filter(F.col("text").isNull() | (F.length("text") <= chunk)).mapInArrow(whole, schema)
     large = docs.filter(F.length("text") > chunk)
     # Chunks of giant documents, each a row of its own; the row number holds because the table is written.
-    numbered = written(large.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col("text"))
+    numbered = written(large.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
                        .withColumn("row", F.monotonically_increasing_id()), "giants")
     margin = shared.value.longest
 
@@ -390,9 +391,9 @@ def encode(docs: DataFrame, path: str = PATH, chunk: int = CHUNK, block: int = B
                      *(pa.array([p[k] for p in parts], pa.string()) for k in range(3))],
                     names=["row", "chunk", "before", "core", "after"])
 
-    chunks = written(numbered.select("row", "text").mapInArrow(
+    chunks = (numbered.select("row", F.col("doc")["text"].alias("text")).mapInArrow(
         cut, "row bigint, chunk int, before string, core string, after string")
-        .repartition("row", "chunk").withColumn("block", F.floor(F.col("chunk") / block).cast("int")), "chunks")
+        .repartition("row", "chunk").withColumn("block", F.floor(F.col("chunk") / block).cast("int")))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "core"):
@@ -466,17 +467,17 @@ def encode(docs: DataFrame, path: str = PATH, chunk: int = CHUNK, block: int = B
               .mapInArrow(inside, "row bigint, chunk int, entry int, leave int"))
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "core"):
-            ids = [np.frombuffer(chunk_ids(shared.value, *x), np.int32) for x in
-                   zip(*(batch.column(n).to_pylist() for n in ("before", "core", "after", "entry", "leave")))]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), _lists(ids)], names=["row", "chunk", "part"])
-
-    parts = (chunks.join(states, ["row", "chunk"]).select("row", "chunk", "before", "core", "after", "entry", "leave")
-             .mapInArrow(traced, "row bigint, chunk int, part array<int>"))
-    # The ids of one document are one row of the result, so they are gathered as one.
-    gathered = (parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("chunk", "part"))).alias("parts"))
-                .select("row", F.flatten(F.col("parts.part")).alias("ids")))
-    giants = numbered.join(gathered, "row").select("doc.*", "ids")
+        for batch in sliced(batches, "text", 2 << 20):
+            *columns, borders_of = batch.columns
+            ids = []
+            for text, own in zip(batch.column("text").to_pylist(), borders_of.to_pylist()):
+                parts = zip(split_text(text, margin, chunk), sorted(own, key=lambda b: b["chunk"]))
+                ids.append(np.frombuffer(b"".join(chunk_ids(shared.value, *part, b["entry"], b["leave"]) for part, b in parts), np.int32))
+            yield pa.RecordBatch.from_arrays([*columns, _lists(ids)], names=[*names, "ids"])
+
+    more = free_name(docs, "borders")
+    found = states.groupBy("row").agg(F.collect_list(F.struct("chunk", "entry", "leave")).alias(more))
+    giants = numbered.join(found, "row").select("doc.*", more).mapInArrow(traced, schema)
     return small.unionByName(giants)
 
 
