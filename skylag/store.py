@@ -18,6 +18,8 @@ from pyspark.sql import SparkSession, functions as F
 from skylag.session import checkpoint_root
 
 DONE = "_DONE"
+#: Folder of the results below the shared one.
+PLACE = "kept"
 
 
 @cache
@@ -51,7 +53,7 @@ def kept(spark: SparkSession, job: str, sources: list[str], build: Callable[[str
     sources in an earlier state are removed after the new one is complete; what read them must have ended.
     """
     place = hashlib.sha256(json.dumps(sorted(sources)).encode()).hexdigest()[:16]
-    parent = f"{(root or checkpoint_root(spark)).rstrip('/')}/kept/{job}/{place}"
+    parent = f"{(root or checkpoint_root(spark)).rstrip('/')}/{PLACE}/{job}/{place}"
     folder = f"{parent}/{fingerprint(spark, sources, **parameters)}"
     fs, path = _files(spark, folder)
     mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{DONE}")
