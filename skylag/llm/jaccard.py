@@ -12,10 +12,13 @@ the tokens. Three orders are used:
 3. a third hash: the prefixes must share a token here too.
 
 What passes all filters is verified exactly on the full sets. Links are transitive in the result, so not all pairs of a large
-group are made: on each token every document meets the smallest one (the pivot), then the one whose tokens are shared
-most. Once these links are known, the remaining pairs are those that share a token, lie in different components, and whose known distances to a common pivot do not
-rule a link out; all of them are tried. A token that very many documents share is spread over all buckets with a pivot
-in each.
+group are made: on each token every document meets the smallest one (the pivot). A token that very many documents share is
+spread over all buckets with a pivot in each.
+
+Documents that then still share a token but no component are compared by their differences to the core of their group, the tokens
+that most of it holds. The member nearest to the core is linked to every member that any other could be linked to without
+sharing a part of the differences. All other links need shared parts, of which prefix filters under two opposite orders apply again;
+members that pass meet in tiles, block against block, and only links leave a tile, so no row per pair is made anywhere.
 
 Null and empty texts have no set, link with nothing and are their own component. Rows that repeat a doc_id share its
 component; rows without doc_id have none. An empty table gives an empty result; other columns are ignored by ``classes`` and
@@ -44,6 +47,8 @@ BUCKET_TOKENS = 1 << 20
 SMALL_GROUP = 4
 #: Document ids below which a list of them is broadcast to a scan (8 bytes each); above, the scan is shuffled.
 BROADCAST_IDS = 1 << 19
+#: A block of a large group holds about so many tokens, each row counted as so many more; meetings of tokens counted at once.
+TILE, ROW_WEIGHT, MEETINGS = 1 << 18, 256, 1 << 22
 _SECOND, _THIRD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _QUARTER = np.uint64(1 << 62)
 
@@ -246,12 +251,17 @@ def _heavy_tokens(known: DataFrame) -> np.ndarray:
     return np.sort(np.array(tokens, np.int64).view(np.uint64))
 
 
+def _lists(docs: DataFrame, ids: DataFrame, make, kind: str) -> DataFrame:
+    """Token lists (doc, tokens) of the documents named in ``ids`` (id): written."""
+    ids = written(ids.distinct(), "ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return written(_texts(docs).join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
+                   .mapInArrow(make, f"doc bigint, tokens array<{kind}>"), "lists")
+
+
 def _of(docs: DataFrame, pairs: DataFrame, make, kind: str) -> tuple[DataFrame, DataFrame]:
     """Token lists of the documents in pairs: of all (doc, tokens), and of the pivots (pivot, low)."""
-    ids = written(pairs.select(F.explode(F.array("doc", "pivot")).alias("id")).distinct(), "ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    lists = written(_texts(docs).join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-                    .mapInArrow(make, f"doc bigint, tokens array<{kind}>"), "lists")
+    lists = _lists(docs, pairs.select(F.explode(F.array("doc", "pivot")).alias("id")), make, kind)
     lows = pairs.select(F.col("pivot").alias("doc")).distinct()
     return lists, lists.join(lows, "doc", "left_semi").select(F.col("doc").alias("pivot"), F.col("tokens").alias("low"))
 
@@ -324,10 +334,11 @@ def classes(docs: DataFrame) -> DataFrame:
     tried = _distances(docs, settled(met.filter("doc <> pivot").select("doc", "pivot")))
     labels = _labels(copies, _links(tried))
     still = _open_rows(met.filter("token is not null"), reps)
-    central = _distances(docs, _central_pairs(still, labels))
-    labels = _labels(copies, _links(tried).union(_links(central)))
-    rest = _distances(docs, _remaining(still, labels, tried))
-    labels = _labels(copies, _links(tried).union(_links(central)).union(_links(rest)))
+    apart = _differences(docs, still, labels)
+    links = _links(tried).union(_star(apart))
+    labels = _labels(copies, links)
+    rest = _tile_links(_named(apart.drop("component"), labels, "x", "component"))
+    labels = _labels(copies, links.union(rest))
     return rows.join(labels, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -346,46 +357,124 @@ def _named(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFram
             .withColumn(name, F.coalesce("_component", node)).drop("_node", "_component"))
 
 
-def _sizes_fit():
-    return (100 * F.col("n") >= PERCENT * F.col("m")) & (100 * F.col("m") >= PERCENT * F.col("n"))
+def _differences(docs: DataFrame, rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents that still share a token but no component, each as its difference to its group's core: written.
 
-
-def _central_pairs(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Second pivots: on each token the document whose tokens are shared most, with the documents it has no link to yet.
-
-    Copies with different edits may be far from each other and yet all linked to the text they were made from, which
-    shares every token with most of them.
+    Rows (g, x, component, d, slack, most). A group holds the documents of all tokens whose smallest document is ``g``, so any two
+    that share a token share a group. The core is what more than half of the members hold, at most twice their mean size; ``d`` is the
+    symmetric difference to it. Two members differ in size(d) + size(e) - 2k tokens if they share k of these, so they are linked
+    exactly if slack + slack + 14 k >= 0 with slack = n - 7 size(d). ``most`` is the greatest (slack, -x) of the group.
     """
-    sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
-    scores = rows.join(sizes, "token").groupBy("x").agg(F.sum("size").alias("score"))
-    best = (rows.join(scores, "x").groupBy("token")
-            .agg(F.max(F.struct("score", (-F.col("x")).alias("minus"), "n")).alias("best"))
-            .select("token", (-F.col("best.minus")).alias("c"), F.col("best.n").alias("m")))
-    pairs = rows.join(best, "token").filter((F.col("x") != F.col("c")) & _sizes_fit()).select("x", "c", "n", "m").distinct()
-    return written(_named(_named(pairs, labels, "x", "ours"), labels, "c", "theirs").filter("ours <> theirs")
-                   .select(F.col("x").alias("doc"), F.col("c").alias("pivot"), "n", "m"), "pairs")
+    rows = _named(rows, labels, "x", "component")
+    # Tokens within one component are done.
+    tokens = (rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("x").alias("g"))
+              .filter("low <> high").select("token", "g"))
+    members = written(rows.join(tokens, "token").select("g", "x", "n", "component").distinct(), "members")
+    sets = _lists(docs, members.select(F.col("x").alias("id")), _full, "bigint").withColumnRenamed("doc", "x")
+    # Rows that repeat a doc_id with another text: each is a member with its own size.
+    held = written(members.join(sets.hint("merge"), "x").withColumn("n", F.size("tokens").cast("bigint")).distinct(), "held")
+    sizes = held.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    core = (held.select("g", F.explode("tokens").alias("token")).groupBy("g", "token").count().join(sizes, "g")
+            .filter(2 * F.col("count") > F.col("size")).groupBy("g").agg(F.collect_list("token").alias("core")))
+    core_of = F.coalesce("core", F.array().cast("array<bigint>"))
+    found = written(held.join(core, "g", "left").select(
+        "g", "x", "n", "component", F.sort_array(F.concat(F.array_except("tokens", core_of), F.array_except(core_of, "tokens"))).alias("d"))
+        .withColumn("slack", F.col("n") - 7 * F.size("d")), "differences")
+    best = found.groupBy("g").agg(F.max(F.struct("slack", (-F.col("x")).alias("minus"))).alias("most"))
+    return written(found.join(best, "g"), "differences")
+
+
+def _star(found: DataFrame) -> DataFrame:
+    """Links (a, b) to the member with the greatest slack.
+
+    If any two members are linked without sharing a part of their differences, both are linked to this one.
+    """
+    return (found.select(F.col("x").alias("a"), (-F.col("most.minus")).alias("b"), (F.col("slack") + F.col("most.slack")).alias("both"))
+            .filter("a <> b and both >= 0").select("a", "b").distinct())
 
 
-def _remaining(rows: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs (doc, pivot, n, m) that still share a token but no component: written.
+def _sharing(found: DataFrame) -> DataFrame:
+    """Members (g, x) that may be linked by what they share of their differences.
 
-    Left out are pairs whose sizes allow no link, and pairs whose distances to the pivot they met on already differ by more
-    than a link allows (the Jaccard distance obeys the triangle inequality).
+    A partner shares at least ``need`` tokens of ``d``, so one of the first ``size(d) - need + 1`` under every order. Under the order
+    of the hashes and under the opposite one such a token must be shared with another component.
+    """
+    size = F.size("d").cast("bigint")
+    need = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + F.col("most.slack")) / 14), size - F.floor(F.col("n") / 3))
+    front = F.greatest(F.lit(0), size - need + 1).cast("int")
+    shared = None
+    for tokens in (F.slice("d", F.lit(1), front), F.slice("d", (size - front + 1).cast("int"), front)):
+        spread = found.filter(front > 0).select("g", "x", "component", F.explode(tokens).alias("token"))
+        common = (spread.groupBy("g", "token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+                  .filter("low <> high").select("g", "token"))
+        mine = spread.join(common, ["g", "token"], "left_semi").select("g", "x").distinct()
+        shared = mine if shared is None else shared.join(mine, ["g", "x"], "left_semi")
+    return written(shared, "sharing")
+
+
+def _tile_links(found: DataFrame) -> DataFrame:
+    """Links (a, b) between members that share parts of their differences, from tiles of block against block.
+
+    A group is dealt into blocks of about ``TILE`` tokens by a hash; each pair of blocks meets in a task of its own, which
+    returns links only, as few as connect the components they join.
     """
-    rows = written(_named(rows, labels, "x", "component"), "open")
-    # Tokens within one component are done; of tokens that the same documents share one is enough.
-    tokens = (rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"),
-                                        F.bit_xor(F.xxhash64("x")).alias("s1"), F.bit_xor(F.xxhash64("x", F.lit(1))).alias("s2"))
-              .filter("low <> high").groupBy("size", "s1", "s2").agg(F.min("token").alias("token")))
-    known = tried.select(F.col("doc").alias("x"), F.col("pivot").alias("y"), "distance")
-    rows = written(rows.join(tokens.select("token"), "token", "left_semi").join(known, ["x", "y"], "left")
-                   .withColumn("distance", F.when(F.col("x") == F.col("y"), 0.0).otherwise(F.col("distance"))), "open")
-    other = rows.select("token", F.col("x").alias("pivot"), F.col("y").alias("z"), F.col("n").alias("m"),
-                        F.col("component").alias("theirs"), F.col("distance").alias("far"))
-    apart = ((F.col("y") == F.col("z")) & (F.abs(F.col("distance") - F.col("far")) > 1 - PERCENT / 100 + 1e-9))
-    return written(rows.join(other, "token").filter(
-        (F.col("x") > F.col("pivot")) & (F.col("component") != F.col("theirs")) & _sizes_fit()
-        & ~F.coalesce(apart, F.lit(False))).select(F.col("x").alias("doc"), "pivot", "n", "m").distinct(), "pairs")
+    found = found.join(_sharing(found), ["g", "x"], "left_semi").select("g", "x", "component", "d", "slack")
+    blocks = found.groupBy("g").agg(F.ceil(F.sum(F.size("d") + ROW_WEIGHT) / TILE).cast("int").alias("blocks"))
+    dealt = (found.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                     (F.col("block") > F.col("other")).alias("right"), "x", "component", "d", "slack"))
+    return written(dealt.groupBy("g", "i", "j").applyInArrow(_tile, "a bigint, b bigint"), "tiles")
+
+
+def _tile(table: pa.Table) -> pa.Table:
+    x, component, slack, right = (table.column(c).to_numpy() for c in ("x", "component", "slack", "right"))
+    d = table.column("d").combine_chunks()
+    tokens, sizes = d.flatten().to_numpy(), np.diff(d.offsets.to_numpy())
+    owner = np.repeat(np.arange(len(x)), sizes)
+    if right.any():
+        low, high = np.flatnonzero(~right), np.flatnonzero(right)
+    else:  # a block with itself, or with one that is empty
+        low = high = np.arange(len(x))
+    place = np.zeros(len(x), np.int64)
+    place[low] = np.arange(len(low))
+    in_low = ~right[owner]
+    of_low, t_low = place[owner[in_low]], tokens[in_low]
+    place[high] = np.arange(len(high))
+    in_high = right[owner] if right.any() else in_low
+    of_high, t_high = place[owner[in_high]], tokens[in_high]
+    order = np.argsort(t_high, kind="stable")
+    t_high, of_high = t_high[order], of_high[order]
+    first, last = np.searchsorted(t_high, t_low), np.searchsorted(t_high, t_low, side="right")
+    counts, shared = last - first, np.zeros(len(low) * len(high), np.int64)
+    # So many meetings at once that memory is bounded.
+    part = np.cumsum(counts) // MEETINGS
+    for k in np.unique(part[counts > 0]):
+        mine = np.flatnonzero((part == k) & (counts > 0))
+        ends = np.cumsum(counts[mine])
+        at = np.arange(ends[-1]) + np.repeat(first[mine] - (ends - counts[mine]), counts[mine])
+        shared += np.bincount(np.repeat(of_low[mine], counts[mine]) * len(high) + of_high[at], minlength=len(shared))
+    shared = shared.reshape(len(low), len(high))
+    linked = ((slack[low][:, None] + slack[high] + 14 * shared >= 0) & (shared > 0)
+              & (component[low][:, None] != component[high]))
+    u, v = np.nonzero(linked)
+    u, v = low[u], high[v]
+    # One link for each pair of components, then as many as make a forest.
+    _, one = np.unique(np.stack([component[u], component[v]]), axis=1, return_index=True)
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = c = root.get(up, up)
+        return c
+
+    kept = []
+    for k in one:
+        p, q = top(int(component[u[k]])), top(int(component[v[k]]))
+        if p != q:
+            root[q] = p
+            kept.append(k)
+    return pa.table({"a": pa.array(x[u[kept]], pa.int64()), "b": pa.array(x[v[kept]], pa.int64())})
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
