@@ -204,24 +204,24 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield bucket()
 
 
-def _listed(ids: list, arrays: list[np.ndarray], dtype) -> pa.RecordBatch:
+def _listed(ids: list, sizes: list[int], arrays: list[np.ndarray], dtype) -> pa.RecordBatch:
     flat = np.concatenate(arrays).view(dtype) if arrays else np.empty(0, dtype)
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat))],
-                                      names=["doc", "tokens"])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
+                                       pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["doc", "n", "tokens"])
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens in the first quarter of the second order, four bytes each."""
     for ids, sets in _sets(batches):
         second = [mix(s ^ _SECOND) for s in sets]
-        yield _listed(ids, [np.unique(h[h < _QUARTER].astype(np.uint32)) for h in second], np.int32)
+        yield _listed(ids, [len(s) for s in sets], [np.unique(h[h < _QUARTER].astype(np.uint32)) for h in second], np.int32)
 
 
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole sets under the third order."""
     for ids, sets in _sets(batches):
-        yield _listed(ids, [s[np.argsort(mix(s ^ _THIRD))] for s in sets], np.int64)
+        yield _listed(ids, [len(s) for s in sets], [s[np.argsort(mix(s ^ _THIRD))] for s in sets], np.int64)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -252,16 +252,16 @@ def _heavy_tokens(known: DataFrame) -> np.ndarray:
 
 
 def _lists(docs: DataFrame, ids: DataFrame, make, kind: str) -> DataFrame:
-    """Token lists (doc, tokens) of the documents named in ``ids`` (id): written."""
+    """Token lists (doc, n, tokens) of the documents named in ``ids`` (id), n the size of the whole set: written."""
     ids = written(ids.distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     return written(_texts(docs).join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-                   .mapInArrow(make, f"doc bigint, tokens array<{kind}>"), "lists")
+                   .mapInArrow(make, f"doc bigint, n bigint, tokens array<{kind}>"), "lists")
 
 
 def _of(docs: DataFrame, pairs: DataFrame, make, kind: str) -> tuple[DataFrame, DataFrame]:
     """Token lists of the documents in pairs: of all (doc, tokens), and of the pivots (pivot, low)."""
-    lists = _lists(docs, pairs.select(F.explode(F.array("doc", "pivot")).alias("id")), make, kind)
+    lists = _lists(docs, pairs.select(F.explode(F.array("doc", "pivot")).alias("id")), make, kind).drop("n")
     lows = pairs.select(F.col("pivot").alias("doc")).distinct()
     return lists, lists.join(lows, "doc", "left_semi").select(F.col("doc").alias("pivot"), F.col("tokens").alias("low"))
 
@@ -357,22 +357,37 @@ def _named(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFram
             .withColumn(name, F.coalesce("_component", node)).drop("_node", "_component"))
 
 
+def _members(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (g, x, component) of groups: the documents of all tokens whose smallest document is ``g``; written."""
+    rows = _named(rows, labels, "x", "component")
+    # Tokens within one component are done.
+    tokens = (rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("x").alias("g"))
+              .filter("low <> high").select("token", "g"))
+    return written(rows.join(tokens, "token").select("g", "x", "component").distinct(), "members")
+
+
+def _possible(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The members that the first quarter of the second order does not tell apart from all members of other components: written.
+
+    The quarter of a set is an eighth of its bytes; documents that only share a passage end here.
+    """
+    heads = _lists(docs, members.select(F.col("x").alias("id")), _heads, "int").withColumnRenamed("doc", "x")
+    found = (members.join(heads.hint("merge"), "x").withColumnRenamed("tokens", "d")
+             .withColumn("slack", F.col("n") - 7 * F.size("d")))
+    left = _tiles(written(found, "heads")).applyInArrow(_tile_members, "g bigint, x bigint").distinct()
+    return written(members.join(left, ["g", "x"], "left_semi"), "possible")
+
+
 def _differences(docs: DataFrame, rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that still share a token but no component, each as its difference to its group's core: written.
 
-    Rows (g, x, component, d, slack, most). A group holds the documents of all tokens whose smallest document is ``g``, so any two
-    that share a token share a group. The core is what more than half of the members hold, at most twice their mean size; ``d`` is the
+    Rows (g, x, n, component, d, slack, most). Any two documents that share a token share a group. The core is what more than half of the members hold, at most twice their mean size; ``d`` is the
     symmetric difference to it. Two members differ in size(d) + size(e) - 2k tokens if they share k of these, so they are linked
     exactly if slack + slack + 14 k >= 0 with slack = n - 7 size(d). ``most`` is the greatest (slack, -x) of the group.
     """
-    rows = _named(rows, labels, "x", "component")
-    # Tokens within one component are done.
-    tokens = (rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("x").alias("g"))
-              .filter("low <> high").select("token", "g"))
-    members = written(rows.join(tokens, "token").select("g", "x", "n", "component").distinct(), "members")
+    members = _possible(docs, _members(rows, labels))
     sets = _lists(docs, members.select(F.col("x").alias("id")), _full, "bigint").withColumnRenamed("doc", "x")
-    # Rows that repeat a doc_id with another text: each is a member with its own size.
-    held = written(members.join(sets.hint("merge"), "x").withColumn("n", F.size("tokens").cast("bigint")).distinct(), "held")
+    held = written(members.join(sets.hint("merge"), "x").distinct(), "held")
     sizes = held.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
     core = (held.select("g", F.explode("tokens").alias("token")).groupBy("g", "token").count().join(sizes, "g")
             .filter(2 * F.col("count") > F.col("size")).groupBy("g").agg(F.collect_list("token").alias("core")))
@@ -413,21 +428,25 @@ def _sharing(found: DataFrame) -> DataFrame:
 
 
 def _tile_links(found: DataFrame) -> DataFrame:
-    """Links (a, b) between members that share parts of their differences, from tiles of block against block.
+    """Links (a, b) between members that share parts of their differences: written."""
+    left = found.join(_sharing(found), ["g", "x"], "left_semi")
+    return written(_tiles(left).applyInArrow(_tile_forest, "a bigint, b bigint"), "tiles")
+
 
-    A group is dealt into blocks of about ``TILE`` tokens by a hash; each pair of blocks meets in a task of its own, which
-    returns links only, as few as connect the components they join.
+def _tiles(found: DataFrame):
+    """Rows (g, x, component, d, slack) by tile: every two blocks of a group, and every block with itself.
+
+    A group is dealt into blocks of about ``TILE`` tokens by a hash.
     """
-    found = found.join(_sharing(found), ["g", "x"], "left_semi").select("g", "x", "component", "d", "slack")
     blocks = found.groupBy("g").agg(F.ceil(F.sum(F.size("d") + ROW_WEIGHT) / TILE).cast("int").alias("blocks"))
-    dealt = (found.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                     (F.col("block") > F.col("other")).alias("right"), "x", "component", "d", "slack"))
-    return written(dealt.groupBy("g", "i", "j").applyInArrow(_tile, "a bigint, b bigint"), "tiles")
+    return (found.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                    (F.col("block") > F.col("other")).alias("right"), "x", "component", "d", "slack").groupBy("g", "i", "j"))
 
 
-def _tile(table: pa.Table) -> pa.Table:
+def _near(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents and components of a tile, and the pairs of rows in different components that may be linked by ``slack`` and ``d``."""
     x, component, slack, right = (table.column(c).to_numpy() for c in ("x", "component", "slack", "right"))
     d = table.column("d").combine_chunks()
     tokens, sizes = d.flatten().to_numpy(), np.diff(d.offsets.to_numpy())
@@ -455,10 +474,20 @@ def _tile(table: pa.Table) -> pa.Table:
         at = np.arange(ends[-1]) + np.repeat(first[mine] - (ends - counts[mine]), counts[mine])
         shared += np.bincount(np.repeat(of_low[mine], counts[mine]) * len(high) + of_high[at], minlength=len(shared))
     shared = shared.reshape(len(low), len(high))
-    linked = ((slack[low][:, None] + slack[high] + 14 * shared >= 0) & (shared > 0)
-              & (component[low][:, None] != component[high]))
-    u, v = np.nonzero(linked)
-    u, v = low[u], high[v]
+    u, v = np.nonzero((slack[low][:, None] + slack[high] + 14 * shared >= 0) & (component[low][:, None] != component[high]))
+    return x, component, low[u], high[v]
+
+
+def _tile_members(table: pa.Table) -> pa.Table:
+    """Rows (g, x) of a tile that have such a pair."""
+    x, _, u, v = _near(table)
+    left = np.unique(x[np.union1d(u, v)])
+    return pa.table({"g": pa.array(np.full(len(left), table.column("g")[0].as_py()), pa.int64()), "x": pa.array(left, pa.int64())})
+
+
+def _tile_forest(table: pa.Table) -> pa.Table:
+    """Links (a, b) of a tile, as few as connect the components they join."""
+    x, component, u, v = _near(table)
     # One link for each pair of components, then as many as make a forest.
     _, one = np.unique(np.stack([component[u], component[v]]), axis=1, return_index=True)
     root: dict[int, int] = {}
