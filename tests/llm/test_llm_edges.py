@@ -238,6 +238,24 @@ def test_jaccard_on_large_groups(spark, monkeypatch, small_group, heavy_count):
     assert got == {d: (found[d], sizes[d]) for d, _ in rows}
 
 
+def test_jaccard_of_edited_copies_near_the_threshold(spark, monkeypatch):
+    """Copies with different edits of a text that is not there: most pairs lie just below the threshold, some above."""
+    monkeypatch.setattr(jaccard, "TILE", 4000)
+    monkeypatch.setattr(jaccard, "ROW_WEIGHT", 30)
+    draw, rows = random.Random(5), []
+    base = [f"w{draw.randint(0, 3000)}" for _ in range(140)]
+    for k in range(400):
+        w = list(base)
+        for _ in range(draw.randint(2, 4)):
+            w[draw.randrange(len(w))] = f"e{draw.randint(0, 9)}"
+        rows.append((k, " ".join(w)))
+    found, sizes = jaccard_classes(rows)
+    assert 1 < len(set(found.values())) < 400
+    got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in
+           jaccard.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {d: (found[d], sizes[d]) for d, _ in rows}
+
+
 def test_jaccard_odd_rows(odd, nothing):
     got = jaccard.classes(odd)
     rows = {(r["doc_id"], r["component_id"]) for r in got.collect()}
