@@ -1,14 +1,18 @@
-"""Benchmark decontamination by BM25 with block maxima (operator 3).
+"""Benchmark decontamination by BM25 with block-max WAND (operator 3).
 
 Test items are the indexed side: each is one unit, or several of at most ``UNIT_WORDS`` words, with postings of BM25
 impacts divided by the unit's score against itself. Units of one length class (lengths up to the same power of two) have
 an index of their own. Every training passage, two neighbouring spans of a document of the class's length, overlapping by
 one span, is a query; so a unit copied in one piece lies whole in some passage, and which passages a unit meets depends
 on its own length only.
-Units lie in blocks of ``BLOCK``; an index of (term, block) maxima gives an upper bound of every score in a block, and only
-blocks whose bound reaches the threshold are scored exactly, with the distinct terms of the passage. All units at or above
-``SCORE`` are retrieved and then verified: of the word triples of the unit's question (its first half) and of
-its answer (the rest) at least ``OVERLAP`` each must occur in the passage. A unit of fewer than six words must occur whole.
+Units lie in blocks of ``BLOCK`` with an index of (term, block) maxima. The search is block-max WAND with a fixed threshold, for
+all passages of about a megabyte of text at once: a passage's terms are ordered by their greatest impact, and the pivot is the
+first at which the sum of these reaches the threshold. Passages without pivot are skipped whole, blocks without a term from the
+pivot on are never opened. An opened block goes on if its maxima of these terms and the greatest impacts of the earlier ones
+reach the threshold; then the earlier terms' own maxima are put in step by step, and only a block that stays above it is
+scored exactly, with the distinct terms of the passage. All units at or above ``SCORE`` are retrieved and then verified: of the
+word triples of the unit's question (its first half) and of its answer (the rest) at least ``OVERLAP`` each must occur in the
+passage. A unit of fewer than six words must occur whole.
 
 Statistics are taken over all items. The index goes to the tasks in shards of bounded size, one after the other.
 
@@ -34,8 +38,8 @@ SCORE, OVERLAP = 0.5, 0.5
 K1, B = 1.2, 0.75
 #: Words of all units in one broadcast shard, at most about (some 40 bytes each in the index).
 SHARD_WORDS = 500_000
-#: Cells of the table of bounds that is filled at once.
-CELLS = 4 << 20
+#: Postings of blocks that are open at once; what rounding may take from a bound.
+CELLS, SLACK = 4 << 20, 1e-6
 _UNIT = "item_id bigint, words array<bigint>"
 
 
@@ -63,6 +67,9 @@ class Index:
     block_at: np.ndarray  # the same for (block, maximum)
     block: np.ndarray
     block_most: np.ndarray
+    block_key: np.ndarray  # term * blocks + block of each, ascending
+    blocks: int
+    term_most: np.ndarray  # greatest impact of each term
     question: list[np.ndarray]
     answer: list[np.ndarray]
     size: list[int]  # words per triple, 3 or the whole of a short unit
@@ -79,31 +86,58 @@ class Index:
         hit = self.terms[place] == words[near]
         near, place = near[hit], place[hit]
         owner = np.searchsorted(spans, near, side="right") - 1
-        pairs = np.unique(owner * len(self.terms) + place)
-        owner, term = np.divmod(pairs, len(self.terms))
-        n_spans, n_blocks = len(spans) - 1, int(self.block.max()) + 1
-        edges = np.searchsorted(owner, np.arange(n_spans + 1))
-        step = max(2, CELLS // n_blocks)
-        for low in range(0, max(1, n_spans - 1), step):
-            # Bounds of spans low .. high, one more than passages begin here.
-            high = min(n_spans, low + step + 1)
-            part = slice(edges[low], edges[high])
-            counts = self.block_at[term[part] + 1] - self.block_at[term[part]]
-            entries = _ranges(self.block_at[term[part]], counts)
-            cell = (np.repeat(owner[part], counts) - low) * n_blocks + self.block[entries]
-            bound = np.bincount(cell, self.block_most[entries], (high - low) * n_blocks).reshape(high - low, n_blocks)
-            both = bound[:-1] + bound[1:] if high - low > 1 else bound
-            for k, b in np.argwhere(both >= SCORE - 1e-9):
-                yield from self._verified(words, spans, edges, term, low + int(k), int(b))
-
-    def _verified(self, words, spans, edges, term, k, b):
-        last = min(k + 2, len(spans) - 1)
-        seen = np.unique(term[edges[k]:edges[last]])
+        owner, term = np.divmod(np.unique(owner * len(self.terms) + place), len(self.terms))
+        n_passages = max(1, len(spans) - 2)
+        # Passages whose terms cannot reach the threshold together have no pivot and end here.
+        most = np.bincount(owner, self.term_most[term], n_passages + 1)
+        live = most[:-1] + most[1:] >= SCORE - SLACK
+        low, high = np.maximum(owner - 1, 0), np.minimum(owner, n_passages - 1)
+        passage, term = np.divmod(np.unique(np.concatenate(
+            [low[live[low]] * len(self.terms) + term[live[low]], high[live[high]] * len(self.terms) + term[live[high]]])), len(self.terms))
+        edges = np.searchsorted(passage, np.arange(n_passages + 1))
+        for k, b in self._candidates(passage, term, n_passages):
+            yield from self._verified(words[spans[k]:spans[min(k + 2, len(spans) - 1)]], term[edges[k]:edges[k + 1]], k, b)
+
+    def _candidates(self, passage: np.ndarray, term: np.ndarray, n_passages: int) -> Iterator[tuple[int, int]]:
+        """(passage, block) whose block maxima reach the threshold; ``passage`` ascends, its terms are distinct."""
+        top = self.term_most[term]
+        order = np.lexsort((top, passage))
+        passage, term, top = passage[order], term[order], top[order]
+        start = np.searchsorted(passage, np.arange(n_passages + 1))
+        total = np.concatenate([[0.0], np.cumsum(top)])
+        # From its pivot on, a passage's terms open blocks; a unit with earlier terms only stays below the threshold.
+        opens = total[1:] - total[start[passage]] >= SCORE - SLACK
+        pivot = start[1:] - np.bincount(passage[opens], minlength=n_passages)
+        before = total[pivot] - total[start[:-1]]
+        sizes = np.where(opens, self.block_at[term + 1] - self.block_at[term], 0)
+        part = np.bincount(passage, sizes, n_passages).cumsum().astype(np.int64) // CELLS
+        for k in np.unique(part[passage[opens]]):
+            mine = np.flatnonzero(opens & (part[passage] == k))
+            entries = _ranges(self.block_at[term[mine]], sizes[mine])
+            cells, of = np.unique(np.repeat(passage[mine], sizes[mine]) * self.blocks + self.block[entries], return_inverse=True)
+            bound = np.bincount(of, self.block_most[entries])
+            # Blocks that even the greatest impacts of the earlier terms do not lift are skipped without a look at these.
+            open_ = bound + before[cells // self.blocks] >= SCORE - SLACK
+            cells, bound = cells[open_], bound[open_]
+            step = max(1, CELLS // max(1, int((pivot - start[:-1]).max())))
+            for at in range(0, len(cells), step):
+                p, b = np.divmod(cells[at:at + step], self.blocks)
+                reached, last, width = bound[at:at + step], pivot[p], 1
+                while len(p) and (last > start[p]).any():
+                    first = np.maximum(start[p], last - width)
+                    keys = term[_ranges(first, last - first)] * self.blocks + np.repeat(b, last - first)
+                    place = np.minimum(np.searchsorted(self.block_key, keys), len(self.block_key) - 1)
+                    there = np.where(self.block_key[place] == keys, self.block_most[place], 0)
+                    reached = reached + np.bincount(np.repeat(np.arange(len(p)), last - first), there, len(p))
+                    stay = reached + total[first] - total[start[p]] >= SCORE - SLACK
+                    p, b, reached, last, width = p[stay], b[stay], reached[stay], first[stay], 2 * width
+                yield from zip(p.tolist(), b.tolist())
+
+    def _verified(self, passage, seen, k, b):
         postings = _ranges(self.at[seen], self.at[seen + 1] - self.at[seen])
         unit = self.unit[postings]
         inside = unit // BLOCK == b
         score = np.bincount(unit[inside] - b * BLOCK, self.impact[postings[inside]], BLOCK)
-        passage = words[spans[k]:spans[last]]
         for u in np.flatnonzero(score >= SCORE):
             at = b * BLOCK + int(u)
             there = grams(passage, self.size[at])
@@ -144,13 +178,15 @@ def build_index(units: list[tuple[int | None, np.ndarray]], df: dict[int, int],
     t, u, w = map(np.concatenate, (t_of, u_of, w_of))
     order = np.lexsort((u, t))
     t, u, w = t[order], u[order], w[order]
-    key = t * (len(units) // BLOCK + 1) + u // BLOCK
+    blocks = len(units) // BLOCK + 1
+    key = t * blocks + u // BLOCK
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     edges = np.arange(len(terms) + 1)
+    at = np.searchsorted(t, edges)
     sieve = np.zeros(1 << 20, bool)
     sieve[(terms & np.uint64(0xFFFFF)).astype(np.int64)] = True
-    return Index([i for i, _ in units], terms, np.searchsorted(t, edges), u, w, np.searchsorted(t[first], edges), u[first] // BLOCK,
-                 np.maximum.reduceat(w, first), question, answer, size, least, max(length_class(len(w)) for _, w in units), sieve)
+    return Index([i for i, _ in units], terms, at, u, w, np.searchsorted(t[first], edges), u[first] // BLOCK,
+                 np.maximum.reduceat(w, first), key[first], blocks, np.maximum.reduceat(w, at[:-1]), question, answer, size, least, max(length_class(len(w)) for _, w in units), sieve)
 
 
 def indexes(items: DataFrame, shard_words: int = SHARD_WORDS) -> list[list[Index]]:

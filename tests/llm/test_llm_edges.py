@@ -1,7 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables, for every operator and stage."""
 
 import hashlib
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -209,6 +211,54 @@ def test_bounds_never_lose_an_item():
         assert k in {index.items[u] for _, u, *_ in index.find(doc, spans)}
 
 
+def _plain_findings(docs, items):
+    """Findings by BM25 of every passage against every item, one after the other."""
+    units = [(i, text.split()) for i, text in items]
+    n, mean = len(units), sum(len(w) for _, w in units) / len(units)
+    df = Counter(t for _, w in units for t in set(w))
+    found = {}
+    for doc, text in docs:
+        own = text.split()
+        for item, w in units:
+            impact = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(w) / mean))
+                      for t, c in Counter(w).items()}
+            span = 1
+            while span < len(w):
+                span *= 2
+            size, half = (3, len(w) // 2) if len(w) >= 6 else (len(w), 0)
+            triples = lambda v: {tuple(v[k:k + size]) for k in range(len(v) - size + 1)}  # noqa: B023,E731
+            question, answer = (triples(w[:half]), triples(w[half:])) if half else (triples(w), triples(w))
+            for start in range(0, max(1, len(own) - span), span):
+                passage = own[start:start + 2 * span]
+                score = sum(v for t, v in impact.items() if t in set(passage)) / sum(impact.values())
+                there = triples(passage)
+                q, a = len(question & there) / len(question), len(answer & there) / len(answer)
+                if score >= 0.5 and min(q, a) >= (0.5 if half else 1):
+                    found[doc, item] = max(found.get((doc, item), (0.0,)), (round(min(1.0, score), 9), q, a))
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_findings_equal_those_of_plain_bm25(spark, seed):
+    draw = random.Random(seed)
+    words_of = lambda n: [f"v{int(120 * draw.random() ** 3)}" for _ in range(n)]
+    items = [(k, " ".join(words_of(draw.choice((1, 3, 5, 6, 7, 8, 9, 15, 16, 17, 33, 70))))) for k in range(60)]
+    docs = []
+    for doc in range(80):
+        text = words_of(draw.randint(0, 90))
+        for _ in range(draw.randint(0, 2)):  # items of which some words are changed, moved or left out
+            noisy = [w if draw.random() > 0.12 else f"v{draw.randint(0, 119)}" for w in draw.choice(items)[1].split()]
+            at = draw.randint(0, len(text))
+            text[at:at] = noisy[draw.randint(0, 2):]
+        docs.append((doc, " ".join(text)))
+    want = _plain_findings(docs, items)
+    frame, tests = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for shard_words in (10 ** 6, 300):
+        rows = decontaminate.find(frame, decontaminate.indexes(tests, shard_words)).collect()
+        got = {(r["doc_id"], r["item_id"]): (round(min(1.0, r["score"]), 9), r["question_overlap"], r["answer_overlap"]) for r in rows}
+        assert got == want and len(rows) == len(want) > 20
+
+
 # 4 Jaccard -----------------------------------------------------------------------------
 
 def _variants(seed, groups=6, size=25):
