@@ -24,7 +24,7 @@ import hashlib
 import heapq
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -362,18 +362,26 @@ def _as_matrix(rows: int, data: bytes) -> np.ndarray:
 
 def encode(docs: DataFrame, path: str = PATH, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """``docs`` with ``ids``, the SentencePiece ids of the whole text."""
-    spark = docs.sparkSession
     docs = docs.drop("ids")
-    shared = spark.sparkContext.broadcast(load(path))
+
+    def with_ids(_, batch: pa.RecordBatch, ids: list[np.ndarray | None]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, _lists(ids)], names=[*batch.schema.names, "ids"])
+
+    return _encoded(docs, with_ids, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]),
+                    path, chunk, block)
+
+
+def _encoded(docs: DataFrame, finish: Callable[[Vocabulary, pa.RecordBatch, list], pa.RecordBatch], schema,
+             path: str, chunk: int, block: int) -> DataFrame:
+    """What ``finish`` makes of rows and their ids (null for null), in the task that finds the ids."""
+    shared = docs.sparkSession.sparkContext.broadcast(load(path))
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 2 << 20):  # the lists of words take several times the text
             texts = batch.column("text").to_pylist()
             found = iter(shared.value.encode_texts([t for t in texts if t is not None]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, _lists([None if t is None else next(found) for t in texts])],
-                                             names=[*names, "ids"])
+            yield finish(shared.value, batch, [None if t is None else next(found) for t in texts])
 
     small = docs.filter(F.col("text").isNull() | (F.length("text") <= chunk)).mapInArrow(whole, schema)
     large = docs.filter(F.length("text") > chunk)
@@ -473,7 +481,7 @@ def encode(docs: DataFrame, path: str = PATH, chunk: int = CHUNK, block: int = B
             for text, own in zip(batch.column("text").to_pylist(), borders_of.to_pylist()):
                 parts = zip(split_text(text, margin, chunk), sorted(own, key=lambda b: b["chunk"]))
                 ids.append(np.frombuffer(b"".join(chunk_ids(shared.value, *part, b["entry"], b["leave"]) for part, b in parts), np.int32))
-            yield pa.RecordBatch.from_arrays([*columns, _lists(ids)], names=[*names, "ids"])
+            yield finish(shared.value, pa.RecordBatch.from_arrays(columns, names=names), ids)
 
     more = free_name(docs, "borders")
     found = states.groupBy("row").agg(F.collect_list(F.struct("chunk", "entry", "leave")).alias(more))
@@ -521,23 +529,17 @@ def decode(encoded: DataFrame, path: str = PATH) -> DataFrame:
 
 
 def summary(docs: DataFrame, path: str = PATH) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256 (little-endian int32), round_trip: whether decoding gives the text back."""
-    shared = docs.sparkSession.sparkContext.broadcast(load(path))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
-            ids, texts = batch.column("ids"), batch.column("text").to_pylist()
-            rows = []
-            for k, text in enumerate(texts):
-                if text is None:
-                    rows.append((None, None, None))
-                    continue
-                own = ids[k].values.to_numpy(zero_copy_only=False)
-                rows.append((len(own), hashlib.sha256(own.astype("<i4").tobytes()).hexdigest(),
-                             shared.value.decode(own) == text.replace(SPACE, " ")))
-            kinds = [pa.int64(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))],
-                                             names=["doc_id", "n_tokens", "ids_sha256", "round_trip"])
+    """Per row: doc_id, n_tokens, ids_sha256 (little-endian int32), round_trip: whether decoding gives the text back.
+
+    Ids are digested and decoded in the task that found them, so that neither they nor the texts move again.
+    """
+    def digests(v: Vocabulary, batch: pa.RecordBatch, ids: list[np.ndarray | None]) -> pa.RecordBatch:
+        rows = [(None, None, None) if own is None else
+                (len(own), hashlib.sha256(own.astype("<i4").tobytes()).hexdigest(), v.decode(own) == text.replace(SPACE, " "))
+                for own, text in zip(ids, batch.column("text").to_pylist())]
+        kinds = [pa.int64(), pa.string(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))],
+                                          names=["doc_id", "n_tokens", "ids_sha256", "round_trip"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return encode(texts, path).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, round_trip boolean")
+    return _encoded(texts, digests, "doc_id bigint, n_tokens bigint, ids_sha256 string, round_trip boolean", path, CHUNK, BLOCK)
