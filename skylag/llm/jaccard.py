@@ -31,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from skylag.llm.components import components
-from skylag.llm.tables import free_name, written
+from skylag.llm.tables import forget, free_name, written
 from skylag.llm.words import batch_words, grams, mix, sequence_hash, sliced
 
 SHINGLE = 5
@@ -47,8 +47,9 @@ BUCKET_TOKENS = 1 << 20
 SMALL_GROUP = 4
 #: Document ids below which a list of them is broadcast to a scan (8 bytes each); above, the scan is shuffled.
 BROADCAST_IDS = 1 << 19
-#: A block of a large group holds about so many tokens, each row counted as so many more; meetings of tokens counted at once.
-TILE, ROW_WEIGHT, MEETINGS = 1 << 18, 256, 1 << 22
+#: A block of a large group holds about so many tokens, each row counted as so many more. A member is copied once per block, so
+#: large blocks move less; pairs of rows looked at, and meetings of tokens counted, at once bound what a tile needs in memory.
+TILE, ROW_WEIGHT, PAIRS, MEETINGS = 1 << 20, 256, 1 << 20, 1 << 22
 _SECOND, _THIRD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _QUARTER = np.uint64(1 << 62)
 
@@ -212,10 +213,14 @@ def _listed(ids: list, sizes: list[int], arrays: list[np.ndarray], dtype) -> pa.
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens in the first quarter of the second order, four bytes each."""
+    """Tokens in the first quarter of the second order, two bytes each.
+
+    Different tokens with equal bytes only make two sets more alike, which lets more through: shortened sets never differ in more
+    tokens than the whole ones.
+    """
     for ids, sets in _sets(batches):
         second = [mix(s ^ _SECOND) for s in sets]
-        yield _listed(ids, [len(s) for s in sets], [np.unique(h[h < _QUARTER].astype(np.uint32)) for h in second], np.int32)
+        yield _listed(ids, [len(s) for s in sets], [np.unique(h[h < _QUARTER].astype(np.uint16)) for h in second], np.int16)
 
 
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,13 +260,15 @@ def _lists(docs: DataFrame, ids: DataFrame, make, kind: str) -> DataFrame:
     """Token lists (doc, n, tokens) of the documents named in ``ids`` (id), n the size of the whole set: written."""
     ids = written(ids.distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return written(_texts(docs).join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-                   .mapInArrow(make, f"doc bigint, n bigint, tokens array<{kind}>"), "lists")
+    lists = written(_texts(docs).join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
+                    .mapInArrow(make, f"doc bigint, n bigint, tokens array<{kind}>"), "lists")
+    forget(ids)
+    return lists
 
 
 def _of(docs: DataFrame, pairs: DataFrame, make, kind: str) -> tuple[DataFrame, DataFrame]:
-    """Token lists of the documents in pairs: of all (doc, tokens), and of the pivots (pivot, low)."""
-    lists = _lists(docs, pairs.select(F.explode(F.array("doc", "pivot")).alias("id")), make, kind).drop("n")
+    """Token lists of the documents in pairs: of all (doc, n, tokens), and of the pivots (pivot, low)."""
+    lists = _lists(docs, pairs.select(F.explode(F.array("doc", "pivot")).alias("id")), make, kind)
     lows = pairs.select(F.col("pivot").alias("doc")).distinct()
     return lists, lists.join(lows, "doc", "left_semi").select(F.col("doc").alias("pivot"), F.col("tokens").alias("low"))
 
@@ -272,21 +279,24 @@ def _distances(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     Linked sets differ in at most (n + m) / 7 tokens. The second order's first quarter alone must keep to that, and it is an
     eighth of the bytes of the sets, which only the pairs that are left have to move.
     """
-    heads, low_heads = _of(docs, pairs, _heads, "int")
+    heads, low_heads = _of(docs, pairs, _heads, "smallint")
     differ = F.size("tokens") + F.size("low") - 2 * F.size(F.array_intersect("tokens", "low"))
-    near = written(pairs.join(heads.hint("merge"), "doc").join(low_heads.hint("merge"), "pivot")
+    near = written(pairs.join(heads.drop("n").hint("merge"), "doc").join(low_heads.hint("merge"), "pivot")
                    .filter((100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("n") + F.col("m")))
                    .select("doc", "pivot").distinct(), "near")
+    forget(heads, pairs)
     sets, low_sets = _of(docs, near, _full, "bigint")
     n, m = F.size("tokens"), F.size("low")
     front = lambda c, size: F.slice(c, F.lit(1), _prefix(size))
     shared = F.size(F.array_intersect("tokens", "low"))
-    return written(near.join(sets.hint("merge"), "doc").join(low_sets.hint("merge"), "pivot")
+    found = written(near.join(sets.drop("n").hint("merge"), "doc").join(low_sets.hint("merge"), "pivot")
                    .filter(F.arrays_overlap(front("tokens", n), front("low", m)))
                    .select("doc", "pivot", shared.alias("shared"), (n + m - shared).alias("all"))
                    .groupBy("doc", "pivot").agg(F.max(F.struct((F.col("shared") / F.col("all")).alias("share"), "shared", "all")).alias("s"))
                    .select("doc", "pivot", (1 - F.col("s.share")).alias("distance"),
                            (100 * F.col("s.shared") >= PERCENT * F.col("s.all")).alias("linked")), "distances")
+    forget(sets, near)
+    return found
 
 
 def _links(distances: DataFrame) -> DataFrame:
@@ -334,11 +344,16 @@ def classes(docs: DataFrame) -> DataFrame:
     tried = _distances(docs, settled(met.filter("doc <> pivot").select("doc", "pivot")))
     labels = _labels(copies, _links(tried))
     still = _open_rows(met.filter("token is not null"), reps)
-    apart = _differences(docs, still, labels)
-    links = _links(tried).union(_star(apart))
+    forget(met)
+    found, best = _differences(docs, still, labels)
+    forget(still, labels)
+    apart = found.join(best, "g")
+    links = written(_links(tried).union(_star(apart)), "links")
     labels = _labels(copies, links)
     rest = _tile_links(_named(apart.drop("component"), labels, "x", "component"))
+    forget(tried, found, best, labels)
     labels = _labels(copies, links.union(rest))
+    forget(reps, links, rest)
     return rows.join(labels, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -371,32 +386,61 @@ def _possible(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     The quarter of a set is an eighth of its bytes; documents that only share a passage end here.
     """
-    heads = _lists(docs, members.select(F.col("x").alias("id")), _heads, "int").withColumnRenamed("doc", "x")
+    heads = _lists(docs, members.select(F.col("x").alias("id")), _heads, "smallint").withColumnRenamed("doc", "x")
     found = (members.join(heads.hint("merge"), "x").withColumnRenamed("tokens", "d")
              .withColumn("slack", F.col("n") - 7 * F.size("d")))
-    left = _tiles(written(found, "heads")).applyInArrow(_tile_members, "g bigint, x bigint").distinct()
-    return written(members.join(left, ["g", "x"], "left_semi"), "possible")
+    found = written(found, "heads")
+    forget(heads)
+    tiles, blocks = _tiles(found)
+    left = tiles.applyInArrow(_tile_members, "g bigint, x bigint").distinct()
+    possible = written(members.join(left, ["g", "x"], "left_semi"), "possible")
+    forget(found, blocks, members)
+    return possible
 
 
-def _differences(docs: DataFrame, rows: DataFrame, labels: DataFrame) -> DataFrame:
+def _differences(docs: DataFrame, rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents that still share a token but no component, each as its difference to its group's core: written.
 
-    Rows (g, x, n, component, d, slack, most). Any two documents that share a token share a group. The core is what more than half of the members hold, at most twice their mean size; ``d`` is the
+    Rows (g, x, n, component, d, slack), and (g, most). Any two documents that share a token share a group. The core is what more than half of the members hold, at most twice their mean size; ``d`` is the
     symmetric difference to it. Two members differ in size(d) + size(e) - 2k tokens if they share k of these, so they are linked
     exactly if slack + slack + 14 k >= 0 with slack = n - 7 size(d). ``most`` is the greatest (slack, -x) of the group.
     """
     members = _possible(docs, _members(rows, labels))
     sets = _lists(docs, members.select(F.col("x").alias("id")), _full, "bigint").withColumnRenamed("doc", "x")
     held = written(members.join(sets.hint("merge"), "x").distinct(), "held")
-    sizes = held.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-    core = (held.select("g", F.explode("tokens").alias("token")).groupBy("g", "token").count().join(sizes, "g")
-            .filter(2 * F.col("count") > F.col("size")).groupBy("g").agg(F.collect_list("token").alias("core")))
+    forget(sets, members)
+    core = _core(held)
     core_of = F.coalesce("core", F.array().cast("array<bigint>"))
     found = written(held.join(core, "g", "left").select(
         "g", "x", "n", "component", F.sort_array(F.concat(F.array_except("tokens", core_of), F.array_except(core_of, "tokens"))).alias("d"))
         .withColumn("slack", F.col("n") - 7 * F.size("d")), "differences")
-    best = found.groupBy("g").agg(F.max(F.struct("slack", (-F.col("x")).alias("minus"))).alias("most"))
-    return written(found.join(best, "g"), "differences")
+    forget(held, core)
+    # One row per group, written: Catalyst broadcasts it while it is small, and the differences need not move.
+    best = written(found.groupBy("g").agg(F.max(F.struct("slack", (-F.col("x")).alias("minus"))).alias("most")), "best")
+    return found, best
+
+
+def _core(held: DataFrame) -> DataFrame:
+    """Core (g, core) of each group with one: written.
+
+    A group's members are dealt into parts, which count their tokens where they lie; only tokens that more than half of a part
+    holds go on. A token of more than half of the group is such a token in some part. One that falls short in others may miss
+    the core, which then is a little smaller: the differences are to one set all the same, so no link depends on it.
+    """
+    sizes = written(held.groupBy("g").agg(F.count(F.lit(1)).alias("size"),
+                                          F.ceil(F.sum(F.size("tokens")) / BUCKET_TOKENS).alias("parts")), "sizes")
+    dealt = (held.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")))
+             .select("g", "part", "tokens").repartition("g", "part"))
+    # A null token stands for a member: its count is the size of the part.
+    counted = (dealt.select("g", "part", F.explode(F.concat("tokens", F.array(F.lit(None).cast("bigint")))).alias("token"))
+               .groupBy("g", "part", "token").count())
+    part = Window.partitionBy("g", "part")
+    often = (counted.withColumn("members", F.max(F.when(F.col("token").isNull(), F.col("count"))).over(part))
+             .filter("token is not null and 2 * count > members"))
+    core = written(often.groupBy("g", "token").agg(F.sum("count").alias("count")).join(sizes, "g")
+                   .filter(2 * F.col("count") > F.col("size")).groupBy("g").agg(F.collect_list("token").alias("core")), "core")
+    forget(sizes)
+    return core
 
 
 def _star(found: DataFrame) -> DataFrame:
@@ -409,45 +453,56 @@ def _star(found: DataFrame) -> DataFrame:
 
 
 def _sharing(found: DataFrame) -> DataFrame:
-    """Members (g, x) that may be linked by what they share of their differences.
+    """Keys (member) of the members that may be linked by what they share of their differences: written.
 
     A partner shares at least ``need`` tokens of ``d``, so one of the first ``size(d) - need + 1`` under every order. Under the order
-    of the hashes and under the opposite one such a token must be shared with another component.
+    of the hashes such a token must be shared with another component, and among the members left also under the opposite order.
+    Members and tokens of a group go by a hash: equal hashes of different ones only let more through.
     """
     size = F.size("d").cast("bigint")
     need = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + F.col("most.slack")) / 14), size - F.floor(F.col("n") / 3))
     front = F.greatest(F.lit(0), size - need + 1).cast("int")
     shared = None
     for tokens in (F.slice("d", F.lit(1), front), F.slice("d", (size - front + 1).cast("int"), front)):
-        spread = found.filter(front > 0).select("g", "x", "component", F.explode(tokens).alias("token"))
-        common = (spread.groupBy("g", "token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-                  .filter("low <> high").select("g", "token"))
-        mine = spread.join(common, ["g", "token"], "left_semi").select("g", "x").distinct()
-        shared = mine if shared is None else shared.join(mine, ["g", "x"], "left_semi")
-    return written(shared, "sharing")
+        left = found if shared is None else found.join(shared, "member", "left_semi")
+        spread = (left.filter(front > 0).select("member", "component", "g", F.explode(tokens).alias("token"))
+                  .select("member", "component", F.xxhash64("g", "token").alias("key")))
+        common = (spread.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+                  .filter("low <> high").select("key"))
+        before, shared = shared, written(
+            spread.select("member", "key").join(common, "key", "left_semi").select("member").distinct(), "sharing")
+        if before is not None:
+            forget(before)
+    return shared
 
 
 def _tile_links(found: DataFrame) -> DataFrame:
     """Links (a, b) between members that share parts of their differences: written."""
-    left = found.join(_sharing(found), ["g", "x"], "left_semi")
-    return written(_tiles(left).applyInArrow(_tile_forest, "a bigint, b bigint"), "tiles")
+    found = found.withColumn("member", F.xxhash64("g", "x"))
+    sharing = _sharing(found)
+    left = written(found.join(sharing, "member", "left_semi").select("g", "x", "component", "d", "slack"), "left")
+    tiles, blocks = _tiles(left)
+    links = written(tiles.applyInArrow(_tile_forest, "a bigint, b bigint"), "tiles")
+    forget(sharing, left, blocks)
+    return links
 
 
 def _tiles(found: DataFrame):
     """Rows (g, x, component, d, slack) by tile: every two blocks of a group, and every block with itself.
 
-    A group is dealt into blocks of about ``TILE`` tokens by a hash.
+    A group is dealt into blocks of about ``TILE`` tokens by a hash. Also the written table of the groups' numbers of blocks.
     """
-    blocks = found.groupBy("g").agg(F.ceil(F.sum(F.size("d") + ROW_WEIGHT) / TILE).cast("int").alias("blocks"))
-    return (found.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    blocks = written(found.groupBy("g").agg(F.ceil(F.sum(F.size("d") + ROW_WEIGHT) / TILE).cast("int").alias("blocks")), "blocks")
+    tiles = (found.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                     (F.col("block") > F.col("other")).alias("right"), "x", "component", "d", "slack").groupBy("g", "i", "j"))
+    return tiles, blocks
 
 
-def _near(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Documents and components of a tile, and the pairs of rows in different components that may be linked by ``slack`` and ``d``."""
-    x, component, slack, right = (table.column(c).to_numpy() for c in ("x", "component", "slack", "right"))
+def _near(table: pa.Table, x: np.ndarray, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows of a tile in different components that may be linked by ``slack`` and ``d``, some rows at a time."""
+    slack, right = (table.column(c).to_numpy() for c in ("slack", "right"))
     d = table.column("d").combine_chunks()
     tokens, sizes = d.flatten().to_numpy(), np.diff(d.offsets.to_numpy())
     owner = np.repeat(np.arange(len(x)), sizes)
@@ -464,32 +519,38 @@ def _near(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     of_high, t_high = place[owner[in_high]], tokens[in_high]
     order = np.argsort(t_high, kind="stable")
     t_high, of_high = t_high[order], of_high[order]
-    first, last = np.searchsorted(t_high, t_low), np.searchsorted(t_high, t_low, side="right")
-    counts, shared = last - first, np.zeros(len(low) * len(high), np.int64)
-    # So many meetings at once that memory is bounded.
-    part = np.cumsum(counts) // MEETINGS
-    for k in np.unique(part[counts > 0]):
-        mine = np.flatnonzero((part == k) & (counts > 0))
-        ends = np.cumsum(counts[mine])
-        at = np.arange(ends[-1]) + np.repeat(first[mine] - (ends - counts[mine]), counts[mine])
-        shared += np.bincount(np.repeat(of_low[mine], counts[mine]) * len(high) + of_high[at], minlength=len(shared))
-    shared = shared.reshape(len(low), len(high))
-    u, v = np.nonzero((slack[low][:, None] + slack[high] + 14 * shared >= 0) & (component[low][:, None] != component[high]))
-    return x, component, low[u], high[v]
+    first = np.searchsorted(t_high, t_low)
+    counts = np.searchsorted(t_high, t_low, side="right") - first
+    step = max(1, PAIRS // max(1, len(high)))
+    for a in range(0, len(low), step):
+        rows = low[a:a + step]
+        begin, end = np.searchsorted(of_low, [a, a + step])
+        mine = begin + np.flatnonzero(counts[begin:end])
+        shared = np.zeros(len(rows) * len(high), np.int64)
+        part = np.cumsum(counts[mine]) // MEETINGS
+        for k in np.unique(part):
+            now = mine[part == k]
+            ends = np.cumsum(counts[now])
+            at = np.arange(ends[-1]) + np.repeat(first[now] - (ends - counts[now]), counts[now])
+            shared += np.bincount(np.repeat((of_low[now] - a) * len(high), counts[now]) + of_high[at], minlength=len(shared))
+        shared = shared.reshape(len(rows), len(high))
+        u, v = np.nonzero((slack[rows][:, None] + slack[high] + 14 * shared >= 0) & (component[rows][:, None] != component[high]))
+        yield rows[u], high[v]
 
 
 def _tile_members(table: pa.Table) -> pa.Table:
     """Rows (g, x) of a tile that have such a pair."""
-    x, _, u, v = _near(table)
-    left = np.unique(x[np.union1d(u, v)])
+    x, component = (table.column(c).to_numpy() for c in ("x", "component"))
+    paired = np.zeros(len(x), bool)
+    for u, v in _near(table, x, component):
+        paired[u] = paired[v] = True
+    left = np.unique(x[paired])
     return pa.table({"g": pa.array(np.full(len(left), table.column("g")[0].as_py()), pa.int64()), "x": pa.array(left, pa.int64())})
 
 
 def _tile_forest(table: pa.Table) -> pa.Table:
     """Links (a, b) of a tile, as few as connect the components they join."""
-    x, component, u, v = _near(table)
-    # One link for each pair of components, then as many as make a forest.
-    _, one = np.unique(np.stack([component[u], component[v]]), axis=1, return_index=True)
+    x, component = (table.column(c).to_numpy() for c in ("x", "component"))
     root: dict[int, int] = {}
 
     def top(c: int) -> int:
@@ -498,12 +559,15 @@ def _tile_forest(table: pa.Table) -> pa.Table:
         return c
 
     kept = []
-    for k in one:
-        p, q = top(int(component[u[k]])), top(int(component[v[k]]))
-        if p != q:
-            root[q] = p
-            kept.append(k)
-    return pa.table({"a": pa.array(x[u[kept]], pa.int64()), "b": pa.array(x[v[kept]], pa.int64())})
+    for u, v in _near(table, x, component):
+        # One link for each pair of components, then as many as make a forest.
+        _, one = np.unique(np.stack([component[u], component[v]]), axis=1, return_index=True)
+        for k in one:
+            p, q = top(int(component[u[k]])), top(int(component[v[k]]))
+            if p != q:
+                root[q] = p
+                kept.append((int(x[u[k]]), int(x[v[k]])))
+    return pa.table({"a": pa.array([k[0] for k in kept], pa.int64()), "b": pa.array([k[1] for k in kept], pa.int64())})
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

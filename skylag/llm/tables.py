@@ -45,3 +45,12 @@ def shared_path(spark: SparkSession, purpose: str) -> str:
 def written(frame: DataFrame, purpose: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: cuts the lineage and survives a lost executor."""
     return materialize(frame, purpose)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete written tables that nothing reads any more; what was made of them must be written itself."""
+    for frame in frames:
+        for folder in {os.path.dirname(f) for f in frame.inputFiles()}:
+            jvm = frame.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import os
 import random
 from collections import Counter
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skylag.llm import (boosting, chat_format, components, decontaminate, exact_dedup, jaccard, language_id, licenses, pii,
-                        sentencepiece_bpe, substring_dedup, warc, words)
+                        sentencepiece_bpe, substring_dedup, tables, warc, words)
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -292,6 +294,9 @@ def test_jaccard_of_edited_copies_near_the_threshold(spark, monkeypatch):
     """Copies with different edits of a text that is not there: most pairs lie just below the threshold, some above."""
     monkeypatch.setattr(jaccard, "TILE", 4000)
     monkeypatch.setattr(jaccard, "ROW_WEIGHT", 30)
+    monkeypatch.setattr(jaccard, "PAIRS", 500)
+    monkeypatch.setattr(jaccard, "MEETINGS", 700)
+    monkeypatch.setattr(jaccard, "BUCKET_TOKENS", 5000)
     draw, rows = random.Random(5), []
     base = [f"w{draw.randint(0, 3000)}" for _ in range(140)]
     for k in range(400):
@@ -306,6 +311,14 @@ def test_jaccard_of_edited_copies_near_the_threshold(spark, monkeypatch):
     assert got == {d: (found[d], sizes[d]) for d, _ in rows}
 
 
+def test_forgotten_tables_are_deleted(spark):
+    kept, gone = tables.written(spark.range(3), "kept"), tables.written(spark.range(3), "gone")
+    folder = os.path.dirname(urlparse(gone.inputFiles()[0]).path)
+    assert os.path.isdir(folder)
+    tables.forget(gone.filter("id > 0"))
+    assert not os.path.exists(folder) and kept.count() == 3
+
+
 def test_jaccard_odd_rows(odd, nothing):
     got = jaccard.classes(odd)
     rows = {(r["doc_id"], r["component_id"]) for r in got.collect()}
