@@ -6,7 +6,8 @@ out e-mail addresses, national telephone numbers. Boosted trees on format and co
 calibrated on held-out candidates, and per kind the lowest threshold decides that has the wanted precision on the
 held-out ones; a kind without negatives there adds nothing. Selected spans never overlap each other or a base span.
 
-The trees are trained here, on a bounded sample (``sample`` candidates). Labels come from the checks: base spans are
+The trees are trained here, on the candidates of all documents: cuts, trees, calibration and thresholds are aggregations over
+their table. Labels come from the checks: base spans are
 positive; candidates inside a base span but shorter, those that cut into a base span of another kind, and those that fail
 the check of their kind are negative. The looser forms get theirs from rewritten texts: a base address is spelt out, a base
 telephone number written in a national form, where they stand (positive); words of the same text joined by "at" and "dot",
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from skylag.llm import boosting
 from skylag.llm.tables import written
@@ -34,7 +35,6 @@ from skylag.llm.words import sliced
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.98
-SAMPLE = 20_000
 Span = tuple[str, int, int]
 
 # The strict patterns, written so that no place of a text is tried twice: an address is found at its @ and grown to the
@@ -207,15 +207,13 @@ def _free(span: Span, taken: list[tuple[int, int]]) -> bool:
 #: Ways to write "at" and "dot".
 _AT_FORMS, _DOT_FORMS = (" at ", " AT ", " [at] ", "(at)", " (at) ", "[at]"), (" dot ", " DOT ", " [dot] ", "(dot)", " (dot) ", "[dot]")
 _PLAIN_NAME = re.compile("[A-Za-z]+")
-#: Rewritten base spans of a kind per text at most; the sample is bounded anyway.
-REWRITTEN = 8
 
 
 def rewritten(text: str, base: list[Span], key: str) -> Iterator[tuple[str, Span, int]]:
     """(text, span, label): the looser forms of a text's base addresses and telephone numbers, and look-alikes in their place."""
-    words = re.findall("[A-Za-z]{2,12}", text[:1 << 16])
+    words = re.findall("[A-Za-z]{2,12}", text)
     for kind in ("email", "phone"):
-        for n, (_, start, end) in enumerate([s for s in base if s[0] == kind][:REWRITTEN]):
+        for start, end in [s[1:] for s in base if s[0] == kind]:
             draw = int(hashlib.sha1(f"{key}:{kind}:{start}".encode()).hexdigest()[:12], 16)
             found = text[start:end]
             if kind == "email" and words:
@@ -243,9 +241,9 @@ def rewritten(text: str, base: list[Span], key: str) -> Iterator[tuple[str, Span
                 yield head + form + text[end:end + 200], (kind, len(head), len(head) + len(form)), label
 
 
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, "text"):
-        rows, labels, keys = [], [], []
+        rows, labels, keys = [], [], []  # a key names the place that decides whether a candidate is held out
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             if not text or not _ANY.search(text):
                 continue
@@ -260,33 +258,54 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append(features(other, span))
                     labels.append(label)
                     keys.append(f"{doc}:{span[0]}:rewritten:{n}")
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(labels, pa.int32()),
-                                          pa.array(rows, pa.list_(pa.float64()))], names=["key", "label", "x"])
-
-
-def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Detector:
-    """Train on at most ``sample`` labelled candidates of all documents, drawn by a hash of their place."""
-    labelled = written(docs.select("doc_id", "text").mapInArrow(_sample, "key string, label int, x array<double>"), "candidates")
-    share = sample / max(1, labelled.count())
-    # Thinned out by the hash first, so that no task sends the driver more than its share.
-    drawn = labelled.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
-    rows = drawn.orderBy(F.xxhash64("key"), "key").limit(sample).collect()
-    if len({r["label"] for r in rows}) < 2:
+        held = [int(hashlib.sha1(key.encode()).hexdigest()[:4], 16) % 4 == 0 for key in keys]
+        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(held, pa.bool_()),
+                                          pa.array(rows, pa.list_(pa.float64()))], names=["label", "held", "x"])
+
+
+def fit(docs: DataFrame, precision: float = PRECISION) -> Detector:
+    """Train on the labelled candidates of all documents; a quarter, by a hash of their place, is held out for thresholds."""
+    rows = written(docs.select("doc_id", "text").mapInArrow(_labelled, "label int, held boolean, x array<double>"), "candidates")
+    labels = {r["label"]: r["held"] for r in rows.groupBy("label").agg(F.count_if("held").alias("held")).collect()}
+    if len(labels) < 2:
         return Detector(None, {})
-    x, y = np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows])
-    held = np.array([int(hashlib.sha1(r["key"].encode()).hexdigest()[:4], 16) % 4 == 0 for r in rows])
-    trees = boosting.fit(x, y, held)
-    p = trees.probabilities(x)
-    thresholds = {}
-    for k, kind in enumerate(KINDS):
-        mine = held & (x[:, 0] == k)
-        if len(set(y[mine].tolist())) < 2:
-            continue
-        for t in sorted(set(p[mine & (p >= 0.5)].tolist())):
-            if y[mine & (p >= t)].mean() >= precision:
-                thresholds[kind] = t
-                break
-    return Detector(trees, thresholds)
+    trees = boosting.fit_rows(rows, rows.select(F.size("x")).first()[0])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].astype(np.int32)), pa.array(trees.scores(x)), batch.column("label")],
+                                             names=["kind", "score", "label"])
+
+    known = all(labels.values())  # else the held-out ones have one class, and all candidates calibrate
+    scores = written((rows.filter("held") if known else rows).mapInArrow(scored, "kind int, score double, label int")
+                     .groupBy("kind", "score").agg(F.sum("label").alias("positive"), F.count(F.lit(1)).alias("n")), "scores")
+    boosting.calibrate(trees, boosting.blocks_of(scores))
+    return Detector(trees, _thresholds(scores, trees, precision) if known else {})
+
+
+def _thresholds(scores: DataFrame, trees: boosting.Trees, precision: float) -> dict[str, float]:
+    """Per kind with both labels the lowest probability, a half at least, from which on the share of positives is ``precision``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = np.interp(batch.column("score").to_numpy(zero_copy_only=False), trees.at, trees.share)
+            yield pa.RecordBatch.from_arrays([pa.array(p), *(batch.column(c) for c in ("kind", "positive", "n"))],
+                                             names=["p", "kind", "positive", "n"])
+
+    sums = [F.sum(c).alias(c) for c in ("positive", "n")]
+    both = scores.groupBy("kind").agg(*sums).filter("positive > 0 AND positive < n").select("kind")
+    ranked = written(
+        scores.mapInArrow(run, "p double, kind int, positive bigint, n bigint").filter("p >= 0.5").join(both, "kind")
+        .groupBy("kind", "p").agg(*sums).repartitionByRange("kind", "p").withColumn("part", F.spark_partition_id()), "ranked")
+    # Running sums inside the parts, and what the later parts of a kind hold.
+    parts = ranked.groupBy("kind", "part").agg(*sums)
+    later = Window.partitionBy("kind").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select("kind", "part", *[F.coalesce(F.sum(c).over(later), F.lit(0)).alias(f"{c}_later") for c in ("positive", "n")])
+    inside = Window.partitionBy("kind", "part").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    from_here = ranked.join(before, ["kind", "part"]).select(
+        "kind", "p", *[(F.sum(c).over(inside) + F.col(f"{c}_later")).alias(c) for c in ("positive", "n")])
+    lowest = from_here.filter(F.col("positive") / F.col("n") >= precision).groupBy("kind").agg(F.min("p").alias("p")).collect()
+    return {KINDS[r["kind"]]: r["p"] for r in lowest}
 
 
 def _joined(spans: list[Span]) -> str:

@@ -419,6 +419,54 @@ def test_base_spans_equal_the_patterns(text):
     pii.base_spans(text)
 
 
+def test_detector_is_trained_on_every_candidate(spark):
+    """Trees, calibration and thresholds equal those of all candidates on one machine, also beyond 20,000 of them."""
+    draw = np.random.default_rng(5)
+    texts = []
+    for k in range(1500):
+        a, b, c, d = (int(v) for v in draw.integers(1000, 9999, 4))
+        texts.append(f"call +1 (212) 555-{a} or 4111 1111 {b} {c} {d}, order +49 30 {a}{b} then mail u{k % 7}.x@host{k % 5}.example.com " * 2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6)
+    every = docs.mapInArrow(pii._labelled, "label int, held boolean, x array<double>").collect()
+    assert len(every) > 20_000
+    x, y, held = np.array([r["x"] for r in every]), np.array([r["label"] for r in every]), np.array([r["held"] for r in every])
+    trees = boosting.fit(x, y, held)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges of scores
+    try:
+        detector = pii.fit(docs)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for name in ("features", "splits", "values", "at", "share"):
+        assert np.allclose(getattr(detector.trees, name), getattr(trees, name), rtol=1e-9, atol=1e-9)
+    p, expected = trees.probabilities(x), {}
+    for k, kind in enumerate(pii.KINDS):
+        mine = held & (x[:, 0] == k)
+        if len(set(y[mine])) == 2:
+            good = [t for t in sorted(set(p[mine & (p >= 0.5)])) if y[mine & (p >= t)].mean() >= pii.PRECISION]
+            expected.update({kind: good[0]} if good else {})
+    assert expected and detector.thresholds == pytest.approx(expected, rel=1e-9)
+
+
+def test_thresholds_and_calibration_over_many_ranges_equal_brute_force(spark):
+    draw = np.random.default_rng(6)
+    score = np.round(draw.normal(0, 2, 4000), 2)
+    kind, label = draw.integers(0, 3, 4000), (score + draw.normal(0, 0.7, 4000) > 0).astype(int)
+    label[kind == 1] = 1  # no negatives, so no threshold
+    blocks = boosting.pooled((float(s), int(label[score == s].sum()), int((score == s).sum())) for s in np.unique(score))
+    trees = boosting.Trees(0.0, 1, *[np.zeros(1)] * 5)
+    boosting.calibrate(trees, blocks)
+    scores = spark.createDataFrame([(int(a), float(b), int(c), 1) for a, b, c in zip(kind, score, label)], "kind int, score double, positive bigint, n bigint")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert boosting.blocks_of(scores) == blocks and len(blocks) > 3
+        got = pii._thresholds(scores, trees, 0.9)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    p = np.interp(score, trees.at, trees.share)
+    expected = {pii.KINDS[k]: min(t for t in p[kind == k] if t >= 0.5 and label[(kind == k) & (p >= t)].mean() >= 0.9) for k in (0, 2)}
+    assert got == expected
+
+
 def test_boosted_trees_learn_and_are_calibrated():
     draw = np.random.default_rng(2)
     x = draw.random((2000, 3))
