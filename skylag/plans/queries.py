@@ -14,8 +14,8 @@ from skylag.schemas import DATE_KEYS, HIST_COLUMNS, PERCENTILES
 from skylag.session import materialize, shared_folder
 from skylag.store import kept
 from skylag.sources import (
-    FlightTables, flight_tables, land_flights, read_airlines, read_airports, read_flights, read_flights_csv, read_lookup,
-    register_views, sql_over,
+    FlightTables, finish_flights, flight_tables, land_flights, read_airlines, read_airports, read_flights, read_flights_csv,
+    read_lookup, register_views, sql_over,
 )
 from skylag.sources.summaries import read_availability, read_lookup_cells, refresh_availability, refresh_lookup_states
 
@@ -77,7 +77,7 @@ def as_csv(frame: DataFrame, purpose: str) -> str:
 @query
 def landed_flights(t):
     path = shared_folder(t.spark, "landed-flights")
-    land_flights(t.flights, path)
+    land_flights(t.facts, path, finish=finish_flights)
     return read_flights(t.spark, path)
 
 
@@ -126,7 +126,7 @@ def sql_named_frames(t):
 
 def landed(t: FlightTables) -> str:
     """The flights as landed Parquet, written once per state of the data."""
-    return kept(t.spark, "landed", _flight_files(t.sf_dir), lambda folder: land_flights(t.flights, folder + "/flights")) + "/flights"
+    return kept(t.spark, "landed", _flight_files(t.sf_dir), lambda folder: land_flights(t.facts, folder + "/flights", finish=finish_flights)) + "/flights"
 
 
 def wide_file(t: FlightTables) -> str:

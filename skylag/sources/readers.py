@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import FractionalType, IntegerType, StringType, StructField
 from pyspark.sql.utils import AnalysisException
@@ -82,18 +84,21 @@ def with_schedule_columns(flights: DataFrame) -> DataFrame:
     })
 
 
-def land_flights(flights: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write flights as Parquet by Year and Month, sorted by route for min/max pruning.
+def landing_rows(flights: DataFrame, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Flights as they are landed: months together, sorted by route, with the schedule columns.
 
     Rebalancing lets adaptive execution split a month too large for one task and merge
-    small ones, so no month and no group of equal rows depends on a single task.
+    small ones, so no month and no group of equal rows depends on a single task. Columns that follow from others row by row
+    are made by ``finish`` behind the shuffle and the sort, which need not carry them.
     """
-    (
-        with_schedule_columns(flights)
-        .hint("rebalance", "Year", "Month")
-        .sortWithinPartitions("Year", "Month", "OriginAirportID", "DestAirportID")
-        .write.mode(mode).partitionBy("Year", "Month").parquet(path)
-    )
+    dealt = flights.hint("rebalance", "Year", "Month").sortWithinPartitions("Year", "Month", "OriginAirportID", "DestAirportID")
+    return with_schedule_columns(finish(dealt) if finish else dealt)
+
+
+def land_flights(flights: DataFrame, path: str, mode: str = "errorifexists",
+                 finish: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Write flights as Parquet by Year and Month, sorted by route for min/max pruning."""
+    landing_rows(flights, finish).write.mode(mode).partitionBy("Year", "Month").parquet(path)
 
 
 def read_airports(spark: SparkSession, path: str) -> DataFrame:

@@ -174,3 +174,19 @@ def test_statements_over_frames_leave_no_view(spark, make_flights, airports, air
     two = sql_over("SELECT count(*) AS n FROM {flights}", make_flights({}, {}), airports, airlines)
     assert (one.first().n, two.first().n) == (1, 2)
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_landing_shuffles_and_sorts_only_what_flights_follow_from(spark):
+    from skylag.sources import finish_flights, flight_tables
+    from skylag.sources.readers import landing_rows
+
+    t = flight_tables(spark, "/root/testdata/sf0.001")
+    rows, plain = landing_rows(t.facts, finish_flights), landing_rows(t.flights)
+    assert rows.schema == plain.schema and rows.count() > 0
+    assert rows.exceptAll(plain).isEmpty() and plain.exceptAll(rows).isEmpty()
+    behind, moved = rows._jdf.queryExecution().optimizedPlan().toString().split("RebalancePartitions", 1)
+    assert "Sort [" in behind and all(f"AS {c}#" in behind for c in (*CAUSES, "DepDelayMinutes", "CRSDepTime", "DepHour"))
+    assert not any(c in moved for c in (*CAUSES, "DepDelayMinutes", "CRSDepTime", "DepHour")) and len(t.facts.columns) <= 10
+    # Line items meet orders without the columns that their few numbers are made of.
+    joined = moved.split("Join Inner")[1]
+    assert not any(c in joined for c in ("l_quantity", "l_partkey", "l_shipdate"))
