@@ -23,8 +23,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import sys
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -40,6 +41,8 @@ SPACE = "▁"
 CHUNK, BLOCK = 16_384, 64
 #: Distinct words whose ids a worker remembers; it starts afresh beyond.
 REMEMBERED = 400_000
+#: Words that are joined step by step together, and the mark of a place without a symbol.
+TOGETHER, ABSENT = 8_000, -(1 << 30)
 _WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*|[^{SPACE}\n]+")
 _FREE = re.compile(f"(?<=[^{SPACE}])(?={SPACE})|(?=\n)")  # where one word ends and the next begins
 
@@ -65,6 +68,11 @@ class Vocabulary:
         self.memory: dict[str, bytes] = {}  # words after one space, or from a line end on
         self.other: dict[str, bytes] = {}  # words with any other beginning
         self.apart: dict[tuple[str, str], bool] = {}
+        # A character is its piece, or minus its code point less one.
+        self.symbols = -1 - np.arange(sys.maxunicode + 1, dtype=np.int32)
+        for p, k in self.number.items():
+            if len(p) == 1:
+                self.symbols[ord(p)] = k
         self.texts = [p.replace(SPACE, " ").encode() for p in self.pieces]
         for byte, k in enumerate(self.byte_ids):
             self.texts[k] = bytes([byte])
@@ -74,10 +82,6 @@ class Vocabulary:
 
     # Byte-pair encoding --------------------------------------------------------------
 
-    def _symbols(self, word: str) -> list[int]:
-        """A character is its piece, or minus its code point less one."""
-        return [self.number.get(c, -ord(c) - 1) for c in word]
-
     def _bytes(self, symbols) -> bytes:
         out = []
         for s in symbols:
@@ -96,44 +100,47 @@ class Vocabulary:
         lengths = np.array([len(w) for w in words], np.int64)
         for low, high in ((1, 6), (7, 10), (11, 16), (17, 32)):
             rows = np.flatnonzero((lengths >= low) & (lengths <= high))
-            for at in range(0, len(rows), 20_000):
-                for k, ids in zip(rows[at:at + 20_000], self._together([words[k] for k in rows[at:at + 20_000]], high)):
+            for at in range(0, len(rows), TOGETHER):
+                some = rows[at:at + TOGETHER]
+                for k, ids in zip(some.tolist(), self._together([words[k] for k in some.tolist()], lengths[some], high)):
                     out[k] = ids
         for k in np.flatnonzero(lengths > 32):
             out[k] = self._bytes([self.number.get(p, -ord(p[0]) - 1) for p in self.split(words[k])])
         return out
 
-    def _together(self, words: list[str], width: int) -> list[bytes]:
-        absent = -(1 << 40)
-        symbols = np.full((len(words), width + 1), absent, np.int64)
-        for row, w in zip(symbols, words):
-            row[:len(w)] = self._symbols(w)
-        joined = self._joined(symbols[:, :-1], symbols[:, 1:])
+    def _together(self, words: list[str], lengths: np.ndarray, width: int) -> list[bytes]:
+        """One join per word and step, the first of the best. Joined symbols leave a gap that the places of the next ones pass over.
+
+        Each word has one place more than it can fill, so that places before its first and after its last are empty.
+        """
+        shape = (len(words), width + 1)
+        symbols = np.full(shape, ABSENT, np.int32)
+        symbols[np.arange(width + 1) < lengths[:, None]] = self.symbols[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        symbols = symbols.ravel()
+        joined = np.append(self._joined(symbols[:-1], symbols[1:]), -1)
         score = np.where(joined >= 0, self.scores[joined], -np.inf)
+        after = np.minimum(np.arange(1, len(symbols) + 1), len(symbols) - 1)
+        before = np.arange(-1, len(symbols) - 1)
         rows = np.arange(len(words))
-        columns = np.arange(width)
         while len(rows):
-            place = score[rows].argmax(axis=1)  # the first of the best
-            open_ = score[rows, place] > -np.inf
-            rows, place = rows[open_], place[open_]
-            if not len(rows):
-                break
-            symbols[rows, place] = joined[rows, place]
-            shift = columns + (columns > place[:, None])
-            kept = np.minimum(shift, width)
-            symbols[rows[:, None], columns] = symbols[rows[:, None], kept]
-            symbols[rows, -1] = absent
-            inner = np.minimum(shift, width - 1)
-            joined[rows[:, None], columns] = joined[rows[:, None], inner]
-            score[rows[:, None], columns] = score[rows[:, None], inner]
-            for step in (-1, 0):
-                at = place + step
-                ok = at >= 0
-                r, c = rows[ok], at[ok]
-                joined[r, c] = self._joined(symbols[r, c], symbols[r, c + 1])
-                score[r, c] = np.where(joined[r, c] >= 0, self.scores[joined[r, c]], -np.inf)
-        flat = [r[:n].tolist() for r, n in zip(symbols, (symbols != absent).sum(axis=1))]
-        return [np.array(r, np.int32).tobytes() if min(r) >= 0 else self._bytes(r) for r in flat]
+            open_ = score.reshape(shape)[rows]
+            best = open_.argmax(axis=1)
+            ok = open_[np.arange(len(rows)), best] > -np.inf
+            rows = rows[ok]
+            place = rows * (width + 1) + best[ok]
+            gap = after[place]
+            symbols[place], symbols[gap], score[gap] = joined[place], ABSENT, -np.inf
+            after[place] = after[gap]
+            before[after[place]] = place
+            for left in (place, before[place]):
+                joined[left] = found = self._joined(symbols[left], symbols[after[left]])
+                score[left] = np.where(found >= 0, self.scores[found], -np.inf)
+        symbols = symbols.reshape(shape)
+        used = symbols != ABSENT
+        flat, ends = symbols[used], used.sum(axis=1).cumsum()
+        data, unknown = flat.tobytes(), ((symbols < 0) & used).any(axis=1)
+        places = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
+        return [self._bytes(flat[a:b].tolist()) if odd else data[4 * a:4 * b] for (a, b), odd in zip(places, unknown.tolist())]
 
     def split(self, text: str) -> list[str]:
         """Pieces of one string of any length, by a queue of joins: best score first, then leftmost."""
@@ -336,13 +343,23 @@ def chunk_ids(v: Vocabulary, before: str, core: str, after: str, entry: int, lea
     head = v.trace(text, entering, (next(iter(ends)), first))
     tail = v.trace(text, (last, last), leaving)
     words = _WORD.findall(text[first:last])
-    if len(v.other) > REMEMBERED:
-        v.other.clear()
     v._learn(set(), set(words))
     return (v.ids_of([text[s:e] for s, e in head]) + b"".join(map(v.other.__getitem__, words))
             + v.ids_of([text[s:e] for s, e in tail]))
 
 
+def learn_chunks(v: Vocabulary, parts: Iterable[tuple[str, str, str]]) -> None:
+    """Encode the words of many chunks together, for ``chunk_ids``."""
+    if len(v.other) > REMEMBERED:
+        v.other.clear()
+    words: set[str] = set()
+    for before, core, after in parts:
+        text, begin = before + core + after, len(before)
+        if free := _first_and_last_free(text, begin, begin + len(core)):
+            words.update(_WORD.findall(text[free[0]:free[1]]))
+    v._learn(set(), words)
+
+
 # Spark -------------------------------------------------------------------------------
 
 def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
@@ -478,7 +495,9 @@ def _encoded(docs: DataFrame, finish: Callable[[Vocabulary, pa.RecordBatch, list
         for batch in sliced(batches, "text", 2 << 20):
             *columns, borders_of = batch.columns
             ids = []
-            for text, own in zip(batch.column("text").to_pylist(), borders_of.to_pylist()):
+            texts = batch.column("text").to_pylist()
+            learn_chunks(shared.value, (part for text in texts for part in split_text(text, margin, chunk)))
+            for text, own in zip(texts, borders_of.to_pylist()):
                 parts = zip(split_text(text, margin, chunk), sorted(own, key=lambda b: b["chunk"]))
                 ids.append(np.frombuffer(b"".join(chunk_ids(shared.value, *part, b["entry"], b["leave"]) for part, b in parts), np.int32))
             yield finish(shared.value, pa.RecordBatch.from_arrays(columns, names=names), ids)

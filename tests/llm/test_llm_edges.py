@@ -419,6 +419,25 @@ def test_base_spans_equal_the_patterns(text):
     pii.base_spans(text)
 
 
+def test_words_joined_in_blocks_equal_the_queue_of_joins(monkeypatch):
+    """Words of all lengths with unknown characters, in blocks of few words, against ``split``; chunks' words are learned together."""
+    v = sentencepiece_bpe.load()
+    draw = np.random.default_rng(7)
+    signs = list("aaeeinrst\u2581\n.,0129-zq\u00e9\u6f22\u0416\U0001F600\u0378")
+    words = sorted({"".join(draw.choice(signs, n)) for n in range(1, 40) for _ in range(25)})
+    monkeypatch.setattr(sentencepiece_bpe, "TOGETHER", 7)
+    assert v.encode_words(words) == [v.ids_of(v.split(w)) for w in words] and v.encode_words([]) == []
+    calls = []
+    monkeypatch.setattr(v, "encode_words", lambda w, own=v.encode_words: calls.append(len(w)) or own(w))
+    parts = [p for k in range(5) for p in sentencepiece_bpe.split_text(f"some words of text {k} " * 200, v.longest, 512)]
+    sentencepiece_bpe.learn_chunks(v, parts)
+    for before, core, after in parts[1:4]:
+        weights = sentencepiece_bpe.transfer(v, before, core, after)
+        entry, leave = map(int, np.argwhere(weights == 0)[0])
+        assert sentencepiece_bpe.chunk_ids(v, before, core, after, entry, leave)
+    assert sum(n > 0 for n in calls) == 1
+
+
 def test_detector_is_trained_on_every_candidate(spark):
     """Trees, calibration and thresholds equal those of all candidates on one machine, also beyond 20,000 of them."""
     draw = np.random.default_rng(5)
