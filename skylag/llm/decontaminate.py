@@ -39,7 +39,7 @@ K1, B = 1.2, 0.75
 #: Words of all units in one broadcast shard, at most about (some 40 bytes each in the index).
 SHARD_WORDS = 500_000
 #: Postings of blocks that are open at once; what rounding may take from a bound.
-CELLS, SLACK = 4 << 20, 1e-6
+CELLS, SLACK = 1 << 20, 1e-6
 _UNIT = "item_id bigint, words array<bigint>"
 
 

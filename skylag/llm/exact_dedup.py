@@ -44,7 +44,8 @@ class DigestIndex:
         self.table = table or f"digest_index_{uuid.uuid4().hex}"
         self.path = path or shared_path(spark, self.table)
         if not spark.catalog.tableExists(self.table):
-            self._append(spark.createDataFrame([], ENTRY))
+            # Made in the JVM: rows from Python would start a second set of Python workers in every executor.
+            self._append(spark.range(0).select(F.from_json(F.lit("{}"), ENTRY).alias("entry")).select("entry.*"))
 
     def _append(self, entries: DataFrame) -> None:
         (entries.write.bucketBy(self.buckets, "text_sha256").sortBy("text_sha256")

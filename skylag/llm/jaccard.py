@@ -49,7 +49,7 @@ SMALL_GROUP = 4
 BROADCAST_IDS = 1 << 19
 #: A block of a large group holds about so many tokens, each row counted as so many more. A member is copied once per block, so
 #: large blocks move less; pairs of rows looked at, and meetings of tokens counted, at once bound what a tile needs in memory.
-TILE, ROW_WEIGHT, PAIRS, MEETINGS = 1 << 20, 256, 1 << 20, 1 << 22
+TILE, ROW_WEIGHT, PAIRS, MEETINGS = 1 << 20, 256, 1 << 18, 1 << 20
 _SECOND, _THIRD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _QUARTER = np.uint64(1 << 62)
 

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from skylag.session import materialize, shared_folder
 
 
-#: Rows of whole texts that go to a Python worker at once; each batch is held in the JVM and in Python.
-BATCH_ROWS = "1000"
+#: Rows of whole texts that go to a Python worker at once, and their bytes; each batch is held in the JVM and in Python.
+BATCH_ROWS, BATCH_BYTES = "1000", "4m"
 
 
 def reach_workers(spark: SparkSession) -> None:
@@ -20,6 +20,7 @@ def reach_workers(spark: SparkSession) -> None:
     Enough for a local session; to a cluster the package goes by ``--py-files`` or the image.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root, path = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in path.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, path]))

@@ -22,6 +22,15 @@ SF_DIR = "/root/testdata/sf0.001"
 
 # Words and components ------------------------------------------------------------------
 
+def test_batches_are_bounded_by_bytes(spark):
+    """Few rows of long texts, and groups, do not go to Python as one batch."""
+    docs = spark.range(40).coalesce(1).selectExpr("id AS doc_id", "id % 1 AS g", "repeat('abcdefgh', 65536) AS text")
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert len(sizes) >= 4 and max(r["n"] for r in sizes) <= 6 << 20
+    chunks = docs.groupBy("g").applyInArrow(lambda t: pa.table({"n": [t.column("text").num_chunks]}), "n long").collect()
+    assert chunks[0]["n"] >= 4
+
+
 def test_words_do_not_depend_on_slices(monkeypatch):
     text = ("alpha Beta\tgamma x\n" * 500 + "y" * 3000 + " end").encode()
     data = np.frombuffer(text, np.uint8)
@@ -510,6 +519,15 @@ def test_exact_dedup_against_an_index(spark, odd, nothing):
     index.drop()
 
 
+def test_an_empty_index_needs_no_python(spark, monkeypatch):
+    """Rows from Python would start a second daemon and its workers in every executor."""
+    begun = []
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_append", lambda self, entries: begun.append(entries))
+    exact_dedup.DigestIndex(spark)
+    assert begun[0].count() == 0 and begun[0].columns == ["text_sha256", "keep_id", "group_size"]
+    assert "RDD" not in begun[0]._jdf.queryExecution().logical().toString()
+
+
 # 8 Chats -------------------------------------------------------------------------------
 
 def test_chats_odd_rows(spark, monkeypatch):
