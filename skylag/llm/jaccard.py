@@ -15,7 +15,8 @@ What passes all filters is verified exactly on the full sets. Links are transiti
 group are made: on each token every document meets the smallest one (the pivot). A token that very many documents share is
 spread over all buckets with a pivot in each.
 
-Documents that then still share a token but no component are compared by their differences to the core of their group, the tokens
+Documents that then still share a token but no component first pass a sketch of the second hash, one bit per token or two, which
+never differ in more bits than the sets in tokens. Those left are compared by their differences to the core of their group, the tokens
 that most of it holds. The member nearest to the core is linked to every member that any other could be linked to without
 sharing a part of the differences. All other links need shared parts, of which prefix filters under two opposite orders apply again;
 members that pass meet in tiles, block against block, and only links leave a tile, so no row per pair is made anywhere.
@@ -223,6 +224,21 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _listed(ids, [len(s) for s in sets], [np.unique(h[h < _QUARTER].astype(np.uint16)) for h in second], np.int16)
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parities of whole sets in 64-bit words: a token flips the bit that the end of its second hash names.
+
+    A set of n tokens has n to 2 n bits, a power of two and 64 at least, so that halves laid over each other are the sketch of half the
+    length. Two sketches of one length never differ in more bits than their sets in tokens.
+    """
+    for ids, sets in _sets(batches):
+        sketches = []
+        for s in sets:
+            bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+            flips = np.bincount((mix(s ^ _SECOND) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+            sketches.append(np.packbits(flips.astype(np.uint8) & 1, bitorder="little").view(np.int64))
+        yield _listed(ids, [len(s) for s in sets], sketches, np.int64)
+
+
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole sets under the third order."""
     for ids, sets in _sets(batches):
@@ -343,9 +359,9 @@ def classes(docs: DataFrame) -> DataFrame:
 
     tried = _distances(docs, settled(met.filter("doc <> pivot").select("doc", "pivot")))
     labels = _labels(copies, _links(tried))
-    still = _open_rows(met.filter("token is not null"), reps)
+    still = _open_rows(met.filter("token is not null"), reps, labels)
     forget(met)
-    found, best = _differences(docs, still, labels)
+    found, best = _differences(docs, still)
     forget(still, labels)
     apart = found.join(best, "g")
     links = written(_links(tried).union(_star(apart)), "links")
@@ -358,11 +374,10 @@ def classes(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _open_rows(met: DataFrame, reps: DataFrame) -> DataFrame:
-    """Tokens whose documents have not all been compared, by representative: (token, x, y, n), y for the pivot; written."""
-    a = reps.select(F.col("doc_id").alias("doc"), F.col("rep").alias("x"), "n")
-    b = reps.select(F.col("doc_id").alias("pivot"), F.col("rep").alias("y"))
-    return written(met.join(a, "doc").join(b, "pivot").groupBy("token", "x").agg(F.min("y").alias("y"), F.min("n").alias("n")), "open")
+def _open_rows(met: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """Tokens whose documents have not all been compared, by representative: (token, x, component); written, rows may repeat."""
+    known = _named(reps.select(F.col("doc_id").alias("doc"), F.col("rep").alias("x")), labels, "x", "component")
+    return written(met.select("token", "doc").join(known, "doc").select("token", "x", "component"), "open")
 
 
 def _named(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
@@ -372,9 +387,8 @@ def _named(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFram
             .withColumn(name, F.coalesce("_component", node)).drop("_node", "_component"))
 
 
-def _members(rows: DataFrame, labels: DataFrame) -> DataFrame:
+def _members(rows: DataFrame) -> DataFrame:
     """Members (g, x, component) of groups: the documents of all tokens whose smallest document is ``g``; written."""
-    rows = _named(rows, labels, "x", "component")
     # Tokens within one component are done.
     tokens = (rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("x").alias("g"))
               .filter("low <> high").select("token", "g"))
@@ -382,30 +396,29 @@ def _members(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _possible(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The members that the first quarter of the second order does not tell apart from all members of other components: written.
+    """The members that sketches do not tell apart from all members of other components: written.
 
-    The quarter of a set is an eighth of its bytes; documents that only share a passage end here.
+    Sketches are a thirty-second to a sixty-fourth of the sets' bytes, and sets of a share below about 60 % end here: those that only have a
+    passage in common, whose number grows with the groups, are never fetched.
     """
-    heads = _lists(docs, members.select(F.col("x").alias("id")), _heads, "smallint").withColumnRenamed("doc", "x")
-    found = (members.join(heads.hint("merge"), "x").withColumnRenamed("tokens", "d")
-             .withColumn("slack", F.col("n") - 7 * F.size("d")))
-    found = written(found, "heads")
-    forget(heads)
-    tiles, blocks = _tiles(found)
+    sketches = _lists(docs, members.select(F.col("x").alias("id")), _sketches, "bigint")
+    found = written(members.join(sketches.select(F.col("doc").alias("x"), "n", F.col("tokens").alias("d")).hint("merge"), "x"), "sketches")
+    forget(sketches)
+    tiles, blocks = _tiles(found, "n")
     left = tiles.applyInArrow(_tile_members, "g bigint, x bigint").distinct()
     possible = written(members.join(left, ["g", "x"], "left_semi"), "possible")
     forget(found, blocks, members)
     return possible
 
 
-def _differences(docs: DataFrame, rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _differences(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents that still share a token but no component, each as its difference to its group's core: written.
 
     Rows (g, x, n, component, d, slack), and (g, most). Any two documents that share a token share a group. The core is what more than half of the members hold, at most twice their mean size; ``d`` is the
     symmetric difference to it. Two members differ in size(d) + size(e) - 2k tokens if they share k of these, so they are linked
     exactly if slack + slack + 14 k >= 0 with slack = n - 7 size(d). ``most`` is the greatest (slack, -x) of the group.
     """
-    members = _possible(docs, _members(rows, labels))
+    members = _possible(docs, _members(rows))
     sets = _lists(docs, members.select(F.col("x").alias("id")), _full, "bigint").withColumnRenamed("doc", "x")
     held = written(members.join(sets.hint("merge"), "x").distinct(), "held")
     forget(sets, members)
@@ -481,14 +494,14 @@ def _tile_links(found: DataFrame) -> DataFrame:
     found = found.withColumn("member", F.xxhash64("g", "x"))
     sharing = _sharing(found)
     left = written(found.join(sharing, "member", "left_semi").select("g", "x", "component", "d", "slack"), "left")
-    tiles, blocks = _tiles(left)
+    tiles, blocks = _tiles(left, "slack")
     links = written(tiles.applyInArrow(_tile_forest, "a bigint, b bigint"), "tiles")
     forget(sharing, left, blocks)
     return links
 
 
-def _tiles(found: DataFrame):
-    """Rows (g, x, component, d, slack) by tile: every two blocks of a group, and every block with itself.
+def _tiles(found: DataFrame, size: str):
+    """Rows (g, x, component, d, ``size``) by tile: every two blocks of a group, and every block with itself.
 
     A group is dealt into blocks of about ``TILE`` tokens by a hash. Also the written table of the groups' numbers of blocks.
     """
@@ -496,7 +509,7 @@ def _tiles(found: DataFrame):
     tiles = (found.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                    (F.col("block") > F.col("other")).alias("right"), "x", "component", "d", "slack").groupBy("g", "i", "j"))
+                    (F.col("block") > F.col("other")).alias("right"), "x", "component", "d", size).groupBy("g", "i", "j"))
     return tiles, blocks
 
 
@@ -538,11 +551,52 @@ def _near(table: pa.Table, x: np.ndarray, component: np.ndarray) -> Iterator[tup
         yield rows[u], high[v]
 
 
+def _alike(n: np.ndarray, component: np.ndarray, sketches: dict[int, tuple[np.ndarray, np.ndarray]],
+           others: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows in different components that may be linked by their sizes and sketches, some rows at a time.
+
+    Sketches (rows by size, a column for each) by their number of words. Sizes of a link allow lengths of which one is twice the other
+    at most. Among ``sketches`` themselves a row meets those that are not smaller.
+    """
+    alone = others is sketches
+    for words, (u, a) in sketches.items():
+        for length in (words, 2 * words) if alone else (words // 2, words, 2 * words):
+            if length not in others:
+                continue
+            v, b = others[length]
+            p, q = ((a, b[:words] ^ b[words:]) if length > words else (a[:length] ^ a[length:], b) if length < words else (a, b))
+            first = np.searchsorted(n[v], n[u] if alone else -(-PERCENT * n[u] // 100))
+            last = np.searchsorted(n[v], 100 * n[u] // PERCENT, side="right")
+            at = 0
+            while at < len(u):
+                # As many rows as make about PAIRS pairs with the sizes that any of them allows.
+                end = at + int(np.searchsorted((np.arange(1, len(u) - at + 1) * (last[at:] - first[at])), PAIRS, side="right"))
+                end = max(at + 1, end)
+                left, right = slice(at, end), slice(first[at], last[end - 1])
+                differ = np.zeros((end - at, max(0, right.stop - right.start)), np.int32)
+                for i, j in zip(p, q):
+                    differ += np.bitwise_count(i[left, None] ^ j[None, right])
+                i, j = np.nonzero(((100 + PERCENT) * differ <= (100 - PERCENT) * (n[u[left], None] + n[v[right]]))
+                                  & (component[u[left], None] != component[v[right]]))
+                yield u[at + i], v[right.start + j]
+                at = end
+
+
 def _tile_members(table: pa.Table) -> pa.Table:
     """Rows (g, x) of a tile that have such a pair."""
-    x, component = (table.column(c).to_numpy() for c in ("x", "component"))
+    x, component, n, right = (table.column(c).to_numpy() for c in ("x", "component", "n", "right"))
+    d = table.column("d").combine_chunks()
+    words, sizes = d.flatten().to_numpy().view(np.uint64), np.diff(d.offsets.to_numpy())
+    starts = np.cumsum(sizes) - sizes
+
+    def by_length(rows: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        rows = rows[np.argsort(n[rows], kind="stable")]
+        return {int(k): (of, words[starts[of] + np.arange(k)[:, None]]) for k in np.unique(sizes[rows]) for of in [rows[sizes[rows] == k]]}
+
+    low = by_length(np.flatnonzero(~right))
+    high = by_length(np.flatnonzero(right)) if right.any() else low  # a block with itself, or with one that is empty
     paired = np.zeros(len(x), bool)
-    for u, v in _near(table, x, component):
+    for u, v in _alike(n, component, low, high):
         paired[u] = paired[v] = True
     left = np.unique(x[paired])
     return pa.table({"g": pa.array(np.full(len(left), table.column("g")[0].as_py()), pa.int64()), "x": pa.array(left, pa.int64())})

@@ -320,6 +320,43 @@ def test_jaccard_of_edited_copies_near_the_threshold(spark, monkeypatch):
     assert got == {d: (found[d], sizes[d]) for d, _ in rows}
 
 
+def test_jaccard_fetches_no_sets_for_a_shared_passage(spark):
+    """Of a group that has a passage in common only the members go on that may be linked."""
+    draw = random.Random(11)
+    words = lambda k: [f"w{draw.randint(0, 10 ** 9)}" for _ in range(k)]
+    passage = words(120)
+    rows = [(k, " ".join(words(100) + passage)) for k in range(40)]
+    rows.append((40, f"{rows[7][1]} and three more"))
+    members = tables.written(spark.createDataFrame([(0, x, x) for x, _ in rows], "g bigint, x bigint, component bigint"), "members")
+    left = jaccard._possible(spark.createDataFrame(rows, "doc_id bigint, text string"), members)
+    assert sorted(tuple(r) for r in left.collect()) == [(0, 7, 7), (0, 40, 40)]
+
+
+def test_jaccard_sketches_keep_every_link():
+    """Texts of 1 to 900 words that begin alike or begin later: what is linked passes, in one block and between two, however long."""
+    draw = random.Random(12)
+    words = [f"w{draw.randint(0, 10 ** 9)}" for _ in range(1200)]
+    sizes = [1, 3, 5, 6, 7, 20, 63, 67, 68, 69, 84, 88, 120, 132, 133, 170, 260, 261, 340, 516, 517, 680, 900]
+    texts = [" ".join(words[a:a + k]) for k in sizes for a in {0, 1, k // 8, k // 7, k // 5}]
+    sets = [s for _, some in jaccard._sets([pa.record_batch({"doc_id": range(len(texts)), "text": texts})]) for s in some]
+    made = pa.Table.from_batches(jaccard._sketches([pa.record_batch({"doc_id": range(len(texts)), "text": texts})]))
+    assert all(len(d) == 1 or n <= 64 * len(d) < 2 * n for n, d in zip(*(made.column(c).to_pylist() for c in ("n", "tokens"))))
+    linked = passed = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            link = 100 * shared >= 75 * (len(sets[i]) + len(sets[j]) - shared)
+            if not link and (i + j) % 5:
+                continue
+            for right in ([False, True], [True, False], [False, False]):
+                two = made.take([i, j])
+                tile = pa.table({"g": [7, 7], "x": two["doc"], "component": two["doc"], "n": two["n"], "d": two["tokens"], "right": np.array(right)})
+                left = jaccard._tile_members(tile).column("x").to_pylist()
+                assert left in ([], [j, i]) and (left or not link)
+                linked, passed = linked + link, passed + bool(left)
+    assert 0 < linked <= passed
+
+
 def test_forgotten_tables_are_deleted(spark):
     kept, gone = tables.written(spark.range(3), "kept"), tables.written(spark.range(3), "gone")
     folder = os.path.dirname(urlparse(gone.inputFiles()[0]).path)
