@@ -16,8 +16,9 @@ group are made: on each token every document meets the smallest one (the pivot).
 spread over all buckets with a pivot in each.
 
 Documents that then still share a token but no component first pass a sketch of the second hash, one bit per token or two, which
-never differ in more bits than the sets in tokens. Those left are compared by their differences to the core of their group, the tokens
-that most of it holds. The member nearest to the core is linked to every member that any other could be linked to without
+never differ in more bits than the sets in tokens. Those left are dealt anew by longer sketches: documents that a chain of possible
+links joins are one group, so that each is in one group only, however many tokens it was found by, and the work on whole sets is
+bounded by the tokens of the input. They are compared by their differences to the core of their group, the tokens that most of it holds. The member nearest to the core is linked to every member that any other could be linked to without
 sharing a part of the differences. All other links need shared parts, of which prefix filters under two opposite orders apply again;
 members that pass meet in tiles, block against block, and only links leave a tile, so no row per pair is made anywhere.
 
@@ -46,6 +47,8 @@ HEAVY_TOKENS, HEAVY_COUNT = 1 << 16, 16
 BUCKET_TOKENS = 1 << 20
 #: Groups up to this size make all pairs at once.
 SMALL_GROUP = 4
+#: Longer sketches have so many times the bits; what then passes shares about 74 % and more.
+LONGER = 8
 #: Document ids below which a list of them is broadcast to a scan (8 bytes each); above, the scan is shuffled.
 BROADCAST_IDS = 1 << 19
 #: A block of a large group holds about so many tokens, each row counted as so many more. A member is copied once per block, so
@@ -224,21 +227,27 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _listed(ids, [len(s) for s in sets], [np.unique(h[h < _QUARTER].astype(np.uint16)) for h in second], np.int16)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketches(batches: Iterator[pa.RecordBatch], times: int = 1) -> Iterator[pa.RecordBatch]:
     """Parities of whole sets in 64-bit words: a token flips the bit that the end of its second hash names.
 
-    A set of n tokens has n to 2 n bits, a power of two and 64 at least, so that halves laid over each other are the sketch of half the
-    length. Two sketches of one length never differ in more bits than their sets in tokens.
+    A set of n tokens has n to 2 n bits, a power of two and 64 at least, ``times`` as many (a power of two) for longer sketches, so that
+    halves laid over each other are the sketch of half the length. Two sketches of one length never differ in more bits than their sets
+    in tokens.
     """
     for ids, sets in _sets(batches):
         sketches = []
         for s in sets:
-            bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+            bits = times * (max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64)
             flips = np.bincount((mix(s ^ _SECOND) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
             sketches.append(np.packbits(flips.astype(np.uint8) & 1, bitorder="little").view(np.int64))
         yield _listed(ids, [len(s) for s in sets], sketches, np.int64)
 
 
+def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Longer sketches."""
+    return _sketches(batches, LONGER)
+
+
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole sets under the third order."""
     for ids, sets in _sets(batches):
@@ -366,7 +375,8 @@ def classes(docs: DataFrame) -> DataFrame:
     apart = found.join(best, "g")
     links = written(_links(tried).union(_star(apart)), "links")
     labels = _labels(copies, links)
-    rest = _tile_links(_named(apart.drop("component"), labels, "x", "component"))
+    # Of two members the core is what both hold, so no part of their differences is shared.
+    rest = _tile_links(_named(apart.filter("size > 2").drop("component"), labels, "x", "component"))
     forget(tried, found, best, labels)
     labels = _labels(copies, links.union(rest))
     forget(reps, links, rest)
@@ -401,9 +411,7 @@ def _possible(docs: DataFrame, members: DataFrame) -> DataFrame:
     Sketches are a thirty-second to a sixty-fourth of the sets' bytes, and sets of a share below about 60 % end here: those that only have a
     passage in common, whose number grows with the groups, are never fetched.
     """
-    sketches = _lists(docs, members.select(F.col("x").alias("id")), _sketches, "bigint")
-    found = written(members.join(sketches.select(F.col("doc").alias("x"), "n", F.col("tokens").alias("d")).hint("merge"), "x"), "sketches")
-    forget(sketches)
+    found = _sketched(docs, members, _sketches)
     tiles, blocks = _tiles(found, "n")
     left = tiles.applyInArrow(_tile_members, "g bigint, x bigint").distinct()
     possible = written(members.join(left, ["g", "x"], "left_semi"), "possible")
@@ -411,14 +419,38 @@ def _possible(docs: DataFrame, members: DataFrame) -> DataFrame:
     return possible
 
 
+def _sketched(docs: DataFrame, members: DataFrame, make) -> DataFrame:
+    """Members with their sketches (d) and the sizes of their sets (n): written."""
+    sketches = _lists(docs, members.select(F.col("x").alias("id")), make, "bigint")
+    found = written(members.join(sketches.select(F.col("doc").alias("x"), "n", F.col("tokens").alias("d")).hint("merge"), "x"), "sketches")
+    forget(sketches)
+    return found
+
+
+def _regrouped(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Members (g, x, component) in new groups, joined by the pairs that longer sketches let through: written.
+
+    A document that shares tokens with several others is a member of several groups, whose number grows with the table. Here
+    it is in one, with all it may be linked to and without unrelated texts that only came with the group's tokens; ``g`` is the smallest.
+    """
+    found = _sketched(docs, members, _longer)
+    tiles, blocks = _tiles(found, "n")
+    stars = written(tiles.applyInArrow(_tile_stars, "a bigint, b bigint"), "stars")
+    groups = components(stars).select(F.col("component").alias("g"), F.col("node").alias("x"))
+    regrouped = written(members.select("x", "component").distinct().join(groups, "x").select("g", "x", "component"), "regrouped")
+    forget(found, blocks, stars, members)
+    return regrouped
+
+
 def _differences(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents that still share a token but no component, each as its difference to its group's core: written.
 
-    Rows (g, x, n, component, d, slack), and (g, most). Any two documents that share a token share a group. The core is what more than half of the members hold, at most twice their mean size; ``d`` is the
-    symmetric difference to it. Two members differ in size(d) + size(e) - 2k tokens if they share k of these, so they are linked
-    exactly if slack + slack + 14 k >= 0 with slack = n - 7 size(d). ``most`` is the greatest (slack, -x) of the group.
+    Rows (g, x, n, component, d, slack), and (g, most, size). Any two documents that may be linked share a group, and each is in one only.
+    The core is what more than half of the members hold, at most twice their mean size; ``d`` is the symmetric difference to it. Two members differ in size(d) + size(e) - 2k tokens if they share k of these, so they are linked
+    exactly if slack + slack + 14 k >= 0 with slack = n - 7 size(d). ``most`` is the greatest (slack, -x) of the group, ``size``
+    its number of members.
     """
-    members = _possible(docs, _members(rows))
+    members = _regrouped(docs, _possible(docs, _members(rows)))
     sets = _lists(docs, members.select(F.col("x").alias("id")), _full, "bigint").withColumnRenamed("doc", "x")
     held = written(members.join(sets.hint("merge"), "x").distinct(), "held")
     forget(sets, members)
@@ -429,7 +461,8 @@ def _differences(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame
         .withColumn("slack", F.col("n") - 7 * F.size("d")), "differences")
     forget(held, core)
     # One row per group, written: Catalyst broadcasts it while it is small, and the differences need not move.
-    best = written(found.groupBy("g").agg(F.max(F.struct("slack", (-F.col("x")).alias("minus"))).alias("most")), "best")
+    best = written(found.groupBy("g").agg(F.max(F.struct("slack", (-F.col("x")).alias("minus"))).alias("most"),
+                                            F.count(F.lit(1)).alias("size")), "best")
     return found, best
 
 
@@ -582,9 +615,9 @@ def _alike(n: np.ndarray, component: np.ndarray, sketches: dict[int, tuple[np.nd
                 at = end
 
 
-def _tile_members(table: pa.Table) -> pa.Table:
-    """Rows (g, x) of a tile that have such a pair."""
-    x, component, n, right = (table.column(c).to_numpy() for c in ("x", "component", "n", "right"))
+def _tile_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Such pairs of rows of a tile."""
+    component, n, right = (table.column(c).to_numpy() for c in ("component", "n", "right"))
     d = table.column("d").combine_chunks()
     words, sizes = d.flatten().to_numpy().view(np.uint64), np.diff(d.offsets.to_numpy())
     starts = np.cumsum(sizes) - sizes
@@ -595,13 +628,39 @@ def _tile_members(table: pa.Table) -> pa.Table:
 
     low = by_length(np.flatnonzero(~right))
     high = by_length(np.flatnonzero(right)) if right.any() else low  # a block with itself, or with one that is empty
+    return _alike(n, component, low, high)
+
+
+def _tile_members(table: pa.Table) -> pa.Table:
+    """Rows (g, x) of a tile that have such a pair."""
+    x = table.column("x").to_numpy()
     paired = np.zeros(len(x), bool)
-    for u, v in _alike(n, component, low, high):
+    for u, v in _tile_pairs(table):
         paired[u] = paired[v] = True
     left = np.unique(x[paired])
     return pa.table({"g": pa.array(np.full(len(left), table.column("g")[0].as_py()), pa.int64()), "x": pa.array(left, pa.int64())})
 
 
+def _joined(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The lowest row that each is joined with, once every u is joined with its v."""
+    while (apart := root[u] != root[v]).any():
+        u, v = u[apart], v[apart]
+        np.minimum.at(root, np.maximum(root[u], root[v]), np.minimum(root[u], root[v]))
+        while ((up := root[root]) != root).any():
+            root = up
+    return root
+
+
+def _tile_stars(table: pa.Table) -> pa.Table:
+    """Rows (a, b) that tie the members of a tile, as such pairs join them, to one of them."""
+    x = table.column("x").to_numpy()
+    root = np.arange(len(x))
+    for u, v in _tile_pairs(table):
+        root = _joined(root, u, v)
+    tied = np.flatnonzero(root != np.arange(len(x)))
+    return pa.table({"a": pa.array(x[tied], pa.int64()), "b": pa.array(x[root[tied]], pa.int64())})
+
+
 def _tile_forest(table: pa.Table) -> pa.Table:
     """Links (a, b) of a tile, as few as connect the components they join."""
     x, component = (table.column(c).to_numpy() for c in ("x", "component"))

@@ -357,6 +357,46 @@ def test_jaccard_sketches_keep_every_link():
     assert 0 < linked <= passed
 
 
+def test_jaccard_groups_join_every_link():
+    """Longer sketches of all texts in one tile, or dealt to both sides of it: linked texts come into one group, not all into the same."""
+    draw = random.Random(14)
+    words = [f"w{draw.randint(0, 10 ** 9)}" for _ in range(1500)]
+    texts = [" ".join(words[a:a + k]) for k in (1, 4, 6, 12, 30, 70, 140, 300, 700)
+             for b in range(0, 600, k) for a in (b, b + k // 8)]
+    draw.shuffle(texts)
+    batch = pa.record_batch({"doc_id": range(len(texts)), "text": texts})
+    sets = [s for _, some in jaccard._sets([batch]) for s in some]
+    made = pa.Table.from_batches(jaccard._longer([batch]))
+    assert all(len(d) == jaccard.LONGER or n <= 64 * len(d) // jaccard.LONGER < 2 * n
+               for n, d in zip(*(made.column(c).to_pylist() for c in ("n", "tokens"))))
+    links = [(i, j) for i in range(len(texts)) for j in range(i)
+             if (k := len(np.intersect1d(sets[i], sets[j]))) and 100 * k >= 75 * (len(sets[i]) + len(sets[j]) - k)]
+    for right in (np.zeros(len(texts), bool), np.arange(len(texts)) % 2 == 1):
+        tile = pa.table({"g": np.zeros(len(texts), np.int64), "x": made["doc"], "component": made["doc"], "n": made["n"],
+                         "d": made["tokens"], "right": right})
+        stars = jaccard._tile_stars(tile).to_pydict()
+        group = dict(zip(stars["a"], stars["b"]))
+        assert len(group) == len(stars["a"]) and not set(group) & set(group.values()) and len(set(group.values())) > 20
+        crossing = [(i, j) for i, j in links if not right.any() or right[i] != right[j]]
+        assert len(crossing) > 20 and all(group.get(i, i) == group.get(j, j) for i, j in crossing)
+
+
+def test_jaccard_compares_whole_sets_in_one_group(spark):
+    """Texts that meet many others on many tokens come once into the work on whole sets, with those they may be linked to."""
+    draw = random.Random(13)
+    words = lambda k: " ".join(f"w{draw.randint(0, 10 ** 9)}" for _ in range(k))
+    rows = []
+    for k in range(0, 24, 2):
+        text = words(60)
+        rows += [(k, f"{text} {words(2)}"), (k + 1, f"{words(3)} {text}")]
+    rows.append((24, words(60)))
+    met = spark.createDataFrame([(t, x, x) for t in range(10) for x in range(t, 25)], "token bigint, x bigint, component bigint")
+    found, best = jaccard._differences(spark.createDataFrame(rows, "doc_id bigint, text string"), met)
+    assert sorted(tuple(r) for r in found.select("g", "x").collect()) == [(x - x % 2, x) for x in range(24)]
+    assert {r["size"] for r in best.collect()} == {2}
+    assert sorted(sorted(r) for r in jaccard._star(found.join(best, "g")).collect()) == [[k, k + 1] for k in range(0, 24, 2)]
+
+
 def test_forgotten_tables_are_deleted(spark):
     kept, gone = tables.written(spark.range(3), "kept"), tables.written(spark.range(3), "gone")
     folder = os.path.dirname(urlparse(gone.inputFiles()[0]).path)
